@@ -97,3 +97,50 @@ def words_sql(text: str = "text") -> str:
 def seeded(column, seed: int):
     """A reproducible order that Spark and DuckDB both compute: hex md5 of 'seed:id'."""
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(column.cast("string"), F.lit(""))))
+
+
+def dealt(part: np.ndarray, *columns: np.ndarray, runs: np.ndarray | None = None, names: tuple[str, ...] = ()) -> pa.RecordBatch:
+    """One row for each part that occurs: its entries of every column as packed binary.
+
+    Millions of fixed-width entries so cross a shuffle as a few blobs instead of
+    as rows. Entries of a part keep their order. `runs` is a column that repeats
+    in runs: it is stored once for each run, with the run's length.
+    """
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    cut = np.flatnonzero(np.diff(part, prepend=part[0] - 1 if len(part) else 0))
+    ends = np.append(cut[1:], len(part))
+    columns = [c[order] for c in columns]
+    out = [pa.array(part[cut].astype(np.int32))]
+    out += [pa.array([c[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()) for c in columns]
+    if runs is not None:
+        runs = runs[order]
+        new = np.flatnonzero((np.diff(runs, prepend=0) != 0) | (np.diff(part, prepend=-1) != 0))
+        if len(runs) and (not len(new) or new[0]):
+            new = np.append(0, new)
+        lengths = np.diff(np.append(new, len(runs))).astype(np.uint32)
+        at = np.searchsorted(new, np.append(cut, len(runs)))
+        heads = runs[new]
+        out += [pa.array([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()) for x in (heads, lengths)]
+    return pa.RecordBatch.from_arrays(out, names=list(names))
+
+
+def joined(column, kind) -> np.ndarray:
+    """All blobs of a binary column as one array."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
+
+
+def id_bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """The numpy twin of `id_bucket_column`."""
+    u = ids.view(np.uint64)
+    return np.mod((u ^ (u >> np.uint64(16)) ^ (u >> np.uint64(32))).view(np.int64), buckets).astype(np.int32)
+
+
+def id_bucket_column(column, buckets: int):
+    """A bucket of a bigint id by shifts alone, so that numpy finds the same one."""
+    x = column.bitwiseXOR(F.shiftrightunsigned(column, 16)).bitwiseXOR(F.shiftrightunsigned(column, 32))
+    return F.coalesce(F.pmod(x, F.lit(buckets)), F.lit(0)).cast("int")
+
+
+def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    return docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import mixing, packing, quality
+from weir.llm import mixing, packing, quality, substring
 from weir.llm.common import table
 
 
@@ -15,9 +15,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_quality": quality.op3_quality,
     "op5_mixing": mixing.op5_mixing,
+    "op7_substring": substring.op7_substring,
     "op9_packing": op9_packing,
 }
 
 ORACLE: dict[str, str] = {
     "op5_mixing": mixing.SQL,
+    "op7_substring": substring.SQL,
 }
