@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import mixing, packing, quality, substring
+from weir.llm import mixing, packing, pages, quality, substring
 from weir.llm.common import table
 
 
@@ -17,6 +17,7 @@ QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op7_substring": substring.op7_substring,
     "op9_packing": op9_packing,
+    "op10_pages": pages.op10_pages,
 }
 
 ORACLE: dict[str, str] = {
