@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import mixing, packing, pages, quality, substring
+from weir.llm import mixing, packing, pages, quality, substring, topk
 from weir.llm.common import table
 
 
@@ -15,6 +15,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_quality": quality.op3_quality,
     "op5_mixing": mixing.op5_mixing,
+    "op6_topk": topk.op6_topk,
     "op7_substring": substring.op7_substring,
     "op9_packing": op9_packing,
     "op10_pages": pages.op10_pages,
@@ -22,5 +23,6 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op5_mixing": mixing.SQL,
+    "op6_topk": topk.SQL,
     "op7_substring": substring.SQL,
 }
