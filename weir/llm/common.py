@@ -58,9 +58,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and 64-bit hashes of all words in a uint8 buffer."""
-    space = _SPACES[data]
+def word_hashes(data: np.ndarray, spaces: np.ndarray = _SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and 64-bit hashes of all words in a uint8 buffer; `spaces` marks the bytes between words."""
+    space = spaces[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
     n = len(data) + 1

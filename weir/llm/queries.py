@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import mixing, packing, pages, quality, substring, topk
+from weir.llm import mixing, packing, pages, quality, substring, topk, toxicity
 from weir.llm.common import table
 
 
@@ -13,6 +13,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op3_quality": quality.op3_quality,
     "op5_mixing": mixing.op5_mixing,
     "op6_topk": topk.op6_topk,
