@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import mixing, packing, pages, quality, substring, topk, toxicity
+from weir.llm import jaccard, mixing, packing, pages, quality, substring, topk, toxicity
 from weir.llm.common import table
 
 
@@ -15,6 +15,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op3_quality": quality.op3_quality,
+    "op4_jaccard": jaccard.op4_jaccard,
     "op5_mixing": mixing.op5_mixing,
     "op6_topk": topk.op6_topk,
     "op7_substring": substring.op7_substring,
@@ -23,6 +24,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op4_jaccard": jaccard.SQL,
     "op5_mixing": mixing.SQL,
     "op6_topk": topk.SQL,
     "op7_substring": substring.SQL,
