@@ -77,8 +77,8 @@ def repeated(docs: DataFrame, *, width: int, parts: int, buckets: int) -> DataFr
     return dealt_out.groupBy("part").applyInArrow(count, "bucket int, hashes binary, ids binary")
 
 
-def remove_repeats(docs: DataFrame, *, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
-    """doc_id, n_words, n_removed, spans, kept_text.
+def remove_repeats(docs: DataFrame, *, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, spans, kept_text, and the columns named in `carry`.
 
     A word goes if a window of `width` words that covers it also starts in a
     document with a smaller id; windows are judged on the input. `spans` are the
@@ -90,7 +90,8 @@ def remove_repeats(docs: DataFrame, *, width: int = WINDOW, id_col: str = "doc_i
     size = text_bytes(docs, text_col)
     parts = max(16, size // part_bytes)
     buckets = parts | 1
-    d = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    d = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"_keep_{c}") for c in carry])
+    more = [d.schema[f"_keep_{c}"].dataType.simpleString() for c in carry]
 
     def strip(left: pa.Table, right: pa.Table) -> pa.Table:
         gone_ids, gone = joined(right["ids"], np.int64), joined(right["hashes"], np.uint64)
@@ -129,12 +130,14 @@ def remove_repeats(docs: DataFrame, *, width: int = WINDOW, id_col: str = "doc_i
                     spans.append(runs)
                     kept.append(b" ".join(words).decode())
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        out = [left["id"].combine_chunks(), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.string())]
-        return pa.Table.from_arrays(out, names=["doc_id", "n_words", "n_removed", "spans", "kept_text"])
+        out = [left["id"].combine_chunks(), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.string()), *[left[f"_keep_{c}"] for c in carry]]
+        return pa.Table.from_arrays(out, names=["doc_id", "n_words", "n_removed", "spans", "kept_text", *[f"_keep_{c}" for c in carry]])
 
     marks = repeated(d, width=width, parts=parts, buckets=buckets)
     homes = d.withColumn("bucket", id_bucket_column(F.col("id"), buckets))
-    return homes.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(strip, "doc_id bigint, n_words bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept_text string")
+    schema = ", ".join(["doc_id bigint, n_words bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept_text string", *[f"`_keep_{c}` {t}" for c, t in zip(carry, more, strict=True)]])
+    out = homes.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(strip, schema)
+    return out.select("doc_id", "n_words", "n_removed", "spans", "kept_text", *[F.col(f"_keep_{c}").alias(c) for c in carry])
 
 
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
