@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import jaccard, mixing, packing, pages, quality, substring, topk, toxicity
+from weir.llm import jaccard, mixing, packing, pages, quality, substring, suffix, topk, toxicity
 from weir.llm.common import table
 
 
@@ -19,6 +19,7 @@ QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op6_topk": topk.op6_topk,
     "op7_substring": substring.op7_substring,
+    "op8_suffix": suffix.op8_suffix,
     "op9_packing": op9_packing,
     "op10_pages": pages.op10_pages,
 }
