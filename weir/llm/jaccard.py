@@ -41,6 +41,8 @@ SLICES = 16
 #: A region of at most so many members is joined within one task.
 LOCAL = 256
 PART_BYTES = 32 << 20
+#: Up to so many nodes whose sets are wanted (16 bytes each) are sent to every executor.
+BROADCAST_NODES = 1_000_000
 
 _SIGN = np.uint64(0x8EBC6AF09C88C6E3)
 
@@ -270,16 +272,18 @@ def jaccard_components(docs: DataFrame, *, width: int = SHINGLE, percent: int =
     parts = max(16, text_bytes(d) // part_bytes)
     members = materialise(regions(d, counts, width, percent, parts))
     least = every.where("sign is not null").groupBy("sign").agg(F.min("id").alias("label"))
-    wanted = members.select("sign").distinct().join(least, "sign").select("sign", "label")
+    wanted = materialise(members.select("sign").distinct().join(least, "sign").select("sign", F.col("label").alias("id")).where("id is not null"))
+    if wanted.count() <= BROADCAST_NODES:
+        wanted = F.broadcast(wanted)  # else the texts are shuffled by id
 
     def keep(batches):
         for batch in batches:
             sets = list(shingle_sets(batch.column(1), width))
             signs = batch.column(0).to_pylist()
-            rows = [i for i, s in enumerate(sets) if len(s) and signature(s) == signs[i]]
+            rows = list({signs[i]: i for i, s in enumerate(sets) if len(s) and signature(s) == signs[i]}.values())
             yield pa.RecordBatch.from_arrays([pa.array([signs[i] for i in rows], pa.int64()), pa.array([sets[i].tobytes() for i in rows], pa.binary())], names=["sign", "shingles"])
 
-    texts = d.join(wanted.select(F.col("label").alias("id"), "sign"), "id").select("sign", "text")
+    texts = d.join(wanted, "id").select("sign", "text")
     sets = materialise(texts.mapInArrow(keep, "sign bigint, shingles binary").dropDuplicates(["sign"]))
     links = materialise(join_regions(members, sets, percent, local))
     labels = components(links, least.select("sign", "label"))
