@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import jaccard, mixing, packing, pages, quality, substring, suffix, topk, toxicity
+from weir.llm import jaccard, licenses, mixing, packing, pages, quality, substring, suffix, topk, toxicity
 from weir.llm.common import table
 
 
@@ -14,6 +14,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_licenses": licenses.op2_licenses,
     "op3_quality": quality.op3_quality,
     "op4_jaccard": jaccard.op4_jaccard,
     "op5_mixing": mixing.op5_mixing,
