@@ -39,6 +39,8 @@ PART_BYTES = 8 << 20
 HOT, FINE = 512, 8
 #: Bytes of segments whose suffixes are sorted together.
 SORTED = 1 << 15
+#: Up to so many document ids are sent to every executor (8 MB).
+BROADCAST_IDS = 1_000_000
 CHUNK = 1 << 20
 
 _POSITION = np.uint64(28)
@@ -67,6 +69,27 @@ def suffix_array(text) -> list[int]:
         members[g] = own
         if own:
             final.append(g)
+            if len(own) == 1:
+                # the common case: one member tells one position once
+                i = own[0]
+                done[i] = 1
+                p = left[i]
+                while p >= 0 and done[p]:
+                    p = left[p]
+                left[i] = p
+                if p >= 0:
+                    h = group[p]
+                    new, after = len(members), above[h]
+                    members.append([p])
+                    length.append(length[h] + length[g])
+                    below.append(h)
+                    above.append(after)
+                    above[h] = new
+                    if after >= 0:
+                        below[after] = new
+                    group[p] = new
+                g = below[g]
+                continue
             for i in own:
                 done[i] = 1
             told: dict = {}
@@ -217,7 +240,7 @@ def runs_of(homes: DataFrame, marked: DataFrame, length: int, gram: int, parts:
     """Step 2, at the documents: rows of kind 0 with removed intervals by bucket, and of kind 1 with segments by part.
 
     starts and ends are byte numbers in the document; of a segment they bound its
-    strings' starts, and `lefts` is where its bytes begin.
+    strings' starts, and `lefts` is the place of the anchor in its bytes.
     """
 
     def take(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -245,13 +268,13 @@ def runs_of(homes: DataFrame, marked: DataFrame, length: int, gram: int, parts:
                         for i in wanted.tolist():
                             a, b, p, o, h = int(s["first"][i]), int(s["last"][i]), int(s["anchor"][i]), int(base[i]), int(s["hash"][i])
                             if what[i] == 1:
-                                rows.append((h, int(own[i]), a - o, b - o, data[a : b + length]))
+                                rows.append((h, int(own[i]), a - o, b - o, data[a : b + length], p - a))
                                 continue
                             # the strings that start FINE j .. FINE j + FINE - 1 before the anchor share these bytes
                             for j in range((p - b) // FINE, (p - a) // FINE + 1):
                                 low, high = max(a, p - FINE * j - FINE + 1), min(b, p - FINE * j)
                                 core = data[p - FINE * j : p - FINE * j - FINE + 1 + length]
-                                rows.append((int(mix(np.uint64([h ^ (hash_bytes(core) + j & (1 << 64) - 1)]))[0]), int(own[i]), low - o, high - o, data[low : high + length]))
+                                rows.append((int(mix(np.uint64([h ^ (hash_bytes(core) + j & (1 << 64) - 1)]))[0]), int(own[i]), low - o, high - o, data[low : high + length], p - low))
                         out.append(packed(rows, parts))
         return pa.Table.from_batches(out, schema=schema) if out else schema.empty_table()
 
@@ -267,7 +290,7 @@ def runs_of(homes: DataFrame, marked: DataFrame, length: int, gram: int, parts:
             some = [rows[i] for i in order[a:b]]
             out.append({
                 "kind": 1, "key": int(part[order[a]]), "ids": np.array([r[1] for r in some], np.int64).tobytes(), "starts": np.array([r[2] for r in some], np.int64).tobytes(),
-                "ends": np.array([r[3] for r in some], np.int64).tobytes(), "lefts": b"", "keys": np.array([r[0] for r in some], np.uint64).tobytes(),
+                "ends": np.array([r[3] for r in some], np.int64).tobytes(), "lefts": np.array([r[5] for r in some], np.int64).tobytes(), "keys": np.array([r[0] for r in some], np.uint64).tobytes(),
                 "sizes": np.array([len(r[4]) for r in some], np.int64).tobytes(), "bytes": b"".join(r[4] for r in some),
             })
         return pa.RecordBatch.from_pylist(out, schema=schema)
@@ -289,7 +312,36 @@ def hash_bytes(data: bytes) -> int:
     return int(mix((x * powers(_BASE, len(x))).sum(keepdims=True))[0])
 
 
-def repeats(keys: np.ndarray, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, pieces: list[bytes], length: int) -> list[tuple[int, int]]:
+def shared(group: list[tuple[int, int, int, bytes, int]], length: int) -> list[tuple[int, int, int, bytes]]:
+    """The parts of an anchor's segments (id, first, last, bytes, anchor) that can hold equal strings.
+
+    FINE neighbouring strings have common bytes; where no other segment has the
+    same there, none of these strings occurs twice and its suffixes need no sorting.
+    """
+    seen: dict = {}
+    for k, (_, first, last, data, place) in enumerate(group):
+        for j in range((place - (last - first)) // FINE, place // FINE + 1):
+            core = (j, data[place - FINE * j : place - FINE * j - FINE + 1 + length])
+            seen[core] = -1 if core in seen else k
+    alone = {(k, j) for (j, _), k in seen.items() if k >= 0}
+    out = []
+    for k, (i, first, last, data, place) in enumerate(group):
+        low = high = None
+        for j in range(place // FINE, (place - (last - first)) // FINE - 1, -1):
+            if (k, j) in alone:
+                if low is not None:
+                    out.append((i, first + low, first + high, data[low : high + length]))
+                    low = None
+                continue
+            if low is None:
+                low = max(0, place - FINE * j - FINE + 1)
+            high = min(last - first, place - FINE * j)
+        if low is not None:
+            out.append((i, first + low, first + high, data[low : high + length]))
+    return out
+
+
+def repeats(ids, starts: np.ndarray, ends: np.ndarray, pieces, length: int) -> list[tuple[int, int]]:
     """(segment, string) numbers of the strings of segments that occur earlier, in one batch of suffixes."""
     text, origin = [], []
     for k, piece in enumerate(pieces):
@@ -324,7 +376,7 @@ def sorted_parts(found: DataFrame, length: int, buckets: int) -> DataFrame:
     """Step 2, at the anchors: bucket, ids, starts, ends of the intervals that suffix sorting removes."""
 
     def run(t: pa.Table) -> pa.Table:
-        ids, starts, ends = (joined(t[c], np.int64) for c in ("ids", "starts", "ends"))
+        ids, starts, ends, lefts = (joined(t[c], np.int64) for c in ("ids", "starts", "ends", "lefts"))
         keys, sizes = joined(t["keys"], np.uint64), joined(t["sizes"], np.int64)
         data = b"".join(t["bytes"].to_pylist())
         at = np.cumsum(sizes) - sizes
@@ -332,15 +384,16 @@ def sorted_parts(found: DataFrame, length: int, buckets: int) -> DataFrame:
         gone, batch, held = [], [], 0
 
         def flush():
-            for k, s in repeats(keys[batch], ids[batch], starts[batch], ends[batch], [data[at[i] : at[i] + sizes[i]] for i in batch], length):
-                i = batch[k]
-                gone.append((ids[i], starts[i] + s))
+            columns = list(zip(*batch, strict=True))
+            for k, s in repeats(columns[0], np.array(columns[1]), np.array(columns[2]), columns[3], length):
+                gone.append((columns[0][k], columns[1][k] + s))
 
         cut = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1])) if len(order) else []
         for a, b in zip(cut, np.append(cut[1:], len(order)), strict=True) if len(order) else ():
             if b - a > 1:
-                batch += order[a:b].tolist()
-                held += int(sizes[order[a:b]].sum())
+                some = shared([(int(ids[i]), int(starts[i]), int(ends[i]), data[at[i] : at[i] + sizes[i]], int(lefts[i])) for i in order[a:b]], length)
+                batch += some
+                held += sum(len(x[3]) for x in some)
             if held >= SORTED:
                 flush()
                 batch, held = [], 0
@@ -358,6 +411,23 @@ def sorted_parts(found: DataFrame, length: int, buckets: int) -> DataFrame:
     return found.where("kind = 1").groupBy("key").applyInArrow(run, "bucket int, ids binary, starts binary, ends binary")
 
 
+def divided(homes: DataFrame, packed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Documents with an id among the packed ones, and the others; all and None where the ids are too many to broadcast.
+
+    Only documents that have something to be compared or removed need to move.
+    """
+
+    def unique(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(joined(batch.column(0), np.int64)))], names=["id"])
+
+    ids = materialise(packed.where("ids is not null").select("ids").mapInArrow(unique, "id bigint").distinct())
+    if ids.count() > BROADCAST_IDS:
+        return homes, None
+    ids = F.broadcast(ids)
+    return homes.join(ids, "id", "left_semi"), homes.join(ids, "id", "left_anti")
+
+
 def remove_repeated_bytes(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans, kept (binary).
 
@@ -374,9 +444,11 @@ def remove_repeated_bytes(docs: DataFrame, *, length: int = LENGTH, gram: int =
     buckets = parts | 1
     d = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     homes = d.withColumn("bucket", id_bucket_column(F.col("id"), buckets))
-    marked = marks(d, length, gram, parts, buckets, hot)
-    found = materialise(runs_of(homes.where("id is not null"), marked, length, gram, parts, buckets))
-    gone = found.where("kind = 0").select(F.col("key").alias("bucket"), "ids", "starts", "ends").unionByName(sorted_parts(found, length, buckets))
+    marked = materialise(marks(d, length, gram, parts, buckets, hot))
+    concerned, _ = divided(homes.where("id is not null"), marked)
+    found = materialise(runs_of(concerned, marked, length, gram, parts, buckets))
+    gone = materialise(found.where("kind = 0").select(F.col("key").alias("bucket"), "ids", "starts", "ends").unionByName(sorted_parts(found, length, buckets)))
+    cut, whole = divided(homes, gone)
 
     def strip(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, a, b = (joined(right[c], np.int64) for c in ("ids", "starts", "ends"))
@@ -407,7 +479,13 @@ def remove_repeated_bytes(docs: DataFrame, *, length: int = LENGTH, gram: int =
         return pa.Table.from_arrays([left["id"].combine_chunks(), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
-    return homes.groupBy("bucket").cogroup(gone.groupBy("bucket")).applyInArrow(strip, schema)
+    out = cut.groupBy("bucket").cogroup(gone.groupBy("bucket")).applyInArrow(strip, schema)
+    if whole is None:
+        return out
+    none = F.lit(0).cast("bigint")
+    text = F.coalesce("text", F.lit(""))
+    spans = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    return out.unionByName(whole.select(F.col("id").alias("doc_id"), F.octet_length(text).cast("bigint").alias("n_bytes"), none.alias("n_removed"), spans.alias("spans"), text.cast("binary").alias("kept")))
 
 
 def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
