@@ -10,6 +10,8 @@ exact:
    dealt by shingle as packed arrays. In each group, and in each run of set
    sizes that are compatible, the node of the smallest signature is the pivot,
    and the run is laid into the pivot's region.
+   A fixed histogram of each set's shingles bounds symmetric differences from
+   below; members that it keeps from all others of a small region go.
 2. In a region all distances to the pivot are computed. Members within the
    radius are the pivot's cell and linked to it. By the triangle inequality a
    member of the cell can only link to one outside if their distances to the
@@ -169,6 +171,36 @@ def regions(docs: DataFrame, counts, width: int, percent: int, parts: int) -> Da
     return dealt_out.groupBy("part").applyInArrow(group, "pivot bigint, sign bigint").distinct()
 
 
+def possible(histograms: np.ndarray, percent: int) -> np.ndarray:
+    """Which members may link to another: the L1 distance of histograms never exceeds that of the sets.
+
+    100 (a + b - D) >= percent (a + b + D) is the link condition with D the
+    symmetric difference and a, b the sizes.
+    """
+    size = histograms.sum(axis=1)
+    out = np.zeros(len(histograms), bool)
+    for i in range(len(histograms) - 1):
+        d = np.abs(histograms[i + 1 :] - histograms[i]).sum(axis=1)
+        hit = d * (100 + percent) <= (100 - percent) * (size[i + 1 :] + size[i])
+        if hit.any():
+            out[i] = True
+            out[i + 1 :] |= hit
+    return out
+
+
+def pruned(members: DataFrame, histograms: DataFrame, percent: int, local: int) -> DataFrame:
+    """`members` without those of small regions that can link to no other member."""
+    sizes = members.groupBy("pivot").agg(F.count("*").alias("members"))
+    tagged = materialise(members.join(sizes, "pivot"))
+
+    def run(t: pa.Table) -> pa.Table:
+        keep = possible(np.stack([np.frombuffer(b, np.uint16).astype(np.int64) for b in t["histogram"].to_pylist()]), percent)
+        return t.select(["pivot", "sign"]).filter(pa.array(keep))
+
+    small = tagged.where(F.col("members") <= local).select("pivot", "sign").join(histograms, "sign").select("pivot", "sign", "histogram")
+    return small.groupBy("pivot").applyInArrow(run, "pivot bigint, sign bigint").unionByName(tagged.where(F.col("members") > local).select("pivot", "sign"))
+
+
 def cell_links(signs: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Step 2 within one task: links of a region's members to the pivots of their cells."""
     links, alive = [], sorted(range(len(signs)), key=lambda i: signs[i])
@@ -272,19 +304,25 @@ def jaccard_components(docs: DataFrame, *, width: int = SHINGLE, percent: int =
     parts = max(16, text_bytes(d) // part_bytes)
     members = materialise(regions(d, counts, width, percent, parts))
     least = every.where("sign is not null").groupBy("sign").agg(F.min("id").alias("label"))
-    wanted = materialise(members.select("sign").distinct().join(least, "sign").select("sign", F.col("label").alias("id")).where("id is not null"))
-    if wanted.count() <= BROADCAST_NODES:
-        wanted = F.broadcast(wanted)  # else the texts are shuffled by id
 
-    def keep(batches):
-        for batch in batches:
-            sets = list(shingle_sets(batch.column(1), width))
-            signs = batch.column(0).to_pylist()
-            rows = list({signs[i]: i for i, s in enumerate(sets) if len(s) and signature(s) == signs[i]}.values())
-            yield pa.RecordBatch.from_arrays([pa.array([signs[i] for i in rows], pa.int64()), pa.array([sets[i].tobytes() for i in rows], pa.binary())], names=["sign", "shingles"])
+    def of_nodes(some: DataFrame, kind: str, make) -> DataFrame:
+        """sign and make(set) of the nodes in `some`, from one text of each."""
+        wanted = materialise(some.select("sign").distinct().join(least, "sign").select("sign", F.col("label").alias("id")).where("id is not null"))
+        if wanted.count() <= BROADCAST_NODES:
+            wanted = F.broadcast(wanted)  # else the texts are shuffled by id
+
+        def run(batches):
+            for batch in batches:
+                sets = list(shingle_sets(batch.column(1), width))
+                signs = batch.column(0).to_pylist()
+                rows = list({signs[i]: i for i, s in enumerate(sets) if len(s) and signature(s) == signs[i]}.values())
+                yield pa.RecordBatch.from_arrays([pa.array([signs[i] for i in rows], pa.int64()), pa.array([make(sets[i]).tobytes() for i in rows], pa.binary())], names=["sign", kind])
+
+        return materialise(d.join(wanted, "id").select("sign", "text").mapInArrow(run, f"sign bigint, {kind} binary").dropDuplicates(["sign"]))
 
-    texts = d.join(wanted, "id").select("sign", "text")
-    sets = materialise(texts.mapInArrow(keep, "sign bigint, shingles binary").dropDuplicates(["sign"]))
+    histograms = of_nodes(members, "histogram", lambda s: np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256), 65535).astype(np.uint16))
+    members = materialise(pruned(members, histograms, percent, local))
+    sets = of_nodes(members, "shingles", lambda s: s)
     links = materialise(join_regions(members, sets, percent, local))
     labels = components(links, least.select("sign", "label"))
     best = least.select("sign", "label").join(labels.withColumnRenamed("label", "linked"), "sign", "left").select("sign", F.coalesce("linked", "label").alias("component_id"))
