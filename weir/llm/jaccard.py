@@ -194,7 +194,7 @@ def pruned(members: DataFrame, histograms: DataFrame, percent: int, local: int)
     tagged = materialise(members.join(sizes, "pivot"))
 
     def run(t: pa.Table) -> pa.Table:
-        keep = possible(np.stack([np.frombuffer(b, np.uint16).astype(np.int64) for b in t["histogram"].to_pylist()]), percent)
+        keep = possible(np.stack([np.frombuffer(b, np.uint32).astype(np.int64) for b in t["histogram"].to_pylist()]), percent)
         return t.select(["pivot", "sign"]).filter(pa.array(keep))
 
     small = tagged.where(F.col("members") <= local).select("pivot", "sign").join(histograms, "sign").select("pivot", "sign", "histogram")
@@ -320,7 +320,7 @@ def jaccard_components(docs: DataFrame, *, width: int = SHINGLE, percent: int =
 
         return materialise(d.join(wanted, "id").select("sign", "text").mapInArrow(run, f"sign bigint, {kind} binary").dropDuplicates(["sign"]))
 
-    histograms = of_nodes(members, "histogram", lambda s: np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256), 65535).astype(np.uint16))
+    histograms = of_nodes(members, "histogram", lambda s: np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256).astype(np.uint32))
     members = materialise(pruned(members, histograms, percent, local))
     sets = of_nodes(members, "shingles", lambda s: s)
     links = materialise(join_regions(members, sets, percent, local))
