@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weir.functions import features, text
 from weir.functions import patterns as P
-from weir.operators import corpus, metrics, policy, reports, temporal
+from weir.operators import cluster, corpus, metrics, models, policy, reports, temporal, validate
 from weir.plans import views as V
 
 QUERIES: dict = {}
@@ -414,3 +414,51 @@ q AS (SELECT y, greatest(0, least(20, floor((score - b.low) / ((b.high - b.low)
 SELECT point, threshold, count(*) FILTER (y = 1 AND k <= point) / count(*) FILTER (y = 1) AS recall, count(*) FILTER (y = 0 AND k <= point) / count(*) FILTER (y = 0) AS fp_rate FROM t, q GROUP BY 1, 2""")
 def threshold_sweep(spark, sf_dir):
     return metrics.threshold_sweep(_eval(spark, sf_dir), points=20)
+
+
+# Telemetry, anomalies
+
+
+def _telemetry(spark, sf_dir):
+    e = V.load(spark, sf_dir, "embeddings")
+    classes = F.array(*[F.lit(c) for c in (*policy.CLASSES, "unknown")])
+    return e.select(
+        F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), F.element_at(classes, (F.col("vec_id") % 6 + 1).cast("int")).alias("predicted_class"),
+        ((F.col("vec_id") % 12) / 10).alias("confidence"), (F.col("vec_id") % 9).alias("timestamp"), F.when(F.col("vec_id") % 4 == 0, "").otherwise(F.concat(F.lit("host"), (F.col("vec_id") % 4).cast("string"))).alias("source_id"), "label",
+    )
+
+
+@query(f"""SELECT CASE WHEN vec_id % 6 = 5 THEN 'predicted_class must be one of benign, cmdi, path_traversal, sqli, xss' WHEN vec_id % 12 > 10 THEN 'confidence must be a number in [0, 1]' WHEN vec_id % 9 = 0 THEN 'timestamp must be a positive number'
+WHEN vec_id % 4 = 0 THEN 'source_id must be a non-empty string up to 128 characters' ELSE 'valid' END AS reason, {BIG} AS n FROM embeddings GROUP BY 1""")
+def telemetry_reasons(spark, sf_dir):
+    return validate.reason_counts(_telemetry(spark, sf_dir), validate.telemetry_error(64))
+
+
+@query()
+def isolation_scores(spark, sf_dir):
+    """Anomaly scores of the vectors' first components, by a forest trained on them."""
+    e = V.load(spark, sf_dir, "embeddings")
+    names = [f"f{i}" for i in range(16)]
+    d = e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
+    forest = models.IsolationForest(names, trees=50, samples=256).fit(d, "vec_id")
+    return forest.transform(d, ("vec_id",))
+
+
+
+
+@query("SELECT vec_id, round((f0 - avg(f0) OVER ()) / stddev_pop(f0) OVER (), 6) AS f0, round((f1 - avg(f1) OVER ()) / stddev_pop(f1) OVER (), 6) AS f1 FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS f0, CAST(embedding[2] AS DOUBLE) AS f1 FROM embeddings)")
+def standardised(spark, sf_dir):
+    e = V.load(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("f0"), F.col("embedding")[1].cast("double").alias("f1"))
+    return metrics.standardise(e, ["f0", "f1"]).withColumns({c: F.round(c, 6) for c in ("f0", "f1")})
+
+
+_POINTS = "p AS (SELECT c_custkey AS id, CAST(c_acctbal AS DOUBLE) AS x, CAST(c_nationkey AS DOUBLE) * 40 AS y FROM customer)"
+_NEAR = "n AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id <> b.id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 60)"
+
+
+@query(f"""WITH RECURSIVE {_POINTS}, {_NEAR}, c AS (SELECT a AS id FROM n GROUP BY a HAVING count(*) + 1 >= 4), l AS (SELECT a, b FROM n WHERE a IN (SELECT id FROM c) AND b IN (SELECT id FROM c)),
+r AS (SELECT id, id AS reach FROM c UNION SELECT r.id, l.b FROM r JOIN l ON r.reach = l.a), g AS (SELECT id, min(reach) AS cluster FROM r GROUP BY id), o AS (SELECT n.a AS id, min(g.cluster) AS cluster FROM n JOIN g ON n.b = g.id GROUP BY 1)
+SELECT p.id, coalesce(g.cluster, o.cluster) AS cluster FROM p LEFT JOIN g ON p.id = g.id LEFT JOIN o ON p.id = o.id""")
+def density_clusters(spark, sf_dir):
+    c = V.load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.array(F.col("c_acctbal").cast("double"), F.col("c_nationkey").cast("double") * 40).alias("v"))
+    return cluster.dbscan(c, eps=60.0, min_samples=4)
