@@ -176,7 +176,22 @@ def test_jaccard_equals_brute_force(spark, percent, local):
         for _ in range(random.choice([1, 1, 3])):
             v = [x if random.random() > 0.02 else random.choice(vocabulary) for x in w]
             rows.append((len(rows), " ".join(v).upper() if i % 2 else "  ".join(v)))
-    out = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=percent, local=local).collect()
+    out = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=percent, local=local, centres=local).collect()
+    assert sorted(map(tuple, out), key=str) == groups(rows, 3, percent)
+
+
+@pytest.mark.parametrize(("edits", "percent"), [(2, 85), (4, 70), (9, 85)])
+def test_jaccard_of_many_near_copies(spark, edits, percent):
+    random.seed(edits)
+    origin = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(300):
+        w = list(origin)
+        for _ in range(random.randrange(edits + 1)):
+            w[random.randrange(60)] = f"x{random.randrange(5)}"
+        rows.append((i, " ".join(w)))
+    rows += [(i + 300, t + " tail of other words" * (i % 2)) for i, t in rows[::3]]
+    out = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=percent, local=40, centres=5).collect()
     assert sorted(map(tuple, out), key=str) == groups(rows, 3, percent)
 
 

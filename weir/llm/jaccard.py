@@ -12,18 +12,23 @@ exact:
    and the run is laid into the pivot's region.
    A fixed histogram of each set's shingles bounds symmetric differences from
    below; members that it keeps from all others of a small region go.
-2. In a region all distances to the pivot are computed. Members within the
-   radius are the pivot's cell and linked to it. By the triangle inequality a
-   member of the cell can only link to one outside if their distances to the
-   pivot differ by the radius at most: such boundary members are replicated
-   into the region of the rest, which is joined again with its own pivot, and
-   so on until nothing is left.
-3. Large regions take their steps as Spark rounds over rows of one member each,
-   small ones within one task. Links give components by label propagation.
+2. A region of at most `local` members is joined within one task: all distances
+   to its pivot are computed; members within the radius are the pivot's cell and
+   linked to it. By the triangle inequality a member of the cell can only link
+   to one outside if their distances to the pivot differ by the radius at most:
+   such boundary members are replicated into the region of the rest, which is
+   joined again with its own pivot, and so on until nothing is left.
+3. A larger region has several pivots. Its members, in slices of bounded size,
+   get their distances to all of them; cells that share a member are connected,
+   and the largest connected group needs no comparison within. Only the rest is
+   left: it is divided into the Voronoi regions of the pivots, and by triangle
+   windows each of these gets the members that may link to one of its own. Both
+   sides come in pieces of bounded size.
+4. Links give components by label propagation.
 
 Within a cell no pair is compared or emitted: all are in one component through
-the pivot. So the work on thousands of near copies is linear, and a region is
-never collected as a whole unless it is small.
+the pivot. So a few pivots settle thousands of near copies, and no region is
+ever collected as a whole unless it is small.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weir.llm.common import chunks, dealt, joined, materialise, mix, table, text_bytes, word_hashes, words_sql
@@ -42,6 +48,8 @@ CELLS = 1 << 20
 SLICES = 16
 #: A region of at most so many members is joined within one task.
 LOCAL = 256
+#: Pivots of a larger region.
+CENTRES = 32
 PART_BYTES = 32 << 20
 #: Up to so many nodes whose sets are wanted (16 bytes each) are sent to every executor.
 BROADCAST_NODES = 1_000_000
@@ -219,51 +227,152 @@ def cell_links(signs: list[int], sets: list[np.ndarray], percent: int) -> list[t
     return links
 
 
-def join_regions(members: DataFrame, sets: DataFrame, percent: int, local: int = LOCAL) -> DataFrame:
-    """a, b: links that connect all linked nodes. `members` has pivot and sign, `sets` sign and shingles."""
-    radius = 1 - percent / 100
+def cells_of(t: pa.Table) -> pa.Table:
+    """Of one region's tallies (head, other, n): the heads of the main group, that of most members, and its name."""
+    top: dict = {}
+
+    def find(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    heads, others = t["head"].to_pylist(), t["other"].to_pylist()
+    for x, y in zip(heads, others, strict=True):
+        top[find(x)] = find(y)
+    weight: dict = {}
+    for x, n in zip(heads, t["n"].to_pylist(), strict=True):
+        weight[find(x)] = weight.get(find(x), 0) + n
+    main = max(weight, key=lambda x: (weight[x], -x))
+    kept = sorted({x for x in heads if find(x) == main})
+    return pa.table({"region": pa.array([t["region"][0].as_py()] * len(kept), pa.int64()), "head": pa.array(kept, pa.int64()), "inner": pa.array([kept[0]] * len(kept), pa.int64())})
+
+
+def blocks_of(t: pa.Table, local: int) -> pa.Table:
+    """Of one region's homes (home, low, high, n): the block of each; small ones share one, large ones have parts."""
+    rows, out, block, held = sorted(t.to_pylist(), key=lambda r: r["home"]), [], 0, 0
+    for r in rows:
+        if held and held + r["n"] > local:
+            block, held = block + 1, 0
+        held += r["n"]
+        out.append(r | {"block": block, "subs": -(-r["n"] // local)})
+    return pa.Table.from_pylist(out, schema=pa.schema([("region", pa.int64()), ("home", pa.int32()), ("low", pa.float64()), ("high", pa.float64()), ("n", pa.int64()), ("block", pa.int32()), ("subs", pa.int64())]))
+
+
+def block_links(left: pa.Table, right: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Links of a block's members to others; none between two that are connected already."""
+    names: dict = {}
+
+    def read(t):
+        sets = [np.frombuffer(b, np.uint64) for b in t["shingles"].to_pylist()]
+        group = [names.setdefault((c is None, s if c is None else c), len(names)) for s, c in zip(t["sign"].to_pylist(), t["cell"].to_pylist(), strict=True)]
+        return np.array(t["sign"].to_pylist(), np.int64), np.array(group), sets, histograms(sets)
+
+    if not left.num_rows or not right.num_rows:
+        return []
+    sign, group, sets, held = read(left)
+    other, joined_to, theirs, those = read(right)
+    rest = np.array(right["rest"].to_pylist(), bool)
+    size = those.sum(axis=1)
     links = []
-    region = members.select(F.col("pivot").alias("region"), "pivot", "sign")
-    while True:
-        sizes = region.groupBy("region").agg(F.count("*").alias("members"))
-        tagged = materialise(region.join(sizes, "region").where("members > 1"))
-        small = tagged.where(F.col("members") <= local).select("region", "sign").join(sets, "sign")
+    for i in range(len(sign)):
+        n = len(sets[i])
+        fit = (joined_to != group[i]) & (~rest | (other > sign[i])) & (100 * np.minimum(size, n) >= percent * np.maximum(size, n))
+        at = np.flatnonzero(fit)
+        at = at[np.abs(those[at] - held[i]).sum(axis=1) * (100 + percent) <= (100 - percent) * (size[at] + n)]
+        for j in at.tolist():
+            if joined_to[j] == group[i]:
+                continue
+            common = overlap(sets[i], theirs[j])
+            if 100 * common >= percent * (n + len(theirs[j]) - common):
+                links.append((int(sign[i]), int(other[j])))
+                old = joined_to[j]
+                joined_to[joined_to == old] = group[i]
+                group[group == old] = group[i]
+    return links
 
-        def finish(t: pa.Table) -> pa.Table:
-            found = cell_links(t["sign"].to_pylist(), [np.frombuffer(b, np.uint64) for b in t["shingles"].to_pylist()], percent)
-            return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-        links.append(small.groupBy("region").applyInArrow(finish, "a bigint, b bigint").distinct())
-        large = tagged.where(F.col("members") > local).select("region", "pivot", "sign")
-        if large.isEmpty():
-            break
+def histograms(sets: list[np.ndarray]) -> np.ndarray:
+    return np.stack([np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256) for s in sets])
 
-        def measure(batches):
-            for batch in batches:
-                common, size = [], []
-                for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    c = overlap(x, y)
-                    common.append(c)
-                    size.append(len(x) + len(y) - c)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(common, pa.int64()), pa.array(size, pa.int64())], names=["region", "pivot", "sign", "common", "total"])
-
-        own = large.where("pivot <> sign").join(sets, "sign")
-        centre = sets.select(F.col("sign").alias("pivot"), F.col("shingles").alias("centre"))
-        measured = own.join(centre, "pivot").select("region", "pivot", "sign", "shingles", "centre").mapInArrow(measure, "region bigint, pivot bigint, sign bigint, common bigint, total bigint")
-        near = F.col("common") * 100 >= F.col("total") * percent
-        measured = materialise(measured.withColumns({"near": near, "d": 1 - F.col("common") / F.col("total")}))
-        links.append(measured.where("near").select(F.col("pivot").alias("a"), F.col("sign").alias("b")))
-        outside = measured.where("not near").groupBy("region").agg(F.min("d").alias("first"), F.min("sign").alias("next"))
-        # the rest and the boundary of the cell; regions with nothing outside are done
-        region = (
-            measured.join(outside, "region").where((~F.col("near")) | (F.col("d") >= F.col("first") - radius - 1e-9))
-            .select("region", F.col("next").alias("pivot"), "sign")
-        )
-    out = links[0]
-    for x in links[1:]:
-        out = out.unionByName(x)
-    return out
+
+def join_regions(members: DataFrame, sets: DataFrame, percent: int, local: int = LOCAL, centres: int = CENTRES) -> DataFrame:
+    """a, b: links that connect all linked nodes. `members` has pivot and sign, `sets` sign and shingles.
+
+    A large region takes a fixed number of Spark steps, whatever its size: its
+    members in slices, then the blocks of its rest against slices of the others.
+    """
+    radius, margin = 1 - percent / 100, 1e-9
+    region = members.select(F.col("pivot").alias("region"), "sign")
+    sizes = region.groupBy("region").agg(F.count("*").alias("members"))
+    tagged = materialise(region.join(sizes, "region").where("members > 1"))
+    link = "a bigint, b bigint"
+    pairs = lambda found: pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    def finish(t: pa.Table) -> pa.Table:
+        return pairs(cell_links(t["sign"].to_pylist(), [np.frombuffer(b, np.uint64) for b in t["shingles"].to_pylist()], percent))
+
+    small = tagged.where(F.col("members") <= local).select("region", "sign").join(sets, "sign")
+    links = small.groupBy("region").applyInArrow(finish, link).distinct()
+    large = tagged.where(F.col("members") > local)
+    if large.isEmpty():
+        return links
+
+    # distances of all members to the region's pivots
+    slices = F.ceil(F.col("members") / local).cast("int")
+    own = large.withColumn("slice", F.pmod(F.xxhash64("sign"), slices).cast("int")).join(sets, "sign").select("region", "members", "slice", "sign", "shingles")
+    chosen = large.withColumn("k", F.row_number().over(W.partitionBy("region").orderBy("sign"))).where(F.col("k") <= centres)
+    pivots = chosen.withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1))).join(sets, "sign").select("region", "slice", "k", "sign", "shingles")
+
+    def measure(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.rename_columns(["region", "slice", "k", "sign", "shingles"]).sort_by("k")
+        centre, names = [np.frombuffer(b, np.uint64) for b in right["shingles"].to_pylist()], right["sign"].to_pylist()
+        near, d = [], []
+        for b in left["shingles"].to_pylist():
+            x = np.frombuffer(b, np.uint64)
+            common = np.array([overlap(x, c) for c in centre])
+            union = len(x) + np.array([len(c) for c in centre]) - common
+            near.append([names[k] for k in np.flatnonzero(100 * common >= percent * union)])
+            d.append((1 - common / union).tolist())
+        return pa.Table.from_arrays([*(left[c] for c in ("region", "members", "sign")), pa.array(near, pa.list_(pa.int64())), pa.array(d, pa.list_(pa.float64()))], names=["region", "members", "sign", "near", "d"])
+
+    # other names on the right: both sides stem from the same rows
+    pivots = pivots.toDF(*[f"{c}_2" for c in pivots.columns])
+    measured = own.groupBy("region", "slice").cogroup(pivots.groupBy("region_2", "slice_2")).applyInArrow(measure, "region bigint, members bigint, sign bigint, near array<bigint>, d array<double>")
+    measured = materialise(measured.withColumn("head", F.get("near", F.lit(0))))
+    inside = measured.where("head is not null")
+    tallies = inside.select("region", "head", F.explode("near").alias("other")).groupBy("region", "head", "other").agg(F.count("*").alias("n"))
+    tallies = materialise(tallies.withColumn("n", F.when(F.col("head") == F.col("other"), F.col("n")).otherwise(0)))
+    links = links.unionByName(inside.select(F.col("head").alias("a"), F.col("sign").alias("b"))).unionByName(tallies.select(F.col("head").alias("a"), F.col("other").alias("b")))
+
+    # members of the main cells are connected; all others are the rest
+    main = tallies.groupBy("region").applyInArrow(cells_of, "region bigint, head bigint, inner bigint")
+    home = (F.array_position("d", F.array_min("d")) - 1).cast("int")
+    placed = measured.join(main, ["region", "head"], "left").select("region", "members", "sign", "d", F.col("inner").isNull().alias("rest"), F.coalesce("inner", "head").alias("cell"), home.alias("home"))
+    placed = materialise(placed)
+    rest = placed.where("rest")
+    least = F.array_min("d")
+    homes = rest.groupBy("region", "home").agg(F.min(least).alias("low"), F.max(least).alias("high"), F.count("*").alias("n"))
+    blocks = homes.groupBy("region").applyInArrow(lambda t: blocks_of(t, local), "region bigint, home int, low double, high double, n bigint, block int, subs bigint")
+    blocks = materialise(blocks)
+    if blocks.isEmpty():
+        return links
+    wide = F.ceil(F.col("members") / (8 * local)).cast("int")
+    sub = F.pmod(F.xxhash64("sign"), F.col("subs"))
+    left = (
+        rest.join(blocks.select("region", "home", "block", "subs"), ["region", "home"]).select("region", "block", sub.alias("sub"), F.explode(F.sequence(F.lit(0), wide - 1)).alias("slice"), "sign", "cell")
+        .join(sets, "sign")
+    )
+    # the windows: who can link to a member of the rest whose home is s.home
+    at = lambda s: F.get("d", s["home"])
+    window = lambda s: (at(s) >= s["low"] - radius - margin) & (at(s) <= s["high"] + radius + margin) & (at(s) <= least + 2 * radius + margin)
+    every = blocks.groupBy("region").agg(F.collect_list(F.struct("home", "low", "high", "block", "subs")).alias("homes"))
+    met = F.array_distinct(F.transform(F.filter("homes", window), lambda s: F.struct(s["block"].alias("block"), s["subs"].alias("subs"))))
+    right = placed.join(every, "region").select("region", "sign", "cell", "rest", F.pmod(F.xxhash64(F.lit(7), "sign"), wide).cast("int").alias("slice"), F.explode(met).alias("b"))
+    right = right.select("region", "b.block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("b.subs") - 1)).alias("sub"), "slice", "sign", "cell", "rest").join(sets, "sign")
+    keys, names = ("region", "block", "sub", "slice"), ["sign", "region", "block", "sub", "slice", "cell", "rest", "shingles"]
+    right = right.select(names).toDF(*[f"{c}_2" for c in names])
+    met = left.groupBy(*keys).cogroup(right.groupBy(*[f"{c}_2" for c in keys]))
+    return links.unionByName(met.applyInArrow(lambda x, y: pairs(block_links(x, y.rename_columns(names), percent)), link))
 
 
 def components(edges: DataFrame, first: DataFrame) -> DataFrame:
@@ -287,7 +396,7 @@ def components(edges: DataFrame, first: DataFrame) -> DataFrame:
             return labels
 
 
-def jaccard_components(docs: DataFrame, *, width: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", local: int = LOCAL, part_bytes: int = PART_BYTES) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, width: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", local: int = LOCAL, centres: int = CENTRES, part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
     Documents link when 100 * intersection >= percent * union of their shingle
@@ -323,7 +432,7 @@ def jaccard_components(docs: DataFrame, *, width: int = SHINGLE, percent: int =
     histograms = of_nodes(members, "histogram", lambda s: np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256).astype(np.uint32))
     members = materialise(pruned(members, histograms, percent, local))
     sets = of_nodes(members, "shingles", lambda s: s)
-    links = materialise(join_regions(members, sets, percent, local))
+    links = materialise(join_regions(members, sets, percent, local, centres))
     labels = components(links, least.select("sign", "label"))
     best = least.select("sign", "label").join(labels.withColumnRenamed("label", "linked"), "sign", "left").select("sign", F.coalesce("linked", "label").alias("component_id"))
     out = every.join(best, "sign", "left")
