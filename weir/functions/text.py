@@ -111,3 +111,14 @@ def form_values(body: Column) -> Column:
         return F.when(F.size(keys) > 1, F.transform(keys, lambda k: F.element_at(F.filter(f, lambda x: x["k"] == k), -1)["v"]))
 
     return F.when(F.instr(body, "=") > 0, let(fields(body), last))
+
+
+def subnet(ip: Column) -> Column:
+    """The /24 of an IPv4 address; other text as it is."""
+    return F.when(ip.rlike(r"^\d+\.\d+\.\d+\.\d+$"), F.concat(F.substring_index(ip, ".", 3), F.lit(".0/24"))).otherwise(ip)
+
+
+def next_version(name: Column) -> Column:
+    """The name with its last number one higher; null without a number at the end."""
+    digits = F.regexp_extract(name, r"(\d+)$", 1)
+    return F.when(digits != "", F.concat(F.regexp_replace(name, r"\d+$", ""), (digits.cast("bigint") + 1).cast("string")))

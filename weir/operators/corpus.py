@@ -176,3 +176,21 @@ def backfill_union(first: DataFrame, second: DataFrame) -> DataFrame:
     out = first.unionByName(second, allowMissingColumns=True)
     lacking = [c for c, t in out.dtypes if (c not in first.columns or c not in second.columns) and t in ("int", "bigint", "double", "float")]
     return out.fillna(0, lacking)
+
+
+def sample_per_class(df: DataFrame, label: str, n: int, id_col: str, seed: int = SEED) -> DataFrame:
+    """At most `n` rows of each class, the first of a seeded md5 order; Spark limits each task's rows before the shuffle."""
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+    place = F.row_number().over(W.partitionBy(label).orderBy(key, id_col))
+    return df.withColumn("_at", place).where(F.col("_at") <= n).drop("_at")
+
+
+#: Fixed value: sources with fewer rows are not held out.
+MIN_SOURCE_ROWS = 30
+
+
+def held_out_sources(df: DataFrame, source: str, label: str, benign: str = "benign") -> DataFrame:
+    """One fold per source of enough rows: rows held out, rows to train on, and the held-out share of benign ones."""
+    n = df.groupBy(source).agg(F.count("*").alias("held_out"), F.count_if(F.col(label) == benign).alias("_b"))
+    folds = n.select(source, "held_out", (F.sum("held_out").over(W.partitionBy()) - F.col("held_out")).alias("train"), (F.col("_b") / F.col("held_out")).alias("benign_share"))
+    return folds.where(F.col("held_out") >= MIN_SOURCE_ROWS)

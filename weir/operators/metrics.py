@@ -101,3 +101,27 @@ def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns less their mean over their population deviation; 0 where that is 0."""
     s = df.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     return df.withColumns({c: (F.col(c) - s[f"m_{c}"]) / (s[f"s_{c}"] or 1.0) for c in columns if s[f"m_{c}"] is not None})
+
+
+def correlations(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: Pearson's and Spearman's correlation of two columns of a small table; equal values share their mean rank."""
+    rank = lambda c: F.rank().over(W.orderBy(c)) + (F.count("*").over(W.partitionBy(c)) - 1) / 2
+    d = df.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL").withColumns({"ra": rank("a"), "rb": rank("b")})
+    return d.agg(F.corr("a", "b").alias("pearson"), F.corr("ra", "rb").alias("spearman"))
+
+
+def quantile_sweep(df: DataFrame, *, truth: str = "y", score: str = "score", points: int = 300) -> DataFrame:
+    """Recall and false positive rate of `score > t` at evenly spaced quantiles of the scores.
+
+    One pass finds the quantiles, a second counts rows by the last threshold below them.
+    """
+    cuts = df.agg(F.percentile(score, F.array(*[F.lit(i / (points - 1)) for i in range(points)]))).first()[0]
+    spark = df.sparkSession
+    if cuts is None:
+        return spark.createDataFrame([], "point int, threshold double, recall double, fp_rate double")
+    above = F.aggregate(F.array(*[F.lit(float(c)) for c in cuts]), F.lit(0), lambda n, c: n + (F.col(score) > c).cast("int"))
+    hist = df.groupBy(above.alias("above")).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg"))
+    rows = spark.createDataFrame([(i, float(c)) for i, c in enumerate(cuts)], "point int, threshold double")
+    total = hist.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    won = rows.join(F.broadcast(hist), F.col("above") > F.col("point"), "left").groupBy("point", "threshold").agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("pos"), F.coalesce(F.sum("neg"), F.lit(0)).alias("neg"))
+    return won.join(F.broadcast(total), F.lit(True)).select("point", "threshold", ratio(F.col("pos"), F.col("all_pos")).alias("recall"), ratio(F.col("neg"), F.col("all_neg")).alias("fp_rate"))

@@ -129,3 +129,14 @@ def grow(x: np.ndarray, depth: int, rng) -> tuple[list, list, list, list, list]:
         if left.all() or not left.any():
             feature[i], path[i] = -1, level + average_path(len(rows))
     return feature, cut, low, high, path
+
+
+#: Fixed value: features of less importance are candidates for removal.
+MIN_IMPORTANCE = 0.001
+
+
+def importances(model, names: list[str], spark) -> DataFrame:
+    """name, importance and prune of each feature of a trained tree or forest pipeline."""
+    values = model.stages[-1].featureImportances.toArray().tolist()
+    rows = spark.createDataFrame(list(zip(names, values, strict=True)), "name string, importance double")
+    return rows.withColumn("prune", F.col("importance") < MIN_IMPORTANCE)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: The classes in the order of a model's probabilities, and the two thresholds.
@@ -54,3 +55,11 @@ def compare_canary(events: DataFrame, canary: DataFrame, on: str = "event_id") -
         ((F.col("verdict") == "block") == (F.col("c.verdict") == "block")).alias("verdict_match"), (F.col("c.predicted_class") == F.col("predicted_class")).alias("class_match"),
         F.abs(F.col("c.confidence") - F.col("confidence")).alias("confidence_delta"),
     )
+
+
+def numbered(df: DataFrame, *order, name: str = "request_id") -> DataFrame:
+    """The rows with their place in the order, from 1; places come from the totals of ranges."""
+    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    before = ranged.groupBy("_part").agg(F.count("*").alias("_m")).select("_part", (F.sum("_m").over(W.orderBy("_part")) - F.col("_m")).alias("_before"))
+    place = F.row_number().over(W.partitionBy("_part").orderBy(*order)) + F.col("_before")
+    return ranged.join(F.broadcast(before), "_part").withColumn(name, place).drop("_part", "_before")

@@ -180,3 +180,25 @@ def canary_agreement(comparisons: DataFrame) -> DataFrame:
 def tumbling_attacks(events: DataFrame, width: str = "1 hour") -> DataFrame:
     """Extension: attacks by class and tumbling window; works on streams as well."""
     return attacks(events).groupBy(F.window(F.timestamp_millis("timestamp"), width).alias("w"), "predicted_class").agg(F.count("*").alias("count")).select(F.unix_millis("w.start").alias("start"), "predicted_class", "count")
+
+
+def telemetry_health(events: DataFrame) -> DataFrame:
+    """One row: events, distinct sources, and whether there are any events."""
+    return events.agg(F.count("*").alias("events"), F.countDistinct("source_id").alias("sources"), (F.count("*") > 0).alias("healthy"))
+
+
+#: Fixed value: the share of equal verdicts that a candidate model must reach.
+MIN_AGREEMENT = 0.995
+
+
+def replay_gate(fixture: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row on a replayed fixture: `fixture` has request_id and expected, `rows` request_id, was and now (blocked before, now).
+
+    A regression is an attack that was blocked and no longer is. Fixture
+    requests without a row are not covered and count for neither side.
+    """
+    d = fixture.join(rows, "request_id", "left")
+    lost = F.count_if((F.col("expected") != "benign") & F.col("was") & ~F.col("now"))
+    covered, agreed = F.count("was"), F.count_if(F.col("was") == F.col("now"))
+    rate = F.when(covered > 0, agreed / covered)
+    return d.agg(F.count("*").alias("total"), covered.alias("covered"), lost.alias("regressions"), agreed.alias("agreed"), rate.alias("rate"), ((lost == 0) & (F.coalesce(rate, F.lit(0.0)) >= MIN_AGREEMENT)).alias("passed"))

@@ -8,24 +8,13 @@ from pyspark.sql import functions as F
 from weir.functions import features, text
 from weir.functions import patterns as P
 from weir.operators import cluster, corpus, metrics, models, policy, reports, temporal, validate
+from weir.plans import lifecycle, parsing  # noqa: F401  they register their queries
 from weir.plans import views as V
-
-QUERIES: dict = {}
-ORACLE: dict = {}
+from weir.plans.registry import ORACLE, QUERIES, query
 
 DAY_MS = 86_400_000
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return register
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of every request and the rule of thumb that decides on them."""
     return request_decisions(spark, sf_dir)
