@@ -166,8 +166,8 @@ def groups(rows, width, percent):
     return sorted(((i, len(s), least.get(find(k), i)) for k, (i, s) in enumerate(sets)), key=str)
 
 
-@pytest.mark.parametrize(("percent", "local"), [(85, 256), (60, 2), (40, 3)])
-def test_jaccard_equals_brute_force(spark, percent, local):
+@pytest.mark.parametrize(("percent", "local", "hot"), [(85, 256, None), (60, 2, 3), (40, 3, 0)])
+def test_jaccard_equals_brute_force(spark, percent, local, hot):
     random.seed(percent)
     vocabulary = [f"w{i}" for i in range(60)]
     rows = []
@@ -176,7 +176,7 @@ def test_jaccard_equals_brute_force(spark, percent, local):
         for _ in range(random.choice([1, 1, 3])):
             v = [x if random.random() > 0.02 else random.choice(vocabulary) for x in w]
             rows.append((len(rows), " ".join(v).upper() if i % 2 else "  ".join(v)))
-    out = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=percent, local=local, centres=local).collect()
+    out = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=percent, local=local, centres=local, hot=hot).collect()
     assert sorted(map(tuple, out), key=str) == groups(rows, 3, percent)
 
 
@@ -447,6 +447,17 @@ def test_words_are_split_at_ascii_space_only(spark):
     assert spark.createDataFrame([(t,)], "t string").select(quality.words_of(F.col("t"))).first()[0] == [w.decode() for w in words(t)]
 
 
+def test_nothing_is_dealt_to_nobody():
+    none = np.zeros(0, np.int64)
+    assert common.dealt(none.astype(np.int32), none, runs=none, names=("part", "x", "heads", "lengths")).num_rows == 0
+
+
+def test_unique_texts_lose_nothing(spark):
+    d = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(60))) for i in range(4)], "doc_id long, text string")
+    assert all(r.n_removed == 0 for r in substring.remove_repeats(d).collect())
+    assert all(r.n_removed == 0 for r in suffix.remove_repeated_bytes(d).collect())
+
+
 def test_buckets_agree(spark):
     ids = [0, 1, -5, 2**40 + 3, 2**62, -(2**63)]
     got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "i long").select(common.id_bucket_column(F.col("i"), 17)).collect()]

@@ -109,7 +109,7 @@ def dealt(part: np.ndarray, *columns: np.ndarray, runs: np.ndarray | None = None
     order = np.argsort(part, kind="stable")
     part = part[order]
     cut = np.flatnonzero(np.diff(part, prepend=part[0] - 1 if len(part) else 0))
-    ends = np.append(cut[1:], len(part))
+    ends = np.append(cut[1:], len(part))[: len(cut)]
     columns = [c[order] for c in columns]
     out = [pa.array(part[cut].astype(np.int32))]
     out += [pa.array([c[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()) for c in columns]
@@ -119,7 +119,7 @@ def dealt(part: np.ndarray, *columns: np.ndarray, runs: np.ndarray | None = None
         if len(runs) and (not len(new) or new[0]):
             new = np.append(0, new)
         lengths = np.diff(np.append(new, len(runs))).astype(np.uint32)
-        at = np.searchsorted(new, np.append(cut, len(runs)))
+        at = np.searchsorted(new, np.append(cut, len(runs))[: len(cut) + 1])
         heads = runs[new]
         out += [pa.array([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()) for x in (heads, lengths)]
     return pa.RecordBatch.from_arrays(out, names=list(names))

@@ -48,6 +48,8 @@ CELLS = 1 << 20
 SLICES = 16
 #: A region of at most so many members is joined within one task.
 LOCAL = 256
+#: A shingle whose counter exceeds this, and so many times the mean, is a region of its own and not dealt.
+HOT, HOT_MEANS = 1 << 16, 16
 #: Pivots of a larger region.
 CENTRES = 32
 PART_BYTES = 32 << 20
@@ -133,12 +135,26 @@ def rarity(counted: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def regions(docs: DataFrame, counts, width: int, percent: int, parts: int) -> DataFrame:
-    """pivot, sign: the members of each pivot's region; step 1."""
+def regions(docs: DataFrame, counts, width: int, percent: int, parts: int, hot: int) -> DataFrame:
+    """pivot, sign: the members of each pivot's region; step 1.
+
+    The members of a hot shingle's region are rows from the start, named by the
+    shingle, and so never meet in one group.
+    """
 
     def flush(s, sign, size):
         s, sign, size = np.concatenate(s), np.concatenate(sign), np.concatenate(size)
-        return dealt(((s >> np.uint64(12)) % np.uint64(parts)).astype(np.int32), s, sign, size, names=("part", "shingles", "signs", "sizes"))
+        apart = counts.value[cell(s)] > hot
+        if apart.any():
+            n = int(apart.sum())
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * 3, pa.array(s[apart].view(np.int64)), pa.array(sign[apart])], names=names)
+            s, sign, size = s[~apart], sign[~apart], size[~apart]
+        if not len(s):
+            return
+        b = dealt(((s >> np.uint64(12)) % np.uint64(parts)).astype(np.int32), s, sign, size, names=names[:4])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.int64()), pa.nulls(b.num_rows, pa.int64())], names=names)
+
+    names = ["part", "shingles", "signs", "sizes", "pivot", "sign"]
 
     def entries(batches):
         table = counts.value
@@ -159,7 +175,7 @@ def regions(docs: DataFrame, counts, width: int, percent: int, parts: int) -> Da
                     sign.append(np.full(len(x), g, np.int64))
                     size.append(np.full(len(x), n, np.uint32))
             if s:
-                yield flush(s, sign, size)
+                yield from flush(s, sign, size)
 
     def group(t: pa.Table) -> pa.Table:
         s, sign, size = joined(t["shingles"], np.uint64), joined(t["signs"], np.int64), joined(t["sizes"], np.uint32)
@@ -175,8 +191,12 @@ def regions(docs: DataFrame, counts, width: int, percent: int, parts: int) -> Da
         pairs = np.unique(np.stack([pivot[some], sign[some]], axis=1), axis=0)
         return pa.table({"pivot": pairs[:, 0].copy(), "sign": pairs[:, 1].copy()})
 
-    dealt_out = docs.select("text").mapInArrow(entries, "part int, shingles binary, signs binary, sizes binary")
-    return dealt_out.groupBy("part").applyInArrow(group, "pivot bigint, sign bigint").distinct()
+    out = docs.select("text").mapInArrow(entries, "part int, shingles binary, signs binary, sizes binary, pivot bigint, sign bigint")
+    if not (counts.value > hot).any():
+        return out.drop("pivot", "sign").groupBy("part").applyInArrow(group, "pivot bigint, sign bigint").distinct()
+    out = materialise(out)
+    met = out.where("part is not null").drop("pivot", "sign").groupBy("part").applyInArrow(group, "pivot bigint, sign bigint")
+    return met.unionByName(out.where("part is null").select("pivot", "sign")).distinct()
 
 
 def possible(histograms: np.ndarray, percent: int) -> np.ndarray:
@@ -396,7 +416,7 @@ def components(edges: DataFrame, first: DataFrame) -> DataFrame:
             return labels
 
 
-def jaccard_components(docs: DataFrame, *, width: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", local: int = LOCAL, centres: int = CENTRES, part_bytes: int = PART_BYTES) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, width: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", local: int = LOCAL, centres: int = CENTRES, part_bytes: int = PART_BYTES, hot: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
     Documents link when 100 * intersection >= percent * union of their shingle
@@ -409,9 +429,11 @@ def jaccard_components(docs: DataFrame, *, width: int = SHINGLE, percent: int =
     d = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     counted = materialise(nodes(d, width))
     every = counted.where("slice is null").select("id", "sign", "n")
-    counts = spark.sparkContext.broadcast(rarity(counted))
+    table_of_counts = rarity(counted)
+    hot = max(HOT, int(HOT_MEANS * table_of_counts.mean())) if hot is None else hot
+    counts = spark.sparkContext.broadcast(table_of_counts)
     parts = max(16, text_bytes(d) // part_bytes)
-    members = materialise(regions(d, counts, width, percent, parts))
+    members = materialise(regions(d, counts, width, percent, parts, hot))
     least = every.where("sign is not null").groupBy("sign").agg(F.min("id").alias("label"))
 
     def of_nodes(some: DataFrame, kind: str, make) -> DataFrame:

@@ -8,8 +8,10 @@ windows merge into maximal intervals of words.
 
 Entries cross the shuffles as packed arrays, eight bytes a window. Parts and
 buckets follow the bytes of the input, so the memory of a task does not grow
-with it; a window found in very many documents is one hash among a million in
-its part. Two windows are taken for equal if 64 bits and their part agree.
+with it. Copies within a task's chunk of texts are recognised there, and only the
+first is sent to be counted, so that a window found in a third of all documents
+comes to its part once a chunk and not once a document. Two windows are taken for
+equal if 64 bits and their part agree.
 """
 
 from __future__ import annotations
@@ -59,11 +61,21 @@ def repeated(docs: DataFrame, *, width: int, parts: int, buckets: int) -> DataFr
                 hashes, doc, inside, _ = document_windows(data, offsets, width)
                 if len(inside):
                     part = (rolling(hashes, width, _OTHER)[inside] % np.uint64(parts)).astype(np.int32)
-                    yield dealt(part, rolling(hashes, width, _ROLL)[inside], runs=ids[first + doc[inside]].astype(np.int64), names=("part", "hashes", "ids", "lengths"))
+                    h, own = rolling(hashes, width, _ROLL)[inside], ids[first + doc[inside]].astype(np.int64)
+                    # what has a smaller document here needs no counting: it is spread by its own document
+                    order = np.lexsort((own, h))
+                    head = np.append(True, h[order][1:] != h[order][:-1])
+                    least = np.empty(len(h), np.int64)
+                    least[order] = own[order][np.flatnonzero(head)[np.cumsum(head) - 1]]
+                    known = own != least
+                    part[known] = parts + id_bucket(own[known], parts)
+                    yield dealt(part, h, runs=own, names=("part", "hashes", "ids", "lengths"))
 
     def count(group: pa.Table) -> pa.Table:
         hashes = joined(group["hashes"], np.uint64)
         ids = np.repeat(joined(group["ids"], np.int64), joined(group["lengths"], np.uint32))
+        if group["part"][0].as_py() >= parts:
+            return pa.Table.from_batches([dealt(id_bucket(ids, buckets), hashes, ids, names=("bucket", "hashes", "ids"))])
         order = np.argsort(hashes)
         hashes, ids = hashes[order], ids[order]
         cut = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
