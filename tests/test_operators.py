@@ -128,7 +128,7 @@ def test_metrics_edges(spark):
     none = spark.createDataFrame([], "y int, p int, score double")
     assert metrics.class_report(none).count() == 0 and metrics.threshold_sweep(none).count() == 0
     one = spark.createDataFrame([(1, 0, 0.2), (0, 0, 0.2)], "y int, p int, score double")
-    assert {(r.label, r.f1) for r in metrics.class_report(one).collect()} == {(0, pytest.approx(2 / 3)), (1, 0.0)}
+    assert {r.label: r.f1 for r in metrics.class_report(one).collect()} == {0: pytest.approx(2 / 3), 1: 0.0}
     assert metrics.auc(one).first().auc == 0.5
 
 

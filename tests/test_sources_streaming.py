@@ -11,7 +11,7 @@ AUDIT = """--a1b2-A--
 [01/Jan/2024:00:00:00 +0000] id 1.2.3.4
 --a1b2-B--
 GET /x?id=1 HTTP/1.1
-Host: h
+Host: h:80
 User-Agent: sqlmap/1.0
 
 --a1b2-F--
@@ -62,7 +62,10 @@ def test_audit_log(spark, tmp_path):
     (tmp_path / "audit.log").write_text(AUDIT)
     rows = readers.read_audit(spark, str(tmp_path / "audit.log")).orderBy("id").collect()
     assert [(r.id, r.method, r.path, r.query, r.body, r.label, r.status_code) for r in rows] == [("a1b2", "GET", "/x", "id=1", "", "sqli", 403), ("c3d4", "POST", "/form", "", "a=1", "benign", 0)]
-    assert rows[0].user_agent == "sqlmap/1.0"
+    assert (rows[0].user_agent, rows[0].content_type, rows[0].extra_headers) == ("sqlmap/1.0", "", {"host": "h:80"})
+    (tmp_path / "two.log").write_text(AUDIT.replace("POST /form HTTP/1.1\n", "POST /form HTTP/1.1\nA: b:c\n\nx=1: 2\ny=3"))
+    two = readers.read_audit(spark, str(tmp_path / "two.log")).where("id = 'c3d4'").first()
+    assert (two.body, two.extra_headers) == ("x=1: 2\ny=3", {"a": "b:c"})
     h = readers.audit_blocks(spark, str(tmp_path / "audit.log")).select(readers.tags_of(F.col("sections")["H"]), readers.tags_of(F.col("sections")["H"], "id")).first()
     assert (h[0], h[1]) == (["attack-sqli"], ["942100"])
 

@@ -79,17 +79,20 @@ def read_multilabel_csv(spark: SparkSession, path: str, flags: dict[str, list[st
 
 def read_json_strings(spark: SparkSession, path: str, label: str, source: str) -> DataFrame:
     """A file that is one JSON array of payloads."""
-    d = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", "array<string>")).alias("q"))
+    d = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("q"))
     return d.where(F.length("q") > 0).select(*as_query(F.col("q"), F.lit(label), source))
 
 
 def audit_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """ModSecurity audit log: one row per transaction, `sections` maps section letters to their text."""
-    text = spark.read.option("wholetext", True).text(path)
+    """ModSecurity audit log: one row per transaction, `sections` maps section letters to their text.
+
+    Records end with a Z boundary, so that large files are read in splits.
+    """
+    text = spark.read.text(path, lineSep="-Z--\n").withColumn("value", F.regexp_replace("value", r"\n--[0-9a-fA-F]+$", ""))
     # a transaction starts at its A boundary
     block = text.select(F.explode(F.split("value", r"(?m)^(?=--[0-9a-fA-F]+-A--\s*$)")).alias("b")).where("b rlike '^--[0-9a-fA-F]+-A--'")
     parts = F.filter(F.split("b", r"(?m)^(?=--[0-9a-fA-F]+-[A-Z]--\s*$)"), lambda x: x.rlike("^--[0-9a-fA-F]+-[A-Z]--"))
-    entry = lambda x: F.struct(F.regexp_extract(x, r"^--[0-9a-fA-F]+-([A-Z])--", 1).alias("k"), F.trim(F.regexp_replace(x, r"^--[0-9a-fA-F]+-[A-Z]--[^\n]*\n?", "")).alias("v"))
+    entry = lambda x: F.struct(F.regexp_extract(x, r"^--[0-9a-fA-F]+-([A-Z])--", 1).alias("k"), F.btrim(F.regexp_replace(x, r"^--[0-9a-fA-F]+-[A-Z]--[^\n]*\n?", ""), F.lit(" \t\r\n")).alias("v"))
     pairs = F.transform(parts, entry)
     keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
     last = F.transform(keys, lambda k: F.struct(k, F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]))
@@ -124,18 +127,28 @@ def headers_of(text: Column) -> Column:
     return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"])))
 
 
+#: Headers that have a column of their own.
+OWN_HEADERS = {"user-agent": "user_agent", "content-type": "content_type", "referer": "referer", "cookie": "cookie"}
+
+
 def read_audit(spark: SparkSession, path: str, source: str = "audit") -> DataFrame:
-    """Requests of an audit log with labels from their messages; unclear ones are dropped."""
+    """Requests of an audit log with labels from their messages; unclear ones are dropped.
+
+    The body is what follows a blank line in section B, else section C.
+    """
     s = lambda k: F.coalesce(F.try_element_at("sections", F.lit(k)), F.lit(""))
     line = F.regexp_extract(s("B"), r"^(\S+ \S+)", 1)
     url = split_url(F.substring_index(line, " ", -1))
-    headers = headers_of(s("B"))
+    head, rest = F.regexp_extract(s("B"), r"^[^\n]*\n((?:[^\r\n]+\r?(?:\n|$))*)", 1), F.regexp_extract(s("B"), r"(?s)\r?\n\r?\n(.*)$", 1)
+    headers = headers_of(head)
     status = F.regexp_extract(s("F"), r"^HTTP/\S+\s+(\d{3})", 1)
+    own = [F.coalesce(F.try_element_at("_headers", F.lit(h)), F.lit("")).alias(c) for h, c in OWN_HEADERS.items()]
     out = audit_blocks(spark, path).select(
-        "id", F.substring_index(line, " ", 1).alias("method"), url["path"].alias("path"), url["query"].alias("query"), s("C").alias("body"), headers.alias("extra_headers"),
-        F.coalesce(F.try_element_at(headers, F.lit("user-agent")), F.lit("")).alias("user_agent"), F.when(status != "", status.cast("int")).otherwise(0).alias("status_code"), message_label(s("H")).alias("label"), F.lit(source).alias("_source"),
+        "id", F.substring_index(line, " ", 1).alias("method"), url["path"].alias("path"), url["query"].alias("query"), F.when(F.length(rest) > 0, rest).otherwise(s("C")).alias("body"), headers.alias("_headers"),
+        F.when(status != "", status.cast("int")).otherwise(0).alias("status_code"), message_label(s("H")).alias("label"), F.lit(source).alias("_source"),
     )
-    return out.where(F.col("label").isNotNull() & (F.col("method") != ""))
+    out = out.where(F.col("label").isNotNull() & (F.col("method") != ""))
+    return out.select("id", "method", "path", "query", "body", F.map_filter("_headers", lambda k, _: ~k.isin(*OWN_HEADERS)).alias("extra_headers"), *own, "status_code", "label", "_source")
 
 
 #: Fixed value: the common log format.
