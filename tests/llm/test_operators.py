@@ -139,6 +139,43 @@ def test_quality_edges(spark, edges, none):
     assert quality.quality(none, trusted).count() == 0 and quality.quality(edges, trusted.limit(0)).count() == len(EDGES)
 
 
+def test_quality_rejects_the_same_junk_in_a_larger_corpus(spark, monkeypatch):
+    rng = random.Random(3)
+    # good texts follow sentences that recur, junk strings a few of their words at random
+    lines = [" ".join(f"w{rng.randrange(300)}" for _ in range(12)) for _ in range(40)]
+    good = [(i, " ".join(rng.sample(lines, 8))) for i in range(200)]
+    junk = [(1000 + i, " ".join(f"w{rng.randrange(40)}" for _ in range(96))) for i in range(60)]
+    other = [(2000 + i, " ".join(f"x{rng.randrange(100_000)}" for _ in range(2000))) for i in range(100)]
+    # the other text is trusted as often as the first
+    trusted = spark.createDataFrame([(i,) for i, _ in good + [x for x in other if x[0] % 4]], "doc_id long")
+    monkeypatch.setattr(quality.counters, "__kwdefaults__", quality.counters.__kwdefaults__ | {"least": 1 << 8})
+    out = []
+    for rows in (good + junk, good + junk + other):
+        d = spark.createDataFrame(rows, "doc_id long, text string")
+        out.append({r.doc_id for r in quality.quality(d, trusted).where("doc_id < 2000 and not kept").collect()})
+    assert out[0] == out[1] == {i for i, _ in junk}
+    assert quality.quality(d, trusted, buckets=1 << 8).where("doc_id < 2000 and not kept").count() < 30
+
+
+def test_quality_counters_follow_the_input(spark, sf):
+    d = docs(spark, sf)
+    assert quality.counters(d) == quality.BUCKETS
+    distinct = len({g for r in d.collect() for w in [words(r.text)] for g in [*w, *zip(w, w[1:], strict=False)]})
+    n = quality.counters(d, least=1, per_counter=4)
+    assert n & (n - 1) == 0 and 1.8 <= distinct / n <= 4.4
+
+
+def test_quality_by_shuffle_equals_by_array(spark, sf, edges, none, monkeypatch):
+    for d, trusted in ((docs(spark, sf), quality.trusted_ids(spark, sf)), (edges, spark.createDataFrame([(1,)], "doc_id long")), (none, spark.createDataFrame([(1,)], "doc_id long"))):
+        expected = sorted(((r.doc_id, r.kept, r.base_failed, round(r.score, 9)) for r in quality.quality(d, trusted).collect()), key=str)
+        for hot in (1 << 16, 50):
+            with monkeypatch.context() as m:
+                m.setattr(quality, "BROADCAST_COUNTERS", 0)
+                m.setattr(quality, "HOT", hot)
+                got = quality.quality(d, trusted, carry=("text",)).collect()
+            assert sorted(((r.doc_id, r.kept, r.base_failed, round(r.score, 9)) for r in got), key=str) == expected
+
+
 # 4
 
 

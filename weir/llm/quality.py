@@ -1,14 +1,16 @@
 """Quality rules (operator 3), native: hashed n-gram log-likelihood ratio.
 
-Words and word pairs are hashed to `buckets` counters. Two multinomials over
-them are estimated: one from all trusted documents, one from all documents. A
+Words and word pairs are hashed to `buckets` counters, a power of two that
+grows with the number of distinct n-grams, so that a counter is shared by a
+bounded number of them at every size. Two multinomials over them are estimated: one from all trusted documents, one from all documents. A
 document's score is the mean over its n-grams of log(trusted / raw); it is kept
 if base rules pass and the score reaches a fixed threshold, so the verdict on a
 text depends on the tables alone, never on chance or order of rows.
 
-Everything is DataFrame functions. The counts are partial sums per task over
-a fixed number of counters; the weights come back as one array of that fixed
-size, as a scalar subquery, so that scoring neither shuffles nor moves a text.
+Everything is DataFrame functions. The counts are partial sums per task. Up to
+`BROADCAST_COUNTERS` the weights come back as one array, as a scalar subquery, so
+that scoring neither shuffles nor moves a text. Beyond, n-grams meet their
+weights by a shuffle on the counter; the most frequent counters are broadcast.
 
 The base figures work on arrays inside one row. `let` binds an array once for a
 lambda; without it the optimiser may put its whole computation into the lambda
@@ -20,9 +22,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm.common import WORD_RE, table
-
-BUCKETS = 1 << 16
+from weir.llm.common import WORD_RE, materialise, table
+
+#: The least number of counters, and the distinct n-grams from which a counter is one too few.
+BUCKETS, PER_COUNTER = 1 << 16, 32
+#: Up to so many weights are one array (16 MB); more are joined by a shuffle.
+BROADCAST_COUNTERS = 1 << 21
+#: Counters of more n-grams than this, and than this share of all, are broadcast in that join: at most 65,536.
+HOT, HOT_SHARE = 1 << 16, 1 / (1 << 16)
+#: Copies of a text are spread over so many keys of that join.
+SPREAD = 16
+BLOCK = 1024
 #: Pseudo-counts drawn from the raw multinomial: a counter of which the trusted
 #: side expects few n-grams says little.
 SMOOTHING = 5.0
@@ -52,14 +62,28 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(without(text, SPACES[1:], " "), " "), "")
 
 
-def ngrams(words: Column, buckets: int) -> Column:
-    """The counters of all words and word pairs, in order."""
-    n = F.lit(buckets)
-    single = F.transform(words, lambda x: F.pmod(F.xxhash64(x), n).cast("int"))
-    pairs = F.transform(words, lambda x, i: F.when(i > 0, F.pmod(F.xxhash64(F.get(words, i - 1), x), n).cast("int")))
+def ngrams(words: Column, buckets: int | None) -> Column:
+    """The counters of all words and word pairs, in order; their hashes without `buckets`."""
+    of = (lambda h: h) if buckets is None else (lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
+    single = F.transform(words, lambda x: of(F.xxhash64(x)))
+    pairs = F.transform(words, lambda x, i: F.when(i > 0, of(F.xxhash64(F.get(words, i - 1), x))))
     return F.concat(single, F.filter(pairs, lambda x: x.isNotNull()))
 
 
+def counters(docs: DataFrame, *, text_col: str = "text", least: int = BUCKETS, per_counter: int = PER_COUNTER) -> int:
+    """A power of two, `least` or more, with at most about `per_counter` distinct n-grams a counter.
+
+    The distinct n-grams are counted by HyperLogLog over all texts, which does
+    not depend on the order of rows.
+    """
+    grams = let(words_of(F.coalesce(F.col(text_col), F.lit(""))), lambda w: ngrams(w, None))
+    distinct = docs.select(F.explode(grams).alias("g")).agg(F.approx_count_distinct("g")).first()[0]
+    n = least
+    while n * per_counter < distinct:
+        n *= 2
+    return n
+
+
 def repeat_words(words: Column) -> Column:
     """Words that lie in a window of three words found twice or more in the text.
 
@@ -90,7 +114,7 @@ def base_figures(docs: DataFrame, text_col: str = "text") -> list[Column]:
 
 
 def weights(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
-    """One row, one array: log(trusted / raw) of each counter, by its number.
+    """b, raw, weight: log(trusted / raw) of each counter that occurs.
 
     Both counts are compared on the trusted side's scale, where `smoothing`
     n-grams are added in the raw proportion; an unseen counter weighs 0.
@@ -100,19 +124,41 @@ def weights(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text
         ids = F.broadcast(ids)
     d = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(ids, F.col("_doc") == F.col("_id"), "left")
     grams = let(words_of(F.col("_text")), lambda w: ngrams(w, buckets))
-    counted = (
+    counted = materialise(
         d.select(F.col("_id").isNotNull().cast("bigint").alias("t"), F.explode(grams).alias("b"))
         .groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("trusted"))
     )
-    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(counted, "b", "left").fillna(0)
-    rows = F.sort_array(F.collect_list(F.struct("b", "raw", "trusted")))
-    one = every.agg(rows.alias("rows"), F.sum("raw").alias("all_raw"), F.sum("trusted").alias("all_trusted"))
-    expected = lambda r: r["raw"] * F.col("all_trusted") / F.greatest("all_raw", F.lit(1))
-    return one.select(F.transform("rows", lambda r: F.log((r["trusted"] + smoothing) / (expected(r) + smoothing))).alias("weights"))
+    all_raw, all_trusted = counted.agg(F.sum("raw"), F.sum("trusted")).first()
+    expected = F.col("raw") * (all_trusted or 0) / max(all_raw or 0, 1)
+    return counted.select("b", "raw", F.log((F.col("trusted") + smoothing) / (expected + smoothing)).alias("weight"))
+
+
+def as_array(learnt: DataFrame, buckets: int) -> DataFrame:
+    """One row, one array: the weight of each counter by its number, put together from blocks."""
+    every = learnt.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(learnt, "b", "left").fillna(0.0, ["weight"])
+    block = F.sort_array(F.collect_list(F.struct("b", "weight")))
+    blocks = every.groupBy(F.floor(F.col("b") / BLOCK).cast("int").alias("k")).agg(F.transform(block, lambda x: x["weight"]).alias("w"))
+    return blocks.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "w"))), lambda x: x["w"])).alias("weights"))
+
+
+def scores(keyed: DataFrame, learnt: DataFrame, buckets: int) -> DataFrame:
+    """_k, score of texts (_k, _text): the mean weight of the n-grams under a key, by a shuffle on the counter.
+
+    Copies of a text under one key leave its mean as it is. Counters that many
+    n-grams share are broadcast, so none is a hot key of the join.
+    """
+    learnt = materialise(learnt)
+    total = learnt.agg(F.sum("raw")).first()[0] or 0
+    hot = F.col("raw") > max(HOT, int(total * HOT_SHARE))
+    grams = keyed.select("_k", F.explode(let(words_of(F.coalesce("_text", F.lit(""))), lambda w: ngrams(w, buckets))).alias("b"))
+    often, rest = F.broadcast(learnt.where(hot).select("b", "weight")), learnt.where(~hot).select("b", "weight")
+    part = lambda d: d.groupBy("_k").agg(F.sum("weight").alias("s"), F.count("*").alias("n"))
+    both = part(grams.join(often, "b")).unionByName(part(grams.join(often.select("b"), "b", "left_anti").join(rest.hint("merge"), "b")))
+    return both.groupBy("_k").agg((F.sum("s") / F.sum("n")).alias("score"))
 
 
 def quality(
-    docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD,
+    docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, threshold: float = THRESHOLD,
     min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """doc_id, n_words, base figures, base_failed, score, kept, and the columns named in `carry`.
@@ -121,14 +167,27 @@ def quality(
     null text has no words, fails the base rules and scores 0; so does an empty
     one. Repeated rows are judged each, and alike. Without any trusted document
     all weights are small and nearly alike; an empty table gives an empty table.
+    The number of counters follows from the texts unless `buckets` gives it.
     """
-    learnt = weights(docs, trusted, id_col=id_col, text_col=text_col, buckets=buckets).scalar()
+    buckets = counters(docs, text_col=text_col) if buckets is None else buckets
+    learnt = weights(docs, trusted, id_col=id_col, text_col=text_col, buckets=buckets)
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in carry])
+    local = buckets <= BROADCAST_COUNTERS
+    if local:
+        d = d.withColumn("_w", as_array(learnt, buckets).scalar())
+    else:
+        text = F.coalesce("_text", F.lit(""))
+        spread = F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))
+        d = d.withColumn("_k", F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"), spread.alias("c")))
+        d = d.join(scores(d.select("_k", "_text"), learnt, buckets), "_k", "left").fillna(0.0, ["score"])
     w = F.col("_w")
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in carry]).withColumn("_w", learnt)
 
     def of(words: Column) -> Column:
-        grams = ngrams(words, buckets)
-        score = let(grams, lambda g: F.when(F.size(g) > 0, F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(w, b)) / F.size(g)).otherwise(F.lit(0.0)))
+        if local:
+            grams = ngrams(words, buckets)
+            score = let(grams, lambda g: F.when(F.size(g) > 0, F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(w, b)) / F.size(g)).otherwise(F.lit(0.0)))
+        else:
+            score = F.col("score")
         return F.struct(F.size(words).cast("bigint").alias("n_words"), repeat_words(words).cast("bigint").alias("n_repeat_words"), score.alias("score"))
 
     d = d.select("*", *base_figures(d, "_text"), let(words_of(F.coalesce("_text", F.lit(""))), of).alias("_f"))
