@@ -416,6 +416,20 @@ def test_fast_tokens_equal_tokenizers():
         assert fast(t).tolist() == slow(t).tolist(), t[:30]
 
 
+def test_added_tokens_are_the_contracts(spark):
+    from tokenizers import Tokenizer
+
+    path, ranks = packing.default_paths()
+    contract = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n", "<|endoftext| >", "plain"]
+    for t in texts:
+        ids = contract.encode(t, add_special_tokens=False).ids
+        assert packing.encoder(path, ranks)(t).tolist() == packing.encoder(path, None)(t).tolist() == ids
+    assert 50256 in contract.encode(texts[0], add_special_tokens=False).ids
+    got = {r.doc_id: r.ids_crc32 for r in packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: zlib.crc32(np.array([*contract.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()) for i, t in enumerate(texts)}
+
+
 def test_sum_of_squares_wastes_little():
     rng = np.random.default_rng(9)
     sizes = rng.integers(1, 2048, 20_000)

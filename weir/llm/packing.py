@@ -39,7 +39,8 @@ def encoder(path: str, ranks_path: str | None):
 
     With `ranks_path` (the same vocabulary as ranks) the ids come from tiktoken,
     which is several times faster; a text that its regular expressions refuse
-    goes to `tokenizers`. Tests hold both against each other.
+    or that contains an added token goes to `tokenizers`. Tests hold both
+    against each other.
     """
     key = (path, ranks_path)
     if key in _encoders:
@@ -47,7 +48,7 @@ def encoder(path: str, ranks_path: str | None):
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
+    added = [t.content for t in slow.get_added_tokens_decoder().values()]
 
     def by_tokenizers(text: str) -> np.ndarray:
         return np.array(slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -63,6 +64,8 @@ def encoder(path: str, ranks_path: str | None):
         fast = tiktoken.Encoding("packing", pat_str=FAST_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
         def encode(text: str) -> np.ndarray:
+            if any(t in text for t in added):
+                return by_tokenizers(text)
             try:
                 return np.array(fast.encode_ordinary(text), dtype="<u4")
             except (ValueError, RuntimeError):
