@@ -463,6 +463,23 @@ def test_pages_remove_what_recurs(spark):
     assert "Home" in out[50] and "Home" in out[51] and out[52] == out[53] == ""
 
 
+@pytest.mark.parametrize("bound", [None, 0])
+def test_menus_of_sections_go_on_a_hot_host(spark, monkeypatch, bound):
+    # 20 sections of 12 pages each: a menu is on 5 % of the host's pages; the list in the article too
+    menu = lambda s: f"<div><ul><li><a href=/{s}/a>Section {s} first</a><li>Section {s} second</ul></div>"
+    body = lambda i: f"<body>{menu(i % 20)}<div>Story {i} has text {i * i}.</div></body>"
+    inner = lambda i: f"<body><article><h1>Title {i}</h1><p>Text {i}.</p>{menu(i % 20)}</article></body>"
+    copy = "<body><article><h1>Copied</h1><p>Same</p><ul><li>own list</ul></article></body>"
+    rows = [(i, "http://hot.test/", body(i)) for i in range(240)] + [(1000 + i, "http://hot.test/", inner(i)) for i in range(240)] + [(2000 + i, "http://hot.test/", copy) for i in range(30)]
+    if bound is not None:
+        monkeypatch.setattr(pages, "HOST_HASHES", bound)
+        monkeypatch.setattr(pages, "HOT", 12)
+    out = {r.page_id: r.text for r in pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(out) == len(rows)
+    assert all(out[i] == f"Story {i} has text {i * i}." and out[1000 + i] == f"Title {i}\nText {i}." for i in range(240))
+    assert all(out[2000 + i] == "Copied\nSame\nown list" for i in range(30))
+
+
 def test_copied_articles_stay(spark):
     page = "<body><nav>n</nav><article><h1>T</h1><p>Same words</p><ul><li>x</ul></article><footer>f</footer>"
     d = spark.createDataFrame([(i, "http://h.test/", page) for i in range(9)], "page_id long, url string, html string").withColumns({"host": F.lit("h"), "templates": F.lit(0)})

@@ -2,25 +2,25 @@
 
 Each page is read into a flat list of events. The subtrees of its containers
 are hashed (tag names and normalised text, attributes aside) and Spark counts on
-how many pages of the same host each hash occurs; a second reading removes the
-subtrees that recur on many pages of the host, together with what the markup
+how many different pages of the same host each hash occurs; a second reading
+removes the subtrees that recur on a fixed number of them, however large the host, together with what the markup
 itself names as menu, advert, form and so on, and returns the article's blocks.
 
 An article that is copied to many pages stays: elements that hold the article
 are never removed, paragraphs and headings in an article neither, and other
-containers in it only if they recur on most pages of the host.
+containers in it only if they recur in several different articles of the host.
+Copies of one page or one article count once.
 
-Counts are summed in each task before they are shuffled by (host, hash), so a
-host with a third of all pages is spread over its hashes. Of a host only hashes
-on a fixed share of its pages are templates, a bounded number. The table of
-templates is broadcast after a check of its size, else joined by host.
+Rows are distinct by (host, hash, page or article) before they are counted, and
+counted in part before they are shuffled by (host, hash), so a host with a third
+of all pages is spread over its hashes. The templates of each host are broadcast
+after a check of their number, else each page's hashes are joined with them.
 """
 
 from __future__ import annotations
 
 import html as markup
 import re
-from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -29,10 +29,12 @@ from pyspark.sql import functions as F
 
 from weir.llm.common import materialise, table
 
-MIN_PAGES = 5
-#: Shares of a host's pages on which a subtree must recur: outside and inside an article.
-OUTSIDE, INSIDE = 0.1, 0.6
-BROADCAST_HASHES = 500_000
+#: Different pages, and inside an article different articles, of a host on which a subtree must recur.
+MIN_PAGES, MIN_ARTICLES = 5, 10
+#: Up to so many templates in all and on one host go to every task; more meet the pages' hashes by a shuffle.
+BROADCAST_HASHES, HOST_HASHES = 500_000, 2_000
+#: Templates on more pages than this are broadcast in that shuffle; few can be.
+HOT = 65_536
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -213,19 +215,29 @@ def articles(events, tags, attributes, first, last, gone) -> list[int]:
     return []
 
 
-def containers(page: str) -> list[tuple[int, bool]]:
-    """(hash, inside an article) of each subtree of the page that may be a template."""
+def signed(parts: list[str]) -> int:
+    h = xxhash.xxh64_intdigest("\x01".join(parts))
+    return h - (1 << 64) if h >> 63 else h
+
+
+def containers(page: str) -> list[tuple[int, bool, int]]:
+    """(hash, inside an article, hash of that article or else of the page) of each subtree of the page that may be a template."""
     events, tags, _ = read(page)
     first, last = spans(events, len(tags))
     hashes = digests(events, tags)
-    depth, inside, holds = 0, [False] * len(tags), [False] * len(tags)
+    whole = signed([" ".join(e.split()) for e in events if type(e) is str])
+    depth, inside, holds, around = 0, [False] * len(tags), [False] * len(tags), [whole] * len(tags)
     stack = []
     for e in events:
         if type(e) is str:
             continue
         if e >= 0:
             inside[e] = depth > 0
+            if depth:
+                around[e] = outer
             if tags[e] in ("article", "main"):
+                if not depth:
+                    outer = hashes[e]
                 depth += 1
                 for j in stack:
                     holds[j] = True
@@ -234,7 +246,7 @@ def containers(page: str) -> list[tuple[int, bool]]:
             stack.pop()
             depth -= tags[~e] in ("article", "main")
     article = any(t in ("article", "main") for t in tags)
-    return [(hashes[i], inside[i]) for i, t in enumerate(tags) if hashes[i] and not holds[i] and (t in CONTAINERS or (t in CONTENT and not article))]
+    return [(hashes[i], inside[i], around[i]) for i, t in enumerate(tags) if hashes[i] and not holds[i] and (t in CONTAINERS or (t in CONTENT and not article))]
 
 
 def extract(page: str | None, templates: frozenset = frozenset(), frequent: frozenset = frozenset()) -> str:
@@ -295,34 +307,45 @@ def extract(page: str | None, templates: frozenset = frozenset(), frequent: froz
     return "\n".join(blocks)
 
 
-def template_table(pages: DataFrame, *, min_pages: int = MIN_PAGES, outside: float = OUTSIDE, inside: float = INSIDE) -> DataFrame:
-    """host, templates, frequent: the hashes recurring on many pages of each host.
+def template_table(pages: DataFrame, *, min_pages: int = MIN_PAGES, min_articles: int = MIN_ARTICLES) -> DataFrame:
+    """host, hash, template, frequent, n: what recurs on `min_pages` pages of its host, and whether on `min_articles`.
 
-    `pages` has url and html. Each page counts a hash once.
+    `pages` has url and html. Each page, and each article, counts a hash once,
+    and copies of it count together.
     """
 
-    def count(batches):
+    def find(batches):
         for batch in batches:
-            found: Counter = Counter()
+            found: set = set()
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 host = host_of(url)
                 if host is not None:
-                    found[host, 0, False] += 1  # 0: the page itself
-                    found.update({(host, h, i): 1 for h, i in containers(page or "")}.keys())
+                    found.update((host, *k) for k in containers(page or ""))
             keys = list(found)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.bool_()), pa.array(list(found.values()), pa.int64())],
-                names=["host", "hash", "inside", "n"],
-            )
+            kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], kind) for i, kind in enumerate(kinds)], names=["host", "hash", "inside", "around"])
+
+    each = pages.select("url", "html").mapInArrow(find, "host string, hash bigint, inside boolean, around bigint").distinct()
+    counted = each.groupBy("host", "hash", "inside").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    often = counted.groupBy("host", "hash").agg(F.max(~F.col("inside")).alias("template"), (F.max("n") >= min_articles).alias("frequent"), F.max("n").alias("n"))
+    return often.where("template or frequent")
+
+
+def with_templates(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """The pages with `templates` and `frequent`, of each page the hashes that it has itself."""
+    key = F.md5(F.concat_ws("\x00", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))))
+    keyed = pages.withColumn("_key", key)
+
+    def find(batches):
+        for batch in batches:
+            rows = [(k, host_of(u), h) for k, u, p in zip(*(c.to_pylist() for c in batch.columns), strict=True) if host_of(u) is not None for h in {c[0] for c in containers(p or "")}]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["_key", "host", "hash"])
 
-    counted = pages.select("url", "html").mapInArrow(count, "host string, hash bigint, inside boolean, n bigint").groupBy("host", "hash", "inside").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pages)
-    counted = materialise(counted)
-    totals = counted.where("hash = 0").select("host", F.col("n").alias("pages"))
-    often = counted.where("hash <> 0").join(totals, "host").where(F.col("n") >= outside * F.col("pages"))
-    more = F.col("n") >= inside * F.col("pages")
-    return often.groupBy("host").agg(
-        F.collect_set(F.when(~F.col("inside"), F.col("hash"))).alias("templates"), F.collect_set(F.when(more, F.col("hash"))).alias("frequent")
-    )
+    own = keyed.select("_key", "url", "html").mapInArrow(find, "_key string, host string, hash bigint")
+    hot = F.broadcast(found.where(F.col("n") > HOT))
+    met = own.join(hot, ["host", "hash"]).unionByName(own.join(hot, ["host", "hash"], "left_anti").join(found.where(F.col("n") <= HOT), ["host", "hash"]))
+    sets = met.groupBy("_key").agg(F.collect_set(F.when(F.col("template"), F.col("hash"))).alias("templates"), F.collect_set(F.when(F.col("frequent"), F.col("hash"))).alias("frequent"))
+    return keyed.join(sets, "_key", "left").drop("_key")
 
 
 def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **options) -> DataFrame:
@@ -334,9 +357,14 @@ def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     """
     d = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     found = materialise(template_table(d, **options))
-    size = found.agg(F.sum(F.size("templates") + F.size("frequent") + 8)).first()[0] or 0
-    host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^:/?#]*)", 1))
-    known = d.withColumn("host", host).join(F.broadcast(found) if size <= BROADCAST_HASHES else found, "host", "left")
+    size, most = found.groupBy("host").count().agg(F.sum("count"), F.max("count")).first()
+    if (size or 0) <= BROADCAST_HASHES and (most or 0) <= HOST_HASHES:
+        of = lambda c: F.collect_set(F.when(F.col(c), F.col("hash")))
+        hosts = found.groupBy("host").agg(of("template").alias("templates"), of("frequent").alias("frequent"))
+        host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^:/?#]*)", 1))
+        known = d.withColumn("host", host).join(F.broadcast(hosts), "host", "left")
+    else:
+        known = with_templates(d, found)
     kind = d.schema["page_id"].dataType.simpleString()
 
     def run(batches):
