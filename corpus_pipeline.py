@@ -43,9 +43,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; those that it does not take go."""
-    taken = mixing.mix_documents(docs).where("taken > 0").groupBy("doc_id").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_copies"))
-    mixed = docs.join(materialise(taken), "doc_id")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    taken = mixing.mix_documents(docs, carry=tuple(docs.columns)).where("taken > 0")
+    copies = F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))
+    return taken.withColumn("_copy", F.explode(copies)).select(*[F.col(f"carried_{c}").alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

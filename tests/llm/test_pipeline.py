@@ -74,3 +74,20 @@ def test_edges(spark, sf, tmp_path):
     for docs in (d.drop("_copies"), d.drop("_copies").limit(0)):
         for _, f in pipeline.STAGES:
             f(spark, docs, str(tmp_path)).count()
+
+
+def test_mixing_keeps_rows_without_id_and_rows_of_one_id(spark, tmp_path):
+    rows = [(None, f"no id {i} here", "en", "a", i) for i in range(6)] + [(7, "x " * n, "de", "b", n) for n in range(1, 9)] + [(i, f"text {i}", "en", "b", 1) for i in range(20, 30)] + t.EDGES
+    docs = spark.createDataFrame(rows, t.DOCS)
+    mix = mixing.mix_documents(docs, carry=("text", "n_chars")).collect()
+    expected = collections.Counter()
+    for r in mix:
+        if r.taken:
+            expected[r.doc_id, r.carried_text, r.carried_n_chars] += r.taken // r.size
+    assert len(mix) == len(rows) and any(k[0] is None for k in expected)
+    out = pipeline.source_mix(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    assert collections.Counter((r.doc_id, r.text, r.n_chars) for r in out.collect()) == expected
+    # without carry the same rows take the same
+    key = lambda r: str((r.doc_id, r.size, r.taken, r.target))
+    assert sorted(map(key, mix)) == sorted(map(key, mixing.mix_documents(docs).collect()))

@@ -95,8 +95,8 @@ def min_cost_flow(capacities: dict[tuple, int], quotas: dict, max_repeats: int =
     return {(p, s): edges[e ^ 1][1] for p in capacities for e in out.get(("pattern", p), ()) for s in p if edges[e][0] == ("source", s) and edges[e ^ 1][1] > 0}
 
 
-def mix(docs: DataFrame, sources: DataFrame | None = None, *, id_col: str = "doc_id", size_col: str = "size", member_col: str = "sources", weights=WEIGHTS, budget: float = 1.5, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
-    """The mix: doc_id, sources, size, source_size, target, taken.
+def mix(docs: DataFrame, sources: DataFrame | None = None, *, id_col: str = "doc_id", size_col: str = "size", member_col: str = "sources", weights=WEIGHTS, budget: float = 1.5, max_repeats: int = MAX_REPEATS, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The mix: doc_id, sources, size, source_size, target, taken, and the columns named in `carry`.
 
     `member_col` is an array of the sources a document belongs to (nulls in it
     are a source of their own, the last). source_size and target belong to the
@@ -104,15 +104,18 @@ def mix(docs: DataFrame, sources: DataFrame | None = None, *, id_col: str = "doc
     order. `taken` is a multiple of the size, at most `max_repeats` times it;
     each source's sum is within one document of its routed words. Documents
     without words, or with an empty array, take nothing. An empty table gives
-    an empty table; repeated rows count each.
+    an empty table; repeated rows count each. With `carry` the rows are read
+    again for each step instead of being written with all their columns.
     """
     spark = docs.sparkSession
     d = docs.select(
         F.col(id_col).alias("doc_id"), F.col(member_col).alias("sources"), F.coalesce(F.col(size_col), F.lit(0)).cast("bigint").alias("size"),
-        seeded(F.col(id_col), seed).alias("_key"),
+        seeded(F.col(id_col), seed).alias("_key"), *[F.col(c).alias(f"_keep_{c}") for c in carry],
     )
-    d = materialise(d.withColumn("_bucket", F.conv(F.substring("_key", 1, 3), 16, 10).cast("int")))
-    summed = d.groupBy("sources").agg(F.sum("size").alias("words")).limit(MAX_PATTERNS + 1).collect()
+    d = d.withColumn("_bucket", F.conv(F.substring("_key", 1, 3), 16, 10).cast("int"))
+    d = d if carry else materialise(d)
+    sums = materialise(d.groupBy("sources", "_bucket").agg(F.sum("size").alias("words")))
+    summed = sums.groupBy("sources").agg(F.sum("words").alias("words")).limit(MAX_PATTERNS + 1).collect()
     if len(summed) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
     capacities = {tuple(r.sources or ()): r.words for r in summed}
@@ -129,9 +132,7 @@ def mix(docs: DataFrame, sources: DataFrame | None = None, *, id_col: str = "doc
         plan.append((r.sources, own[p[0]] if p else 0, float(targets[p[0]]) if p else 0.0, int(copies), int(routed - copies * r.words)))
     member = d.schema["sources"].dataType.simpleString()
     plan_df = spark.createDataFrame(plan, f"sources {member}, source_size bigint, target double, copies bigint, rest bigint")
-    same = plan_df["sources"].eqNullSafe(d["sources"])
 
-    sums = d.groupBy("sources", "_bucket").agg(F.sum("size").alias("words"))
     upto = F.sum("words").over(W.partitionBy("sources").orderBy("_bucket"))
     cuts = (
         sums.withColumn("upto", upto).alias("d").join(F.broadcast(plan_df), F.col("d.sources").eqNullSafe(plan_df["sources"]))
@@ -147,14 +148,19 @@ def mix(docs: DataFrame, sources: DataFrame | None = None, *, id_col: str = "doc
     inside = known.where("_bucket = cut").withColumn("_upto", F.col("before") + F.sum("size").over(order))
     inside = inside.withColumn("more", (2 * F.col("_upto") - F.col("size") <= 2 * F.col("rest")).cast("bigint")).drop("_upto")
     out = outside.unionByName(inside)
-    return out.select("doc_id", "sources", "size", "source_size", "target", ((F.col("copies") + F.col("more")) * F.col("size")).alias("taken"))
+    return out.select("doc_id", "sources", "size", "source_size", "target", ((F.col("copies") + F.col("more")) * F.col("size")).alias("taken"), *[F.col(f"_keep_{c}").alias(c) for c in carry])
 
 
 def mix_documents(docs: DataFrame, *, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", **options) -> DataFrame:
-    """`mix` for documents with one source column; the size is the number of words (null text: 0)."""
+    """`mix` for documents with one source column; the size is the number of words (null text: 0).
+
+    Columns named in `carry` come back as carried_<name>.
+    """
     words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD_RE)).cast("bigint")
-    d = docs.select(F.col(id_col).alias("doc_id"), F.array(F.col(source_col).cast("string")).alias("sources"), words.alias("size"))
-    return mix(d, **options)
+    carry = {c: f"_carry_{c}" for c in options.pop("carry", ())}
+    d = docs.select(F.col(id_col).alias("doc_id"), F.array(F.col(source_col).cast("string")).alias("sources"), words.alias("size"), *[F.col(c).alias(k) for c, k in carry.items()])
+    out = mix(d, carry=tuple(carry.values()), **options)
+    return out.select(*out.columns[:6], *[F.col(k).alias(f"carried_{c}") for c, k in carry.items()])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
