@@ -1,6 +1,7 @@
 import datetime
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +171,19 @@ def test_clusters_and_medoids(spark):
     assert got == {i: i // 5 * 5 for i in range(15)} | {99: None}
     m = {r.cluster: r.medoid for r in cluster.medoids(d.join(c, "id").where("cluster is not null")).collect()}
     assert set(m) == {0, 5, 10}
+
+
+@pytest.mark.parametrize("dims", [1, 2])
+def test_medoids_of_large_clusters_are_exact(spark, dims):
+    rng = np.random.default_rng(dims)
+    # all but a few of a large cluster's members lie apart from its middle
+    x = np.round(np.concatenate([rng.normal(0, 1, (2400, dims)), rng.normal(9, 1, (2600, dims)), rng.normal(5, 9, (7, dims))]), 2)
+    label = [1] * 5000 + [2] * 7
+    d = spark.createDataFrame([(c, i, v) for i, (c, v) in enumerate(zip(label, x.tolist(), strict=True))], "cluster long, id long, v array<double>")
+    expected = {}
+    for c in (1, 2):
+        own = np.flatnonzero(np.array(label) == c)
+        total = np.array([np.sqrt(((x[own] - x[i]) ** 2).sum(1)).sum() for i in own])
+        expected[c] = int(own[np.flatnonzero(total <= total.min() + 1e-6)[0]])
+    assert {r.cluster: r.medoid for r in cluster.medoids(d.repartition(3)).collect()} == expected
+    assert cluster.medoids(d.limit(0)).count() == 0

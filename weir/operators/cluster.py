@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Radius and core size of the anomaly clusters.
 EPS, MIN_SAMPLES = 2.5, 3
+#: Candidates of a cluster in the first round of a medoid search and in any, and how many in all are broadcast.
+FIRST, MOST, BROADCAST_PROBES = 16, 512, 100_000
+
+
+def _checkpoints(spark) -> None:
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -52,9 +60,7 @@ def dbscan(points: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES)
 
     A point is core with `min_samples` points within `eps`, itself included.
     """
-    spark = points.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+    _checkpoints(points.sparkSession)
     near = within(points, eps).checkpoint()
     both = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
     count = points.select("id").join(both.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")), "id", "left")
@@ -65,17 +71,57 @@ def dbscan(points: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES)
     return points.select("id").join(grown, "id", "left").join(border, "id", "left").select("id", F.coalesce("cluster", "near").alias("cluster"))
 
 
-def medoids(members: DataFrame, sample: int = 2000) -> DataFrame:
-    """cluster, id of the member with the least total distance to others; of equals the least id.
+def medoids(members: DataFrame) -> DataFrame:
+    """cluster, id of the member with the least total distance to others; of equals the least id. Exact.
 
-    A cluster's sums run over a seeded sample of at most about `sample` members,
-    so that a large cluster costs members times that; small ones are exact.
+    Members are (cluster, id, v) with ids of their own; those without a vector
+    or cluster are left out.
+    """
+    _checkpoints(members.sparkSession)
+    d = members.where("cluster is not null and v is not null").select("cluster", "id", "v")
+    line = F.size("v") == 1
+    if d.where(~line | F.col("v")[0].isNull() | F.isnan(F.col("v")[0].cast("double"))).isEmpty():
+        return _medians(d.select("cluster", "id", F.col("v")[0].alias("x")))
+    return _search(d)
+
+
+def _medians(d: DataFrame) -> DataFrame:
+    """Medoids on a line: the members at the middle places, whose totals are equal, by counts of ranges."""
+    values = d.groupBy("cluster", "x").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    values = values.repartitionByRange("cluster", "x").withColumn("_part", F.spark_partition_id()).checkpoint()
+    parts = values.groupBy("cluster", "_part").agg(F.sum("n").alias("m"))
+    whole = W.partitionBy("cluster")
+    parts = parts.select("cluster", "_part", "m", F.sum("m").over(whole).alias("all"), (F.sum("m").over(whole.orderBy("_part")) - F.col("m")).alias("before"))
+    low, high = F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2)
+    middle = values.join(parts.where((F.col("before") <= high) & (F.col("before") + F.col("m") > low)), ["cluster", "_part"])
+    upto = F.col("before") + F.sum("n").over(W.partitionBy("cluster", "_part").orderBy("x"))
+    return middle.withColumn("upto", upto).where((F.col("upto") - F.col("n") <= high) & (F.col("upto") > low)).groupBy("cluster").agg(F.min("id").alias("medoid"))
+
+
+def _search(d: DataFrame) -> DataFrame:
+    """Medoids in any space: exact totals of a few candidates a round, until bounds leave none.
+
+    By the triangle inequality a member at distance r from one of total t has a
+    total of |t - size r| or more.
     """
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("n"))
-    tagged = members.join(sizes, "cluster")
-    probe = tagged.where(F.pmod(F.xxhash64("id"), F.col("n")) < sample).select("cluster", F.col("v").alias("w"))
-    total = tagged.join(probe, "cluster").groupBy("cluster", "id").agg(F.sum(distance(F.col("v"), F.col("w"))).alias("total"))
-    return total.groupBy("cluster").agg(F.min_by("id", F.struct(F.round("total", 9), F.col("id"))).alias("medoid"))
+    d = d.checkpoint()
+    sizes = d.groupBy("cluster").agg(F.count("*").alias("n"))
+    open_ = d.join(sizes, "cluster").withColumns({"low": F.lit(0.0), "best": F.lit(None).cast("double")}).checkpoint()
+    known, batch = None, FIRST
+    while known is None or not open_.isEmpty():
+        slot = F.pmod(F.xxhash64("id"), F.lit(batch))
+        chosen = F.min_by(F.struct("id", "v"), F.struct("low", "id")).alias("c")
+        probe = open_.groupBy("cluster", slot.alias("slot")).agg(chosen).select("cluster", F.col("c.id").alias("cid"), F.col("c.v").alias("cv")).checkpoint()
+        met = d.join(F.broadcast(probe) if probe.count() <= BROADCAST_PROBES else probe, "cluster")
+        totals = met.groupBy("cluster", "cid", "cv").agg(F.sum(distance(F.col("v"), F.col("cv"))).alias("total")).checkpoint()
+        known = totals.drop("cv") if known is None else known.unionByName(totals.drop("cv"))
+        told = totals.groupBy("cluster").agg(F.collect_list(F.struct("cid", "cv", "total")).alias("told"), F.min("total").alias("least"))
+        bound = F.aggregate("told", F.col("low"), lambda s, t: F.greatest(s, F.abs(t["total"] - F.col("n") * distance(F.col("v"), t["cv"]))))
+        left = open_.join(told, "cluster").where(~F.exists("told", lambda t: t["cid"] == F.col("id")))
+        left = left.withColumns({"low": bound, "best": F.least("best", "least")})
+        open_ = left.where(F.col("low") <= F.col("best") * (1 + 1e-9) + 1e-8).drop("told", "least").checkpoint()
+        batch = min(MOST, 2 * batch)
+    return known.groupBy("cluster").agg(F.min_by("cid", F.struct(F.round("total", 9), F.col("cid"))).alias("medoid"))
 
 
 def report(events: DataFrame, clusters: DataFrame) -> DataFrame:
