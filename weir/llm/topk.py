@@ -3,17 +3,19 @@
 Vectors become integers floor(scale * x). The largest inner product is made a
 nearest-neighbour search by one more coordinate, sqrt(M - |x|^2) with M the
 largest squared norm, after which |q - x|^2 = |q|^2 + M - 2 q.x. Each vector is
-keyed by its nearest pivot and the distance to it, and the index is laid out in
-rows of one sorted annulus each: a pivot, a range of distances, the vectors.
-
-Queries run in blocks of at most `query_block`, which is what an executor holds
-of them. A task goes through its annuli in the order of their lower bounds; by
-the triangle inequality no vector of an annulus is nearer to a query than
-|d(q, pivot) - [low, high]|, so a query leaves an annulus alone once that bound
-lies beyond its k-th best so far. Bounds start from the pivots' own scores, of
-which there are always enough. Products of integers are exact in float64, bounds
-have a margin for rounding, and only strictly worse annuli are skipped, so ties
-are resolved by id as asked. Hot pivots are many annuli, none of them large.
+keyed by its nearest pivot and the distance to it; the index is laid out in
+chunks of one pivot and a range of distances, each of them sorted annuli.
+
+Queries stay distributed. By the triangle inequality no vector of an annulus is
+nearer to a query than |d(q, pivot) - [low, high]|; a query is done with an
+annulus once that bound lies beyond its k-th best so far. First the pivots'
+own scores give a bound, then every query is searched in the chunk of its least
+bound, then in a ring of the next ones, then in all that its bound still lets
+in. In each round queries are dealt to chunks, many queries of one chunk in
+slices, so a task holds one chunk and one slice of queries at any size of the
+table. Products of integers are exact in float64, bounds have a margin for
+rounding, and only strictly worse annuli are skipped, so ties are resolved by id
+as asked. Hot pivots are many chunks, none of them large.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,9 +34,13 @@ from weir.llm.common import materialise, table
 SCALE = 256
 K = 5
 PIVOTS = 64
-#: Vectors of one annulus, and queries of one block.
-ANNULUS = 512
-QUERY_BLOCK = 8192
+#: Vectors of one annulus and of one chunk, and queries that meet a chunk in one task.
+ANNULUS, CHUNK = 512, 16384
+QUERY_SLICE = 4096
+#: Chunks of each query in the rounds before the last.
+RINGS = (1, 8)
+#: About so many chunks at most, 28 bytes each in every task; beyond, chunks grow.
+MAX_CHUNKS = 1 << 18
 
 
 def quantise(rows: pa.Array, scale: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,10 +89,10 @@ def distances(x: np.ndarray, norms: np.ndarray, pivots: np.ndarray, pivot_norms:
     return np.sqrt(np.maximum(2 * largest - 2 * (x @ pivots.T) - 2 * extra, 0))
 
 
-def build_index(vectors: DataFrame, pivots: np.ndarray, pivot_norms: np.ndarray, largest: float, annulus: int) -> DataFrame:
-    """pivot, low, high, ids, vectors: sorted annuli of at most `annulus` vectors.
+def build_index(vectors: DataFrame, pivots: np.ndarray, pivot_norms: np.ndarray, largest: float, annulus: int, chunk: int) -> DataFrame:
+    """chunk, pivot, low, high, n, ids, vectors: sorted annuli of at most `annulus` vectors, in chunks of at most `chunk`.
 
-    Vectors are range-partitioned by (pivot, distance), so that an annulus is a
+    Vectors are range-partitioned by (pivot, distance), so that a chunk is a
     run of one partition and a pivot with very many vectors spreads over tasks.
     """
 
@@ -99,9 +106,14 @@ def build_index(vectors: DataFrame, pivots: np.ndarray, pivot_norms: np.ndarray,
 
     def lay(batches):
         held: list = []
+        number, inside, last = TaskContext.get().partitionId() << 32, 0, None
 
         def row(run):
-            return {"pivot": int(run[0][0]), "low": float(run[0][1]), "high": float(run[-1][1]), "ids": np.array([r[2] for r in run], np.int64).tobytes(), "vectors": b"".join(r[3] for r in run)}
+            nonlocal number, inside, last
+            if last is not None and (run[0][0] != last or inside + len(run) > chunk):
+                number, inside = number + 1, 0
+            last, inside = run[0][0], inside + len(run)
+            return {"chunk": number, "pivot": int(run[0][0]), "low": float(run[0][1]), "high": float(run[-1][1]), "n": len(run), "ids": np.array([r[2] for r in run], np.int64).tobytes(), "vectors": b"".join(r[3] for r in run)}
 
         for batch in batches:
             out = []
@@ -114,56 +126,97 @@ def build_index(vectors: DataFrame, pivots: np.ndarray, pivot_norms: np.ndarray,
         if held:
             yield pa.RecordBatch.from_pylist([row(held)], schema=schema)
 
-    schema = pa.schema([("pivot", pa.int32()), ("low", pa.float64()), ("high", pa.float64()), ("ids", pa.binary()), ("vectors", pa.binary())])
+    schema = pa.schema([("chunk", pa.int64()), ("pivot", pa.int32()), ("low", pa.float64()), ("high", pa.float64()), ("n", pa.int64()), ("ids", pa.binary()), ("vectors", pa.binary())])
     keyed = vectors.mapInArrow(key, "vec_id bigint, vector binary, pivot int, distance double")
     # the id breaks up large sets of equal vectors
-    return keyed.repartitionByRange("pivot", "distance", "vec_id").sortWithinPartitions("pivot", "distance", "vec_id").mapInArrow(lay, "pivot int, low double, high double, ids binary, vectors binary")
+    ranged = keyed.repartitionByRange("pivot", "distance", "vec_id").sortWithinPartitions("pivot", "distance", "vec_id")
+    return ranged.mapInArrow(lay, "chunk bigint, pivot int, low double, high double, n bigint, ids binary, vectors binary")
 
 
-def search_block(index: DataFrame, ids: np.ndarray, q: np.ndarray, start: np.ndarray, pivots: np.ndarray, pivot_norms: np.ndarray, largest: float, k: int) -> DataFrame:
-    """The k best of each task for one block of queries: query_id, vec_id, score."""
+def with_bounds(asked: DataFrame, pivot_ids: np.ndarray, pivots: np.ndarray, largest: float, k: int) -> DataFrame:
+    """query_id, vector, to_pivot (distances to all pivots), kth (the k-th best score among the pivots other than the query)."""
 
     def run(batches):
-        annuli = [r for batch in batches for r in batch.to_pylist()]
-        qn = (q * q).sum(axis=1)
-        # a query has no additional coordinate
-        to_pivot = np.sqrt(np.maximum(qn[:, None] + largest - 2 * (q @ pivots.T), 0))
-        limit = np.sqrt(np.maximum(qn + largest - 2 * start, 0))
-        margin = 1e-9 * (np.sqrt(qn) + math.sqrt(largest)) + 1e-6
-        best, who = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
-        bounds = np.array([np.maximum(np.maximum(to_pivot[:, a["pivot"]] - a["high"], a["low"] - to_pivot[:, a["pivot"]]), 0) for a in annuli]) if annuli else np.zeros((0, len(q)))
-        for j in np.argsort(bounds.sum(axis=1), kind="stable"):
-            active = np.flatnonzero(bounds[j] <= limit + margin)
-            if not len(active):
+        for batch in batches:
+            ids, q = batch.column("vec_id").to_numpy(), matrix(batch.column("vector"))
+            if not len(ids):
                 continue
-            a = annuli[j]
-            x_ids = np.frombuffer(a["ids"], np.int64)
-            x = np.frombuffer(a["vectors"], np.float64).reshape(len(x_ids), -1)
-            for part in np.array_split(active, max(1, len(active) // 1024)):
-                score = q[part] @ x.T
-                score[ids[part][:, None] == x_ids[None, :]] = -np.inf
-                rows, cols = np.nonzero(score >= best[part][:, -1:])
-                keep = np.isfinite(score[rows, cols])
-                rows, cols = rows[keep], cols[keep]
-                old = np.repeat(np.arange(len(part)), k)
-                r = np.concatenate((old, rows))
-                s = np.concatenate((best[part].ravel(), score[rows, cols]))
-                i = np.concatenate((who[part].ravel(), x_ids[cols]))
-                order = np.lexsort((i, -s, r))
-                r, s, i = r[order], s[order], i[order]
-                rank = np.arange(len(r)) - np.searchsorted(r, np.arange(len(part)))[r]
-                top = rank < k
-                best[part], who[part] = s[top].reshape(len(part), k), i[top].reshape(len(part), k)
-                kth = np.maximum(best[part][:, -1], start[part])
-                limit[part] = np.sqrt(np.maximum(qn[part] + largest - 2 * kth, 0))
-        rows, cols = np.nonzero(np.isfinite(best))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(who[rows, cols]), pa.array(best[rows, cols].astype(np.int64))], names=["query_id", "vec_id", "score"])
-
-    return index.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+            score = q @ pivots.T
+            # a query has no additional coordinate
+            d = np.sqrt(np.maximum((q * q).sum(axis=1)[:, None] + largest - 2 * score, 0))
+            own = np.where(pivot_ids[None, :] == ids[:, None], -np.inf, score)
+            kth = np.sort(own, axis=1)[:, -k] if own.shape[1] >= k else np.full(len(ids), -np.inf)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vector"), pa.array(list(d), pa.list_(pa.float64())), pa.array(np.where(np.isfinite(kth), kth, NOTHING))], names=["query_id", "vector", "to_pivot", "kth"])
+
+    return asked.select("vec_id", "vector").mapInArrow(run, "query_id bigint, vector binary, to_pivot array<double>, kth double")
+
+
+#: A score below all others: a query that has fewer than k candidates so far.
+NOTHING = -1e18
+
+
+def dealt_to_chunks(batches, chunks: pa.Table, largest: float, done: int, ring: int | None):
+    """Each query with the chunks of its next ring, in the order of their least distances; without `ring` with all that are left and near enough."""
+    number, pivot = chunks["chunk"].to_numpy(), chunks["pivot"].to_numpy()
+    low, high = chunks["low"].to_numpy(), chunks["high"].to_numpy()
+    for batch in batches:
+        q, kth = matrix(batch.column("vector")), batch.column("kth").to_numpy()
+        qn = (q * q).sum(axis=1)
+        limit = np.sqrt(np.maximum(qn + largest - 2 * kth, 0)) + 1e-9 * (np.sqrt(qn) + math.sqrt(largest)) + 1e-6
+        rows, which, far = [], [], []
+        for i, d in enumerate(batch.column("to_pivot").to_pylist()):
+            d = np.array(d)[pivot]
+            bound = np.maximum(np.maximum(d - high, low - d), 0)
+            order = np.argsort(bound, kind="stable")[done : None if ring is None else done + ring]
+            order = order[bound[order] <= limit[i]]
+            rows += [i] * len(order)
+            which += number[order].tolist()
+            far += d[order].tolist()
+        at = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("query_id", "vector", "kth")), pa.array(which, pa.int64()), pa.array(far, pa.float64())], names=["query_id", "vector", "kth", "chunk", "distance"])
+
+
+def search(left: pa.Table, right: pa.Table, largest: float, k: int) -> pa.Table:
+    """query_id, vec_id, score: the k best of one chunk (left) for one slice of queries (right)."""
+    annuli = left.to_pylist()
+    ids, q = np.array(right["query_id"].to_pylist(), np.int64), matrix(right["vector"].combine_chunks())
+    qn = (q * q).sum(axis=1) if len(ids) else np.zeros(0)
+    start, to_pivot = np.array(right["kth"].to_pylist(), np.float64), np.array(right["distance"].to_pylist(), np.float64)
+    limit = np.sqrt(np.maximum(qn + largest - 2 * start, 0))
+    margin = 1e-9 * (np.sqrt(qn) + math.sqrt(largest)) + 1e-6
+    best, who = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+    bounds = np.array([np.maximum(np.maximum(to_pivot - a["high"], a["low"] - to_pivot), 0) for a in annuli]) if annuli else np.zeros((0, len(q)))
+    for j in np.argsort(bounds.sum(axis=1), kind="stable"):
+        active = np.flatnonzero(bounds[j] <= limit + margin)
+        if not len(active):
+            continue
+        x_ids = np.frombuffer(annuli[j]["ids"], np.int64)
+        x = np.frombuffer(annuli[j]["vectors"], np.float64).reshape(len(x_ids), -1)
+        for part in np.array_split(active, max(1, len(active) // 1024)):
+            score = q[part] @ x.T
+            score[ids[part][:, None] == x_ids[None, :]] = -np.inf
+            rows, cols = np.nonzero(score >= np.maximum(best[part][:, -1], start[part])[:, None])
+            old = np.repeat(np.arange(len(part)), k)
+            r = np.concatenate((old, rows))
+            s = np.concatenate((best[part].ravel(), score[rows, cols]))
+            i = np.concatenate((who[part].ravel(), x_ids[cols]))
+            order = np.lexsort((i, -s, r))
+            r, s, i = r[order], s[order], i[order]
+            rank = np.arange(len(r)) - np.searchsorted(r, np.arange(len(part)))[r]
+            top = rank < k
+            best[part], who[part] = s[top].reshape(len(part), k), i[top].reshape(len(part), k)
+            limit[part] = np.sqrt(np.maximum(qn[part] + largest - 2 * np.maximum(best[part][:, -1], start[part]), 0))
+    rows, cols = np.nonzero(np.isfinite(best))
+    return pa.table({"query_id": pa.array(ids[rows]), "vec_id": pa.array(who[rows, cols]), "score": pa.array(best[rows, cols].astype(np.int64))})
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def top_k(
-    embeddings: DataFrame, queries: DataFrame | None = None, *, k: int = K, scale: int = SCALE, pivots: int = PIVOTS, annulus: int = ANNULUS, query_block: int = QUERY_BLOCK,
+    embeddings: DataFrame, queries: DataFrame | None = None, *, k: int = K, scale: int = SCALE, pivots: int = PIVOTS, annulus: int = ANNULUS, chunk: int = CHUNK, query_slice: int = QUERY_SLICE, rings: tuple[int, ...] = RINGS,
     id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of largest integer inner product.
@@ -171,14 +224,15 @@ def top_k(
     `queries` (the embeddings themselves, if not given) has the same columns; a
     query's own id is never its candidate. Ties go to the smaller id. A query
     with fewer candidates returns all. Rows with a null id or an unusable vector
-    take no part; rows that share an id are candidates each. Pivots are the
-    vectors of the smallest hashed ids; any choice gives the same result. An
-    empty table gives an empty table.
+    take no part; rows that share an id are candidates each, and of queries that
+    share an id one is asked (the least vector by its bytes). Pivots are the
+    vectors of the smallest hashed ids; any choice gives the same result. Extra
+    columns are left alone. An empty table gives an empty table.
     """
     spark = embeddings.sparkSession
     schema = "query_id bigint, rank int, vec_id bigint, score bigint"
     vectors = materialise(vectors_of(embeddings, scale, id_col, vector_col))
-    asked = vectors if queries is None else materialise(vectors_of(queries, scale, id_col, vector_col))
+    asked = (vectors if queries is None else vectors_of(queries, scale, id_col, vector_col)).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     largest = vectors.agg(F.max("norm")).first()[0]
     if largest is None:
         return spark.createDataFrame([], schema)
@@ -186,26 +240,26 @@ def top_k(
     pivot_ids = np.array([r.vec_id for r in chosen], np.int64)
     p = np.stack([np.frombuffer(r.vector, np.float64) for r in chosen])
     pn = np.array([r.norm for r in chosen])
-    index = materialise(build_index(vectors, p, pn, largest, annulus))
-    blocks = max(1, math.ceil(asked.count() / query_block))
-    found = []
-    for b in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").toArrow()
-        ids = rows["vec_id"].to_numpy()
-        if len(ids):
-            q = matrix(rows["vector"].combine_chunks())
-            # the k-th best among the pivots other than the query: each query reaches it
-            own = np.where(pivot_ids[None, :] == ids[:, None], -np.inf, q @ p.T)
-            start = np.sort(own, axis=1)[:, -k] if own.shape[1] >= k else np.full(len(ids), -np.inf)
-            start = np.where(np.isfinite(start), start, -1e18)
-            found.append(search_block(index, ids, q, start, p, pn, largest, k))
-    if not found:
-        return spark.createDataFrame([], schema)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    best = out.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "b.vec_id", (-F.col("b.minus")).alias("score"))
+    index = materialise(build_index(vectors, p, pn, largest, annulus, max(chunk, vectors.count() // MAX_CHUNKS)))
+    map_of = index.groupBy("pivot", "chunk").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("chunk").toArrow()
+    query = materialise(with_bounds(asked, pivot_ids, p, largest, k))
+    best, done = spark.createDataFrame([], "query_id bigint, vec_id bigint, score bigint"), 0
+    keys = lambda n: ("chunk" + n, "slice" + n)
+    for ring in (*rings, None):
+        asks = materialise(query.mapInArrow(lambda batches, done=done, ring=ring: dealt_to_chunks(batches, map_of, largest, done, ring), "query_id bigint, vector binary, kth double, chunk bigint, distance double"))
+        # at most a row a chunk
+        slices = F.broadcast(asks.groupBy("chunk").agg(F.ceil(F.count("*") / query_slice).cast("int").alias("slices")))
+        left = index.join(slices, "chunk").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+        right = asks.join(slices, "chunk").withColumn("slice", F.pmod(F.xxhash64("query_id"), F.col("slices")).cast("int"))
+        right = right.select("query_id", "vector", "kth", "distance", F.col("chunk").alias("chunk_2"), F.col("slice").alias("slice_2"))
+        met = left.groupBy(*keys("")).cogroup(right.groupBy(*keys("_2"))).applyInArrow(lambda x, y: search(x, y, largest, k), "query_id bigint, vec_id bigint, score bigint")
+        best = ranked(best.unionByName(met), k)
+        if ring is None:
+            return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        best = materialise(best)
+        reached = best.where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("reached"))
+        query = materialise(query.join(reached, "query_id", "left").withColumn("kth", F.greatest("kth", F.coalesce("reached", "kth"))).drop("reached"))
+        best, done = best.drop("rank"), done + ring
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
