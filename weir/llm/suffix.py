@@ -13,7 +13,10 @@ k-gram of least hash in it (the leftmost of those); equal strings have equal
 anchors at equal places. A run of strings with the same anchor is a segment.
 
 1. Anchors are dealt by hash, packed, with a hash of their segment. An anchor
-   that occurs once repeats nothing. Equal segments repeat all but the first.
+   that occurs once repeats nothing. Equal segments repeat all but the first;
+   of those in one chunk of texts only the first is dealt by its anchor, the
+   others by their documents, so a segment in a third of all documents comes to
+   its anchor's part once a chunk (1 MB of text).
 2. Where an anchor has several different segments, the bytes of one of each are
    sent to the anchor's part and their suffixes are sorted; neighbours that agree
    in `length` bytes are one string, and all but its first occurrence go.
@@ -42,8 +45,8 @@ SORTED = 1 << 15
 #: Up to so many document ids are sent to every executor (8 MB).
 BROADCAST_IDS = 1_000_000
 CHUNK = 1 << 20
-
-_POSITION = np.uint64(28)
+#: Parts of segments to be sorted, for each part of anchors.
+FINER = 8
 
 
 def suffix_array(text) -> list[int]:
@@ -166,9 +169,11 @@ def segments(data: bytes, offsets: np.ndarray, length: int, gram: int) -> dict[s
     np.cumsum((x.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(x) + 1)[:-1], out=total[1:])
     back = powers(_INVERSE, len(x) + 1)
     h = mix((total[gram:] - total[:-gram]) * back[: len(x) - gram + 1])
-    least = sliding_least((h >> _POSITION << _POSITION) | np.arange(len(h), dtype=np.uint64), length - gram + 1)
+    # hash and place share a word; the place takes as many bits as this chunk needs
+    bits = np.uint64(max(28, int(len(h)).bit_length()))
+    least = sliding_least((h >> bits << bits) | np.arange(len(h), dtype=np.uint64), length - gram + 1)
     starts = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts) + offsets[doc]
-    anchor = (least[starts] & np.uint64((1 << 28) - 1)).astype(np.int64)
+    anchor = (least[starts] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     new = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
     end = np.append(new[1:], len(anchor)) - 1
     first, last, anchor, doc = starts[new], starts[end], anchor[new], doc[new]
@@ -199,37 +204,47 @@ def marks(docs: DataFrame, length: int, gram: int, parts: int, buckets: int, hot
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for first, data, offsets in chunks(batch.column(1), CHUNK):
                 s = segments(data, offsets, length, gram)
-                if len(s["doc"]):
-                    part = ((s["hash"] >> np.uint64(7)) % np.uint64(parts)).astype(np.int32)
-                    yield dealt(part, s["hash"], s["segment"], runs=ids[first + s["doc"]].astype(np.int64), names=("part", "hashes", "segments", "ids", "lengths"))
+                if not len(s["doc"]):
+                    continue
+                own = ids[first + s["doc"]].astype(np.int64)
+                # only the first of equal segments here needs to be counted: the others go to parts of their own documents
+                order = np.lexsort((s["nth"], own, s["segment"], s["hash"]))
+                h, g, i, n = s["hash"][order], s["segment"][order], own[order], s["nth"][order]
+                head = np.append(True, (h[1:] != h[:-1]) | (g[1:] != g[:-1]))
+                of = np.flatnonzero(head)[np.cumsum(head) - 1]
+                same = ~head & (i == i[of]) & (n == n[of])
+                part = ((h >> np.uint64(7)) % np.uint64(parts)).astype(np.int32)
+                part = np.where(head, part, parts + id_bucket(i, parts))
+                # in the order of the documents, so that ids come in runs
+                at = np.lexsort((n, i))
+                at = at[~same[at]]
+                yield dealt(part[at], h[at], g[at], n[at].astype(np.uint32), runs=i[at], names=("part", "hashes", "segments", "nths", "ids", "lengths"))
+
+    def told(ids, where, kind):
+        return pa.Table.from_batches([dealt(id_bucket(ids, buckets), ids, where, kind, names=("bucket", "ids", "places", "kinds"))])
 
     def count(t: pa.Table) -> pa.Table:
-        hashes, segment = joined(t["hashes"], np.uint64), joined(t["segments"], np.uint64)
+        hashes, segment, nth = joined(t["hashes"], np.uint64), joined(t["segments"], np.uint64), joined(t["nths"], np.uint32).astype(np.int64)
         ids = np.repeat(joined(t["ids"], np.int64), joined(t["lengths"], np.uint32))
+        if t["part"][0].as_py() >= parts:
+            return told(ids, address(ids, hashes, nth), np.zeros(len(ids), np.uint8))
         order = np.argsort(hashes, kind="stable")
         same = hashes[order]
         cut = np.flatnonzero(np.append(True, same[1:] != same[:-1]))
         many = np.diff(np.append(cut, len(same)))
         order = order[np.repeat(many > 1, many)]
-        hashes, segment, ids = hashes[order], segment[order], ids[order]
-        # within a document entries came in their order
-        order = np.lexsort((ids, hashes))
-        hashes, segment, ids = hashes[order], segment[order], ids[order]
-        fresh = np.append(True, (hashes[1:] != hashes[:-1]) | (ids[1:] != ids[:-1]))[: len(ids)]
-        at = np.flatnonzero(fresh)
-        nth = np.arange(len(ids)) - np.repeat(at, np.diff(np.append(at, len(ids))))
-        where = address(ids, hashes, nth)
-        order = np.lexsort((nth, ids, segment, hashes))
-        hashes, segment, ids, where = hashes[order], segment[order], ids[order], where[order]
+        # rows that share an id are one document: what agrees in all four is one run
+        order = order[np.lexsort((nth[order], ids[order], segment[order], hashes[order]))]
+        hashes, segment, ids, nth = hashes[order], segment[order], ids[order], nth[order]
         head = np.append(True, (hashes[1:] != hashes[:-1]) | (segment[1:] != segment[:-1]))[: len(ids)]
+        again = np.append(True, head[1:] | (ids[1:] != ids[:-1]) | (nth[1:] != nth[:-1]))[: len(ids)]
         cut = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])[: len(ids)])
         different = np.repeat(np.add.reduceat(head.astype(np.int64), cut), np.diff(np.append(cut, len(ids)))) if len(ids) else np.zeros(0, np.int64)
         kind = np.where(head, np.where(different > hot, 2, 1), 0).astype(np.uint8)
-        told = ~head | (different > 1)
-        out = dealt(id_bucket(ids[told], buckets), ids[told], where[told], kind[told], names=("bucket", "ids", "places", "kinds"))
-        return pa.Table.from_batches([out])
+        some = again & (~head | (different > 1))
+        return told(ids[some], address(ids[some], hashes[some], nth[some]), kind[some])
 
-    found = docs.where("id is not null").select("id", "text").mapInArrow(scan, "part int, hashes binary, segments binary, ids binary, lengths binary")
+    found = docs.where("id is not null").select("id", "text").mapInArrow(scan, "part int, hashes binary, segments binary, nths binary, ids binary, lengths binary")
     return found.groupBy("part").applyInArrow(count, "bucket int, ids binary, places binary, kinds binary")
 
 
@@ -436,7 +451,8 @@ def remove_repeated_bytes(docs: DataFrame, *, length: int = LENGTH, gram: int =
     one. `spans` are the maximal removed runs as (start, end) byte numbers. Ids
     are integers; null and empty texts have no bytes. Rows with a null id
     neither lose bytes nor cost others theirs; rows that share an id are judged
-    alike, as one document. Extra columns are left alone.
+    alike, as one document. Extra columns are left alone. A text of any length
+    is read as a whole, within one task. An empty table gives an empty table.
     """
     if not 0 < gram <= length:
         raise ValueError("an anchor must fit into a string")
@@ -446,7 +462,8 @@ def remove_repeated_bytes(docs: DataFrame, *, length: int = LENGTH, gram: int =
     homes = d.withColumn("bucket", id_bucket_column(F.col("id"), buckets))
     marked = materialise(marks(d, length, gram, parts, buckets, hot))
     concerned, _ = divided(homes.where("id is not null"), marked)
-    found = materialise(runs_of(concerned, marked, length, gram, parts, buckets))
+    # several small parts a task, so that tasks are even
+    found = materialise(runs_of(concerned, marked, length, gram, FINER * parts, buckets))
     gone = materialise(found.where("kind = 0").select(F.col("key").alias("bucket"), "ids", "starts", "ends").unionByName(sorted_parts(found, length, buckets)))
     cut, whole = divided(homes, gone)
 
