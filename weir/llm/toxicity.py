@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm.common import chunks, table, word_hashes
+from weir.llm.common import chunks, materialise, table, word_hashes
 
-#: Bounds of the training sample.
+#: Bounds of the training sample: ids, one text each, and bytes of distinct word hashes of each list.
 POSITIVES, UNLABELLED = 4000, 9000
+SAMPLE_BYTES = 64 << 20
 CLASSIFIERS = 3
 #: A word is a feature if it lies in so many texts of the sample, and if its share of
 #: the toxic texts is so many standard errors from its share of the unlabelled ones.
@@ -45,8 +46,12 @@ def letter_runs(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.searchsorted(offsets, starts, side="right") - 1, hashes
 
 
-def presence(texts: DataFrame) -> list[np.ndarray]:
-    """The distinct word hashes of each text of a bounded sample, in order of its rows' keys."""
+def presence(texts: DataFrame, most: int = SAMPLE_BYTES) -> list[np.ndarray]:
+    """The distinct word hashes of the texts (k, text) of a bounded sample, in order of their keys: one text a key.
+
+    Of rows that share a key the one with the least packed hashes stays. Keys
+    are left out from where all before have `most` bytes together.
+    """
 
     def run(batches):
         for batch in batches:
@@ -57,7 +62,14 @@ def presence(texts: DataFrame) -> list[np.ndarray]:
                 out += [np.unique(hashes[a:b]).tobytes() for a, b in zip(bound[:-1], bound[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([keys, pa.array(out, pa.binary())], names=["k", "words"])
 
-    rows = texts.select("k", "text").mapInArrow(run, "k bigint, words binary").orderBy("k", "words").toArrow()
+    one = materialise(texts.select("k", "text").mapInArrow(run, "k bigint, words binary").groupBy("k").agg(F.min("words").alias("words")))
+    last, held = None, 0
+    for k, n in one.select("k", F.octet_length("words")).orderBy("k").collect():  # two numbers for each text of the sample
+        held += n
+        if held > most and last is not None:
+            break
+        last = k
+    rows = (one.limit(0) if last is None else one.where(F.col("k") <= last)).orderBy("k").toArrow()
     return [np.frombuffer(w, np.uint64) for w in rows["words"].to_pylist()]
 
 
@@ -142,7 +154,9 @@ def held_out(column):
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED, **options):
     """The model from rows that are not held out: sample, prior, training.
 
-    `labels` has the id and a 0/1 label; null labels count for nothing.
+    `labels` has the id and a 0/1 label; null labels count for nothing. An id
+    counts once in the sample, however many rows share it; the prior counts all
+    labelled rows. Empty tables give a model of the prior alone.
     """
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
@@ -156,7 +170,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row; null and empty texts score by the bias alone."""
+    """doc_id, held_out, score, predicted for every row.
+
+    Null and empty texts score by the bias alone. Repeated rows are scored each,
+    and alike; extra columns are left alone; an empty table gives an empty one.
+    A text of any length is read as a whole, within one task.
+    """
     words, weights, bias = model
     kind = dict(docs.select(F.col(id_col).alias("doc_id")).dtypes)["doc_id"]
 
