@@ -167,6 +167,7 @@ def quality(
     null text has no words, fails the base rules and scores 0; so does an empty
     one. Repeated rows are judged each, and alike. Without any trusted document
     all weights are small and nearly alike; an empty table gives an empty table.
+    A text of any length is one array of words within one task, never cut.
     The number of counters follows from the texts unless `buckets` gives it.
     """
     buckets = counters(docs, text_col=text_col) if buckets is None else buckets
@@ -179,7 +180,7 @@ def quality(
         text = F.coalesce("_text", F.lit(""))
         spread = F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))
         d = d.withColumn("_k", F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"), spread.alias("c")))
-        d = d.join(scores(d.select("_k", "_text"), learnt, buckets), "_k", "left").fillna(0.0, ["score"])
+        d = d.join(scores(d.select("_k", "_text"), learnt, buckets).withColumnRenamed("score", "_score"), "_k", "left").fillna(0.0, ["_score"])
     w = F.col("_w")
 
     def of(words: Column) -> Column:
@@ -187,14 +188,16 @@ def quality(
             grams = ngrams(words, buckets)
             score = let(grams, lambda g: F.when(F.size(g) > 0, F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(w, b)) / F.size(g)).otherwise(F.lit(0.0)))
         else:
-            score = F.col("score")
+            score = F.col("_score")
         return F.struct(F.size(words).cast("bigint").alias("n_words"), repeat_words(words).cast("bigint").alias("n_repeat_words"), score.alias("score"))
 
-    d = d.select("*", *base_figures(d, "_text"), let(words_of(F.coalesce("_text", F.lit(""))), of).alias("_f"))
-    failed = (F.col("_f.n_words") < min_words) | (100 * F.col("_f.n_repeat_words") > max_repeat_percent * F.col("_f.n_words"))
+    # a generated row, not a projection: a filter on the verdict then cannot be moved below it, where all would be computed again
+    found = F.transform(F.array(words_of(F.coalesce("_text", F.lit("")))), of)
+    d = d.select("*", F.inline_outer(found))
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     return d.select(
-        "doc_id", "_f.n_words", "word_chars", "n_symbols", "n_dup_lines", "_f.n_repeat_words", failed.alias("base_failed"), "_f.score",
-        (~failed & (F.col("_f.score") >= threshold)).alias("kept"), *[F.col(f"_keep_{c}").alias(c) for c in carry if c != id_col],
+        "doc_id", "n_words", *base_figures(d, "_text"), "n_repeat_words", failed.alias("base_failed"), "score",
+        (~failed & (F.col("score") >= threshold)).alias("kept"), *[F.col(f"_keep_{c}").alias(c) for c in carry if c != id_col],
     )
 
 
