@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 WORD_RE = r"[^\x20\x09-\x0D]+"
 SPACE_RE = r"[\x20\x09-\x0D]+"
 
+#: Rows from which a key of `hot_join` counts as hot, and how many keys may be.
+HOT_ROWS, HOT_KEYS = 1024, 100_000
+
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SPACES = np.zeros(256, dtype=bool)
@@ -142,5 +145,17 @@ def id_bucket_column(column, buckets: int):
     return F.coalesce(F.pmod(x, F.lit(buckets)), F.lit(0)).cast("int")
 
 
+def hot_join(left: DataFrame, right: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
+    """left join right on `key` (null-free and unique in `right`), where `right` has in `n` how many rows of `left` meet each key.
+
+    Keys of very many rows come from a broadcast table, so that none of them is
+    one task's: there are at most HOT_KEYS of them, because their rows add up to
+    `total` at most. All others are joined by a shuffle. `n` is dropped.
+    """
+    hot = F.col(n) > max(HOT_ROWS, total // HOT_KEYS)
+    often, rest = F.broadcast(right.where(hot).drop(n)), right.where(~hot).drop(n)
+    return left.join(often, key).unionByName(left.join(often.select(key), key, "left_anti").join(rest, key, how))
+
+
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weir.llm.common import chunks, dealt, joined, materialise, mix, table, text_bytes, word_hashes, words_sql
+from weir.llm.common import chunks, dealt, hot_join, joined, materialise, mix, table, text_bytes, word_hashes, words_sql
 from weir.llm.substring import _ROLL, rolling
 
 SHINGLE, PERCENT = 5, 80
@@ -399,21 +399,25 @@ def components(edges: DataFrame, first: DataFrame) -> DataFrame:
     """sign, label: the least `label` of `first` (sign, label) over each connected component.
 
     Every round takes the least label among the neighbours and then jumps along
-    the chain of least neighbours; it ends when no label changes.
+    the chain of least neighbours; it ends when no label changes. A hub's label
+    reaches its neighbours, and the label of a large component its members, by a
+    broadcast of the hot keys.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = materialise(both)
-    labels = materialise(first.join(both.select(F.col("a").alias("sign")).distinct(), "sign"))
+    total = both.count()
+    degrees = both.groupBy(F.col("a").alias("sign")).agg(F.count("*").alias("degree"))
+    labels = materialise(first.join(degrees, "sign").select("sign", "label", "degree"))
     while True:
-        heard = both.join(labels.withColumnRenamed("sign", "b"), "b").groupBy(F.col("a").alias("sign")).agg(F.min("label").alias("heard"))
-        hooked = labels.join(heard, "sign", "left").select("sign", F.col("label").alias("old"), F.least("label", F.coalesce("heard", "label")).alias("label"))
+        heard = hot_join(both, labels.select(F.col("sign").alias("b"), "label", "degree"), "b", "degree", total).groupBy(F.col("a").alias("sign")).agg(F.min("label").alias("heard"))
+        hooked = materialise(labels.join(heard, "sign", "left").select("sign", "degree", F.col("label").alias("old"), F.least("label", F.coalesce("heard", "label")).alias("label")))
         # an old label's own best label is a shortcut for all that carry it
-        jump = hooked.groupBy("old").agg(F.min("label").alias("best"))
-        new = hooked.join(jump, "old").select("sign", F.least("label", "best").alias("label"), (F.least("label", "best") < F.col("old")).alias("moved"))
+        jump = hooked.groupBy("old").agg(F.min("label").alias("best"), F.count("*").alias("n"))
+        new = hot_join(hooked, jump, "old", "n", total).select("sign", "degree", F.least("label", "best").alias("label"), (F.least("label", "best") < F.col("old")).alias("moved"))
         new = materialise(new)
-        labels = new.select("sign", "label")
+        labels = new.drop("moved")
         if new.where("moved").isEmpty():
-            return labels
+            return labels.drop("degree")
 
 
 def jaccard_components(docs: DataFrame, *, width: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", local: int = LOCAL, centres: int = CENTRES, part_bytes: int = PART_BYTES, hot: int | None = None) -> DataFrame:
@@ -423,7 +427,9 @@ def jaccard_components(docs: DataFrame, *, width: int = SHINGLE, percent: int =
     sets; component_id is the least id reachable by links. Null and empty texts
     have no shingles and link with nothing. Rows with a null id keep their
     shingle count, and as their component that of their links (null, if none).
-    Rows that share an id are documents each. Extra columns are left alone.
+    Rows that share an id are documents each. Extra columns are left alone. A
+    text of any length is one set of 8 bytes a shingle, never cut. An empty table
+    gives an empty table.
     """
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -434,7 +440,7 @@ def jaccard_components(docs: DataFrame, *, width: int = SHINGLE, percent: int =
     counts = spark.sparkContext.broadcast(table_of_counts)
     parts = max(16, text_bytes(d) // part_bytes)
     members = materialise(regions(d, counts, width, percent, parts, hot))
-    least = every.where("sign is not null").groupBy("sign").agg(F.min("id").alias("label"))
+    least = every.where("sign is not null").groupBy("sign").agg(F.min("id").alias("label"), F.count("*").alias("copies"))
 
     def of_nodes(some: DataFrame, kind: str, make) -> DataFrame:
         """sign and make(set) of the nodes in `some`, from one text of each."""
@@ -456,8 +462,9 @@ def jaccard_components(docs: DataFrame, *, width: int = SHINGLE, percent: int =
     sets = of_nodes(members, "shingles", lambda s: s)
     links = materialise(join_regions(members, sets, percent, local, centres))
     labels = components(links, least.select("sign", "label"))
-    best = least.select("sign", "label").join(labels.withColumnRenamed("label", "linked"), "sign", "left").select("sign", F.coalesce("linked", "label").alias("component_id"))
-    out = every.join(best, "sign", "left")
+    best = materialise(least.join(labels.withColumnRenamed("label", "linked"), "sign", "left").select("sign", F.coalesce("linked", "label").alias("component_id"), "copies"))
+    known = hot_join(every.where("sign is not null"), best, "sign", "copies", counted.count())
+    out = known.unionByName(every.where("sign is null").withColumn("component_id", F.lit(None).cast("bigint")))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
