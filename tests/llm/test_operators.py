@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import html
+import math
 import random
 import re
 import zlib
@@ -55,6 +56,32 @@ def test_toxicity_learns_held_out_labels(spark, sf):
     assert sum(r.predicted for r in rows if r.toxic) >= 0.5 * sum(r.toxic for r in rows)
 
 
+def test_toxicity_scores_equal_plain_python(spark, edges):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").unionByName(edges.select("doc_id", "text", "lang", "source", "n_chars"))
+    model = toxicity.fit(d, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    known, bias = dict(zip(model[0].tolist(), model[1].tolist(), strict=True)), model[2]
+    assert len(known) >= 5
+
+    def plain(text):
+        runs = {r for r in re.findall(rb"[a-z\x80-\xff]+", (text or "").encode().lower())}
+        hashes = [int(common.word_hashes(np.frombuffer(r, np.uint8), toxicity._BETWEEN)[2][0]) for r in runs]
+        return 1 / (1 + math.exp(-max(-40, min(40, bias + sum(known.get(h, 0) for h in hashes)))))
+
+    got = collections.Counter((r.doc_id, round(r.score, 9), r.predicted) for r in toxicity.score(d, model).collect())
+    expected = collections.Counter((r.doc_id, round(p, 9), int(p >= 0.3)) for r in d.collect() for p in [plain(r.text)])
+    assert got == expected
+
+
+def test_toxicity_sample_is_bounded(spark):
+    # one id on many rows, all with other texts, counts once; the bound on bytes drops whole texts
+    rows = [(1, f"row {i} a b c") for i in range(200)] + [(k, "w " + " ".join(f"{chr(97 + j)}x{k}" for j in range(20))) for k in range(2, 12)]
+    d = spark.createDataFrame(rows, "k long, text string")
+    assert len(toxicity.presence(d)) == 11
+    few = toxicity.presence(d, most=500)
+    assert 0 < len(few) < 11 and sum(map(len, few)) * 8 <= 500
+    assert toxicity.presence(d.limit(0)) == []
+
+
 def test_toxicity_edges(spark, edges, none):
     labels = spark.createDataFrame([(1, 1), (7, 0), (8, None), (None, 1)], "doc_id long, toxic int")
     out = toxicity.score(edges, toxicity.fit(edges, labels)).collect()
@@ -285,12 +312,13 @@ def test_mix_edges(spark, edges, none):
 # 6
 
 
-def test_topk_equals_brute_force(spark):
+@pytest.mark.parametrize("rings", [(1, 2), (), (1, 8)])
+def test_topk_equals_brute_force(spark, rings):
     random.seed(6)
     rows = [(i, [random.choice([-0.5, 0.0, 0.25, 0.3]) for _ in range(4)], "x") for i in range(300)]
     rows += [(1000, None, ""), (1001, [1.0, None, 0.0, 0.0], ""), (1002, [float("nan")] * 4, ""), (1003, [float("inf"), 0.0, 0.0, 0.0], ""), (None, [1.0] * 4, ""), (7, [0.9, 0.9, 0.9, 0.9], "twice")]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
-    got = [tuple(r) for r in topk.top_k(d, d.where("vec_id % 50 = 0"), annulus=16, query_block=3, pivots=9).orderBy("query_id", "rank").collect()]
+    got = [tuple(r) for r in topk.top_k(d, d.where("vec_id % 50 = 0"), annulus=16, chunk=32, query_slice=3, rings=rings, pivots=9).orderBy("query_id", "rank").collect()]
     v = [(i, np.floor(256 * np.array(x, float))) for i, x, _ in rows if i is not None and x and None not in x and np.isfinite(x).all()]
     expected = []
     for q, x in v:
@@ -306,6 +334,17 @@ def test_topk_few_and_none(spark):
     assert topk.top_k(d.limit(0)).count() == 0 and topk.top_k(d, d.limit(0)).count() == 0
 
 
+def test_topk_of_many_equal_vectors_and_repeated_queries(spark):
+    # one vector on a third of all rows: one pivot's annuli hold them all
+    rows = [(i, [0.5, 0.5] if i % 3 else [float(i % 7) / 7, -0.25], "clash") for i in range(240)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, distance string").withColumns({"chunk": F.lit(1), "kth": F.lit("x")})
+    asked = d.where("vec_id % 50 = 0")
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in topk.top_k(d, asked.unionByName(asked), annulus=8, chunk=16, query_slice=2).collect())
+    v = {i: np.floor(256 * np.array(x)) for i, x, _ in rows}
+    expected = [(q, k + 1, i) for q in v if q % 50 == 0 for k, (_, i) in enumerate(sorted((-int(v[q] @ v[i]), i) for i in v if i != q)[:5])]
+    assert got == sorted(expected)
+
+
 # 7
 
 
@@ -388,25 +427,42 @@ def test_suffix_query_on_documents(spark, sf):
 # 9
 
 
+def whole_pieces(rows, texts, encode):
+    """Asserts that pieces cover the ids of (doc_id, text) once, with the right checksums, and fill sequences without gaps."""
+    ids = collections.defaultdict(list)
+    for i, text in texts:
+        ids[i].append([*encode(text or "").tolist(), 1])
+    pieces, by = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id].append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+        by[r.sequence_id].append((r.offset, r.length))
+    assert set(pieces) == set(ids)
+    for i, own in ids.items():
+        covered = collections.Counter()
+        for s, n, crc, t in pieces[i]:
+            fit = [x for x in own if len(x) == t and zlib.crc32(np.array(x[s : s + n], "<u4").tobytes()) == crc]
+            assert fit and n > 0 and s + n <= t
+            covered.update(range(s, s + n))
+        assert covered == collections.Counter(k for x in own for k in range(len(x)))
+    for own in by.values():
+        at = 0
+        for o, n in sorted(own):
+            assert o == at
+            at += n
+        assert at <= 2048
+
+
 def test_packing_is_whole_and_gapless(spark, sf, edges, none):
     path, ranks = packing.default_paths()
     slow = packing.encoder(path, None)
     for d in (docs(spark, sf), edges):
-        rows = packing.pack_documents(d).collect()
-        texts = [(r.doc_id, [*slow(r.text or "").tolist(), 1]) for r in d.select("doc_id", "text").collect()]
-        expected = sorted(((i, s, len(ids[s : s + 2048]), zlib.crc32(np.array(ids[s : s + 2048], "<u4").tobytes()), len(ids)) for i, ids in texts for s in range(0, len(ids), 2048)), key=str)
-        assert sorted(((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows), key=str) == expected
-        by = collections.defaultdict(list)
-        for r in rows:
-            by[r.sequence_id].append((r.offset, r.length))
-        for own in by.values():
-            at = 0
-            for o, n in sorted(own):
-                assert o == at
-                at += n
-            assert at <= 2048
+        rows = packing.pack_documents(d, keep_ids=True).collect()
+        whole_pieces(rows, [(r.doc_id, r.text) for r in d.select("doc_id", "text").collect()], slow)
+        assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
     assert packing.pack_documents(none).count() == 0
-    assert packing.token_pieces(edges, keep_ids=True).where("size(ids) <> length").count() == 0
+    key = lambda r: str(tuple(r))
+    a, b = (sorted(packing.pack_documents(x).collect(), key=key) for x in (docs(spark, sf), docs(spark, sf).repartition(7)))
+    assert a == b
 
 
 def test_fast_tokens_equal_tokenizers():
@@ -426,17 +482,74 @@ def test_added_tokens_are_the_contracts(spark):
         ids = contract.encode(t, add_special_tokens=False).ids
         assert packing.encoder(path, ranks)(t).tolist() == packing.encoder(path, None)(t).tolist() == ids
     assert 50256 in contract.encode(texts[0], add_special_tokens=False).ids
-    got = {r.doc_id: r.ids_crc32 for r in packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.ids_crc32 for r in packing.token_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == {i: zlib.crc32(np.array([*contract.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()) for i, t in enumerate(texts)}
 
 
-def test_sum_of_squares_wastes_little():
+def naive_sum_of_squares(sizes, capacity):
+    """Levels of the open bins after each item, by trying every placement and summing all squares."""
+    count, placed = collections.Counter(), []
+    for s in sizes:
+        best = None
+        for level in sorted((h for h in {0, *count} if h + s <= capacity), reverse=True):
+            c = count.copy()
+            if level:
+                c[level] -= 1
+            if level + s < capacity:
+                c[level + s] += 1
+            cost = sum(n * n for n in c.values())
+            if best is None or cost < best[0]:
+                best = (cost, level, +c)
+        placed.append(best[1])
+        count = best[2]
+    return placed
+
+
+def test_sum_of_squares_equals_naive_placement():
     rng = np.random.default_rng(9)
-    sizes = rng.integers(1, 2048, 20_000)
-    where, offset, bins = packing.sum_of_squares(sizes, 2048)
-    assert bins * 2048 <= 1.01 * sizes.sum()
-    fill = np.bincount(where, weights=sizes, minlength=bins)
-    assert fill.max() <= 2048 and (offset + sizes).max() <= 2048
+    for capacity in (12, 40):
+        sizes = rng.integers(1, capacity, 400)
+        where, offset, bins = packing.sum_of_squares(sizes, capacity)
+        assert offset.tolist() == naive_sum_of_squares(sizes.tolist(), capacity)
+        fill = np.bincount(where, weights=sizes, minlength=bins)
+        assert fill.max() <= capacity and len(fill) == bins
+
+
+@pytest.mark.parametrize(("capacity", "grain"), [(2048, 64), (64, 8), (64, 64)])
+def test_dissolved_windows_are_whole_and_full(capacity, grain):
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, capacity, 3000)
+    where, offset, bins = packing.sum_of_squares(sizes, capacity)
+    parts = packing.dissolved(sizes, where, offset, bins, capacity, grain)
+    by_item, by_bin = collections.defaultdict(list), collections.defaultdict(list)
+    for i, first, n, b, at in parts:
+        by_item[i].append((first, n))
+        by_bin[b].append((at, n))
+        assert n > 0 and first % grain == 0
+    for own, size in [(by_item[i], s) for i, s in enumerate(sizes.tolist())] + [(v, None) for v in by_bin.values()]:
+        at = 0
+        for first, n in sorted(own):
+            assert first == at
+            at += n
+        assert at == size if size is not None else at <= capacity
+    if grain < capacity:
+        assert len(by_bin) * capacity <= 1.02 * sizes.sum() + capacity
+        assert sum(sum(n for _, n in v) <= capacity - grain for v in by_bin.values()) <= 1
+
+
+def test_checksums_of_cut_parts():
+    raw = np.random.default_rng(2).integers(0, 50_000, 1500).astype("<u4").tobytes()
+    whole, marks = packing.checksums(raw, 64, 2048)
+    assert whole == zlib.crc32(raw) and len(marks) == 1500 // 64
+    for a, b in ((0, 64), (64, 640), (640, 1500), (0, 1500), (1472, 1500)):
+        upto = whole if b == 1500 else marks[b // 64 - 1]
+        assert packing.crc_after(upto, marks[a // 64 - 1] if a else 0, b - a) == zlib.crc32(raw[4 * a : 4 * b])
+
+
+def test_packing_pads_little(spark):
+    d = docs(spark, "/root/testdata/sf0.01")
+    rows = packing.pack_documents(d).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    assert len(rows) * 2048 <= 1.01 * sum(r.n for r in rows)
 
 
 # 10

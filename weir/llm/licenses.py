@@ -116,7 +116,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, width: int
 
     `start` is the number of the first matching shingle. Null and empty texts,
     and those of fewer than `width` words, hold nothing. Extra columns are left
-    alone; repeated rows are scanned each.
+    alone; repeated rows are scanned each. A text of any length is read as a
+    whole, within one task. An empty table gives an empty table.
     """
     names = TEMPLATES if templates is None else templates
     kind = dict(docs.select(F.col(id_col).alias("doc_id")).dtypes)["doc_id"]

@@ -97,7 +97,9 @@ def remove_repeats(docs: DataFrame, *, width: int = WINDOW, id_col: str = "doc_i
     maximal runs of removed words as (start, end) word numbers, `kept_text` is
     the rest joined by one blank. Ids are integers. Null and empty texts have no
     words. Rows with a null id neither lose words nor cost others theirs; rows
-    that share an id count as one document. Extra columns are left alone.
+    that share an id count as one document. Extra columns are left alone. A text
+    of any length is read as a whole, within one task. An empty table gives an
+    empty table.
     """
     size = text_bytes(docs, text_col)
     parts = max(16, size // part_bytes)
