@@ -593,6 +593,44 @@ def test_menus_of_sections_go_on_a_hot_host(spark, monkeypatch, bound):
     assert all(out[2000 + i] == "Copied\nSame\nown list" for i in range(30))
 
 
+def test_counts_alone_find_the_articles(spark):
+    # on hosts of 5 pages or more nothing is left for the markup to decide
+    p = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = p.collect()
+    hosts = collections.Counter(pages.host_of(r.url) for r in rows)
+    alone = {r.page_id: r.text for r in pages.extract_pages(p, markup=False).collect()}
+    large = [r for r in rows if hosts[pages.host_of(r.url)] >= pages.MIN_PAGES]
+    assert len(large) > 100 and all(alone[r.page_id] == article(r.html) != pages.extract(r.html, markup=False) for r in large)
+
+
+def test_unnamed_menus_go_without_article_tags(spark):
+    # no tag and no class says what is what: only menus have a shape that recurs
+    p = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    plain = F.regexp_replace(F.regexp_replace("html", "(</?)(nav|article|footer)", "$1div"), ' class="ad"', "")
+    rows = p.withColumn("html", plain).collect()
+    hosts = collections.Counter(pages.host_of(r.url) for r in rows)
+    got = {r.page_id: r.text for r in pages.extract_pages(p.withColumn("html", plain)).collect()}
+    for r in rows:
+        menu = [html.unescape(x) for x in re.findall("<li><a[^>]*>([^<]*)", r.html)]
+        rest = pages.extract(r.html).split("\n")
+        cut = rest[len([x for x in menu if x.split()]) :] if hosts[pages.host_of(r.url)] >= pages.MIN_PAGES else rest
+        assert got[r.page_id].split("\n") == cut
+
+
+def test_pages_equal_naive_counts(spark):
+    # every subtree's text by a plain reading, counted in a dictionary
+    random.seed(4)
+    blocks = [f"<div><p>Block {k} of the site</p></div>" for k in range(12)]
+    rows = [(i, f"http://h{i % 2}.test/", "<body>" + "".join(random.sample(blocks, 4)) + f"<div>Own text of page {i}</div></body>") for i in range(60)]
+    count = collections.Counter()
+    for i, _, page in rows:
+        count.update((i % 2, x) for x in set(re.findall("Block \\d+ of the site", page)))
+    out = {r.page_id: r.text for r in pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), min_pages=11, min_articles=11).collect()}
+    for i, _, page in rows:
+        kept = [x for x in re.findall("Block \\d+ of the site", page) if count[i % 2, x] < 11]
+        assert out[i] == "\n".join([*kept, f"Own text of page {i}"])
+
+
 def test_copied_articles_stay(spark):
     page = "<body><nav>n</nav><article><h1>T</h1><p>Same words</p><ul><li>x</ul></article><footer>f</footer>"
     d = spark.createDataFrame([(i, "http://h.test/", page) for i in range(9)], "page_id long, url string, html string").withColumns({"host": F.lit("h"), "templates": F.lit(0)})
@@ -611,6 +649,11 @@ def test_copied_articles_stay(spark):
         ("<!-- <p>no</p> --><p title='a>b'>t&eacute;xt &#8364;&nbsp;</p>", "téxt €"),
         ("<div>" * 5000 + "deep", "deep"),
         ("<article><p>open", "open"),
+        ('<article><div class="entry-header"><h1>Title</h1></div><p>Body</p></article>', "Title\nBody"),
+        ('<article><p class="share-price">Price was 3</p><div class="alert-level">text</div></article>', "Price was 3\ntext"),
+        ("<article><p>one that is far longer than the other</p></article><article><p>b</p></article>", "one that is far longer than the other\nb"),
+        ('<article>x<article class="comment">c</article></article><article class="comment-list">d</article>', "x"),
+        ('<div class="widget"><article><div class="share-buttons">s</div><p>kept</p></article></div>', "kept"),
     ],
 )
 def test_markup(page, text):

@@ -1,15 +1,23 @@
 """HTML extraction (operator 10): site template removal.
 
-Each page is read into a flat list of events. The subtrees of its containers
-are hashed (tag names and normalised text, attributes aside) and Spark counts on
-how many different pages of the same host each hash occurs; a second reading
-removes the subtrees that recur on a fixed number of them, however large the host, together with what the markup
-itself names as menu, advert, form and so on, and returns the article's blocks.
+Each page is read into a flat list of events. Subtrees outside the article are
+hashed in two ways, and Spark counts on how many different pages of the same
+host each hash occurs; a second reading removes the subtrees that recur on a
+fixed number of them, however large the host:
+
+* by tag and text: containers, and in a page without an article also paragraphs,
+  headings and list items;
+* by shape alone (tags and class names; equal neighbours count once): lists of
+  links, as menus whose entries change from page to page, and elements that the
+  markup names as menu, advert, footer and so on. A name alone decides only what
+  recurs too seldom to be counted.
 
 An article that is copied to many pages stays: elements that hold the article
 are never removed, paragraphs and headings in an article neither, and other
-containers in it only if they recur in several different articles of the host.
-Copies of one page or one article count once.
+containers in it only if their text recurs in several different articles of the
+host. Copies of one page or one article count once. A class name counts if all
+its words name what is not the article ("comment-list", not "share-price"); by
+a name no paragraph, no headline and nothing that holds a page's first headline goes.
 
 Rows are distinct by (host, hash, page or article) before they are counted, and
 counted in part before they are shuffled by (host, hash), so a host with a third
@@ -19,8 +27,8 @@ after a check of their number, else each page's hashes are joined with them.
 
 from __future__ import annotations
 
-import html as markup
 import re
+from html import unescape
 
 import pyarrow as pa
 import xxhash
@@ -46,6 +54,15 @@ DROPPED_NAMES = frozenset(
     "notice notices cookie cookies consent gdpr newsletter subscribe subscription signup share sharing social comment comments respond replies disqus related recommended popup modal overlay toolbar "
     "pagination pager widget contentinfo complementary search alert alertdialog dialog disclaimer header".split()
 )
+#: Words that may stand beside those in one class name.
+NEUTRAL = frozenset("list lists box container wrapper wrap area block section item items link links button buttons bar inner outer content site page post posts main top bottom left right icon icons form group text title".split())
+#: Elements without any text of the page.
+NO_TEXT = frozenset("head script style noscript template iframe object embed svg canvas audio video map title xmp noembed noframes".split())
+#: Elements that the markup itself calls menu, footer and so on.
+SEMANTIC = frozenset("nav footer aside header form dialog menu".split())
+LISTED = frozenset("li tr dt dd".split())
+#: Links that make a list of links.
+MIN_LINKS = 3
 CONTAINERS = frozenset("div section ul ol dl table nav aside header footer form center fieldset details figure".split())
 CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 HOLDERS = frozenset(("html", "body", "article", "main"))
@@ -62,6 +79,7 @@ _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _MAIN = re.compile(r"""(?:^|\s)role\s*=\s*["']?main\b""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_DIGITS = re.compile(r"[0-9]+")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^:/?#]*)")
 
 
@@ -148,18 +166,71 @@ def read(page: str) -> tuple[list, list[str], list[str]]:
     return events, tags, attributes
 
 
-def dropped(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether the markup itself says that an element is not article text."""
-    if tag in DROPPED:
-        return True
-    if tag == "header":
-        return not inside
-    if not attributes or tag in HOLDERS:
-        return False
+def named(attributes: str) -> bool:
+    """Whether a class, id or role says that an element is not article text."""
     for names in _NAMES.findall(attributes):
-        if not DROPPED_NAMES.isdisjoint(_WORD.findall(names.lower())):
-            return True
-    return _HIDDEN.search(attributes) is not None
+        for name in names.strip("\"'").lower().split():
+            words = _WORD.findall(name)
+            if not DROPPED_NAMES.isdisjoint(words) and all(w in DROPPED_NAMES or w in NEUTRAL for w in words):
+                return True
+    return False
+
+
+class Page:
+    """The events of a page and, of each element, what the rules look at."""
+
+    def __init__(self, page: str):
+        self.events, self.tags, self.attributes = read(page)
+        n = len(self.tags)
+        self.first, self.last = spans(self.events, n)
+        self.inside, self.holds, self.titled, self.outer = [False] * n, [False] * n, [False] * n, [-1] * n
+        stack, depth, outer = [], 0, -1
+        self.tops = 0  # articles and mains in no other
+        for e in self.events:
+            if type(e) is str:
+                continue
+            if e >= 0:
+                tag = self.tags[e]
+                self.inside[e], self.outer[e] = depth > 0, outer
+                if tag in ("article", "main"):
+                    if not depth:
+                        outer = e
+                        self.tops += 1
+                        for j in stack:
+                            self.holds[j] = True
+                    depth += 1
+                elif tag == "h1":
+                    for j in stack:
+                        self.titled[j] = True
+                stack.append(e)
+            else:
+                stack.pop()
+                if self.tags[~e] in ("article", "main"):
+                    depth -= 1
+                    outer = outer if depth else -1
+
+        self.off = [self.by_name(i) for i in range(n)]
+
+    def by_name(self, i: int) -> bool:
+        """Whether names or attributes of element i say that it is not article text."""
+        attributes, tag = self.attributes[i], self.tags[i]
+        if not attributes or tag in ("html", "body", "main"):
+            return False
+        if _HIDDEN.search(attributes) is not None:
+            return not self.holds[i]
+        if tag in CONTENT or self.titled[i] or (tag == "article" and not self.inside[i]):
+            return False
+        return named(attributes) and not (self.holds[i] and self.covers(i))
+
+    def covers(self, i: int) -> bool:
+        """Whether element i holds every outer article of the page."""
+        return sum(1 for j in range(i + 1, len(self.tags)) if self.first[j] < self.last[i] and self.tags[j] in ("article", "main") and not self.inside[j]) == self.tops
+
+    def by_markup(self, i: int) -> bool:
+        tag = self.tags[i]
+        if tag == "header":
+            return not self.inside[i] and not (self.holds[i] and self.covers(i))
+        return tag in DROPPED or self.off[i]
 
 
 def spans(events: list, n: int) -> tuple[list[int], list[int]]:
@@ -194,24 +265,56 @@ def digests(events: list, tags: list[str]) -> list[int]:
     return out
 
 
-def articles(events, tags, attributes, first, last, gone) -> list[int]:
-    """The elements whose text is the page's: articles, else main, else body, else all."""
-    for found in (lambda i: tags[i] == "article", lambda i: tags[i] == "main" or _MAIN.search(attributes[i]) is not None):
-        at, best = [], []
-        upto = -1
-        for i in range(len(tags)):
-            if first[i] > upto and gone[i]:
-                upto = last[i]
-            elif first[i] > upto and found(i):
+def shapes(p: Page) -> list[int]:
+    """A hash of the shape of each subtree outside an article that is a list of links or named by the markup; else 0."""
+    out, stack = [0] * len(p.tags), [[[], 0, 0, 0]]
+    links = 0
+    for e in p.events:
+        if type(e) is str:
+            n = len("".join(e.split()))
+            stack[-1][1] += n
+            if links:
+                stack[-1][2] += n
+        elif e >= 0:
+            links += p.tags[e] == "a"
+            stack.append([[], 0, 0, 0])
+        else:
+            i = ~e
+            tag = p.tags[i]
+            links -= tag == "a"
+            parts, text, linked, count = stack.pop()
+            count += tag == "a"
+            names = " ".join(sorted(_DIGITS.sub("0", " ".join(x.strip("\"'") for x in _NAMES.findall(p.attributes[i]))).lower().split()))
+            h = xxhash.xxh64_intdigest("\x01".join(["shape", tag, names, *parts]))
+            above = stack[-1]
+            if tag not in INLINE or tag == "a":
+                part = str(h)
+                if not above[0] or above[0][-1] != part:
+                    above[0].append(part)
+            above[1] += text
+            above[2] += linked
+            above[3] += count
+            if text and not p.inside[i] and not p.holds[i] and tag not in HOLDERS and tag not in NO_TEXT:
+                if (tag in CONTAINERS and count >= MIN_LINKS and 2 * linked >= text) or tag in SEMANTIC or p.off[i]:
+                    out[i] = h - (1 << 64) if h >> 63 else h
+    return out
+
+
+def articles(p: Page, gone: list[bool]) -> list[int]:
+    """The elements whose text is the page's: all articles, else main, else none (the whole page)."""
+    for found in (lambda i: p.tags[i] == "article", lambda i: p.tags[i] == "main" or _MAIN.search(p.attributes[i]) is not None):
+        at, upto = [], -1
+        for i in range(len(p.tags)):
+            if p.first[i] > upto and gone[i]:
+                upto = p.last[i]
+            elif p.first[i] > upto and found(i):
                 at.append(i)
-                upto = last[i]
-        if len(at) == 1:
-            return at
+                upto = p.last[i]
+        # comments and teasers may be articles too
+        at = [i for i in at if not named(p.attributes[i])] or at
+        at = [i for i in at if any(type(e) is str and not e.isspace() for e in p.events[p.first[i] : p.last[i]])]
         if at:
-            sizes = [sum(len(e) for e in events[first[i] : last[i]] if type(e) is str) for i in at]
-            best = [i for i, s in zip(at, sizes, strict=True) if 2 * s >= max(sizes) and s]
-            if best:
-                return best
+            return at
     return []
 
 
@@ -220,68 +323,44 @@ def signed(parts: list[str]) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def listed(p: Page, hashes: list[int]) -> list[int]:
+    """Elements whose text is counted: containers and, where the page has no article, what lies in them."""
+    return [i for i, t in enumerate(p.tags) if hashes[i] and not p.holds[i] and (t in CONTAINERS or (not p.tops and (t in CONTENT or t in LISTED)))]
+
+
 def containers(page: str) -> list[tuple[int, bool, int]]:
     """(hash, inside an article, hash of that article or else of the page) of each subtree of the page that may be a template."""
-    events, tags, _ = read(page)
-    first, last = spans(events, len(tags))
-    hashes = digests(events, tags)
-    whole = signed([" ".join(e.split()) for e in events if type(e) is str])
-    depth, inside, holds, around = 0, [False] * len(tags), [False] * len(tags), [whole] * len(tags)
-    stack = []
-    for e in events:
-        if type(e) is str:
-            continue
-        if e >= 0:
-            inside[e] = depth > 0
-            if depth:
-                around[e] = outer
-            if tags[e] in ("article", "main"):
-                if not depth:
-                    outer = hashes[e]
-                depth += 1
-                for j in stack:
-                    holds[j] = True
-            stack.append(e)
-        else:
-            stack.pop()
-            depth -= tags[~e] in ("article", "main")
-    article = any(t in ("article", "main") for t in tags)
-    return [(hashes[i], inside[i], around[i]) for i, t in enumerate(tags) if hashes[i] and not holds[i] and (t in CONTAINERS or (t in CONTENT and not article))]
+    p = Page(page)
+    hashes = digests(p.events, p.tags)
+    whole = signed([" ".join(e.split()) for e in p.events if type(e) is str])
+    out = [(hashes[i], p.inside[i], hashes[p.outer[i]] if p.inside[i] else whole) for i in listed(p, hashes)]
+    return out + [(h, False, whole) for h in shapes(p) if h]
+
 
+def extract(page: str | None, templates: frozenset = frozenset(), frequent: frozenset = frozenset(), *, markup: bool = True) -> str:
+    """The main text of a page; `templates` are hashes to remove outside an article, `frequent` inside it.
 
-def extract(page: str | None, templates: frozenset = frozenset(), frequent: frozenset = frozenset()) -> str:
-    """The main text of a page; `templates` are hashes to remove outside an article, `frequent` inside it."""
+    Without `markup` nothing goes that does not recur, and text outside an
+    article stays unless it recurs: what the counts alone do.
+    """
     if not page:
         return ""
-    events, tags, attributes = read(page)
-    n = len(tags)
-    first, last = spans(events, n)
-    hashes = digests(events, tags) if templates or frequent else None
-    inside, holds, stack, depth = [False] * n, [False] * n, [], 0
-    for e in events:
-        if type(e) is str:
-            continue
-        if e >= 0:
-            inside[e] = depth > 0
-            if tags[e] in ("article", "main"):
-                depth += 1
-                for j in stack:
-                    holds[j] = True
-            stack.append(e)
-        else:
-            stack.pop()
-            depth -= tags[~e] in ("article", "main")
-    has = any(t in ("article", "main") for t in tags)
-    gone = [dropped(t, a, i) for t, a, i in zip(tags, attributes, inside, strict=True)]
-    if hashes is not None:
-        for i, t in enumerate(tags):
-            if hashes[i] and not holds[i] and (t in CONTAINERS or (t in CONTENT and not has)) and hashes[i] in (frequent if inside[i] or t in CONTENT else templates):
+    p = Page(page)
+    events, tags, first, last = p.events, p.tags, p.first, p.last
+    gone = [p.by_markup(i) if markup else t in NO_TEXT for i, t in enumerate(tags)]
+    if templates or frequent:
+        hashes, shape = digests(events, tags), shapes(p)
+        for i in listed(p, hashes):
+            if hashes[i] in (frequent if p.inside[i] or tags[i] in CONTENT or tags[i] in LISTED else templates):
+                gone[i] = True
+        for i, h in enumerate(shape):
+            if h and h in templates:
                 gone[i] = True
-    roots = articles(events, tags, attributes, first, last, gone) if has or "main" in page else []
+    roots = articles(p, gone) if markup and (p.tops or "main" in page) else []
     blocks, held = [], []
 
     def flush() -> None:
-        words = " ".join(markup.unescape("".join(held)).split())
+        words = " ".join(unescape("".join(held)).split())
         if words:
             blocks.append(words)
         held.clear()
@@ -348,12 +427,14 @@ def with_templates(pages: DataFrame, found: DataFrame) -> DataFrame:
     return keyed.join(sets, "_key", "left").drop("_key")
 
 
-def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **options) -> DataFrame:
+def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", markup: bool = True, **options) -> DataFrame:
     """page_id, url, text.
 
     Null and empty pages have empty text; pages whose url names no host are
     extracted by their markup alone. Repeated rows are pages each. Blocks are in
-    page order, white space in a block is one blank, nothing is cut off.
+    page order, white space in a block is one blank, nothing is cut off. A page
+    of any length is read as a whole, within one task. Extra columns are left
+    out. An empty table gives an empty table. `markup`: see `extract`.
     """
     d = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     found = materialise(template_table(d, **options))
@@ -369,7 +450,7 @@ def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
 
     def run(batches):
         for batch in batches:
-            texts = [extract(page, frozenset(t or ()), frozenset(f or ())) for page, t, f in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+            texts = [extract(page, frozenset(t or ()), frozenset(f or ()), markup=markup) for page, t, f in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     return known.select("page_id", "url", "html", "templates", "frequent").mapInArrow(run, f"page_id {kind}, url string, text string")
