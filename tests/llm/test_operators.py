@@ -160,8 +160,8 @@ def test_quality_base_and_score(spark, sf):
     # the hash comes from Spark, the rest from Python
     pairs = sorted({(a, b) for t in texts.values() for w in [[x.decode() for x in words(t)]] for a, b in [*zip(w, w[1:], strict=False), *((x, None) for x in w)]}, key=str)
     p = spark.createDataFrame(pairs, "a string, b string")
-    h = F.when(F.col("b").isNull(), F.xxhash64("a")).otherwise(F.xxhash64("a", "b"))
-    bucket = {(r.a, r.b): r.h for r in p.select("a", "b", F.pmod(h, F.lit(n)).alias("h")).collect()}
+    h = F.when(F.col("b").isNull(), F.pmod(F.xxhash64("a"), F.lit(n))).otherwise(F.pmod(F.xxhash64("a", "b"), F.lit(n)) + n)
+    bucket = {(r.a, r.b): r.h for r in p.select("a", "b", h.alias("h")).collect()}
     raw, mine = collections.Counter(), collections.Counter()
     for i, t in texts.items():
         w = [x.decode() for x in words(t)]
@@ -203,15 +203,15 @@ def test_quality_rejects_the_same_junk_in_a_larger_corpus(spark, monkeypatch):
         d = spark.createDataFrame(rows, "doc_id long, text string")
         out.append({r.doc_id for r in quality.quality(d, trusted).where("doc_id < 2000 and not kept").collect()})
     assert out[0] == out[1] == {i for i, _ in junk}
-    assert quality.quality(d, trusted, buckets=1 << 8).where("doc_id < 2000 and not kept").count() < 30
+    assert quality.quality(d, trusted, buckets=(1 << 4, 1 << 4)).where("doc_id < 2000 and not kept").count() < 30
 
 
 def test_quality_counters_follow_the_input(spark, sf):
     d = docs(spark, sf)
-    assert quality.counters(d) == quality.BUCKETS
-    distinct = len({g for r in d.collect() for w in [words(r.text)] for g in [*w, *zip(w, w[1:], strict=False)]})
-    n = quality.counters(d, least=1, per_counter=4)
-    assert n & (n - 1) == 0 and 1.8 <= distinct / n <= 4.4
+    assert quality.counters(d) == (quality.BUCKETS, quality.BUCKETS)
+    every = [x for r in d.collect() for x in words(r.text)]
+    n, m = quality.counters(d, least=1, per_counter=4, pairs=2)
+    assert n & (n - 1) == m & (m - 1) == 0 and 1.8 <= len(set(every)) / n <= 4.4 and 2 <= m / len(every) ** 0.5 < 4
 
 
 def test_quality_by_shuffle_equals_by_array(spark, sf, edges, none, monkeypatch):
@@ -325,6 +325,20 @@ def test_mix_of_overlapping_sources(spark):
     assert abs(sum(r.taken for r in rows) - 1.2 * sum(r.size for r in rows)) <= 14
 
 
+def test_mix_of_very_many_sources_equals_the_flow(spark, monkeypatch):
+    random.seed(5)
+    rows = [(i, f"text {'w ' * random.randrange(9)}", "en", random.choice([None, "hot", "hot", *(f"s{k}" for k in range(40))]), 1) for i in range(900)]
+    d = spark.createDataFrame([*rows, *EDGES], DOCS)
+    key = lambda r: str(tuple(r))
+    flow = sorted(mixing.mix_documents(d).collect(), key=key)
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 3)
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    spread = sorted(mixing.mix_documents(d).collect(), key=key)
+    assert len(flow) == len(spread)
+    for a, b in zip(flow, spread, strict=True):
+        assert (a.doc_id, a.sources, a.size, a.source_size, a.taken) == (b.doc_id, b.sources, b.size, b.source_size, b.taken) and a.target == pytest.approx(b.target)
+
+
 def test_mix_edges(spark, edges, none):
     rows = mixing.mix_documents(edges).collect()
     assert len(rows) == len(EDGES) and all(r.taken <= 2 * r.size for r in rows)

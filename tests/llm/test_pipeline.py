@@ -1,4 +1,5 @@
 import collections
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,13 +62,35 @@ def test_packing_stage(stages):
     t.whole_pieces(after.collect(), [(r.doc_id, r.text) for r in before.collect()], slow)
 
 
-def test_edges(spark, sf, tmp_path):
-    d = spark.createDataFrame(t.EDGES, t.DOCS).withColumn("_copies", F.lit("clash"))
-    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+def test_edges(spark, tmp_path):
+    # nulls in every column, equal rows and rows of one id, texts long enough to pass the base rules
+    random.seed(1)
+    text = lambda k, n=70: " ".join(f"w{random.Random(k * 1000 + j).randrange(4000)}" for j in range(n))
+    long = [(None, text(1), "en", None, None), (None, text(1), None, "a", 5), (21, text(2), "en", "a", 1), (21, text(2), "en", "a", 1), (22, text(2), None, "b", 2), (23, f"{text(3)} {text(2)}", "en", "b", 3), (24, text(4, 3000), "de", None, 9)]
+    docs = spark.createDataFrame([*t.EDGES, *long], t.DOCS)
+    labels = spark.createDataFrame([(21, 1, 0), (24, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
     labels.write.parquet(str(tmp_path / "labels.parquet"))
-    for docs in (d.drop("_copies"), d.drop("_copies").limit(0)):
-        for _, f in pipeline.STAGES:
-            f(spark, docs, str(tmp_path)).count()
+    rows = lambda d: collections.Counter((r.doc_id, r.text) for r in d.collect())
+    quality_out = pipeline.quality_rules(spark, docs, str(tmp_path))
+    judged = quality.quality(docs, labels.where("quality = 1").select("doc_id"), carry=("text",))
+    assert rows(quality_out) == rows(judged.where("kept")) and sum(rows(quality_out).values()) > 3
+    # without the short texts: the next stages see all long ones
+    docs = spark.createDataFrame(long, t.DOCS)
+    near = pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert rows(near) == collections.Counter([(None, text(1)), (None, text(1)), (21, text(2)), (23, long[5][1]), (24, text(4, 3000))])
+    cut = pipeline.repeated_passages(spark, near, str(tmp_path))
+    assert rows(cut) == collections.Counter([(None, text(1)), (None, text(1)), (21, text(2)), (23, text(3)), (24, text(4, 3000))])
+    mixed = pipeline.source_mix(spark, cut, str(tmp_path))
+    taken = collections.Counter()
+    for r in mixing.mix_documents(cut, carry=("text",)).where("taken > 0").collect():
+        taken[r.doc_id, r.carried_text] += r.taken // r.size
+    assert rows(mixed) == taken and {None, 24} <= {k[0] for k in taken}
+    packed = pipeline.packed(spark, mixed, str(tmp_path)).collect()
+    assert sum(r.length for r in packed ) == sum(r.doc_tokens for r in packed if r.start == 0)
+    assert all(before.columns == docs.columns for before in (quality_out, near, cut, mixed))
+    none = docs.limit(0)
+    for _, f in pipeline.STAGES:
+        assert f(spark, none, str(tmp_path)).count() == 0
 
 
 def test_mixing_keeps_rows_without_id_and_rows_of_one_id(spark, tmp_path):

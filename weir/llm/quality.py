@@ -1,11 +1,15 @@
 """Quality rules (operator 3), native: hashed n-gram log-likelihood ratio.
 
-Words and word pairs are hashed to `buckets` counters, a power of two that
-grows with the number of distinct n-grams, so that a counter is shared by a
-bounded number of them at every size. Two multinomials over them are estimated: one from all trusted documents, one from all documents. A
-document's score is the mean over its n-grams of log(trusted / raw); it is kept
-if base rules pass and the score reaches a fixed threshold, so the verdict on a
-text depends on the tables alone, never on chance or order of rows.
+Words and word pairs are hashed to counters of their own, both powers of two
+that grow with the input: those of words with the number of distinct words, those
+of pairs with the square root of the number of words. So a word, which says most,
+shares its counter with a bounded number of others at every size, while the
+counts of pairs stay small enough to be summed in part before they are shuffled.
+Two multinomials over the counters are estimated: one from all trusted documents,
+one from all documents. A document's score is the mean over its n-grams of
+log(trusted / raw); it is kept if base rules pass and the score reaches a fixed
+threshold, so the verdict on a text depends on the tables alone, never on chance
+or order of rows.
 
 Everything is DataFrame functions. The counts are partial sums per task. Up to
 `BROADCAST_COUNTERS` the weights come back as one array, as a scalar subquery, so
@@ -24,10 +28,11 @@ from pyspark.sql import functions as F
 
 from weir.llm.common import WORD_RE, materialise, table
 
-#: The least number of counters, and the distinct n-grams from which a counter is one too few.
-BUCKETS, PER_COUNTER = 1 << 16, 32
-#: Up to so many weights are one array (16 MB); more are joined by a shuffle.
-BROADCAST_COUNTERS = 1 << 21
+#: The least number of counters of words and of pairs each; distinct words from which a
+#: counter is one too few; counters of pairs for the square root of the number of words.
+BUCKETS, PER_COUNTER, PAIRS = 1 << 16, 4, 32
+#: Up to so many weights are one array (64 MB); more are joined by a shuffle.
+BROADCAST_COUNTERS = 1 << 23
 #: Counters of more n-grams than this, and than this share of all, are broadcast in that join: at most 65,536.
 HOT, HOT_SHARE = 1 << 16, 1 / (1 << 16)
 #: Copies of a text are spread over so many keys of that join.
@@ -62,26 +67,30 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(without(text, SPACES[1:], " "), " "), "")
 
 
-def ngrams(words: Column, buckets: int | None) -> Column:
-    """The counters of all words and word pairs, in order; their hashes without `buckets`."""
-    of = (lambda h: h) if buckets is None else (lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
-    single = F.transform(words, lambda x: of(F.xxhash64(x)))
-    pairs = F.transform(words, lambda x, i: F.when(i > 0, of(F.xxhash64(F.get(words, i - 1), x))))
+def ngrams(words: Column, buckets: tuple[int, int]) -> Column:
+    """The counters of all words, then of all word pairs, which come after those of words."""
+    of, pairs_of = buckets
+    single = F.transform(words, lambda x: F.pmod(F.xxhash64(x), F.lit(of)).cast("int"))
+    pairs = F.transform(words, lambda x, i: F.when(i > 0, F.pmod(F.xxhash64(F.get(words, i - 1), x), F.lit(pairs_of)).cast("int") + of))
     return F.concat(single, F.filter(pairs, lambda x: x.isNotNull()))
 
 
-def counters(docs: DataFrame, *, text_col: str = "text", least: int = BUCKETS, per_counter: int = PER_COUNTER) -> int:
-    """A power of two, `least` or more, with at most about `per_counter` distinct n-grams a counter.
+def counters(docs: DataFrame, *, text_col: str = "text", least: int = BUCKETS, per_counter: int = PER_COUNTER, pairs: int = PAIRS) -> tuple[int, int]:
+    """Powers of two, `least` or more: with at most about `per_counter` distinct words a counter; `pairs` times the root of the number of words.
 
-    The distinct n-grams are counted by HyperLogLog over all texts, which does
-    not depend on the order of rows.
+    Distinct words are counted by HyperLogLog over all texts, which does not
+    depend on the order of rows.
     """
-    grams = let(words_of(F.coalesce(F.col(text_col), F.lit(""))), lambda w: ngrams(w, None))
-    distinct = docs.select(F.explode(grams).alias("g")).agg(F.approx_count_distinct("g")).first()[0]
-    n = least
-    while n * per_counter < distinct:
-        n *= 2
-    return n
+    words = F.explode(F.transform(words_of(F.coalesce(F.col(text_col), F.lit(""))), lambda x: F.xxhash64(x)))
+    distinct, n = docs.select(words.alias("w")).agg(F.approx_count_distinct("w"), F.count("*")).first()
+
+    def power(wanted: float) -> int:
+        out = least
+        while out < wanted:
+            out *= 2
+        return out
+
+    return power(distinct / per_counter), power(pairs * n**0.5)
 
 
 def repeat_words(words: Column) -> Column:
@@ -113,7 +122,7 @@ def base_figures(docs: DataFrame, text_col: str = "text") -> list[Column]:
     ]
 
 
-def weights(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
+def weights(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: tuple[int, int] = (BUCKETS, BUCKETS), smoothing: float = SMOOTHING) -> DataFrame:
     """b, raw, weight: log(trusted / raw) of each counter that occurs.
 
     Both counts are compared on the trusted side's scale, where `smoothing`
@@ -141,7 +150,7 @@ def as_array(learnt: DataFrame, buckets: int) -> DataFrame:
     return blocks.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "w"))), lambda x: x["w"])).alias("weights"))
 
 
-def scores(keyed: DataFrame, learnt: DataFrame, buckets: int) -> DataFrame:
+def scores(keyed: DataFrame, learnt: DataFrame, buckets: tuple[int, int]) -> DataFrame:
     """_k, score of texts (_k, _text): the mean weight of the n-grams under a key, by a shuffle on the counter.
 
     Copies of a text under one key leave its mean as it is. Counters that many
@@ -158,7 +167,7 @@ def scores(keyed: DataFrame, learnt: DataFrame, buckets: int) -> DataFrame:
 
 
 def quality(
-    docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, threshold: float = THRESHOLD,
+    docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: tuple[int, int] | None = None, threshold: float = THRESHOLD,
     min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """doc_id, n_words, base figures, base_failed, score, kept, and the columns named in `carry`.
@@ -168,36 +177,35 @@ def quality(
     one. Repeated rows are judged each, and alike. Without any trusted document
     all weights are small and nearly alike; an empty table gives an empty table.
     A text of any length is one array of words within one task, never cut.
-    The number of counters follows from the texts unless `buckets` gives it.
+    The numbers of counters (words, pairs) follow from the texts unless `buckets` gives them.
     """
     buckets = counters(docs, text_col=text_col) if buckets is None else buckets
     learnt = weights(docs, trusted, id_col=id_col, text_col=text_col, buckets=buckets)
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in carry])
-    local = buckets <= BROADCAST_COUNTERS
+    local = sum(buckets) <= BROADCAST_COUNTERS
     if local:
-        d = d.withColumn("_w", as_array(learnt, buckets).scalar())
+        d = d.withColumn("_w", as_array(learnt, sum(buckets)).scalar())
     else:
         text = F.coalesce("_text", F.lit(""))
         spread = F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))
         d = d.withColumn("_k", F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"), spread.alias("c")))
         d = d.join(scores(d.select("_k", "_text"), learnt, buckets).withColumnRenamed("score", "_score"), "_k", "left").fillna(0.0, ["_score"])
-    w = F.col("_w")
 
     def of(words: Column) -> Column:
         if local:
             grams = ngrams(words, buckets)
-            score = let(grams, lambda g: F.when(F.size(g) > 0, F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(w, b)) / F.size(g)).otherwise(F.lit(0.0)))
+            score = let(grams, lambda g: F.when(F.size(g) > 0, F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(F.col("_w"), b)) / F.size(g)).otherwise(F.lit(0.0)))
         else:
             score = F.col("_score")
         return F.struct(F.size(words).cast("bigint").alias("n_words"), repeat_words(words).cast("bigint").alias("n_repeat_words"), score.alias("score"))
 
-    # a generated row, not a projection: a filter on the verdict then cannot be moved below it, where all would be computed again
-    found = F.transform(F.array(words_of(F.coalesce("_text", F.lit("")))), of)
-    d = d.select("*", F.inline_outer(found))
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+    found = let(words_of(F.coalesce("_text", F.lit(""))), of)
+    # beside the partition's number all is computed once: a filter on the verdict is not moved below it, to compute it again
+    d = d.select("*", F.struct(found.alias("f"), F.spark_partition_id().alias("p")).alias("_f"))
+    failed = (F.col("_f.f.n_words") < min_words) | (100 * F.col("_f.f.n_repeat_words") > max_repeat_percent * F.col("_f.f.n_words"))
     return d.select(
-        "doc_id", "n_words", *base_figures(d, "_text"), "n_repeat_words", failed.alias("base_failed"), "score",
-        (~failed & (F.col("score") >= threshold)).alias("kept"), *[F.col(f"_keep_{c}").alias(c) for c in carry if c != id_col],
+        "doc_id", "_f.f.n_words", *base_figures(d, "_text"), "_f.f.n_repeat_words", failed.alias("base_failed"), "_f.f.score",
+        (~failed & (F.col("_f.f.score") >= threshold)).alias("kept"), *[F.col(f"_keep_{c}").alias(c) for c in carry if c != id_col],
     )
 
 
