@@ -7,6 +7,11 @@ sources' quotas: the k-th copy of a pattern costs k - 1, a convex cost, so no
 document is repeated while another has room. Each pattern then takes whole
 copies of all its documents and one more copy of a seeded part.
 
+With more than `MAX_PATTERNS` patterns, each of one source (web domains, say),
+nothing is gathered: such a pattern is the only one of its source and takes the
+source's whole target, which is the flow; weights, targets and cuts are then
+DataFrame arithmetic, and the water level a few sums over the sources.
+
 The seeded part is found without ordering a pattern as a whole: documents fall
 into 4096 buckets by the first hex digits of a seeded md5, bucket sums give the
 one bucket that the cut falls into, and only its documents are ordered. A
@@ -21,11 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weir.llm.common import WORD_RE, materialise, seeded, words_sql
+from weir.llm.common import WORD_RE, hot_join, materialise, seeded, words_sql
 
 SEED = 5
 MAX_REPEATS = 2
-#: Patterns and sources that the driver's flow network may hold; more is an error.
+#: Patterns and sources that the driver's flow network may hold; more go through Spark, those of several sources not.
 MAX_PATTERNS = 50_000
 WEIGHTS = (3, 1, 2)
 
@@ -95,6 +100,39 @@ def min_cost_flow(capacities: dict[tuple, int], quotas: dict, max_repeats: int =
     return {(p, s): edges[e ^ 1][1] for p in capacities for e in out.get(("pattern", p), ()) for s in p if edges[e][0] == ("source", s) and edges[e ^ 1][1] > 0}
 
 
+def source_plan(summed: DataFrame, weights, budget: float, max_repeats: int) -> DataFrame:
+    """sources, source_size, target, copies, rest of patterns (sources, words) of one source each, however many."""
+    name = F.get("sources", F.lit(0))
+    one = summed.withColumn("_null", name.isNull())
+    placed = materialise(one.repartitionByRange("_null", name).sortWithinPartitions("_null", name).withColumn("_at", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    before, upto = {}, 0
+    for p, n in placed.where("size(sources) > 0").groupBy(part.alias("p")).count().orderBy("p").collect():  # one row a partition
+        before[p], upto = upto, upto + n
+    # patterns without any source (an empty array) have no rank; they are the first of the last partition, if any
+    empty = placed.where("size(sources) = 0").select(F.min("_at")).first()[0]
+    rank = inside + (F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[part] if before else F.lit(0))
+    rank = rank - F.when(F.lit(empty is not None) & (F.col("_at") > F.lit(empty)) & (part == F.lit((empty or 0) >> 33)), 1).otherwise(0)
+    weight = F.get(F.array(*[F.lit(w) for w in weights]), F.pmod(rank, F.lit(len(weights))).cast("int")).cast("double")
+    known = placed.select("sources", F.col("words").alias("source_size"), weight.alias("w"), (F.col("words") * max_repeats).cast("double").alias("most")).where("size(sources) > 0")
+    known = materialise(known)
+    total = budget * (placed.agg(F.sum("words")).first()[0] or 0)
+    level, stopped = None, -1
+    while True:
+        # sources whose share at this level exceeds what they can give stop; the rest share the remainder
+        over = F.lit(False) if level is None else F.lit(level) * F.col("w") > F.col("most")
+        n, capped, open_weight = known.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, F.col("most"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, F.col("w"))), F.lit(0.0))).first()
+        if n == stopped or not open_weight:
+            break
+        level, stopped = (total - capped) / open_weight, n
+    target = F.least(F.lit(level or 0.0) * F.col("w"), F.col("most"))
+    quota = F.floor(target)
+    copies = F.when(F.col("source_size") > 0, F.least(F.lit(max_repeats), F.floor(quota / F.greatest("source_size", F.lit(1))))).otherwise(0).cast("bigint")
+    plan = known.select("sources", "source_size", target.alias("target"), copies.alias("copies"), (quota - copies * F.col("source_size")).cast("bigint").alias("rest"))
+    none = placed.where("size(sources) = 0").select("sources", F.lit(0).cast("bigint").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("bigint").alias("copies"), F.lit(0).cast("bigint").alias("rest"))
+    return materialise(plan.unionByName(none))
+
+
 def mix(docs: DataFrame, sources: DataFrame | None = None, *, id_col: str = "doc_id", size_col: str = "size", member_col: str = "sources", weights=WEIGHTS, budget: float = 1.5, max_repeats: int = MAX_REPEATS, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
     """The mix: doc_id, sources, size, source_size, target, taken, and the columns named in `carry`.
 
@@ -103,8 +141,9 @@ def mix(docs: DataFrame, sources: DataFrame | None = None, *, id_col: str = "doc
     first source of the document. Weights go round the sources in code point
     order. `taken` is a multiple of the size, at most `max_repeats` times it;
     each source's sum is within one document of its routed words. Documents
-    without words, or with an empty array, take nothing. An empty table gives
-    an empty table; repeated rows count each. With `carry` the rows are read
+    without words, or with an empty or null array, take nothing. An empty table
+    gives an empty table; repeated rows count each. Texts are not read here, and
+    of any length where `mix_documents` counts their words. With `carry` the rows are read
     again for each step instead of being written with all their columns.
     """
     spark = docs.sparkSession
@@ -114,37 +153,50 @@ def mix(docs: DataFrame, sources: DataFrame | None = None, *, id_col: str = "doc
     )
     d = d.withColumn("_bucket", F.conv(F.substring("_key", 1, 3), 16, 10).cast("int"))
     d = d if carry else materialise(d)
-    sums = materialise(d.groupBy("sources", "_bucket").agg(F.sum("size").alias("words")))
-    summed = sums.groupBy("sources").agg(F.sum("words").alias("words")).limit(MAX_PATTERNS + 1).collect()
-    if len(summed) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    capacities = {tuple(r.sources or ()): r.words for r in summed}
-    # null is the last source; a set keeps each once
-    names = sorted({s for p in capacities for s in p}, key=lambda s: (s is None, s or ""))
-    own = {s: sum(w for p, w in capacities.items() if s in p) for s in names}
-    targets = water_fill(own, {s: weights[i % len(weights)] for i, s in enumerate(names)}, budget * sum(capacities.values()), max_repeats)
-    flow = min_cost_flow(capacities, {s: int(t) for s, t in targets.items()}, max_repeats)
-    plan = []
-    for r in summed:
-        p = tuple(r.sources or ())
-        routed = sum(v for (q, _), v in flow.items() if q == p)
-        copies = min(max_repeats, routed // r.words) if r.words else 0
-        plan.append((r.sources, own[p[0]] if p else 0, float(targets[p[0]]) if p else 0.0, int(copies), int(routed - copies * r.words)))
-    member = d.schema["sources"].dataType.simpleString()
-    plan_df = spark.createDataFrame(plan, f"sources {member}, source_size bigint, target double, copies bigint, rest bigint")
-
+    sums = materialise(d.groupBy("sources", "_bucket").agg(F.sum("size").alias("words"), F.count("*").alias("n")))
+    patterns = sums.groupBy("sources").agg(F.sum("words").alias("words"), F.sum("n").alias("n"))
+    summed = patterns.limit(MAX_PATTERNS + 1).collect()
+    small = len(summed) <= MAX_PATTERNS
+    if small:
+        capacities = {tuple(r.sources or ()): r.words for r in summed}
+        # null is the last source; a set keeps each once
+        names = sorted({s for p in capacities for s in p}, key=lambda s: (s is None, s or ""))
+        own = {s: sum(w for p, w in capacities.items() if s in p) for s in names}
+        targets = water_fill(own, {s: weights[i % len(weights)] for i, s in enumerate(names)}, budget * sum(capacities.values()), max_repeats)
+        flow = min_cost_flow(capacities, {s: int(t) for s, t in targets.items()}, max_repeats)
+        sent: dict = {}
+        for (p, _), v in flow.items():
+            sent[p] = sent.get(p, 0) + v
+        plan = []
+        for r in summed:
+            p = tuple(r.sources or ())
+            routed = sent.get(p, 0)
+            copies = min(max_repeats, routed // r.words) if r.words else 0
+            plan.append((r.sources, own[p[0]] if p else 0, float(targets[p[0]]) if p else 0.0, int(copies), int(routed - copies * r.words)))
+        member = d.schema["sources"].dataType.simpleString()
+        plan_df = spark.createDataFrame(plan, f"sources {member}, source_size bigint, target double, copies bigint, rest bigint")
+    else:
+        single = patterns.withColumn("sources", F.coalesce("sources", F.array().cast(d.schema["sources"].dataType)))
+        if not single.where("size(sources) > 1").isEmpty():
+            raise ValueError(f"more than {MAX_PATTERNS} membership patterns, some of them of several sources")
+        plan_df = source_plan(single.groupBy("sources").agg(F.sum("words").alias("words")), weights, budget, max_repeats)
+
+    key = lambda x: F.coalesce(F.to_json(x), F.lit("[]"))
     upto = F.sum("words").over(W.partitionBy("sources").orderBy("_bucket"))
     cuts = (
-        sums.withColumn("upto", upto).alias("d").join(F.broadcast(plan_df), F.col("d.sources").eqNullSafe(plan_df["sources"]))
-        .where("rest > 0 and upto >= rest and upto - words < rest").select(plan_df["sources"], F.col("_bucket").alias("cut"), (F.col("upto") - F.col("words")).alias("before"))
-        .collect()
+        sums.withColumn("upto", upto).withColumn("_p", key("sources")).drop("sources").join(plan_df.select(key("sources").alias("_p"), "rest"), "_p")
+        .where("rest > 0 and upto >= rest and upto - words < rest").select("_p", F.col("_bucket").alias("cut"), (F.col("upto") - F.col("words")).alias("before"))
     )
-    at = {tuple(r.sources or ()): (r.cut, r.before) for r in cuts}
-    plan = [(*p, *at.get(tuple(p[0] or ()), (-1, 0))) for p in plan]
-    plan_df = spark.createDataFrame(plan, f"sources {member}, source_size bigint, target double, copies bigint, rest bigint, cut int, before bigint")
-    known = d.join(F.broadcast(plan_df), plan_df["sources"].eqNullSafe(d["sources"])).drop(plan_df["sources"])
+    every = patterns.groupBy(key("sources").alias("_p")).agg(F.sum("n").alias("_n"))
+    plan_df = plan_df.withColumn("_p", key("sources")).drop("sources").dropDuplicates(["_p"]).join(cuts, "_p", "left").fillna({"cut": -1, "before": 0})
+    plan_df = materialise(plan_df.join(every, "_p"))
+    with_key = d.withColumn("_p", key("sources"))
+    if small:
+        known = with_key.join(F.broadcast(plan_df.drop("_n")), "_p")
+    else:
+        known = hot_join(with_key, plan_df, "_p", "_n", docs.count())
     outside = known.where("_bucket <> cut").withColumn("more", (F.col("_bucket") < F.col("cut")).cast("bigint"))
-    order = W.partitionBy("sources").orderBy("_key", "size").rowsBetween(W.unboundedPreceding, 0)
+    order = W.partitionBy("_p").orderBy("_key", "size").rowsBetween(W.unboundedPreceding, 0)
     inside = known.where("_bucket = cut").withColumn("_upto", F.col("before") + F.sum("size").over(order))
     inside = inside.withColumn("more", (2 * F.col("_upto") - F.col("size") <= 2 * F.col("rest")).cast("bigint")).drop("_upto")
     out = outside.unionByName(inside)
