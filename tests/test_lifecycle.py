@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weir.functions import text
-from weir.operators import corpus, metrics, policy, reports, similarity
+from weir.operators import corpus, metrics, places, policy, reports, similarity
 
 
 def test_overlap_equals_brute_force(spark):
@@ -36,7 +36,7 @@ def test_text_helpers(spark):
 
 def test_numbers_follow_the_order(spark):
     d = spark.range(1000).withColumn("k", F.xxhash64("id"))
-    rows = policy.numbered(d, "k", "id").orderBy("request_id").collect()
+    rows = places.numbered(d, "k", "id").orderBy("request_id").collect()
     assert [r.request_id for r in rows] == list(range(1, 1001)) and [r.k for r in rows] == sorted(r.k for r in rows)
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import datetime
 import random
 
@@ -5,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weir.operators import cluster, corpus, metrics, models, policy, reports, temporal, validate
+from weir.operators import cluster, corpus, curation, leakage, metrics, models, places, policy, reports, temporal, validate
 
 EVENTS = "event_id long, timestamp long, method string, path string, client_ip string, verdict string, predicted_class string, confidence double"
 BASE = {"timestamp": 1700000000000, "method": "GET", "path": "/api/users", "client_ip": "203.0.113.5", "verdict": "block", "predicted_class": "sqli", "confidence": 0.9}
@@ -98,6 +99,105 @@ def test_near_queries_by_brute_force(spark):
     assert got == {(i, j, edits(texts[i], texts[j])) for i in range(len(texts)) for j in range(i + 1, len(texts)) if edits(texts[i], texts[j]) <= 2}
 
 
+def test_near_queries_with_a_hot_beginning(spark):
+    # one label, one beginning in all texts: their pieces bring nobody together
+    rng = random.Random(5)
+    rows = [(i, "one", f"Customer number 0000{rng.randrange(10**5):05d} x") for i in range(300)] + [(900, "one", "ab"), (901, "one", "abc"), (902, "two", "ab")]
+    d = spark.createDataFrame(rows, "id long, label string, t string")
+    near = {(r.a, r.b, r.distance) for r in corpus.near_queries(d, id_col="id", label="label", text="t").collect()}
+    first = {}
+    for i, c, t in rows:
+        first.setdefault((c, t), i)
+    items = sorted((i, c, t) for (c, t), i in first.items())
+    table = spark.createDataFrame([(a[0], b[0], a[2], b[2]) for k, a in enumerate(items) for b in items[k + 1 :] if a[1] == b[1]], "a long, b long, s string, t string")
+    assert near == {(r.a, r.b, r.d) for r in table.select("a", "b", F.levenshtein("s", "t").alias("d")).where("d <= 2").collect()}
+
+
+@pytest.fixture
+def many_ranges(spark):
+    """Several partitions everywhere: nothing is merged into one."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_places_hold_over_many_ranges(spark, many_ranges):
+    # the input comes from a shuffle, so that ranges are sampled from unordered rows
+    d = spark.range(20_000).select(F.pmod(F.xxhash64("id"), F.lit(5000)).alias("k"), "id").repartition(5, "id").groupBy("id", "k").agg(F.count("*").alias("one"))
+    rows = sorted((r.k, r.id) for r in d.collect())
+    assert sorted((r.request_id, r.k, r.id) for r in places.numbered(d, "k", "id").collect()) == [(i + 1, *r) for i, r in enumerate(rows)]
+    assert sorted(r.id for r in corpus.every_nth(d, 70, "k", "id").collect()) == sorted(rows[k * len(rows) // 70][1] for k in range(70))
+    scored = d.select((F.col("id") % 3 == 0).cast("int").alias("y"), F.col("k").cast("double").alias("score"))
+    pos = np.array([k for k, i in rows if i % 3 == 0])
+    neg = np.array([k for k, i in rows if i % 3])
+    won = sum((np.searchsorted(neg, x) + np.searchsorted(neg, x, side="right")) / 2 for x in pos)
+    assert metrics.auc(scored).first().auc == pytest.approx(won / len(pos) / len(neg), abs=1e-12)
+    values = sorted(k for k, _ in rows)
+    assert tuple(reports.index_percentiles(d, "k").first()) == tuple(values[int(len(values) * p)] for p in (0.5, 0.95, 0.99))
+    both = d.select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("y"), F.array(F.col("k"), -F.col("k")).alias("scores"))
+    assert {r.label: r.auc for r in metrics.auc_by_class(both, ("a", "b")).collect()} == {"a": pytest.approx(metrics.auc(scored).first().auc), "b": pytest.approx(metrics.auc(scored).first().auc)}
+
+
+def test_lock_hash_is_one_digest(spark, many_ranges):
+    hashes = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(3000)]
+    d = spark.createDataFrame([(h,) for h in [*hashes, None]], "h string").repartition(6)
+    assert tuple(corpus.lock_hash(d, "h").first()) == (hashlib.sha256("\n".join(sorted(hashes)).encode()).hexdigest(), 3000)
+    assert tuple(corpus.lock_hash(d.limit(0), "h").first()) == (hashlib.sha256(b"").hexdigest(), 0)
+
+
+def test_contained_in_several_passes(spark):
+    rng = random.Random(8)
+    rows = [(i % 3, rng.choice("ab"), "".join(rng.choice("xyz") for _ in range(60))) for i in range(80)]
+    needles = [(rng.choice("abc"), "".join(rng.choice("xyz") for _ in range(rng.randrange(0, 6)))) for _ in range(60)]
+    d, p = spark.createDataFrame(rows, "k int, label string, t string"), spark.createDataFrame([*needles, (None, "x")], "label string, needle string")
+    for block in (1000, 7):
+        got = {tuple(r) for r in leakage.contained(d, p, fields=("t",), keys=("k",), block=block).collect()}
+        assert got == {(k, c, w) for k, c, t in rows for n, w in needles if n == c and w and w in t}
+
+
+def test_permutation_importance_and_sweep(spark):
+    d = spark.range(600).select("id", (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 2).cast("double").alias("a"), F.rand(1).alias("b"))
+    predict = lambda x: x.withColumn("p", (F.col("a") > 0.5).cast("int"))
+    got = {r.name: (r.mean, r.std) for r in metrics.permutation_importance(d, ["a", "b"], predict, repeats=3).collect()}
+    assert got["b"] == (0.0, 0.0) and 0.4 < got["a"][0] < 0.6
+    variants = spark.createDataFrame([("as it is", None), ("no a", 0.0)], "variant string, a double")
+    assert {(r.variant, r.n) for r in metrics.override_sweep(d, variants, predict, names=["a"]).groupBy("variant").agg(F.sum("p").alias("n")).collect()} == {("as it is", 300), ("no a", 0)}
+
+
+def test_curation_merges_once(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 2.5]), (2, [1.0, 2.5]), (3, None), (4, [0.0, 1.0])], "id long, vector array<double>")
+    assigned = spark.createDataFrame([(7, 1), (7, 2), (7, 3), (8, 4), (None, 5)], "cluster long, id long")
+    decisions = spark.createDataFrame([(7, "xss"), (8, None), (9, "nonsense")], "cluster long, label string")
+    rows = curation.curate(assigned, decisions, vectors, names=["f", "g"])
+    expected = hashlib.sha256(b"1,2.5|xss").hexdigest()
+    assert sorted((r.id, r.f, r.g, r.label, r._row_hash) for r in rows.collect()) == [(1, 1.0, 2.5, "xss", expected), (2, 1.0, 2.5, "xss", expected)]
+    corpus_rows = spark.createDataFrame([("old", "sqli", 5.0)], "_row_hash string, label string, h double")
+    merged = curation.merge_curated(corpus_rows, rows.drop("id"))
+    assert merged.count() == 2 and curation.merge_curated(merged, rows.drop("id")).count() == 2
+    assert merged.where("_row_hash <> 'old'").first().h == 0.0
+    assert curation.latest(spark.createDataFrame([("a/other.json",)], "path string")).count() == 0
+
+
+def test_network_and_reconstruction(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(0, 1, (150, 3)), rng.normal(6, 1, (150, 3))])
+    d = spark.createDataFrame([(i, "b" if i < 150 else "x", *map(float, r)) for i, r in enumerate(x)], "id long, label string, f double, g double, h double")
+    m = models.network(["f", "g", "h"], 2, hidden=(4,), steps=60).fit(d)
+    assert m.transform(d).where("prediction = _y").count() > 285
+    line = [(i, float(t), 2.0 * t, 3.0 * t) for i, t in enumerate(rng.normal(0, 1, 200))]
+    r = models.Reconstruction(["f", "g", "h"], narrow=1).fit(spark.createDataFrame(line, "id long, f double, g double, h double"))
+    odd = spark.createDataFrame([*line[:50], (999, 3.0, -6.0, 0.0)], "id long, f double, g double, h double")
+    errors = {q.id: q.error for q in r.transform(odd, ("id",)).collect()}
+    assert max(errors, key=errors.get) == 999 and errors[0] < 1e-9
+
+
+def test_comparison_of_models(spark):
+    rows = metrics.comparison({"a": {"macro_f1": 0.5, "size_bytes": 2048, "p95_ms": 1.0}, "b": {"recall": 0.9, "fp_rate": 0.05, "size_bytes": 3 << 20}}, spark).collect()
+    assert [(r.model, r.kind, r.size) for r in rows] == [("a", "supervised", "2.0 KB"), ("b", "unsupervised", "3.00 MB")]
+
+
 def test_split_is_disjoint_and_stable(spark):
     d = spark.range(2000).select(F.col("id").alias("k"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("label"), F.lit("s").alias("_source"))
     a, b = (sorted((r.k, r.split) for r in corpus.stratified_split(x, id_col="k").collect()) for x in (d, d.repartition(7)))
@@ -120,8 +220,8 @@ def test_backfill(spark):
 def test_containment(spark):
     rows = spark.createDataFrame([("sqli", "/a", "id=1 OR 1=1", ""), ("xss", "/b", "<b>", "")], "label string, path string, query string, body string")
     p = spark.createDataFrame([("sqli", "OR 1=1"), ("sqli", "nowhere"), ("xss", "OR 1=1"), ("xss", "")], "label string, payload string")
-    assert {tuple(r) for r in corpus.containment(rows, p).collect()} == {("sqli", 2, 1), ("xss", 1, 0)}
-    templated = corpus.containment(rows, spark.createDataFrame([("sqli", "or 7=9")], "label string, payload string"), template=corpus.generic_template)
+    assert {tuple(r) for r in leakage.containment(rows, p).collect()} == {("sqli", 2, 1), ("xss", 1, 0)}
+    templated = leakage.containment(rows, spark.createDataFrame([("sqli", "or 7=9")], "label string, payload string"), template=corpus.generic_template)
     assert templated.first().matches == 1
 
 

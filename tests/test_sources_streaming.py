@@ -1,6 +1,7 @@
 import datetime
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,11 +71,59 @@ def test_audit_log(spark, tmp_path):
     assert (h[0], h[1]) == (["attack-sqli"], ["942100"])
 
 
+def test_audit_log_with_long_line_ends(spark, tmp_path):
+    (tmp_path / "crlf.log").write_bytes(AUDIT.replace("\n", "\r\n").encode())
+    rows = readers.read_audit(spark, str(tmp_path / "crlf.log")).orderBy("id").collect()
+    assert [(r.id, r.path, r.body, r.label, r.status_code) for r in rows] == [("a1b2", "/x", "", "sqli", 403), ("c3d4", "/form", "a=1", "benign", 0)]
+
+
+def test_line_numbers_over_splits(spark, tmp_path):
+    # labelled lines go by number: equal lines elsewhere stay, over several splits of a file
+    line = '1.2.3.4 - - [02/Jan/2024:03:04:05 +0000] "GET /a HTTP/1.1" 200 12 "-" "curl/8"'
+    (tmp_path / "big.log").write_text("".join(f"{line}\n" if i % 7 else f"{line.replace('/a', f'/n{i}')}\n" for i in range(1, 3001)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        numbered = {r.line: r.value for r in readers.numbered_lines(spark, str(tmp_path / "big.log")).collect()}
+        labelled = spark.createDataFrame([("big.log", 7), ("big.log", 8), ("big.log", 2996)], "file string, line long")
+        left = readers.read_access_log(spark, str(tmp_path / "big.log"), labelled).select("path").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(numbered) == 3000 and all(f"/n{i} " in numbered[i] for i in range(7, 3001, 7))
+    assert len(left) == 2997 and not {"/n7", "/n2996"} & {r.path for r in left}
+
+
+def test_named_sources(spark, tmp_path):
+    write = lambda name, text, **kw: ((tmp_path / name).write_bytes(text.encode(kw.get("encoding", "utf-8"))), str(tmp_path / name))[1]
+    r = readers.read_named(spark, write("f.csv", "payload,attack_type\n x ,SQLI\n,xss\ny,odd\n"), "payload_full").collect()
+    assert [(x.query, x.label) for x in r] == [("x", "sqli")]
+    r = readers.read_named(spark, write("x.csv", "Sentence,Label\n<b>,1\nhello,0\nz,2\n"), "xss_dataset").collect()
+    assert [(x.body, x.query, x.label) for x in r] == [("<b>", "", "xss"), ("hello", "", "benign")]
+    r = readers.read_named(spark, write("c.csv", "sentence,Label\n&lt;a&gt; &eacute;,1\n"), "command_injection").collect()
+    assert [(x.query, x.label) for x in r] == [("<a> \u00e9", "cmdi")]
+    r = readers.read_named(spark, write("p.csv", "Payloads,Class\nhttp://h/\u00e9?q=<br/>1,Malicious\n", encoding="latin-1"), "payloads_csv").collect()
+    assert [(x.path, x.query, x.label) for x in r] == [("/\u00e9", "q=1", "xss")]
+    r = readers.read_named(spark, write("malicious_dataset.json", json.dumps(["a", "", "b"])), "modsec_learn").collect()
+    assert [(x.query, x.label) for x in r] == [("a", "sqli"), ("b", "sqli")]
+    with pytest.raises(ValueError):
+        readers.read_named(spark, "x", "synthetic_nav")
+    write("cap.csv", '"66 - SQL Injection","126 - Path Traversal",request_http_method,request_http_request,request_accept,request_user_agent\n0,1,post,/a?b=1,*/*,ua\n0,0,get,/,,\n')
+    r = readers.read_multilabel_csv(spark, str(tmp_path / "cap.csv")).collect()
+    assert [(x.method, x.path, x.query, x.label, x.extra_headers, x.user_agent) for x in r] == [("POST", "/a", "b=1", "path_traversal", {"accept": "*/*"}, "ua")]
+
+
+def test_message_and_tag_labels(spark):
+    given = ['Message: [tag "WEB_ATTACK/SQL_INJECTION"]', 'Message: [tag "web_attack/dir_traversal"]', 'Message: [tag "WEB_ATTACK/RFI"]', 'Message: [tag "WEB_ATTACK/RCE"]', 'Message: [tag "language-shell"]', "Message: sqli in a policy", "nothing", None, 'Message: [id "930130"]']
+    d = spark.createDataFrame([(i, m) for i, m in enumerate(given)], "i int, m string").select("i", readers.message_label(F.col("m")).alias("a"), readers.tag_label(F.col("m")).alias("b")).orderBy("i")
+    assert [r.a for r in d.collect()] == ["sqli", "path_traversal", "path_traversal", "cmdi", "cmdi", None, "benign", "benign", None]
+    assert [r.b for r in d.collect()] == [None] * 8 + ["path_traversal"]
+
+
 def test_access_log(spark, tmp_path):
     line = '1.2.3.4 - - [02/Jan/2024:03:04:05 +0000] "GET /a?b=c HTTP/1.1" 404 12 "-" "curl/8"'
     (tmp_path / "x.log").write_text(f"{line}\nbroken\n{line.replace('/a', '/z')}\n")
-    labelled = spark.createDataFrame([(line.replace("/a", "/z"),)], "line string")
+    labelled = spark.createDataFrame([("x.log", 3), ("x.log", 2), ("y.log", 1)], "file string, line long")
     r = readers.read_access_log(spark, str(tmp_path / "x.log"), labelled).collect()
+    assert readers.read_access_log(spark, str(tmp_path / "x.log")).count() == 2
     assert [(x.client_ip, x.ts, x.path, x.query, x.status_code, x.user_agent) for x in r] == [("1.2.3.4", datetime.datetime(2024, 1, 2, 3, 4, 5), "/a", "b=c", 404, "curl/8")]
 
 
@@ -135,6 +184,51 @@ def test_streamed_rates(spark, tmp_path):
     assert got == {("a", at(0)): (0, 0.0, 0), ("a", at(1)): (1, 0.0, 1), ("a", at(30)): (2, 0.5, 2), ("a", at(90)): (1, 0.0, 1), ("b", at(2)): (0, 0.0, 0)}
 
 
+def test_streamed_late_patches(spark, tmp_path):
+    e = stream(spark, tmp_path, "ev", [(1, at(0), "pass", 0.0), (2, at(0), "block", 0.0), (3, at(0), "pass", 0.0), (4, at(0), "timeout", 0.0), (9, at(100), "pass", 0.0)], "event_id long, ts timestamp, verdict string, if_score double")
+    r = stream(spark, tmp_path, "rp", [(1, at(0.02), 0.001), (2, at(0.02), 0.001), (3, at(0.2), 0.001), (4, at(0.02), 0.001), (8, at(100), 0.1)], "event_id long, replied_at timestamp, late double")
+    got = {x.event_id: (x.verdict, x.if_score, x.is_anomaly, x.patched) for x in run(live.late_patches(e, r), "late").collect()}
+    assert got[1] == ("pass_anomaly", 0.001, True, True) and got[2] == ("block", 0.001, True, True)
+    assert all(not got[k][3] for k in (3, 4) if k in got)
+
+
+def test_streamed_ingest_and_bounded_run(spark, tmp_path):
+    s = stream(spark, tmp_path, "t", [('{"vector": [1, 2], "predicted_class": "xss", "confidence": 0.5, "timestamp": 3, "source_id": "h"}',), ("no json",)], "value string")
+    q = live.ingest(s, 2).writeStream.format("memory").queryName("ingested").trigger(availableNow=True).start()
+    assert live.run_for(q, 60)
+    assert sorted((r.error is None, r.confidence) for r in spark.table("ingested").collect()) == [(False, None), (True, 0.5)]
+
+
+def test_distinct_in_windows():
+    values = np.array(list("abacbbad"), object)
+    low, high = np.array([0, 0, 1, 2, 5]), np.array([0, 3, 4, 6, 8])
+    assert live.distinct_in(values, low, high).tolist() == [len(set(values[a:b])) for a, b in zip(low, high, strict=True)]
+
+
+def test_registry_and_reports(spark, tmp_path):
+    r = sinks.Registry(spark, str(tmp_path / "registry"))
+    assert r.list().count() == 0
+    r.add("a", "https://one")
+    r.add("b", "https://two")
+    r.remove("a")
+    assert [x.url for x in r.list().collect()] == ["https://two"] and r.get("a").count() == 0
+    with pytest.raises(ValueError):
+        r.add("c", "http://plain")
+    d = spark.createDataFrame([(1, "x")], "n int, t string")
+    for kind in ("json", "csv"):
+        sinks.write_report(d, str(tmp_path / kind), kind)
+    assert spark.read.json(str(tmp_path / "json")).first().t == "x"
+
+
+def test_notifications_reach_all_pages_of_addresses(spark, tmp_path):
+    out = tmp_path / "all"
+    out.mkdir()
+    rows = spark.createDataFrame([(1, "block")], "event_id long, verdict string")
+    registry = spark.createDataFrame([(f"u{i}", "active") for i in range(23)], "url string, status string")
+    sinks.notify(rows, registry, lambda url, value: (out / url).write_text(value), page=5)
+    assert len(list(out.iterdir())) == 23
+
+
 def test_notifications_survive_failures(spark, tmp_path):
     out = tmp_path / "sent"
     out.mkdir()

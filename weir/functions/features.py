@@ -88,15 +88,15 @@ def feature_columns() -> dict[str, Column]:
     long = F.greatest(F.length(pay), F.lit(1))
     share = lambda p: count(pay, p) / long
     uri = F.when(F.length(query) > 0, F.concat(path, F.lit("?"), query)).otherwise(path)
-    before = F.regexp_replace(uri, r"\?[^\n\r\x{2028}\x{2029}]*$", "")
+    before = F.regexp_replace(uri, r"\?[^\n\r\x{2028}\x{2029}]*\z", "")
     words = F.greatest(tokens(pay), F.lit(1))
     shell = let(F.regexp_extract_all(pay, F.lit(P.for_java(P.SHELL_COMMAND)), F.lit(0)), lambda x: F.size(F.array_distinct(F.transform(x, F.lower))))
     headers = F.map_keys("extra_headers")
     values = [
         F.length(pay), entropy(pay), F.length(uri), F.length(before), F.length(query), F.length("body"), entropy(F.col("body")), count(before, "/"), count(query, "&") + (F.length(query) > 0).cast("int"), (F.instr(uri, "#") > 0).cast("int"),
-        share(P.SPECIAL_CHAR), share(P.NUMERIC_CHAR), share(P.UPPERCASE_CHAR), count(pay, P.WHITESPACE), count(pay, P.NEWLINE) + count(pay, P.NEWLINE_ENCODED), count(pay, P.NULL_BYTE) + count(pay, P.NULL_BYTE_ENCODED), share(r"[^\x00-\x7F]"), tokens(pay),
+        share(P.SPECIAL_CHAR), share(P.NUMERIC_CHAR), share(P.UPPERCASE_CHAR), count(pay, P.WHITESPACE), count(pay, P.NEWLINE) + count(pay, P.NEWLINE_ENCODED), count(pay, P.NULL_BYTE) + count(pay, P.NULL_BYTE_ENCODED), F.length(F.regexp_replace(pay, r"[\x00-\x7F]+", "")) / long, tokens(pay),
         share(P.URL_ENCODED), count(pay, P.URL_ENCODED), count(pay, P.DOUBLE_ENCODED), count(pay, P.HEX_ESCAPE), count(pay, P.UNICODE_ESCAPE), count(pay, P.HTML_ENTITY), count(pay, P.BASE64_LIKE),
-        count(pay, P.SQL_KEYWORDS), count(pay, P.SQL_KEYWORDS) / words, count(pay, P.SQLI_COMMENT), count(pay, P.SQLI_OPERATOR), F.greatest(F.lit(0), count(pay, P.SQLI_OPERATOR) - count(pay, P.FORM_FIELD)), count(pay, "['\"]"), F.greatest(F.lit(0), count(pay, "['\"]") - count(pay, P.JSON_QUOTE)), count(pay, ";"), count(pay, "[()]"), test(pay, P.UNION), test(pay, P.SELECT),
+        count(pay, P.SQL_KEYWORDS), count(pay, P.SQL_KEYWORDS) / words, count(pay, P.SQLI_COMMENT), count(pay, P.SQLI_OPERATOR), F.greatest(F.lit(0), count(pay, P.SQLI_OPERATOR) - count(pay, P.FORM_FIELD)), count(pay, "['\"]"), F.greatest(F.lit(0), count(pay, "['\"]") - sum(count(pay, p) for p in P.JSON_QUOTES)), count(pay, ";"), count(pay, "[()]"), test(pay, P.UNION), test(pay, P.SELECT),
         count(dec, P.XSS_MARKER), count(dec, P.XSS_MARKER) / F.greatest(F.length(dec), F.lit(1)) * 100, count(dec, P.HTML_TAG), test(dec, P.SCRIPT_TAG), count(dec, P.JS_EVENT_HANDLER), count(dec, P.JAVASCRIPT_URL), count(pay, P.HTML_ENTITY) / long * 100, test(dec, P.ALERT_FUNCTION), test(dec, P.INLINE_STYLE),
         count(tra, P.TRAVERSAL_SEQUENCE), count(tra, P.PATH_SEPARATOR), test(tra, P.ABSOLUTE_PATH), test(tra, P.SENSITIVE_FILE), count(tra, P.SENSITIVE_EXTENSION), count(tra, P.SUSPICIOUS_EXTENSION), count(tra, P.DOTDOT_ENCODED),
         count(pay, r"\|"), count(pay, "`"), count(pay, P.SHELL_COMMAND), count(pay, P.COMMAND_SEPARATOR), count(pay, P.REDIRECT_OPERATOR), count(pay, r"\$"), count(pay, P.SUBSHELL), test(pay, P.OS_PATH), shell, shell / (count(pay, P.TRAVERSAL_SEQUENCE) + count(pay, P.PATH_SEPARATOR) + 1),

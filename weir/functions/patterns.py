@@ -48,21 +48,97 @@ FORM_TYPE = r"(?i)application/x-www-form-urlencoded"
 STANDARD_HEADERS = ("host", "user-agent", "accept", "content-type", "content-length", "authorization", "cookie", "referer", "connection", "accept-encoding", "accept-language", "cache-control")
 # End of the fixed values.
 
-#: A quote of a JSON key or value: quote-first, so that text without quotes is passed over.
-JSON_QUOTE = r'"(?:(?=\s*[:,}\]])|(?<=[:,{\[]\s{0,64}"))'
+#: Quotes of JSON keys and values: followed by a mark, or else preceded by one. Together they count each
+#: quote once, and neither looks back over white space.
+JSON_QUOTES = (r'"(?=\s*[:,}\]])', r'[:,{\[]\s*"(?!\s*[:,}\]])')
 
 #: White space as browsers' patterns know it; Java's \s has ASCII only.
 SPACE_CLASS = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
-_EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+SPACES = "\t\n\x0b\f\r \xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　﻿"
+_WORD = "[A-Za-z0-9_]"
+_EDGE = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+#: Characters of the patterns that are one class: these are counted by removing them.
+CHARACTERS = {
+    SPECIAL_CHAR: "!@#$%^&*()[]{};:'\",./<>?|\\=+_~`", NUMERIC_CHAR: "0123456789", UPPERCASE_CHAR: "ABCDEFGHIJKLMNOPQRSTUVWXYZ", WHITESPACE: SPACES, NEWLINE: "\n\r", NULL_BYTE: "\x00",
+    PATH_SEPARATOR: "/\\", "/": "/", "&": "&", "['\"]": "'\"", ";": ";", "[()]": "()", r"\|": "|", "`": "`", r"\$": "$",
+}
+
+
+#: Of each pattern texts one of which every match holds: where a text has none of them, nothing is searched.
+NEEDS = {
+    SQLI_COMMENT: ("--", "#", "/*", "*/"), SQLI_OPERATOR: ("=", "<>"), FORM_FIELD: ("=",), HTML_TAG: ("<",), SCRIPT_TAG: ("<",), JS_EVENT_HANDLER: ("=",), JAVASCRIPT_URL: (":",), ALERT_FUNCTION: ("(",), INLINE_STYLE: ("=",),
+    TRAVERSAL_SEQUENCE: ("..", "%"), DOTDOT_ENCODED: ("%",), SENSITIVE_FILE: (".", "/"), SENSITIVE_EXTENSION: (".",), SUSPICIOUS_EXTENSION: (".",), COMMAND_SEPARATOR: ("&&", "|", ";", "`"), REDIRECT_OPERATOR: ("<", ">"),
+    SUBSHELL: ("$(", "`"), OS_PATH: ("/",), URL_ENCODED: ("%",), DOUBLE_ENCODED: ("%25",), HEX_ESCAPE: ("\\x", "\\X", "0x", "0X"), UNICODE_ESCAPE: ("\\u", "\\U", "%u", "%U"), HTML_ENTITY: ("&",), NEWLINE_ENCODED: ("%0",), NULL_BYTE_ENCODED: ("%00",),
+    JSON_QUOTES[0]: ('"',), JSON_QUOTES[1]: ('"',),
+}
+
+
+def alternatives(pattern: str) -> list[str]:
+    """The branches of a pattern that is one group, or of the group that it starts with; else the pattern itself."""
+    out, depth, inside, start, i = [], 0, False, 0, 0
+    grouped = pattern.startswith("(") and not pattern.startswith(("(?=", "(?!", "(?<"))
+    if grouped:
+        pattern = pattern[3:] if pattern.startswith("(?:") else pattern[1:]
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 2
+            continue
+        if inside:
+            inside = c != "]"
+        elif c == "[":
+            inside = True
+        elif c == "(":
+            depth += 1
+        elif c == ")":
+            if depth == 0:
+                break
+            depth -= 1
+        elif c == "|" and depth == 0:
+            out.append(pattern[start:i])
+            start = i + 1
+        i += 1
+    return [*out, pattern[start:i]]
+
+
+def first_characters(pattern: str) -> list[str] | None:
+    """The characters, as they stand in a class, that a match of the pattern can begin with; None where that is not plain."""
+    out = []
+    for branch in alternatives(pattern):
+        if branch.startswith("\\") and branch[1:2] in ".$\\/[(":
+            out.append(branch[:2])
+        elif branch and (branch[0].isalnum() or branch[0] in "</%&;`>-|!"):
+            # an optional first character would let others begin
+            if branch[1:2] in ("?", "*", "{") or branch[0] == "|":
+                return None
+            out.append("\\" + branch[0] if not branch[0].isalnum() else branch[0])
+        else:
+            return None
+    return sorted(set(out))
 
 
 def for_java(pattern: str) -> str:
-    """The pattern with ASCII word edges and the wide white space, as Spark needs it."""
-    out, inside, i = [], False, 0
+    """The pattern with ASCII word edges and the wide white space, as Spark needs it.
+
+    A word edge before letters, or after them, is one look at one character.
+    Patterns of many branches first look whether any of them can begin here.
+    """
+    flags = "(?i)" if pattern.startswith("(?i)") else ""
+    pattern = pattern.removeprefix("(?i)")
+    out, inside, i = [flags], False, 0
+    body = pattern.removeprefix(r"\b")
+    begin = first_characters(body)
+    if body != pattern:
+        plain = begin is not None and all(c.isalnum() for c in begin)
+        out.append(rf"(?<!{_WORD})" if plain else _EDGE)
+        i = 2
+    if begin and len(alternatives(body)) > 1 and "|" not in body.replace("\\|", "")[_end_of_group(body) :]:
+        out.append(f"(?=[{''.join(begin)}])")
     while i < len(pattern):
         two = pattern[i : i + 2]
         if two == r"\b" and not inside:
-            out.append(_EDGE)
+            # in these patterns every edge but the first follows a word's character
+            out.append(f"(?!{_WORD})")
             i += 2
         elif two == r"\s":
             out.append(SPACE_CLASS if inside else f"[{SPACE_CLASS}]")
@@ -75,3 +151,25 @@ def for_java(pattern: str) -> str:
             out.append(pattern[i])
             i += 1
     return "".join(out)
+
+
+def _end_of_group(pattern: str) -> int:
+    """Where the group that the pattern starts with ends; the whole pattern if it starts with none."""
+    if not pattern.startswith("("):
+        return len(pattern)
+    depth, inside, i = 0, False, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 2
+            continue
+        if inside:
+            inside = c != "]"
+        elif c == "[":
+            inside = True
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+            if depth == 0:
+                return i
+        i += 1
+    return len(pattern)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import html
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType
 
 from weir.functions import patterns as P
 
@@ -17,11 +20,27 @@ def let(value: Column, body) -> Column:
 
 
 def count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(P.for_java(pattern)))
+    """The number of matches; those of single characters by what is left without them, without a list of matches."""
+    if pattern in P.CHARACTERS:
+        characters = P.CHARACTERS[pattern]
+        if len(characters) <= 2:
+            rest = text
+            for c in characters:
+                rest = F.replace(rest, F.lit(c), F.lit(""))
+            return F.octet_length(text) - F.octet_length(rest)
+        return F.length(text) - F.length(F.translate(text, characters, ""))
+    return where_possible(text, pattern, F.regexp_count(text, F.lit(P.for_java(pattern))))
 
 
 def test(text: Column, pattern: str) -> Column:
-    return text.rlike(P.for_java(pattern)).cast("int")
+    return where_possible(text, pattern, text.rlike(P.for_java(pattern)).cast("int"))
+
+
+def where_possible(text: Column, pattern: str, found: Column) -> Column:
+    """`found`, or 0 where the text has nothing that a match must hold: most texts have few of these, and looking for them is cheap."""
+    if pattern not in P.NEEDS:
+        return found
+    return F.when(text.isNull() | reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in P.NEEDS[pattern]]), found).otherwise(0)
 
 
 def decode_component(text: Column) -> Column:
@@ -72,8 +91,11 @@ def decode_escapes(text: Column) -> Column:
 
 def normalise(text: Column, rounds: int = 5) -> Column:
     """Percent, entity and escape decoding repeated until nothing changes, `rounds` times at most."""
-    step = lambda s: let(let(decode_component(s), decode_entities), decode_escapes)
-    loop = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), text, lambda s, _: step(s))
+    entities = lambda s: F.when(F.contains(s, F.lit("&")), decode_entities(s)).otherwise(s)
+    escapes = lambda s: F.when(F.contains(s, F.lit("\\u")), decode_escapes(s)).otherwise(s)
+    step = lambda s: let(let(decode_component(s), entities), escapes)
+    again = lambda a: F.when(a["same"], a).otherwise(let(step(a["s"]), lambda n: F.struct(n.alias("s"), (n == a["s"]).alias("same"))))
+    loop = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(text.alias("s"), F.lit(False).alias("same")), lambda a, _: again(a), lambda a: a["s"])
     return F.when(text.rlike(r"[%&]|\\u"), loop).otherwise(text)
 
 
@@ -96,6 +118,17 @@ def entropy(texts: pd.Series) -> pd.Series:
     return texts.map(one).astype("float64")
 
 
+@F.pandas_udf(StringType())
+def unescape(texts: pd.Series) -> pd.Series:
+    """All character references of a text, as HTML has them."""
+    return texts.map(lambda t: html.unescape(t) if t and "&" in t else t)
+
+
+def decode_text(text: Column) -> Column:
+    """Character references, then percent escapes; + stays, malformed escapes too."""
+    return decode_form(F.replace(unescape(text), F.lit("+"), F.lit("%2B")))
+
+
 def form_values(body: Column) -> Column:
     """Values of a urlencoded form, the last of each key at its first place; null unless it has two keys.
 

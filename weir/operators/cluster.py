@@ -125,15 +125,20 @@ def _search(d: DataFrame) -> DataFrame:
 
 
 def report(events: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Per cluster: size, mean score, counts of sources and classes, members.
+    """Per cluster: size, mean score, counts of sources and classes; `members` has who they are.
 
     `events` has id, if_score, source_id, predicted_class. Noise is cluster null.
     """
     d = events.join(clusters, "id")
-    base = d.groupBy("cluster").agg(F.count("*").alias("size"), F.avg("if_score").alias("mean_score"), F.sort_array(F.collect_list("id")).alias("members"))
+    base = d.groupBy("cluster").agg(F.count("*").alias("size"), F.avg("if_score").alias("mean_score"))
     counts = lambda c: d.groupBy("cluster", c).count().groupBy("cluster").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(c, "count")))).alias(f"{c}s"))
     out = base
     for c in ("source_id", "predicted_class"):
         m = counts(c).withColumnRenamed("cluster", "_c")
         out = out.join(m, out["cluster"].eqNullSafe(m["_c"]), "left").drop("_c")
     return out
+
+
+def members(events: DataFrame, clusters: DataFrame) -> DataFrame:
+    """cluster, id: one row a member, so a cluster of any size is no one's array."""
+    return clusters.join(events.select("id"), "id").where("cluster is not null").select("cluster", "id")

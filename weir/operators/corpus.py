@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import hashlib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weir.operators.places import materialise, numbered
+
 #: Shares of the split, tolerances of its check.
 TEST, VALIDATION, TRAIN = 0.15, 0.15, 0.70
 CLASS_TOLERANCE, SOURCE_TOLERANCE = 0.02, 0.05
 SEED = 42
-#: A payload list up to so many rows is broadcast for the containment join.
-BROADCAST_PAYLOADS = 10_000
 
 
 def fingerprint(*columns: str) -> Column:
@@ -44,27 +45,40 @@ def generic_template(text: Column) -> Column:
     return F.regexp_replace(F.lower(decoded), "[0-9]+", "N")
 
 
-def near_queries(df: DataFrame, *, id_col: str, label: str, text: str, most: int = 2, longest: int = 100) -> DataFrame:
-    """Pairs (a, b, distance) of short texts of one label within `most` edits, between distinct texts.
+def near_queries(df: DataFrame, *, id_col: str, label: str, text: str, most: int = 2, longest: int = 100, spare: int = 6) -> DataFrame:
+    """Pairs (label, a, b, distance) of short texts of one label within `most` edits, between distinct texts; exact.
 
-    Two texts within k edits share one of k + 1 equal parts, shifted by at most k
-    (pigeonhole), so candidates meet on (label, length, part), not on the label:
-    no pair outside such a group is formed, and equal texts are one row with
-    their number.
+    A text is cut into most + spare pieces. Within `most` edits at least `spare`
+    of them lie unchanged in the other text, so of any most + 1 pieces at least
+    one does: each text is indexed by its rarest ones, and a piece that
+    thousands share (a common beginning) brings nobody together. Where a piece
+    may lie follows from the lengths: left of it and right of it texts differ by
+    as many characters as edits allow. Distances are checked before pairs are
+    shuffled; equal texts are one row.
     """
-    parts = most + 1
-    d = df.where(F.length(text).between(1, longest)).groupBy(F.col(label).alias("label"), F.col(text).alias("text")).agg(F.min(id_col).alias("id"), F.count("*").alias("copies"))
-    n = F.length("text")
-    size = lambda m: F.floor(m / parts).cast("int")
-    # indexed by their own length; searched for lengths at least as long, at shifted places
-    index = d.select("label", "id", "text", "copies", n.alias("n"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.substring("text", (i * size(n) + 1).cast("int"), F.when(i == parts - 1, n).otherwise(size(n)).cast("int")))).alias("part", "piece"))
-    shifts = F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("shift")
-    lengths = F.explode(F.sequence(F.greatest(F.lit(1), n - most), n)).alias("m")
-    wide = d.select("label", "id", "text", "copies", lengths).select("*", shifts)
-    probe = wide.select("label", "id", "text", F.col("m").alias("n"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.when(i * size(F.col("m")) + 1 + F.col("shift") >= 1, F.substring("text", (i * size(F.col("m")) + 1 + F.col("shift")).cast("int"), F.when(i == parts - 1, F.col("m") - (parts - 1) * size(F.col("m"))).otherwise(size(F.col("m"))).cast("int"))))).alias("part", "piece"))
-    met = index.alias("x").join(probe.where("piece is not null").distinct().alias("y"), ["label", "n", "part", "piece"]).where("x.text <> y.text")
-    pairs = met.select("label", F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.col("x.text").alias("s"), F.col("y.text").alias("t")).dropDuplicates(["label", "a", "b"])
-    return pairs.withColumn("distance", F.levenshtein("s", "t", most)).where("distance >= 0").select("label", "a", "b", "distance")
+    parts = most + spare
+    d = df.where(F.length(text).between(1, longest)).groupBy(F.col(label).alias("label"), F.col(text).alias("text")).agg(F.min(id_col).alias("id"))
+    d = materialise(d.withColumn("n", F.length("text")))
+    start = lambda i, m: F.floor(F.lit(i) * m / parts).cast("int")
+    size = lambda i, m: start(i + 1, m) - start(i, m)
+    piece = lambda i, m, shift=0: F.substring(F.col("text"), start(i, m) + 1 + shift, size(i, m))
+    own = F.explode(F.array(*[F.struct(F.lit(i).alias("part"), piece(i, F.col("n")).alias("piece")) for i in range(parts)])).alias("p")
+    pieces = d.select("label", "id", "text", "n", own).select("label", "id", "text", "n", "p.part", "p.piece")
+    often = pieces.groupBy("label", "n", "part", "piece").agg(F.count("*").alias("often"))
+    place = F.row_number().over(W.partitionBy("label", "id").orderBy("often", "part"))
+    index = pieces.join(often, ["label", "n", "part", "piece"]).withColumn("_at", place).where(F.col("_at") <= most + 1).drop("_at", "often")
+    wanted = []
+    for less in range(most + 1):
+        m = F.col("n") - less
+        for shift in range(-((most - less) // 2), (most + less) // 2 + 1):
+            for i in range(parts):
+                fits = (m >= 1) & (start(i, m) + shift >= 0) & (start(i, m) + shift + size(i, m) <= F.col("n"))
+                wanted.append(F.when(fits, F.struct(m.alias("n"), F.lit(i).alias("part"), piece(i, m, shift).alias("piece"))))
+    probe = d.select("label", F.col("id").alias("other"), F.col("text").alias("with"), F.col("n").alias("long"), F.explode(F.array_distinct(F.array_compact(F.array(*wanted)))).alias("p"))
+    probe = probe.select("label", "other", "with", "long", "p.n", "p.part", "p.piece")
+    met = index.join(probe, ["label", "n", "part", "piece"]).where((F.col("n") < F.col("long")) | (F.col("id") < F.col("other")))
+    near = met.withColumn("distance", F.levenshtein("text", "with", most)).where("distance >= 0")
+    return near.select("label", F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "distance").distinct()
 
 
 def stratified_split(df: DataFrame, *, id_col: str, label: str = "label", source: str = "_source", seed: int = SEED, test: float = TEST, validation: float = VALIDATION) -> DataFrame:
@@ -109,28 +123,29 @@ def split_overlap(split: DataFrame, key: str) -> DataFrame:
 def lock_hash(hashes: DataFrame, column: str) -> DataFrame:
     """One row: sha256 of the sorted hashes joined by newlines, and how many there are.
 
-    Sorted blocks of one leading byte are joined on their own; only 256 block
-    digests would meet if the definition allowed it. As it asks for one digest
-    of the whole text, the last step holds 65 bytes for each row of the split.
+    By definition this is one digest of the whole sorted text, which nothing can
+    compute in parts: ranges are sorted in Spark and packed into blocks of about
+    1 MB, and the driver feeds them to one running digest, a range at a time.
     """
-    blocks = hashes.groupBy(F.substring(column, 1, 2).alias("b")).agg(F.array_join(F.array_sort(F.collect_list(column)), "\n").alias("t"), F.count("*").alias("n"))
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("b", "t"))), lambda x: x["t"])
-    return blocks.agg(F.sha2(F.array_join(rows, "\n"), 256).alias("lock"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
-
 
-def containment(rows: DataFrame, payloads: DataFrame, *, label: str = "label", fields: tuple[str, ...] = ("path", "query", "body"), template=None) -> DataFrame:
-    """Per label: payloads, and how many occur in some field of a row of the label.
-
-    `payloads` has `label` and `payload`. The payload list is the small side; it
-    is broadcast after a check of its size, else the join goes by label.
-    """
-    rule = template or (lambda c: c)
-    p = payloads.select(F.col("label").alias("_label"), "payload", rule(F.col("payload")).alias("_needle")).where("length(_needle) > 0").distinct()
-    small = F.broadcast(p) if p.count() <= BROADCAST_PAYLOADS else p
-    text = [rule(F.coalesce(F.col(f), F.lit(""))) for f in fields]
-    found = rows.join(small, (F.col(label) == F.col("_label")) & reduce(lambda a, b: a | b, [t.contains(F.col("_needle")) for t in text])).select("_label", "payload").distinct()
-    hits = found.groupBy("_label").agg(F.count("*").alias("matches"))
-    return p.groupBy("_label").agg(F.count("*").alias("total")).join(hits, "_label", "left").select(F.col("_label").alias("label"), "total", F.coalesce("matches", F.lit(0)).alias("matches"))
+    def pack(batches):
+        held, size = [], 0
+        for batch in batches:
+            for h in batch.column(0).to_pylist():
+                held.append(h)
+                size += len(h) + 1
+                if size >= 1 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(["\n".join(held)]), pa.array([len(held)], pa.int64())], names=["t", "n"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(["\n".join(held)]), pa.array([len(held)], pa.int64())], names=["t", "n"])
+
+    digest, rows = hashlib.sha256(), 0
+    ordered = hashes.select(F.col(column).alias("h")).where("h is not null").repartitionByRange("h").sortWithinPartitions("h")
+    for block in ordered.mapInArrow(pack, "t string, n bigint").toLocalIterator():
+        digest.update((b"\n" if rows else b"") + block.t.encode())
+        rows += block.n
+    return hashes.sparkSession.createDataFrame([(digest.hexdigest(), rows)], "lock string, rows bigint")
 
 
 def coverage(df: DataFrame, source: str, label: str, classes: list[str]) -> DataFrame:
@@ -159,16 +174,14 @@ def duplicate_rate(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def every_nth(df: DataFrame, n: int, *order) -> DataFrame:
-    """`n` rows at the places floor(i * rows / n) of the order; a row's place comes from range totals."""
-    total = df.count()
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    before = ranged.groupBy("_part").agg(F.count("*").alias("_m")).select("_part", (F.sum("_m").over(W.orderBy("_part")) - F.col("_m")).alias("_before"))
-    placed = ranged.join(F.broadcast(before), "_part").withColumn("_at", F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1 + F.col("_before"))
+    """`n` rows at the places floor(i * rows / n) of the order."""
+    placed = numbered(df, *order, name="_at", first=0)
+    total = placed.count()
     if total <= n:
-        return placed.drop("_part", "_before", "_at")
+        return placed.drop("_at")
     # i = ceil(at * n / total) is the one whose place can be `at`
     i = F.ceil(F.col("_at") * n / total)
-    return placed.where((F.floor(i * total / n) == F.col("_at")) & (i < n)).drop("_part", "_before", "_at")
+    return placed.where((F.floor(i * total / n) == F.col("_at")) & (i < n)).drop("_at")
 
 
 def backfill_union(first: DataFrame, second: DataFrame) -> DataFrame:

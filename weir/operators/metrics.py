@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weir.operators.places import materialise, numbered, running
+
 #: Floors and ceilings of the model gate, and of the end-to-end gate.
 MIN_F1, MIN_CLASSES, MIN_RECALL, MAX_FALSE_POSITIVES = 0.80, 3, 0.50, 0.06
 MIN_DETECTION, MAX_BENIGN = 0.80, 0.20
@@ -38,17 +40,29 @@ def summary(report: DataFrame) -> DataFrame:
 def auc(df: DataFrame, positive: str = "y", score: str = "score") -> DataFrame:
     """Area under the ROC curve by rank sums, ties counted half.
 
-    Rows are counted by distinct score; the running count of negatives comes
-    from range partitions, whose totals are few.
+    Rows are counted by distinct score; negatives below a score come from running sums over ranges.
     """
     n = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(positive) == 1).alias("pos"), F.count_if(F.col(positive) == 0).alias("neg"))
-    ranged = n.repartitionByRange("s").withColumn("part", F.spark_partition_id())
-    before = ranged.groupBy("part").agg(F.sum("neg").alias("m")).select("part", (F.sum("m").over(W.orderBy("part")) - F.col("m")).alias("before"))
-    below = F.sum("neg").over(W.partitionBy("part").orderBy("s")) - F.col("neg") + F.col("before")
-    placed = ranged.join(F.broadcast(before), "part").withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    placed = running(n, "s", upto="neg").withColumn("won", F.col("pos") * (F.col("upto") - F.col("neg") / 2))
     return placed.agg(ratio(F.sum("won"), F.sum("pos") * F.sum("neg")).alias("auc"), F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
 
 
+def auc_by_class(df: DataFrame, classes: tuple[str, ...], *, truth: str = "y", scores: str = "scores") -> DataFrame:
+    """label, auc, positives, negatives of each class against all others; `scores` is an array in the order of `classes`.
+
+    One pass counts rows by class and score, one table of running sums serves
+    all classes; a class without positives or without negatives has auc 0.
+    """
+    each = df.select(F.col(truth).alias("y"), F.posexplode(F.transform(F.col(scores), lambda x: x.cast("double"))).alias("k", "s"))
+    names = F.array(*[F.lit(c) for c in classes])
+    n = each.select(F.get(names, F.col("k")).alias("label"), "y", "s").groupBy("label", "s").agg(F.count_if(F.col("y") == F.col("label")).alias("pos"), F.count_if(F.col("y") != F.col("label")).alias("neg"))
+    placed = running(n, "label", "s", upto="neg")
+    first = n.groupBy("label").agg(F.sum("neg").alias("all"))
+    before = first.select("label", (F.sum("all").over(W.orderBy("label")) - F.col("all")).alias("before"))  # a row a class
+    won = placed.join(F.broadcast(before), "label").withColumn("won", F.col("pos") * (F.col("upto") - F.col("before") - F.col("neg") / 2))
+    return won.groupBy("label").agg(ratio(F.sum("won"), F.sum("pos") * F.sum("neg")).alias("auc"), F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
+
+
 def binary_rates(df: DataFrame, truth: str = "y", predicted: str = "p") -> DataFrame:
     hit = lambda y, p: F.count_if((F.col(truth) == y) & (F.col(predicted) == p))
     c = df.agg(hit(1, 1).alias("tp"), hit(0, 1).alias("fp"), hit(1, 0).alias("fn"), hit(0, 0).alias("tn"))
@@ -125,3 +139,62 @@ def quantile_sweep(df: DataFrame, *, truth: str = "y", score: str = "score", poi
     total = hist.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     won = rows.join(F.broadcast(hist), F.col("above") > F.col("point"), "left").groupBy("point", "threshold").agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("pos"), F.coalesce(F.sum("neg"), F.lit(0)).alias("neg"))
     return won.join(F.broadcast(total), F.lit(True)).select("point", "threshold", ratio(F.col("pos"), F.col("all_pos")).alias("recall"), ratio(F.col("neg"), F.col("all_neg")).alias("fp_rate"))
+
+
+def parity(first: DataFrame, second: DataFrame, key: str, column: str, tolerance: float = 1e-5) -> DataFrame:
+    """One row: rows of the first, those compared, the largest difference of a number column, and whether all agree within the tolerance."""
+    b = second.select(key, F.col(column).alias("_b"))
+    gap = F.abs(F.col(column) - F.col("_b"))
+    out = first.select(key, column).join(b, key, "left").agg(F.count("*").alias("rows"), F.count("_b").alias("compared"), F.coalesce(F.max(gap), F.lit(0.0)).alias("largest"))
+    return out.withColumn("passed", (F.col("rows") == F.col("compared")) & (F.col("largest") <= tolerance))
+
+
+def parity_inputs(spark, rows: int = 100, width: int = 69, seed: int = 42) -> DataFrame:
+    """id and `vector`: seeded uniform numbers in [0, 1), each from its row and place alone."""
+    draw = lambda i: F.pmod(F.xxhash64(F.col("id"), i, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    return spark.range(rows).select("id", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), draw).alias("vector"))
+
+
+def benign_share(predicted: DataFrame, by: str = "file", label: str = "predicted_class") -> DataFrame:
+    """by, n, pct_benign and the number of each predicted class: a sanity check on traffic that should be benign."""
+    counts = predicted.groupBy(by, label).agg(F.count("*").alias("n"))
+    pairs = F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(label), F.col("n")))))
+    return counts.groupBy(by).agg(F.sum("n").alias("n"), (F.sum(F.when(F.col(label) == "benign", F.col("n")).otherwise(0)) / F.sum("n")).alias("pct_benign"), pairs.alias("classes"))
+
+
+def permutation_importance(df: DataFrame, names: list[str], predict, *, truth: str = "y", id_col: str = "id", repeats: int = 10, seed: int = 42) -> DataFrame:
+    """name, mean and std of the loss of macro F1 when a feature's values are dealt to other rows.
+
+    `predict(df)` adds the column p. Values move by a seeded permutation: rows
+    are numbered in two hashed orders and meet by place, so nothing is gathered.
+    """
+    base = summary(class_report(predict(df), truth)).first()["macro_f1"] or 0.0
+    rows = []
+    placed = numbered(df, F.xxhash64(F.lit(seed), F.col(id_col)), id_col, name="_at")
+    placed = materialise(placed)
+    for name in names:
+        lost = []
+        for k in range(repeats):
+            other = numbered(placed.select(F.col(id_col).alias("_from"), F.col(name).alias("_value")), F.xxhash64(F.lit(seed + 1 + k), F.col("_from")), "_from", name="_at")
+            moved = placed.drop(name).join(other.select("_at", F.col("_value").alias(name)), "_at").drop("_at")
+            lost.append(base - (summary(class_report(predict(moved), truth)).first()["macro_f1"] or 0.0))
+        mean = sum(lost) / len(lost)
+        rows.append((name, mean, (sum((x - mean) ** 2 for x in lost) / len(lost)) ** 0.5))
+    return df.sparkSession.createDataFrame(rows, "name string, mean double, std double")
+
+
+def override_sweep(df: DataFrame, overrides: DataFrame, predict, *, names: list[str]) -> DataFrame:
+    """Each row under each override (variant, and values of some of `names`, null: as it is), rescored by predict(df)."""
+    new = overrides.select("variant", *[F.col(n).alias(f"_{n}") for n in names])
+    wide = df.crossJoin(F.broadcast(new))  # a stated handful of variants
+    return predict(wide.withColumns({n: F.coalesce(F.col(f"_{n}"), F.col(n)) for n in names}).drop(*[f"_{n}" for n in names]))
+
+
+def comparison(results: dict[str, dict], spark) -> DataFrame:
+    """model, kind, quality, p95_ms, size of the models' result records, for a report."""
+    rows = []
+    for model, r in sorted(results.items()):
+        quality = f"macro F1 {r['macro_f1']:.4f}" if "macro_f1" in r else f"recall {r['recall']:.4f}, false positives {r['fp_rate']:.4f}"
+        n = r.get("size_bytes", 0)
+        rows.append((model, "supervised" if "macro_f1" in r else "unsupervised", quality, r.get("p95_ms"), f"{n / 1024:.1f} KB" if n < 1 << 20 else f"{n / (1 << 20):.2f} MB"))
+    return spark.createDataFrame(rows, "model string, kind string, quality string, p95_ms double, size string")

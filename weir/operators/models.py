@@ -6,8 +6,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +30,60 @@ def classifier(kind: str = "forest", names: list[str] | None = None, label: str
     return Pipeline(stages=[*steps, model])
 
 
+#: Hidden layers of the network, and the width of the narrow layer of the reconstruction.
+HIDDEN, NARROW = (64, 32), 8
+
+
+def network(names: list[str], classes: int, label: str = "label", seed: int = 42, hidden: tuple[int, ...] = HIDDEN, steps: int = 200) -> Pipeline:
+    """An untrained multilayer perceptron on standardised features; MLlib's has sigmoid layers and no row weights."""
+    return Pipeline(stages=[
+        StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc"), VectorAssembler(inputCols=names, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_x", withMean=True),
+        MultilayerPerceptronClassifier(layers=[len(names), *hidden, classes], featuresCol="_x", labelCol="_y", seed=seed, maxIter=steps),
+    ])
+
+
+class Reconstruction:
+    """Anomaly scores by the error of a narrow linear reconstruction (principal components) of standardised features.
+
+    The linear counterpart of an autoencoder with one narrow layer: learnt from
+    benign rows, it rebuilds what looks like them; the mean squared error of the
+    rest is large.
+    """
+
+    def __init__(self, names: list[str], narrow: int = NARROW):
+        self.names, self.narrow = names, min(narrow, len(names))
+
+    def fit(self, df: DataFrame) -> Reconstruction:
+        steps = [VectorAssembler(inputCols=self.names, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_x", withMean=True), PCA(k=self.narrow, inputCol="_x", outputCol="_z")]
+        model = Pipeline(stages=steps).fit(df.fillna(0.0, self.names))
+        self.mean, std = model.stages[1].mean.toArray(), model.stages[1].std.toArray()
+        self.std = np.where(std > 0, std, 1.0)
+        self.axes = model.stages[2].pc.toArray()
+        return self
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        z = (x - self.mean) / self.std
+        return ((z - z @ self.axes @ self.axes.T) ** 2).mean(axis=1)
+
+    def transform(self, df: DataFrame, keep: tuple[str, ...], out: str = "error") -> DataFrame:
+        """The columns in `keep` and the error of each row."""
+        return scored_rows(df, self.names, keep, self.score, out)
+
+
+def scored_rows(df: DataFrame, names: list[str], keep: tuple[str, ...], score, out: str) -> DataFrame:
+    """`keep` and score(matrix of the columns `names`, nulls 0) of each row, in Arrow batches."""
+    fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
+    model = df.sparkSession.sparkContext.broadcast(score)
+
+    def run(batches):
+        for b in batches:
+            x = np.column_stack([b.column(f"_{i}").to_numpy(zero_copy_only=False) for i in range(len(names))]) if b.num_rows else np.zeros((0, len(names)))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(model.value(x))], names=[*keep, out])
+
+    d = df.select(*keep, *[F.coalesce(F.col(c), F.lit(0)).cast("double").alias(f"_{i}") for i, c in enumerate(names)])
+    return d.mapInArrow(run, ", ".join([*fields, f"`{out}` double"]))
+
+
 def balanced(df: DataFrame, label: str = "label") -> DataFrame:
     """`weight` by which all classes weigh alike."""
     n = df.groupBy(label).agg(F.count("*").alias("_n"))
@@ -87,16 +141,7 @@ class IsolationForest:
 
     def transform(self, df: DataFrame, keep: tuple[str, ...], out: str = "if_score") -> DataFrame:
         """The columns in `keep` and the decision value of each row."""
-        names, model = self.names, df.sparkSession.sparkContext.broadcast(self)
-        fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
-
-        def run(batches):
-            for b in batches:
-                x = np.column_stack([b.column(f"_{i}").to_numpy(zero_copy_only=False) for i in range(len(names))]) if b.num_rows else np.zeros((0, len(names)))
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(model.value.score(x))], names=[*keep, out])
-
-        d = df.select(*keep, *[F.coalesce(F.col(c), F.lit(0)).cast("double").alias(f"_{i}") for i, c in enumerate(names)])
-        return d.mapInArrow(run, ", ".join([*fields, f"`{out}` double"]))
+        return scored_rows(df, self.names, keep, self.score, out)
 
 
 def average_path(n: int) -> float:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: The classes in the order of a model's probabilities, and the two thresholds.
@@ -48,18 +47,24 @@ def patch_late(events: DataFrame, replies: DataFrame, *, timeout_ms: int = 50, a
 
 
 def compare_canary(events: DataFrame, canary: DataFrame, on: str = "event_id") -> DataFrame:
-    """One comparison per event that a candidate model answered: `canary` has `on` and probabilities."""
+    """One comparison per event that a candidate model answered: `canary` has `on` and probabilities.
+
+    A candidate has no anomaly score of its own, so verdicts agree if both block or both do not.
+    """
     c = canary.select(on, decide(F.col("probabilities"), F.lit(None).cast("double")).alias("c"))
     return events.join(c, on).select(
-        on, F.col("verdict").alias("production_verdict"), F.col("predicted_class").alias("production_class"), F.col("c.verdict").alias("canary_verdict"), F.col("c.predicted_class").alias("canary_class"),
+        on, "timestamp", F.col("verdict").alias("production_verdict"), F.col("predicted_class").alias("production_class"), F.col("confidence").alias("production_confidence"),
+        F.col("c.verdict").alias("canary_verdict"), F.col("c.predicted_class").alias("canary_class"), F.col("c.confidence").alias("canary_confidence"),
         ((F.col("verdict") == "block") == (F.col("c.verdict") == "block")).alias("verdict_match"), (F.col("c.predicted_class") == F.col("predicted_class")).alias("class_match"),
         F.abs(F.col("c.confidence") - F.col("confidence")).alias("confidence_delta"),
     )
 
 
-def numbered(df: DataFrame, *order, name: str = "request_id") -> DataFrame:
-    """The rows with their place in the order, from 1; places come from the totals of ranges."""
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    before = ranged.groupBy("_part").agg(F.count("*").alias("_m")).select("_part", (F.sum("_m").over(W.orderBy("_part")) - F.col("_m")).alias("_before"))
-    place = F.row_number().over(W.partitionBy("_part").orderBy(*order)) + F.col("_before")
-    return ranged.join(F.broadcast(before), "_part").withColumn(name, place).drop("_part", "_before")
+#: Methods that a replay sends.
+METHODS = ("get", "post", "put", "delete", "patch")
+
+
+def replay_method(method: Column, body: Column) -> Column:
+    """The method by which a recorded request is sent again: POST if it has a body and no method, GET for unsupported ones."""
+    raw = F.lower(F.when(F.length(method) > 0, method).when(F.length(body) > 0, "POST").otherwise("GET"))
+    return F.when(raw.isin(*METHODS), raw).otherwise("get")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weir.operators.places import running
+
 INCIDENTS = ("block", "pass_anomaly")
 DEFAULT_LIMIT = 10
 #: Order of the severities in reports.
@@ -164,10 +166,8 @@ def index_percentiles(values: DataFrame, column: str, points=(0.5, 0.95, 0.99))
     by ranges, whose totals are a few rows.
     """
     counted = values.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    ranged = counted.repartitionByRange(column).withColumn("part", F.spark_partition_id())
-    before = ranged.groupBy("part").agg(F.sum("n").alias("m")).select("part", (F.sum("m").over(W.orderBy("part")) - F.col("m")).alias("before"), F.sum("m").over(W.partitionBy()).alias("total"))
-    upto = F.sum("n").over(W.partitionBy("part").orderBy(column)) + F.col("before")
-    placed = ranged.join(F.broadcast(before), "part").withColumn("upto", upto)
+    placed = running(counted, column, upto="n")
+    placed = placed.join(F.broadcast(placed.agg(F.max("upto").alias("total"))), F.lit(True))
     at = lambda p: F.least(F.floor(F.col("total") * p), F.col("total") - 1)
     return placed.agg(*[F.min(F.when(F.col("upto") > at(p), F.col(column))).alias(f"p{round(100 * p)}") for p in points])
 

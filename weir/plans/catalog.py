@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from weir.functions import features, text
 from weir.functions import patterns as P
-from weir.operators import cluster, corpus, metrics, models, policy, reports, temporal, validate
-from weir.plans import lifecycle, parsing  # noqa: F401  they register their queries
+from weir.operators import cluster, corpus, leakage as leaks, metrics, models, policy, reports, temporal, validate
+from weir.plans import corpora, lifecycle, parsing  # noqa: F401  they register their queries
 from weir.plans import views as V
 from weir.plans.registry import ORACLE, QUERIES, query
 
@@ -290,10 +290,10 @@ def template_dedup(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT c_mktsegment AS label, c_name || ' ' || c_nationkey AS t, min(c_custkey) AS id FROM customer GROUP BY 1, 2)
-SELECT a.label, least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, CAST(levenshtein(a.t, b.t) AS INTEGER) AS distance FROM c a JOIN c b ON a.label = b.label AND a.id < b.id AND abs(length(a.t) - length(b.t)) <= 1 WHERE levenshtein(a.t, b.t) <= 1""")
+SELECT a.label, least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, CAST(levenshtein(a.t, b.t) AS INTEGER) AS distance FROM c a JOIN c b ON a.label = b.label AND a.id < b.id AND abs(length(a.t) - length(b.t)) <= 2 WHERE levenshtein(a.t, b.t) <= 2""")
 def near_names(spark, sf_dir):
     c = V.load(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.concat_ws(" ", "c_name", F.col("c_nationkey").cast("string")).alias("t"))
-    return corpus.near_queries(c, id_col="c_custkey", label="c_mktsegment", text="t", most=1)
+    return corpus.near_queries(c, id_col="c_custkey", label="c_mktsegment", text="t", most=2)
 
 
 _SPLIT = f"""{R}, o AS (SELECT doc_id, label, _source, row_number() OVER (PARTITION BY label, _source ORDER BY md5('42:' || doc_id), doc_id) AS i, count(*) OVER (PARTITION BY label, _source) AS n FROM requests),
@@ -326,7 +326,7 @@ SELECT label, {BIG} AS total, CAST(count(*) FILTER (EXISTS (SELECT 1 FROM docume
 def leakage(spark, sf_dir):
     rows = V.load(spark, sf_dir, "documents").select(F.lit("all").alias("label"), "text")
     payloads = V.load(spark, sf_dir, "benchmark").select(F.lit("all").alias("label"), F.col("text").alias("payload"))
-    return corpus.containment(rows, payloads, fields=("text",))
+    return leaks.containment(rows, payloads, fields=("text",))
 
 
 @query(f"{R} SELECT _source, label, {BIG} AS n, round(count(*) / (SELECT count(*) FROM requests), 8) AS share FROM requests GROUP BY 1, 2")
@@ -398,11 +398,11 @@ def binary_rates(spark, sf_dir):
     return metrics.binary_rates(_eval(spark, sf_dir))
 
 
-@query(f"""{_EVAL}, b AS (SELECT min(score) AS low, max(score) AS high FROM e), t AS (SELECT CAST(i AS INTEGER) AS point, low + i * ((high - low) / 19) AS threshold, (high - low) / 19 AS step, low FROM range(20) r(i), b),
-q AS (SELECT y, greatest(0, least(20, floor((score - b.low) / ((b.high - b.low) / 19)) + 1)) AS k FROM e, b)
+@query(f"""{_EVAL}, b AS (SELECT min(score) AS low, max(score) AS high FROM e), t AS (SELECT CAST(i AS INTEGER) AS point, low + i * ((high - low) / 299) AS threshold, (high - low) / 299 AS step, low FROM range(300) r(i), b),
+q AS (SELECT y, greatest(0, least(300, floor((score - b.low) / ((b.high - b.low) / 299)) + 1)) AS k FROM e, b)
 SELECT point, threshold, count(*) FILTER (y = 1 AND k <= point) / count(*) FILTER (y = 1) AS recall, count(*) FILTER (y = 0 AND k <= point) / count(*) FILTER (y = 0) AS fp_rate FROM t, q GROUP BY 1, 2""")
 def threshold_sweep(spark, sf_dir):
-    return metrics.threshold_sweep(_eval(spark, sf_dir), points=20)
+    return metrics.threshold_sweep(_eval(spark, sf_dir))
 
 
 # Telemetry, anomalies
@@ -425,11 +425,11 @@ def telemetry_reasons(spark, sf_dir):
 
 @query()
 def isolation_scores(spark, sf_dir):
-    """Anomaly scores of the vectors' first components, by a forest trained on them."""
+    """Anomaly scores of the vectors by all components, by a forest of the published size trained on them."""
     e = V.load(spark, sf_dir, "embeddings")
-    names = [f"f{i}" for i in range(16)]
+    names = [f"f{i}" for i in range(64)]
     d = e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
-    forest = models.IsolationForest(names, trees=50, samples=256).fit(d, "vec_id")
+    forest = models.IsolationForest(names).fit(d, "vec_id")
     return forest.transform(d, ("vec_id",))
 
 

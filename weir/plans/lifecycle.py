@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weir.operators import cluster, metrics, policy, reports
+from weir.operators import cluster, metrics, places, policy, reports
 from weir.plans import views as V
 from weir.plans.registry import query
 from weir.sources import sinks
@@ -19,9 +19,9 @@ def telemetry_health(spark, sf_dir):
     return reports.telemetry_health(e.select(F.when(F.col("vec_id") % 4 != 0, F.concat(F.lit("host"), (F.col("vec_id") % 4).cast("string"))).alias("source_id")))
 
 
-@query("SELECT vec_id AS id, label FROM embeddings ORDER BY vec_id LIMIT 100")
+@query("SELECT vec_id AS id, label FROM embeddings ORDER BY vec_id LIMIT 10000")
 def oldest_telemetry(spark, sf_dir):
-    return V.load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label").orderBy("id").limit(100)
+    return V.load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label").orderBy("id").limit(10_000)
 
 
 @query(f"""{D} SELECT event_id, CAST(event_id % 3 AS BIGINT) AS version, CASE WHEN event_id % 3 = 0 THEN verdict ELSE 'patched' || (event_id % 3) END AS verdict FROM detections""")
@@ -38,19 +38,25 @@ CAST(count(*) FILTER (was = now) AS BIGINT) AS agreed, count(*) FILTER (was = no
 count(*) FILTER (expected <> 'benign' AND was AND NOT now) = 0 AND count(*) FILTER (was = now) / count(r.request_id) >= 0.995 AS passed FROM f LEFT JOIN r USING (request_id)""")
 def canary_replay(spark, sf_dir):
     e = V.detections(spark, sf_dir)
-    fixture = policy.numbered(e.select("event_id", F.col("predicted_class").alias("expected")), "event_id")
+    fixture = places.numbered(e.select("event_id", F.col("predicted_class").alias("expected")), "event_id")
     rows = e.where("event_id % 10 <> 3").select(F.col("event_id").alias("request_id"), (F.col("verdict") == "block").alias("was"), (F.col("event_id") % 4 != 0).alias("now"))
     return reports.replay_gate(fixture, rows)
 
 
 @query(f"""WITH m AS (SELECT vec_id AS id, label AS cluster, (vec_id % 50) / 1000 AS s, 'host' || (vec_id % 3) AS h FROM embeddings), c AS (SELECT cluster, h, count(*) AS n FROM m GROUP BY 1, 2)
-SELECT cluster, size, mean_score, members, sources FROM (SELECT cluster, {BIG} AS size, round(avg(s), 8) AS mean_score, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS members FROM m GROUP BY 1)
+SELECT cluster, size, mean_score, sources FROM (SELECT cluster, {BIG} AS size, round(avg(s), 8) AS mean_score FROM m GROUP BY 1)
 JOIN (SELECT cluster, string_agg(h || ':' || n, ',' ORDER BY h) AS sources FROM c GROUP BY 1) USING (cluster)""")
 def cluster_report(spark, sf_dir):
     e = V.load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"), ((F.col("vec_id") % 50) / 1000).alias("if_score"), F.concat(F.lit("host"), (F.col("vec_id") % 3).cast("string")).alias("source_id"), F.lit("xss").alias("predicted_class"))
     r = cluster.report(e.drop("cluster"), e.select("id", "cluster"))
     sources = F.array_join(F.transform(F.map_entries("source_ids"), lambda x: F.concat(x["key"], F.lit(":"), x["value"].cast("string"))), ",")
-    return r.select("cluster", "size", F.round("mean_score", 8).alias("mean_score"), F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"), sources.alias("sources"))
+    return r.select("cluster", "size", F.round("mean_score", 8).alias("mean_score"), sources.alias("sources"))
+
+
+@query("SELECT label AS cluster, vec_id AS id FROM embeddings WHERE label IS NOT NULL")
+def cluster_members(spark, sf_dir):
+    e = V.load(spark, sf_dir, "embeddings")
+    return cluster.members(e.select(F.col("vec_id").alias("id")), e.select(F.col("vec_id").alias("id"), F.col("label").alias("cluster")))
 
 
 @query("""WITH m AS (SELECT c_custkey AS id, c_nationkey AS cluster, CAST(c_acctbal AS DOUBLE) AS x FROM customer), t AS (SELECT a.cluster, a.id, round(sum(abs(a.x - b.x)), 9) AS total FROM m a JOIN m b USING (cluster) GROUP BY 1, 2)
@@ -87,19 +93,22 @@ def model_gate(spark, sf_dir):
 
 
 
-@query("""WITH e AS (SELECT CAST(p_retailprice AS DOUBLE) AS score, CAST(p_size > 25 AS INTEGER) AS y FROM part), q AS (SELECT quantile_cont(score, [0.0, 0.25, 0.5, 0.75, 1.0]) AS q FROM e), t AS (SELECT CAST(generate_subscripts(q, 1) - 1 AS INTEGER) AS point, unnest(q) AS threshold FROM q)
+_POINTS = [i / 299 for i in range(300)]
+
+
+@query(f"""WITH e AS (SELECT CAST(p_retailprice AS DOUBLE) AS score, CAST(p_size > 25 AS INTEGER) AS y FROM part), q AS (SELECT quantile_cont(score, {_POINTS}) AS q FROM e), t AS (SELECT CAST(generate_subscripts(q, 1) - 1 AS INTEGER) AS point, unnest(q) AS threshold FROM q)
 SELECT point, round(threshold, 6) AS threshold, count(*) FILTER (y = 1 AND score > threshold) / count(*) FILTER (y = 1) AS recall, count(*) FILTER (y = 0 AND score > threshold) / count(*) FILTER (y = 0) AS fp_rate FROM e, t GROUP BY 1, 2""")
 def quantile_sweep(spark, sf_dir):
     e = V.load(spark, sf_dir, "part").select(F.col("p_retailprice").cast("double").alias("score"), (F.col("p_size") > 25).cast("int").alias("y"))
-    return metrics.quantile_sweep(e, points=5).withColumn("threshold", F.round("threshold", 6))
+    return metrics.quantile_sweep(e).withColumn("threshold", F.round("threshold", 6))
 
 
 @query()
 def forest_importances(spark, sf_dir):
-    """Features of a small forest by importance, the largest ten."""
+    """Features of the published forest by importance, the largest ten."""
     from weir.functions import features
     from weir.operators import models
 
-    names = features.GROUPS["sqli"] + features.GROUPS["xss"]
+    names = features.CLASSIFIER_NAMES
     d = models.balanced(features.extract(V.requests(spark, sf_dir), ("doc_id", "label")).select("label", *names))
-    return models.importances(models.classifier("forest", names, trees=5, depth=5).fit(d), names, spark).orderBy(F.desc("importance"), "name").limit(10)
+    return models.importances(models.classifier("forest", names).fit(d), names, spark).orderBy(F.desc("importance"), "name").limit(10)

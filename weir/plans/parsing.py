@@ -75,13 +75,13 @@ def request_reasons(spark, sf_dir):
 
 _NAMES = "n AS (SELECT min(p_partkey) AS id, p_name || ' ' || p_brand || ' ' || p_type AS t FROM part GROUP BY 2)"
 _PAIRS = f"""WITH {_NAMES}, s AS (SELECT id, list_distinct(list_transform(range(1, greatest(length(t) - 1, 2)), lambda i: substr(t, i, 3))) AS s FROM n WHERE length(t) >= 15),
-p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.s, b.s)) AS i, len(a.s) AS x, len(b.s) AS y FROM s a JOIN s b ON a.id < b.id AND least(len(a.s), len(b.s)) >= 0.85 * greatest(len(a.s), len(b.s))),
-k AS (SELECT a, b, i / (x + y - i) AS similarity FROM p WHERE i / (x + y - i) >= 0.85)"""
+p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.s, b.s)) AS i, len(a.s) AS x, len(b.s) AS y FROM s a JOIN s b ON a.id < b.id AND least(len(a.s), len(b.s)) >= 0.70 * greatest(len(a.s), len(b.s))),
+k AS (SELECT a, b, i / (x + y - i) AS similarity FROM p WHERE i / (x + y - i) >= 0.70)"""
 
 
 def _names(spark, sf_dir):
     p = V.load(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("t"))
-    return similarity.overlap_pairs(p, id_col="p_partkey", text="t", least=0.85)
+    return similarity.overlap_pairs(p, id_col="p_partkey", text="t")
 
 
 @query(f"{_PAIRS} SELECT a, b, round(similarity, 8) AS similarity FROM k")

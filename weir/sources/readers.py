@@ -6,12 +6,16 @@ path on the driver. Rows that cannot be read are dropped or counted, never fatal
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weir.functions.text import decode_form
+from weir.functions.text import decode_form, unescape
 from weir.operators.corpus import keep_first, template_shape
+from weir.operators.places import materialise, numbered
+from weir.sources import labels as known_labels
 
 #: Columns of a canonical request line.
 REQUEST_SCHEMA = (
@@ -51,10 +55,47 @@ def map_labels(d: DataFrame, raw: str, labels: dict[str, str]) -> DataFrame:
     return d.withColumn("label", F.try_element_at(known, F.trim(F.col(raw)))).where(F.col("label").isNotNull())
 
 
-def read_payload_csv(spark: SparkSession, path: str, *, payload: str, label: str, labels: dict[str, str], source: str, encoding: str = "UTF-8") -> DataFrame:
-    """Payloads with a label column; blank payloads and unknown labels are dropped."""
+def labelled_payloads(d: DataFrame, *, payload: str, label: str, labels: dict[str, str], source: str, decode: bool = False, fold: bool = False) -> DataFrame:
+    """Payload rows as requests: blank payloads and unknown labels are dropped, payloads trimmed.
+
+    `decode` resolves character references, `fold` ignores the case of raw labels.
+    """
+    raw = F.lower(F.col(label)) if fold else F.col(label)
+    text = F.trim(F.col(payload).cast("string"))
+    d = map_labels(d.withColumn("_raw", raw.cast("string")), "_raw", labels).where(F.length(text) > 0)
+    return d.select(*as_query(unescape(text) if decode else text, F.col("label"), source))
+
+
+def read_payload_csv(spark: SparkSession, path: str, *, payload: str, label: str, labels: dict[str, str], source: str, encoding: str = "UTF-8", **options) -> DataFrame:
+    """Payloads with a label column; see `labelled_payloads`."""
     d = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(path)
-    return map_labels(d, label, labels).where(F.length(F.trim(F.col(payload))) > 0).select(*as_query(F.col(payload), F.col("label"), source))
+    return labelled_payloads(d, payload=payload, label=label, labels=labels, source=source, **options)
+
+
+def read_named(spark: SparkSession, path: str, source: str) -> DataFrame:
+    """A data set by its name, with its own columns and labels: payload_full, xss_dataset, command_injection, payloads_csv or modsec_learn."""
+    table = known_labels.LABELS[source]
+    one = lambda payload, label, **more: read_payload_csv(spark, path, payload=payload, label=label, labels=table, source=source, **more)
+    if source == "payload_full":
+        return one("payload", "attack_type", fold=True)
+    if source == "xss_dataset":
+        return one("Sentence", "Label").select("method", "path", F.col("body").alias("query"), F.col("query").alias("body"), "label", "_source")
+    if source == "command_injection":
+        return one("sentence", "Label", decode=True)
+    if source == "payloads_csv":
+        d = one("Payloads", "Class", encoding="ISO-8859-1").withColumn("_u", split_url(F.col("query")))
+        return d.select("method", F.trim("_u.path").alias("path"), F.trim("_u.query").alias("query"), "body", "label", "_source")
+    if source == "modsec_learn":
+        stem = F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^./]*$", 1)
+        d = spark.read.text(path, wholetext=True).select(stem.alias("_stem"), F.explode(F.from_json("value", "array<string>")).alias("q"))
+        return map_labels(d.where(F.length("q") > 0), "_stem", table).select(*as_query(F.col("q"), F.col("label"), source))
+    raise ValueError(f"no columns are known for {source}")
+
+
+def curated_payloads(spark: SparkSession) -> DataFrame:
+    """The curated list of command injections as requests."""
+    d = spark.createDataFrame([(i, p) for i, p in enumerate(known_labels.CURATED)], "line int, payload string")
+    return d.select("line", *as_query(F.col("payload"), F.lit("cmdi"), "patt_cmdi_curated"))
 
 
 def priority_label(flags: dict[str, Column], default: str | None = None, order: tuple[str, ...] = PRIORITY) -> Column:
@@ -62,16 +103,28 @@ def priority_label(flags: dict[str, Column], default: str | None = None, order:
     return F.coalesce(*[F.when(flags[c], c) for c in order if c in flags], F.lit(default))
 
 
-def read_multilabel_csv(spark: SparkSession, path: str, flags: dict[str, list[str]], source: str, default: str | None = None, order: tuple[str, ...] = PRIORITY) -> DataFrame:
-    """request_* columns with 0/1 label columns; header columns that are not empty become extra headers."""
+def read_multilabel_csv(spark: SparkSession, path: str, flags: dict[str, list[str]] | None = None, source: str = "capec", default: str | None = None, order: tuple[str, ...] = PRIORITY) -> DataFrame:
+    """Request columns with 0/1 label columns; header columns that are not empty become extra headers.
+
+    A row has the first class of the order one of whose columns is 1; rows
+    without any are dropped, or have the default. Without `flags` the columns
+    of the known multi-label file are taken.
+    """
+    flags = known_labels.MULTILABEL if flags is None else flags
     d = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    hit = {c: F.greatest(*[F.coalesce(F.col(f"`{x}`").cast("int"), F.lit(0)) for x in columns], F.lit(0)) > 0 for c, columns in flags.items()}
-    headers = [c for c in d.columns if c.startswith("request_header_")]
-    extra = F.create_map(*[x for c in headers for x in (F.lit(c.removeprefix("request_header_").lower()), F.col(c))]) if headers else F.create_map().cast("map<string,string>")
-    have = lambda c: F.coalesce(F.col(c), F.lit("")) if c in d.columns else F.lit("")
-    url = split_url(have("request_url"))
+    return multilabel_requests(d, flags, source, default, order)
+
+
+def multilabel_requests(d: DataFrame, flags: dict[str, list[str]], source: str, default: str | None = None, order: tuple[str, ...] = PRIORITY) -> DataFrame:
+    hit = {c: F.greatest(*[F.coalesce(F.try_to_number(F.col(f"`{x}`").cast("string"), F.lit("9")).cast("int"), F.lit(0)) if x in d.columns else F.lit(0) for x in columns], F.lit(0)) == 1 for c, columns in flags.items()}
+    have = lambda *names: F.coalesce(*[F.when(F.length(F.col(c)) > 0, F.col(c)) for c in names if c in d.columns], F.lit(""))
+    names = {c: h for c, h in known_labels.MULTILABEL_HEADERS.items() if c in d.columns} | {c: c.removeprefix("request_header_").lower() for c in d.columns if c.startswith("request_header_")}
+    extra = F.create_map(*[x for c, h in names.items() for x in (F.lit(h), F.col(c))]) if names else F.create_map().cast("map<string,string>")
+    url = split_url(have("request_http_request", "request_url"))
+    method = F.upper(F.trim(have("request_http_method", "request_method")))
     out = d.select(
-        have("request_method").alias("method"), url["path"].alias("path"), url["query"].alias("query"), have("request_body").alias("body"),
+        F.when(method == "", "GET").otherwise(method).alias("method"), url["path"].alias("path"), url["query"].alias("query"), F.trim(have("request_body")).alias("body"),
+        have("request_user_agent").alias("user_agent"), have("request_content_type").alias("content_type"), have("request_referer").alias("referer"), have("request_cookie").alias("cookie"),
         F.map_filter(extra, lambda _, v: v.isNotNull() & (v != "")).alias("extra_headers"), priority_label(hit, default, order).alias("label"), F.lit(source).alias("_source"),
     )
     return out.where(F.col("label").isNotNull())
@@ -88,7 +141,8 @@ def audit_blocks(spark: SparkSession, path: str) -> DataFrame:
 
     Records end with a Z boundary, so that large files are read in splits.
     """
-    text = spark.read.text(path, lineSep="-Z--\n").withColumn("value", F.regexp_replace("value", r"\n--[0-9a-fA-F]+$", ""))
+    # the separator ends before the line's own end, which may be \r\n
+    text = spark.read.text(path, lineSep="-Z--").withColumn("value", F.regexp_replace(F.regexp_replace("value", r"\r\n", "\n"), r"\n--[0-9a-fA-F]+$", ""))
     # a transaction starts at its A boundary
     block = text.select(F.explode(F.split("value", r"(?m)^(?=--[0-9a-fA-F]+-A--\s*$)")).alias("b")).where("b rlike '^--[0-9a-fA-F]+-A--'")
     parts = F.filter(F.split("b", r"(?m)^(?=--[0-9a-fA-F]+-[A-Z]--\s*$)"), lambda x: x.rlike("^--[0-9a-fA-F]+-[A-Z]--"))
@@ -99,19 +153,18 @@ def audit_blocks(spark: SparkSession, path: str) -> DataFrame:
     return block.select(F.regexp_extract("b", "^--([0-9a-fA-F]+)-A--", 1).alias("id"), F.map_from_entries(last).alias("sections"))
 
 
-# Patterns that name a class in the audit messages, by priority.
-MESSAGE_PATTERNS = {
-    "sqli": r"(?i)sql\s*injection|attack-sqli|sqli",
-    "path_traversal": r"(?i)path\s*traversal|attack-lfi|directory\s*traversal|/etc/passwd",
-    "cmdi": r"(?i)command\s*injection|attack-rce|remote\s*command",
-    "xss": r"(?i)cross[- ]site\s*scripting|attack-xss|\bxss\b",
-}
-
-
 def message_label(messages: Column) -> Column:
     """The first class that the messages name; benign without any message, null for other messages."""
-    named = priority_label({c: messages.rlike(p) for c, p in MESSAGE_PATTERNS.items()})
-    return F.coalesce(named, F.when(~F.coalesce(messages.rlike("Message:"), F.lit(False)), "benign"))
+    text = F.upper(F.coalesce(messages, F.lit("")))
+    named = priority_label({c: reduce(lambda a, b: a | b, [text.contains(p.upper()) for p in patterns]) for c, patterns in known_labels.MESSAGE_PATTERNS.items()})
+    return F.when(~F.coalesce(messages.contains("Message:"), F.lit(False)), "benign").otherwise(named)
+
+
+def tag_label(messages: Column) -> Column:
+    """The class that tags and rule ids of the messages name, null if none: the older reading of audit logs."""
+    tags, rules = tags_of(messages), tags_of(messages, "id")
+    hit = lambda have, wanted: F.arrays_overlap(have, F.array(*[F.lit(x) for x in wanted])) if wanted else F.lit(False)
+    return F.coalesce(*[F.when(hit(tags, t) | hit(rules, r), c) for c, t, r in known_labels.TAG_CLASSES])
 
 
 def tags_of(messages: Column, kind: str = "tag") -> Column:
@@ -155,17 +208,40 @@ def read_audit(spark: SparkSession, path: str, source: str = "audit") -> DataFra
 CLF = r'^(\S+) \S+ \S+ \[([^\]]+)\] "(\S+) (\S+)[^"]*" (\d{3}) (?:\d+|-)(?: "[^"]*" "([^"]*)")?'
 
 
-def read_access_log(spark: SparkSession, path: str, labelled: DataFrame | None = None) -> DataFrame:
-    """client_ip, ts, method, path, query, status_code, user_agent of matching lines.
+def access_lines(d: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """client_ip, ts, method, path, query, status_code, user_agent of the matching lines of `d` (value, file, line).
 
-    `labelled` has the text of lines to leave out (`line`).
+    `labelled` has file and line, the number from 1, of lines to leave out;
+    equal lines elsewhere stay.
     """
-    d = spark.read.text(path).where(F.col("value").rlike(CLF))
+    d = d.where(F.col("value").rlike(CLF))
     if labelled is not None:
-        d = d.join(labelled.select(F.col("line").alias("value")), "value", "left_anti")
+        d = d.join(labelled.select("file", F.col("line").cast("bigint").alias("line")), ["file", "line"], "left_anti")
     g = lambda i: F.regexp_extract("value", CLF, i)
     url = split_url(g(4))
-    return d.select(g(1).alias("client_ip"), F.try_to_timestamp(F.substring_index(g(2), " ", 1), F.lit("dd/MMM/yyyy:HH:mm:ss")).alias("ts"), g(3).alias("method"), url["path"].alias("path"), url["query"].alias("query"), g(5).cast("int").alias("status_code"), g(6).alias("user_agent"))
+    known = [g(1).alias("client_ip"), F.try_to_timestamp(F.substring_index(g(2), " ", 1), F.lit("dd/MMM/yyyy:HH:mm:ss")).alias("ts"), g(3).alias("method"), url["path"].alias("path"), url["query"].alias("query"), g(5).cast("int").alias("status_code"), g(6).alias("user_agent")]
+    return d.select(*[c for c in ("file", "line") if c in d.columns], *known)
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, file, line: the lines of text files with their numbers from 1.
+
+    A file's splits are counted first; a line's number is its place in its split
+    plus the lines of the splits before. Both come from one materialised table.
+    """
+    at = F.col("_metadata.file_block_start")
+    d = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), at.alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    d = materialise(d)
+    blocks = d.groupBy("file", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = blocks.withColumn("_before", F.sum("_n").over(W.partitionBy("file").orderBy("_block")) - F.col("_n"))
+    return d.join(F.broadcast(before), ["file", "_block"]).select("value", "file", (F.col("_id") - F.col("_first") + F.col("_before") + 1).alias("line"))
+
+
+def read_access_log(spark: SparkSession, path: str, labelled: DataFrame | None = None) -> DataFrame:
+    """Requests of access logs; `labelled` has file (its name) and line of those to leave out."""
+    if labelled is None:
+        return access_lines(spark.read.text(path))
+    return access_lines(numbered_lines(spark, path), labelled).drop("file", "line")
 
 
 def read_wordlist(spark: SparkSession, path: str, label: str, source: str) -> DataFrame:
@@ -193,8 +269,5 @@ def synthetic_benign(spark: SparkSession, n: int, persona: str = "dashboard", se
 
 
 def over_hosts(requests: DataFrame, hosts: int, *order) -> DataFrame:
-    """Requests dealt to hosts in turn, by their place in each range of the order."""
-    ranged = requests.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    before = ranged.groupBy("_part").agg(F.count("*").alias("_m")).select("_part", (F.sum("_m").over(W.orderBy("_part")) - F.col("_m")).alias("_before"))
-    place = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1 + F.col("_before")
-    return ranged.join(F.broadcast(before), "_part").withColumn("host", F.pmod(place, F.lit(hosts)).cast("int")).drop("_part", "_before")
+    """Requests dealt to hosts in turn, by their place in the order."""
+    return numbered(requests, *order, name="host", first=0).withColumn("host", F.pmod("host", F.lit(hosts)).cast("int"))
