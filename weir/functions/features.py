@@ -54,8 +54,8 @@ def attack_signal(text: Column) -> Column:
 
 
 def decoded_signal(text: Column) -> Column:
-    """The larger of the scores of the text and of its percent-decoded form."""
-    return let(text, lambda s: let(decode_component(s), lambda d: F.when(d == s, attack_signal(s)).otherwise(F.greatest(attack_signal(s), attack_signal(d)))))
+    """The larger of the scores of the text and of its percent-decoded form; one expression for both."""
+    return F.array_max(F.transform(F.array_distinct(F.array(text, decode_component(text))), attack_signal))
 
 
 def best_field(body: Column) -> Column:
@@ -75,7 +75,8 @@ def with_payload(df: DataFrame) -> DataFrame:
     offered = [(F.length("_body") > 0, F.col("_body")), (F.length("query") > 0, F.col("query")), (F.length("path") > 1, F.col("path"))]
     n = sum((c.cast("int") for c, _ in offered), F.lit(0))
     # scores matter only between candidates
-    scores = F.array(*[F.when(c & (n > 1), decoded_signal(x)).when(c, 0).otherwise(-1) for c, x in offered])
+    several = F.array(*[F.when(c, x) for c, x in offered])
+    scores = F.transform(several, lambda x: F.when(x.isNull(), -1).when(n > 1, decoded_signal(x)).otherwise(0))
     at = let(scores, lambda s: F.array_position(s, F.array_max(s)).cast("int"))
     df = df.withColumn("_at", at)
     chosen = F.when(n == 0, F.col("path")).otherwise(F.element_at(F.array(*[x for _, x in offered]), F.col("_at")))

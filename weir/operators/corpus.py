@@ -59,23 +59,21 @@ def near_queries(df: DataFrame, *, id_col: str, label: str, text: str, most: int
     parts = most + spare
     d = df.where(F.length(text).between(1, longest)).groupBy(F.col(label).alias("label"), F.col(text).alias("text")).agg(F.min(id_col).alias("id"))
     d = materialise(d.withColumn("n", F.length("text")))
-    start = lambda i, m: F.floor(F.lit(i) * m / parts).cast("int")
+    start = lambda i, m: F.floor(i * m / parts).cast("int")
     size = lambda i, m: start(i + 1, m) - start(i, m)
-    piece = lambda i, m, shift=0: F.substring(F.col("text"), start(i, m) + 1 + shift, size(i, m))
-    own = F.explode(F.array(*[F.struct(F.lit(i).alias("part"), piece(i, F.col("n")).alias("piece")) for i in range(parts)])).alias("p")
-    pieces = d.select("label", "id", "text", "n", own).select("label", "id", "text", "n", "p.part", "p.piece")
+    i = F.col("part")
+    pieces = d.select("label", "id", "text", "n", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    pieces = pieces.withColumn("piece", F.substring(F.col("text"), start(i, F.col("n")) + 1, size(i, F.col("n"))))
     often = pieces.groupBy("label", "n", "part", "piece").agg(F.count("*").alias("often"))
     place = F.row_number().over(W.partitionBy("label", "id").orderBy("often", "part"))
     index = pieces.join(often, ["label", "n", "part", "piece"]).withColumn("_at", place).where(F.col("_at") <= most + 1).drop("_at", "often")
-    wanted = []
-    for less in range(most + 1):
-        m = F.col("n") - less
-        for shift in range(-((most - less) // 2), (most + less) // 2 + 1):
-            for i in range(parts):
-                fits = (m >= 1) & (start(i, m) + shift >= 0) & (start(i, m) + shift + size(i, m) <= F.col("n"))
-                wanted.append(F.when(fits, F.struct(m.alias("n"), F.lit(i).alias("part"), piece(i, m, shift).alias("piece"))))
-    probe = d.select("label", F.col("id").alias("other"), F.col("text").alias("with"), F.col("n").alias("long"), F.explode(F.array_distinct(F.array_compact(F.array(*wanted)))).alias("p"))
-    probe = probe.select("label", "other", "with", "long", "p.n", "p.part", "p.piece")
+    # how much shorter the other text is, how far its piece lies from its place, which piece
+    ways = [(less, shift, k) for less in range(most + 1) for shift in range(-((most - less) // 2), (most + less) // 2 + 1) for k in range(parts)]
+    way = F.explode(F.array(*[F.struct(F.lit(x).alias("less"), F.lit(y).alias("shift"), F.lit(z).alias("part")) for x, y, z in ways])).alias("w")
+    probe = d.select("label", F.col("id").alias("other"), F.col("text").alias("with"), F.col("n").alias("long"), way).select("label", "other", "with", "long", (F.col("long") - F.col("w.less")).alias("n"), "w.shift", "w.part")
+    begin = start(i, F.col("n")) + F.col("shift")
+    fits = (F.col("n") >= 1) & (begin >= 0) & (begin + size(i, F.col("n")) <= F.col("long"))
+    probe = probe.where(fits).select("label", "other", "with", "long", "n", "part", F.substring(F.col("with"), begin + 1, size(i, F.col("n"))).alias("piece"))
     met = index.join(probe, ["label", "n", "part", "piece"]).where((F.col("n") < F.col("long")) | (F.col("id") < F.col("other")))
     near = met.withColumn("distance", F.levenshtein("text", "with", most)).where("distance >= 0")
     return near.select("label", F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "distance").distinct()
