@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weir.operators.places import hot_join
+
 #: Radius and core size of the anomaly clusters.
 EPS, MIN_SAMPLES = 2.5, 3
 #: Candidates of a cluster in the first round of a medoid search and in any, and how many in all are broadcast.
@@ -26,33 +31,43 @@ def within(points: DataFrame, eps: float, pivots: int = 3) -> DataFrame:
 
     A point's key is, for each pivot, the number of the eps-wide shell around it
     that the point lies in. By the triangle inequality near points lie in equal
-    or neighbouring shells of every pivot, so each point is replicated to its
-    neighbouring shells and the join is by equality of keys.
+    or neighbouring shells of every pivot, so each point is copied to its own
+    shells and to half of the neighbouring ones (those that come after them),
+    and the join is by equality of keys.
     """
     chosen = points.orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").collect()
+    if not chosen:
+        return points.limit(0).selectExpr("id a", "id b", "0.0D d")
     shells = [F.floor(distance(F.col("v"), F.array(*[F.lit(x) for x in p.v])) / eps).cast("int") for p in chosen]
-    d = points.withColumns({f"_k{i}": s for i, s in enumerate(shells)})
     keys = [f"_k{i}" for i in range(len(shells))]
-    wide = d
-    for k in keys:
-        wide = wide.withColumn(k, F.explode(F.array(F.col(k) - 1, F.col(k), F.col(k) + 1)))
-    wide = wide.select(*keys, F.col("id").alias("b"), F.col("v").alias("w"))
-    met = d.select(*keys, F.col("id").alias("a"), "v").join(wide, keys) if keys else points.limit(0).selectExpr("id a", "v", "id b", "v w")
-    return met.where("a < b").withColumn("d", distance(F.col("v"), F.col("w"))).where(F.col("d") <= eps).select("a", "b", "d")
+    d = points.select("id", "v", *[s.alias(k) for k, s in zip(keys, shells, strict=True)])
+    here = (0,) * len(keys)
+    steps = [o for o in product((-1, 0, 1), repeat=len(keys)) if o >= here]
+    step = F.explode(F.array(*[F.struct(*[F.lit(x).alias(k) for k, x in zip(keys, o, strict=True)]) for o in steps])).alias("o")
+    wide = d.select("*", step)
+    same = reduce(lambda a, b: a & b, [F.col(f"o.{k}") == 0 for k in keys])
+    wide = wide.select(*[(F.col(k) + F.col(f"o.{k}")).alias(k) for k in keys], F.col("id").alias("b"), F.col("v").alias("w"), same.alias("same"))
+    met = d.withColumnRenamed("id", "a").join(wide, keys).where("not same or a < b")
+    near = met.withColumn("d", distance(F.col("v"), F.col("w"))).where(F.col("d") <= eps)
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d")
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """id, label: the least id of each connected component of edges (a, b), by rounds of least neighbours and jumps."""
+    """id, label: the least id of each connected component of edges (a, b), by rounds of least neighbours and jumps.
+
+    Labels of hubs and of large components reach their rows by a broadcast of the hot keys.
+    """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("label")).checkpoint()
+    total = both.count()
+    labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("label"), F.count("*").alias("degree")).checkpoint()
     while True:
-        heard = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("heard"))
-        hooked = labels.join(heard, "id").select("id", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
-        jump = hooked.groupBy("old").agg(F.min("label").alias("best"))
-        new = hooked.join(jump, "old").select("id", F.least("label", "best").alias("label"), (F.least("label", "best") < F.col("old")).alias("moved")).checkpoint()
-        labels = new.select("id", "label")
+        heard = hot_join(both, labels.withColumnRenamed("id", "b"), "b", "degree", total).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("heard"))
+        hooked = labels.join(heard, "id").select("id", "degree", F.col("label").alias("old"), F.least("label", "heard").alias("label")).checkpoint()
+        jump = hooked.groupBy("old").agg(F.min("label").alias("best"), F.count("*").alias("n"))
+        new = hot_join(hooked, jump, "old", "n", total).select("id", "degree", F.least("label", "best").alias("label"), (F.least("label", "best") < F.col("old")).alias("moved")).checkpoint()
+        labels = new.drop("moved")
         if new.where("moved").isEmpty():
-            return labels
+            return labels.drop("degree")
 
 
 def dbscan(points: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES) -> DataFrame:

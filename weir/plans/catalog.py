@@ -16,7 +16,7 @@ DAY_MS = 86_400_000
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features of every request and the rule of thumb that decides on them."""
+    """Features of every request, and a rule of thumb on marker counts, not a trained model, that decides on them."""
     return request_decisions(spark, sf_dir)
 
 
@@ -222,7 +222,7 @@ def request_features(spark, sf_dir):
 
 @query()
 def request_decisions(spark, sf_dir):
-    """Features turned into pseudo-probabilities by their marker counts, then the policy."""
+    """Features turned into pseudo-probabilities by their marker counts (no model is trained here), then the policy."""
     f = features.extract(V.requests(spark, sf_dir), ("doc_id", "label"))
     marks = [F.lit(1.0), F.col("shell_command_count") + F.col("command_separator_count"), 2 * F.col("traversal_sequence_count") + 3 * F.col("sensitive_file_target"), F.col("sqli_keyword_count") + 3 * F.col("union_present"), 3 * F.col("xss_marker_count")]
     total = sum(marks[1:], marks[0])
