@@ -186,7 +186,7 @@ def test_network_and_reconstruction(spark):
     d = spark.createDataFrame([(i, "b" if i < 150 else "x", *map(float, r)) for i, r in enumerate(x)], "id long, label string, f double, g double, h double")
     m = models.network(["f", "g", "h"], 2, hidden=(4,), steps=60).fit(d)
     assert m.transform(d).where("prediction = _y").count() > 285
-    line = [(i, float(t), 2.0 * t, 3.0 * t) for i, t in enumerate(rng.normal(0, 1, 200))]
+    line = [(i, t, 2.0 * t, 3.0 * t) for i, t in enumerate(rng.normal(0, 1, 200).tolist())]
     r = models.Reconstruction(["f", "g", "h"], narrow=1).fit(spark.createDataFrame(line, "id long, f double, g double, h double"))
     odd = spark.createDataFrame([*line[:50], (999, 3.0, -6.0, 0.0)], "id long, f double, g double, h double")
     errors = {q.id: q.error for q in r.transform(odd, ("id",)).collect()}
