@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import jaccard, licenses, mixing, packing, pages, quality, substring, suffix, topk, toxicity
+from weir.llm import fingerprints, jaccard, lexical, licenses, mixing, packing, pages, quality, substring, suffix, topk, toxicity, whitening
 from weir.llm.common import table
 
 
@@ -23,6 +23,9 @@ QUERIES = {
     "op8_suffix": suffix.op8_suffix,
     "op9_packing": op9_packing,
     "op10_pages": pages.op10_pages,
+    "op11_fingerprints": fingerprints.op11_fingerprints,
+    "op12_lexical": lexical.op12_lexical,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLE: dict[str, str] = {
@@ -30,4 +33,5 @@ ORACLE: dict[str, str] = {
     "op5_mixing": mixing.SQL,
     "op6_topk": topk.SQL,
     "op7_substring": substring.SQL,
+    "op12_lexical": lexical.SQL,
 }
