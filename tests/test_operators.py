@@ -147,16 +147,6 @@ def test_lock_hash_is_one_digest(spark, many_ranges):
     assert tuple(corpus.lock_hash(d.limit(0), "h").first()) == (hashlib.sha256(b"").hexdigest(), 0)
 
 
-def test_contained_in_several_passes(spark):
-    rng = random.Random(8)
-    rows = [(i % 3, rng.choice("ab"), "".join(rng.choice("xyz") for _ in range(60))) for i in range(80)]
-    needles = [(rng.choice("abc"), "".join(rng.choice("xyz") for _ in range(rng.randrange(0, 6)))) for _ in range(60)]
-    d, p = spark.createDataFrame(rows, "k int, label string, t string"), spark.createDataFrame([*needles, (None, "x")], "label string, needle string")
-    for block in (1000, 7):
-        got = {tuple(r) for r in leakage.contained(d, p, fields=("t",), keys=("k",), block=block).collect()}
-        assert got == {(k, c, w) for k, c, t in rows for n, w in needles if n == c and w and w in t}
-
-
 def test_permutation_importance_and_sweep(spark):
     d = spark.range(600).select("id", (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 2).cast("double").alias("a"), F.rand(1).alias("b"))
     predict = lambda x: x.withColumn("p", (F.col("a") > 0.5).cast("int"))

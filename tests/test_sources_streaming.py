@@ -1,12 +1,13 @@
 import datetime
 import json
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from weir.sources import readers, sinks
-from weir.streaming import live
+from weir.streaming import live, telemetry
 
 AUDIT = """--a1b2-A--
 [01/Jan/2024:00:00:00 +0000] id 1.2.3.4
@@ -244,3 +245,108 @@ def test_notifications_survive_failures(spark, tmp_path):
     assert sorted(p.name for p in out.iterdir()) == ["u-1", "u-3"]
     with pytest.raises(ValueError):
         sinks.csv_to_parquet(spark, str(tmp_path / "none"), str(tmp_path / "q"), "x int") if (tmp_path / "none").exists() else (_ for _ in ()).throw(ValueError())
+
+
+# First replies, telemetry logs
+
+
+def micro_batches(spark, tmp_path, name, batches, schema):
+    """A stream that reads one file a micro-batch, in the order of the batches."""
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}-{i}"))
+        part = next((tmp_path / f"{name}-{i}").glob("part-*.parquet"))
+        (tmp_path / name).mkdir(exist_ok=True)
+        target = tmp_path / name / f"{i:03}.parquet"
+        target.write_bytes(part.read_bytes())
+        os.utime(target, (1_700_000_000 + i, 1_700_000_000 + i))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+
+
+EVENT, REPLY = "event_id long, ts timestamp, verdict string, if_score double", "event_id long, replied_at timestamp, late double"
+EVENTS = [
+    [(1, at(0), "pass", 0.5), (2, at(0), "pass", 0.5), (3, at(0), "timeout", 0.0)],
+    # the first event is read again, two of one id at once, and one without an id
+    [(1, at(0), "pass", 0.5), (4, at(0.01), "block", 0.5), (4, at(0.01), "block", 0.5), (None, at(0), "pass", 0.0)],
+    [(5, at(0.02), "pass", 0.5), (6, at(0.02), "pass", 0.5)], [(90, at(100), "pass", 0.0)], [(1, at(0), "pass", 0.5)], [(91, at(300), "pass", 0.0)],
+]
+REPLIES = [
+    # two replies of 1, the later one read first; one before its event is read; one that comes too late; one too early
+    [(1, at(0.04), 0.9), (4, at(0.03), 0.001), (2, at(0.2), 0.001), (5, at(0.01), 0.001)],
+    [(1, at(0.02), 0.001), (1, at(0.02), 0.001), (3, at(0.01), 0.001), (6, at(0.03), None)], [(6, at(0.04), 0.8), (None, at(0), 0.1)], [(90, at(100.01), 0.7)], [(1, at(0.03), 0.6)], [(8, at(300), 0.1)],
+]
+EXPECTED = {1: ("pass_anomaly", 0.001, True, True), 2: ("pass", 0.5, False, False), 3: ("timeout", 0.0, False, False), 4: ("block", 0.001, True, True), 5: ("pass", 0.5, False, False), 6: ("pass", 0.8, False, True), 90: ("pass", 0.7, False, True)}
+
+
+def test_two_replies_give_one_event(spark, tmp_path):
+    e, r = micro_batches(spark, tmp_path, "e", EVENTS, EVENT), micro_batches(spark, tmp_path, "r", REPLIES, REPLY)
+    rows = run(live.late_patches(e, r), "first_replies").collect()
+    got = {x.event_id: (x.verdict, x.if_score, x.is_anomaly, x.patched) for x in rows}
+    assert len(rows) == len(got) and got == EXPECTED
+
+
+def test_two_replies_of_a_batch_frame(spark):
+    flat = lambda batches, schema: spark.createDataFrame([x for b in batches for x in b], schema).repartition(3)
+    rows = live.late_patches(flat(EVENTS, EVENT), flat(REPLIES, REPLY)).collect()
+    got = {x.event_id: (x.verdict, x.if_score, x.is_anomaly, x.patched) for x in rows}
+    assert len(rows) == len(got) and {k: v for k, v in got.items() if k != 91} == EXPECTED
+    asked = spark.createDataFrame([(1, at(0)), (1, at(0)), (2, at(0))], "id long, ts timestamp")
+    told = spark.createDataFrame([(1, at(0.03), [0.1]), (1, at(0.01), [0.2])], "id long, replied_at timestamp, probabilities array<double>")
+    assert sorted((r.id, r.probabilities) for r in live.with_replies(asked, told).collect()) == [(1, [0.2]), (2, None)]
+    events = spark.createDataFrame([(1, at(0), "block", 0.9)], "event_id long, ts timestamp, verdict string, confidence double")
+    canary = spark.createDataFrame([(1, at(5), [0.0, 0.0, 0.0, 0.9, 0.1]), (1, at(9), [1.0, 0.0, 0.0, 0.0, 0.0])], "event_id long, replied_at timestamp, probabilities array<double>")
+    assert [r.verdict_match for r in live.with_canary(events, canary).collect()] == [True]
+
+
+def test_first_replies_survive_restarts(spark, tmp_path):
+    path, checkpoint = str(tmp_path / "merged"), str(tmp_path / "c")
+    for stop in (1, 3, 6):
+        e, r = micro_batches(spark, tmp_path / "x", "e", EVENTS[:stop], EVENT), micro_batches(spark, tmp_path / "x", "r", REPLIES[:stop], REPLY)
+        query = telemetry.merge_events(live.late_patches(e, r), path, checkpoint).start()
+        live.drain(query)
+        for old in (tmp_path / "x").glob("[er]-*"):
+            old.rename(tmp_path / f"{old.name}-{stop}")
+    rows = spark.read.parquet(path).collect()
+    assert sorted(x.event_id for x in rows) == sorted(EXPECTED)
+    assert {x.event_id: (x.verdict, x.if_score, x.is_anomaly, x.patched) for x in rows} == EXPECTED
+
+
+def test_a_batch_written_again_takes_its_own_place(spark, tmp_path):
+    for _ in range(2):
+        telemetry.write_batch(spark.range(3), 7, str(tmp_path / "b"))
+    assert spark.read.parquet(str(tmp_path / "b")).count() == 3
+
+
+def line(i, **changes):
+    return json.dumps({"vector": [float(i), 2.0], "predicted_class": "xss", "confidence": 0.5, "timestamp": 3 + i, "source_id": "h"} | changes) + "\n"
+
+
+def test_telemetry_logs_are_read_once(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    accepted, rejected, checkpoint = (str(tmp_path / n) for n in ("ok", "bad", "check"))
+
+    def go():
+        # small parts and batches: lines lie across both
+        stream = telemetry.telemetry_stream(spark, str(logs), 2, part=150, batch=1000)
+        live.drain(telemetry.store_telemetry(stream, accepted, rejected, checkpoint).start())
+
+    with (logs / "a.jsonl").open("a") as f:
+        f.writelines(line(i) for i in range(40))
+        f.write("no json\n" + line(1000, source_id="") + line(40)[:20])  # the last line is not ended
+    (logs / "b.jsonl").write_text("".join(line(i) for i in range(100, 110)))
+    go()
+    first = spark.read.parquet(accepted).collect()
+    assert sorted(r.timestamp - 3 for r in first) == [*range(40), *range(100, 110)]
+    assert spark.read.parquet(rejected).count() == 2
+    # the line ends, files grow, a new one comes, and the query starts again
+    with (logs / "a.jsonl").open("a") as f:
+        f.write(line(40)[20:] + "".join(line(i) for i in range(41, 60)))
+    (logs / "c.jsonl").write_text(line(200, note="x" * 3000))
+    go()
+    go()
+    rows = spark.read.parquet(accepted).collect()
+    assert sorted(r.timestamp - 3 for r in rows) == [*range(60), *range(100, 110), 200]
+    assert len({(r.file, r.at) for r in rows}) == len(rows)
+    bad = spark.read.parquet(rejected).collect()
+    assert sorted(r.error.split()[0] for r in bad) == ["source_id", "vector"] and "no json" in {r.value for r in bad}
+    assert sum(r.n for r in telemetry.rejected_counts(spark.read.parquet(rejected)).collect()) == 2

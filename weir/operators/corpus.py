@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weir.operators.places import materialise, numbered
+from weir.operators.quantiles import quantiles
 
 #: Shares of the split, tolerances of its check.
 TEST, VALIDATION, TRAIN = 0.15, 0.15, 0.70
@@ -154,10 +155,11 @@ def coverage(df: DataFrame, source: str, label: str, classes: list[str]) -> Data
 
 
 def describe_by(df: DataFrame, key: str, value: str) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(key).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), q.alias("q"), F.max(value).alias("max")).select(
-        key, "count", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max"
-    )
+    """key, count, mean, std, min, p25, p50, p75, max of a number in each group, quartiles by selection."""
+    base = df.groupBy(key).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    q = quantiles(df, value, [0.25, 0.5, 0.75], by=key).withColumnRenamed(key, "_key")
+    known = base.join(q, base[key].eqNullSafe(q["_key"]), "left")
+    return known.select(key, "count", "mean", "std", "min", *[F.col("q")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))], "max")
 
 
 def null_counts(df: DataFrame) -> DataFrame:

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weir.operators.containment import contained
 from weir.operators.corpus import fingerprint, generic_template, template_shape
 
-#: Payloads of one search; more are searched for in several passes over the rows.
-BLOCK = 10_000
 FIELDS = ("path", "query", "body")
 
 
@@ -26,48 +22,6 @@ def with_texts(split: DataFrame, corpus: DataFrame, key: str = "_row_hash") -> D
     return split.join(texts, key, "left").select(*split.columns, *[F.coalesce(F.col(f"_t.{c}"), F.lit("")).alias(c) for c in FIELDS], F.col("_t").isNull().alias("missing"))
 
 
-def contained(rows: DataFrame, needles: DataFrame, *, label: str = "label", fields: tuple[str, ...] = FIELDS, keys: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
-    """keys, label, needle: the needles (label, needle) that lie in a field of some row of their label.
-
-    All needles of a pass are found by one automaton (Aho-Corasick) in one
-    reading of each text, however many they are; no text meets a needle as a
-    pair of rows. Lists of more than `block` take several passes.
-    """
-    wanted = needles.select(F.col(label).alias("label"), "needle").where("label is not null and length(needle) > 0").distinct()
-    texts = rows.select(*keys, F.col(label).alias("label"), F.explode(F.array(*[F.col(f).cast("string") for f in fields])).alias("text")).where("length(text) > 0")
-    schema = ", ".join([*[f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys], "label string, needle string"])
-    blocks = max(1, -(-wanted.count() // block))
-
-    def search(held: dict[str, list[str]]) -> DataFrame:
-        def run(batches):
-            import ahocorasick
-
-            machines = {}
-            for name, words in held.items():
-                machines[name] = ahocorasick.Automaton()
-                for w in words:
-                    machines[name].add_word(w, w)
-                machines[name].make_automaton()
-            for batch in batches:
-                found = set()
-                columns = [c.to_pylist() for c in batch.columns]
-                for *key, name, text in zip(*columns, strict=True):
-                    if name in machines:
-                        found.update((*key, name, w) for w in {w for _, w in machines[name].iter(text)})
-                some = sorted(found, key=repr)
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in some], batch.schema.field(i).type if i <= len(keys) else pa.string()) for i in range(len(keys) + 2)], names=[*keys, "label", "needle"])
-
-        return texts.mapInArrow(run, schema)
-
-    out = []
-    for k in range(blocks):
-        held: dict = {}
-        for r in wanted.where(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == k).collect():  # about `block` short strings
-            held.setdefault(r.label, []).append(r.needle)
-        out.append(search(held))
-    return reduce(DataFrame.unionByName, out).distinct()
-
-
 def containment(rows: DataFrame, payloads: DataFrame, *, label: str = "label", fields: tuple[str, ...] = ("path", "query", "body"), template=None) -> DataFrame:
     """Per label: payloads (label, payload), and how many occur in some field of a row of the label."""
     rule = template or (lambda c: c)

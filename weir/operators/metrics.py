@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weir.operators.places import materialise, numbered, running
+from weir.operators.places import hot_join, materialise, numbered, running
+from weir.operators.quantiles import quantiles
 
 #: Floors and ceilings of the model gate, and of the end-to-end gate.
 MIN_F1, MIN_CLASSES, MIN_RECALL, MAX_FALSE_POSITIVES = 0.80, 3, 0.50, 0.06
@@ -117,21 +120,29 @@ def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: (F.col(c) - s[f"m_{c}"]) / (s[f"s_{c}"] or 1.0) for c in columns if s[f"m_{c}"] is not None})
 
 
+def ranks(df: DataFrame, column: str) -> DataFrame:
+    """column and `_rank`: the mean rank of each distinct value, by running counts over ranges."""
+    counted = df.groupBy(column).agg(F.count("*").alias("_m"))
+    return running(counted, column, _upto="_m").select(column, (F.col("_upto") - (F.col("_m") - 1) / 2).alias("_rank"), "_m")
+
+
 def correlations(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: Pearson's and Spearman's correlation of two columns of a small table; equal values share their mean rank."""
-    rank = lambda c: F.rank().over(W.orderBy(c)) + (F.count("*").over(W.partitionBy(c)) - 1) / 2
-    d = df.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL").withColumns({"ra": rank("a"), "rb": rank("b")})
+    """One row: Pearson's and Spearman's correlation of two columns; equal values share their mean rank."""
+    d = materialise(df.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL"))
+    total = d.count()
+    for c in ("a", "b"):
+        d = hot_join(d, ranks(d, c).withColumnRenamed("_rank", f"r{c}"), c, "_m", total)
     return d.agg(F.corr("a", "b").alias("pearson"), F.corr("ra", "rb").alias("spearman"))
 
 
 def quantile_sweep(df: DataFrame, *, truth: str = "y", score: str = "score", points: int = 300) -> DataFrame:
     """Recall and false positive rate of `score > t` at evenly spaced quantiles of the scores.
 
-    One pass finds the quantiles, a second counts rows by the last threshold below them.
+    The quantiles are selected, a further pass counts rows by the last threshold below them.
     """
-    cuts = df.agg(F.percentile(score, F.array(*[F.lit(i / (points - 1)) for i in range(points)]))).first()[0]
+    cuts = quantiles(df, score, [i / (points - 1) for i in range(points)]).first()[0]
     spark = df.sparkSession
-    if cuts is None:
+    if cuts[0] is None:
         return spark.createDataFrame([], "point int, threshold double, recall double, fp_rate double")
     above = F.aggregate(F.array(*[F.lit(float(c)) for c in cuts]), F.lit(0), lambda n, c: n + (F.col(score) > c).cast("int"))
     hist = df.groupBy(above.alias("above")).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg"))
@@ -162,25 +173,68 @@ def benign_share(predicted: DataFrame, by: str = "file", label: str = "predicted
     return counts.groupBy(by).agg(F.sum("n").alias("n"), (F.sum(F.when(F.col(label) == "benign", F.col("n")).otherwise(0)) / F.sum("n")).alias("pct_benign"), pairs.alias("classes"))
 
 
+def feistel(places: np.ndarray, n: int, key: int) -> np.ndarray:
+    """A seeded permutation of 0 .. n - 1 at the given places, each from its place alone.
+
+    Four Feistel rounds permute the least square of a power of two that holds n;
+    what falls outside walks on until it is inside.
+    """
+    half = max(1, ((max(n, 2) - 1).bit_length() + 1) // 2)
+    mask = np.uint64((1 << half) - 1)
+
+    def once(x):
+        left, right = x >> np.uint64(half), x & mask
+        for r in range(4):
+            f = right * np.uint64(0x9E3779B97F4A7C15) + np.uint64((key * 0x100000001B3 + r * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF)
+            f = (f ^ (f >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+            left, right = right, left ^ ((f ^ (f >> np.uint64(29))) & mask)
+        return (left << np.uint64(half)) | right
+
+    out = once(places.astype(np.uint64))
+    while (outside := out >= np.uint64(n)).any():
+        out[outside] = once(out[outside])
+    return out.astype(np.int64)
+
+
 def permutation_importance(df: DataFrame, names: list[str], predict, *, truth: str = "y", id_col: str = "id", repeats: int = 10, seed: int = 42) -> DataFrame:
     """name, mean and std of the loss of macro F1 when a feature's values are dealt to other rows.
 
-    `predict(df)` adds the column p. Values move by a seeded permutation: rows
-    are numbered in two hashed orders and meet by place, so nothing is gathered.
+    `predict(df)` adds the column p. Rows are numbered once. Repeat k gives the
+    row at a place the values of the row at another one, by a seeded permutation
+    of places that no order has to find; all features and repeats are one job:
+    each row meets its donor once a repeat, and goes to `predict` once a feature.
     """
-    base = summary(class_report(predict(df), truth)).first()["macro_f1"] or 0.0
-    rows = []
-    placed = numbered(df, F.xxhash64(F.lit(seed), F.col(id_col)), id_col, name="_at")
-    placed = materialise(placed)
-    for name in names:
-        lost = []
-        for k in range(repeats):
-            other = numbered(placed.select(F.col(id_col).alias("_from"), F.col(name).alias("_value")), F.xxhash64(F.lit(seed + 1 + k), F.col("_from")), "_from", name="_at")
-            moved = placed.drop(name).join(other.select("_at", F.col("_value").alias(name)), "_at").drop("_at")
-            lost.append(base - (summary(class_report(predict(moved), truth)).first()["macro_f1"] or 0.0))
+    spark = df.sparkSession
+    width = len(names)
+    placed = materialise(numbered(df, F.xxhash64(F.lit(seed), F.col(id_col)), id_col, name="_at", first=0).select("_at", F.col(truth).alias("_y"), F.array(*[F.col(c).cast("double") for c in names]).alias("_x")))
+    n = placed.count()
+
+    def deal(batches):
+        for b in batches:
+            at = b.column(0).to_numpy()
+            for k in range(repeats):
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(at), k, np.int32)), pa.array(feistel(at, n, seed * 1_000_003 + k))], names=["_at", "_k", "_from"])
+
+    dealt = placed.select("_at").mapInArrow(deal, "_at bigint, _k int, _from bigint")
+    met = dealt.join(placed, "_at").join(placed.select(F.col("_at").alias("_from"), F.col("_x").alias("_z")), "_from")
+    which = F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("_f")
+    one = met.select("_k", "_y", "_x", "_z", which)
+    moved = one.select("_k", "_f", F.col("_y").alias(truth), *[F.when(F.col("_f") == i, F.col("_z")[i]).otherwise(F.col("_x")[i]).alias(c) for i, c in enumerate(names)])
+    as_is = placed.select(F.lit(-1).alias("_k"), F.lit(-1).alias("_f"), F.col("_y").alias(truth), *[F.col("_x")[i].alias(c) for i, c in enumerate(names)])
+    n_each = predict(moved.unionByName(as_is)).groupBy("_k", "_f", F.col(truth).alias("y"), "p").agg(F.count("*").alias("n"))
+    # from here a row for each class, feature and repeat
+    key = ["_k", "_f"]
+    true = n_each.groupBy(*key, F.col("y").cast("string").alias("label")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)).alias("hit"))
+    said = n_each.groupBy(*key, F.col("p").cast("string").alias("label")).agg(F.sum("n").alias("said"))
+    f1 = ratio(2 * F.col("hit"), F.col("said") + F.col("support"))
+    scores = true.join(said, [*key, "label"], "full").fillna(0).groupBy(*key).agg(F.avg(f1).alias("f1")).collect()
+    got = {(r._f, r._k): r.f1 for r in scores}
+    base, rows = got.get((-1, -1), 0.0), []
+    for i, name in enumerate(names):
+        lost = [base - got.get((i, k), 0.0) for k in range(repeats)]
         mean = sum(lost) / len(lost)
         rows.append((name, mean, (sum((x - mean) ** 2 for x in lost) / len(lost)) ** 0.5))
-    return df.sparkSession.createDataFrame(rows, "name string, mean double, std double")
+    return spark.createDataFrame(rows, "name string, mean double, std double")
 
 
 def override_sweep(df: DataFrame, overrides: DataFrame, predict, *, names: list[str]) -> DataFrame:

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weir.operators.corpus import MIN_SOURCE_ROWS
+from weir.operators.places import materialise
+
 # Sizes of the published models.
 FOREST_TREES, FOREST_DEPTH = 30, 25
 ISOLATION_TREES, ISOLATION_SAMPLES, CONTAMINATION = 200, 4096, 0.05
@@ -185,3 +191,44 @@ def importances(model, names: list[str], spark) -> DataFrame:
     values = model.stages[-1].featureImportances.toArray().tolist()
     rows = spark.createDataFrame(list(zip(names, values, strict=True)), "name string, importance double")
     return rows.withColumn("prune", F.col("importance") < MIN_IMPORTANCE)
+
+
+#: Folds that are trained at a time, and how many there may be: each is a training of its own.
+PARALLEL, MOST_FOLDS = 4, 256
+
+
+def leave_one_source_out(df: DataFrame, names: list[str], *, source: str = "_source", label: str = "label", kind: str = "forest", trees: int = FOREST_TREES, depth: int = FOREST_DEPTH, seed: int = 42, least: int | None = None) -> DataFrame:
+    """source, rows, macro_f1, f1 (class to F1 and support): each source predicted by a model of all others.
+
+    Rows are read once and kept as blocks of one table; a fold trains on all of
+    it but its source, with classes weighed alike among what is left, several
+    folds at a time. Sources of fewer than `least` rows are not held out; more
+    than `MOST_FOLDS` are an error. Classes are those of the held-out rows; a
+    class that the fold's model never saw has F1 0.
+    """
+    spark = df.sparkSession
+    least = MIN_SOURCE_ROWS if least is None else least
+    rows = materialise(df.where(F.col(source).isNotNull() & F.col(label).isNotNull()).select(source, label, *[F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c) for c in names]))
+    sources = [r[0] for r in rows.groupBy(source).count().where(F.col("count") >= least).orderBy(source).limit(MOST_FOLDS + 1).collect()]
+    if len(sources) > MOST_FOLDS:
+        raise ValueError(f"more than {MOST_FOLDS} sources to hold out")
+
+    def fold(held: str) -> tuple:
+        train, test = balanced(rows.where(F.col(source) != held), label), rows.where(F.col(source) == held)
+        model = classifier(kind, names, label, seed, trees, depth).fit(train)
+        known = F.array(*[F.lit(x) for x in model.stages[0].labelsArray[0]])
+        # rows of a class that was not learnt cannot be indexed; they are predicted all the same
+        said = test
+        for stage in model.stages[1:]:
+            said = stage.transform(said)
+        n = said.select(F.col(label).alias("y"), F.get(known, F.col("prediction").cast("int")).alias("p")).groupBy("y", "p").count().collect()
+        classes = sorted({r.y for r in n})
+        hit = {c: sum(r["count"] for r in n if r.y == c == r.p) for c in classes}
+        support = {c: sum(r["count"] for r in n if r.y == c) for c in classes}
+        told = {c: sum(r["count"] for r in n if r.p == c) for c in classes}
+        f1 = {c: 2.0 * hit[c] / (support[c] + told[c]) for c in classes}
+        return held, sum(support.values()), sum(f1.values()) / len(f1), {c: (f1[c], support[c]) for c in classes}
+
+    with ThreadPool(min(PARALLEL, max(len(sources), 1))) as pool:
+        found = pool.map(inheritable_thread_target(spark)(fold), sources)
+    return spark.createDataFrame(found, f"`{source}` string, rows bigint, macro_f1 double, f1 map<string, struct<f1: double, support: bigint>>")

@@ -7,19 +7,47 @@ must come from the same one; only a materialised table gives that.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in spark.checkpoint.dir; where that is unset, below the warehouse."""
-    spark = df.sparkSession
+def checkpoints(spark: SparkSession) -> None:
+    """Sets the checkpoint folder from spark.checkpoint.dir; where that is unset, below the warehouse of a local session.
+
+    A cluster without the setting is an error: each executor would write to a disk of its own.
+    """
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(where or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint."""
+    checkpoints(df.sparkSession)
     return df.checkpoint()
 
 
+def followed(df: DataFrame, keys: tuple[str, ...], order: str, name: str) -> DataFrame:
+    """The rows with `name`: the value of `order` in the next row of equal keys, null in the last.
+
+    Keys have no nulls and (keys, order) is unique. Rows are ordered over ranges,
+    so a key of very many rows is dealt to many tasks.
+    """
+    ranged = materialise(df.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id()))
+    after = F.lead(F.struct(*keys, order)).over(W.partitionBy("_part").orderBy(*keys, order))
+    heads = ranged.groupBy("_part").agg(F.min(F.struct(*keys, order)).alias("_head"))
+    # a row for each range: few
+    heads = heads.select((F.lag("_part").over(W.orderBy("_part"))).alias("_part"), "_head").where("_part is not null")
+    known = ranged.withColumn("_after", after).join(F.broadcast(heads), "_part", "left").withColumn("_after", F.coalesce("_after", "_head"))
+    same = [F.col(f"_after.{k}") == F.col(k) for k in keys]
+    return known.withColumn(name, F.when(reduce(lambda a, b: a & b, same), F.col(f"_after.{order}"))).drop("_part", "_after", "_head")
+
+
 def running(df: DataFrame, *order, **sums: Column | str) -> DataFrame:
     """The rows with, for each name in `sums`, the sum of its column over all rows up to this one in the order.
 

@@ -1,42 +1,74 @@
-"""Sliding-window features per client (W1 to W3): the rows of the W seconds before each one.
+"""Window features per client (W1 to W3): what lies in the W seconds before each row.
 
-Ranges run over microseconds, the row itself and later ones excluded. A plain
-window partitions by client alone, which puts a client with a third of all rows
-into one task. Here rows are dealt by client and slice of time, and each slice
-gets the rows of one window before it as well, so a hot client spreads over time
-and a row is copied to one more slice at most.
+Ranges run over microseconds, the row itself and later ones excluded, so rows of
+one client and time share their features: a tick. No frame slides. A row at s is
+in the window of a tick at t where s < t <= s + W, so it adds 1 at s and takes it
+back at s + W; a window's count is the running sum of these events before t. A
+path is counted once, at its last place in the window: an occurrence at s that is
+followed by one at s' counts for s < t <= min(s', s + W), from s to the less of
+both. All sums of a client are 0 at its end, so one running sum over all clients,
+in ranges of (client, time), serves them all: a few events a row, however many
+rows a window holds, and a client with a third of all rows is many ranges.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weir.operators.places import followed, hot_join, materialise, running
+
 #: The windows of the temporal features, in seconds.
 COUNTS = (1, 5, 60)
 RATES = 60
-SLICE = 3600
+SECOND = 1_000_000
+
+
+def events_of(ticks: DataFrame, paths: DataFrame, counts: tuple[int, ...], rates: int) -> DataFrame:
+    """_c, _us, n_W for each W, bad, paths: what is added to each running sum behind a time."""
+    sums = [*[f"n_{w}" for w in counts], f"all_{rates}", "bad", "paths"]
+
+    def event(df, at, values):
+        return df.select("_c", at.alias("_us"), *[values.get(s, F.lit(0)).cast("bigint").alias(s) for s in sums])
+
+    parts = [event(ticks, F.col("_us"), {**{f"n_{w}": F.col("n") for w in counts}, f"all_{rates}": F.col("coded"), "bad": F.col("bad")})]
+    for w in sorted({*counts, rates}):
+        back = {f"n_{w}": -F.col("n")} if w in counts else {}
+        if w == rates:
+            back |= {f"all_{rates}": -F.col("coded"), "bad": -F.col("bad")}
+        parts.append(event(ticks, F.col("_us") + w * SECOND, back))
+    parts.append(event(paths, F.col("_us"), {"paths": F.lit(1)}))
+    parts.append(event(paths, F.least(F.col("_us") + rates * SECOND, F.coalesce("_next", F.col("_us") + rates * SECOND)), {"paths": F.lit(-1)}))
+    every = reduce(DataFrame.unionByName, parts)
+    return every.groupBy("_c", "_us").agg(*[F.sum(s).alias(s) for s in sums])
 
 
-def temporal_features(rows: DataFrame, *, ip: str = "client_ip", ts: str = "ts", path: str = "path", status: str = "status_code", counts=COUNTS, rates: int = RATES, slice_s: int = SLICE) -> DataFrame:
+def temporal_features(rows: DataFrame, *, ip: str = "client_ip", ts: str = "ts", path: str = "path", status: str = "status_code", counts=COUNTS, rates: int = RATES) -> DataFrame:
     """The rows with req_count_Ws for each W, error_rate_4xx_Ws and endpoint_diversity_Ws.
 
     An empty window has counts, rate and diversity 0. Rows with a null client or
-    time have null features.
+    time have null features; a null path is no path, and a row without a status is
+    in no rate. Rows of one client and time have the same features.
     """
-    longest = max(*counts, rates)
-    step = max(slice_s, longest) * 1_000_000
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    own = F.floor(F.col("_us") / step)
-    known = rows.withColumn("_us", us).where(F.col("_us").isNotNull() & F.col(ip).isNotNull())
-    # a row also serves the next slice, if it lies within the last window of its own
-    late = (F.col("_us") + longest * 1_000_000) >= (own + 1) * step
-    dealt = known.withColumn("_slice", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
-    over = lambda w: W.partitionBy(ip, "_slice").orderBy("_us").rangeBetween(-w * 1_000_000, -1)
-    new = {f"req_count_{w}s": F.count("*").over(over(w)) for w in counts}
-    new[f"error_rate_4xx_{rates}s"] = F.coalesce(F.avg((F.floor(F.col(status) / 100) == 4).cast("double")).over(over(rates)), F.lit(0.0))
-    new[f"endpoint_diversity_{rates}s"] = F.size(F.collect_set(path).over(over(rates))).cast("bigint")
-    out = dealt.withColumns(new).where(F.col("_slice") == own).drop("_us", "_slice")
-    rest = rows.where(us.isNull() | F.col(ip).isNull())
+    marked = rows.withColumns({"_c": F.col(ip).cast("string"), "_us": us})
+    known = marked.where("_us is not null and _c is not null")
+    bad = F.coalesce((F.floor(F.col(status) / 100) == 4).cast("int"), F.lit(0))
+    ticks = materialise(known.groupBy("_c", "_us").agg(F.count("*").alias("n"), F.sum(bad).alias("bad"), F.count(status).alias("coded")))
+    paths = followed(known.where(F.col(path).isNotNull()).select("_c", F.col(path).alias("_p"), "_us").distinct(), ("_c", "_p"), "_us", "_next")
+    sums = [*[f"n_{w}" for w in counts], f"all_{rates}", "bad", "paths"]
+    moves = events_of(ticks, paths, tuple(counts), rates).withColumn("_kind", F.lit(1))
+    asks = ticks.select("_c", "_us", *[F.lit(0).cast("bigint").alias(s) for s in sums], F.lit(0).alias("_kind"))
+    # a tick comes before what happens at its time
+    placed = running(moves.unionByName(asks), "_c", "_us", "_kind", **{f"_{s}": s for s in sums}).where("_kind = 0")
+    new = {f"req_count_{w}s": F.col(f"_n_{w}") for w in counts}
+    new[f"error_rate_4xx_{rates}s"] = F.when(F.col(f"_all_{rates}") > 0, F.col("_bad") / F.col(f"_all_{rates}")).otherwise(F.lit(0.0))
+    new[f"endpoint_diversity_{rates}s"] = F.col("_paths")
+    key = F.struct("_c", "_us").alias("_key")
+    found = placed.select(key, *[c.alias(n) for n, c in new.items()]).join(ticks.select(key, "n"), "_key")
+    total = ticks.agg(F.sum("n")).first()[0] or 0
+    out = hot_join(known.withColumn("_key", F.struct("_c", "_us")), found, "_key", "n", total).drop("_key", "_c", "_us")
+    rest = marked.where("_us is null or _c is null").drop("_c", "_us")
     return out.unionByName(rest, allowMissingColumns=True)

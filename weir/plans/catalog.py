@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weir.functions import features, text
 from weir.functions import patterns as P
 from weir.operators import cluster, corpus, leakage as leaks, metrics, models, policy, reports, temporal, validate
-from weir.plans import corpora, lifecycle, parsing  # noqa: F401  they register their queries
+from weir.plans import corpora, learning, lifecycle, parsing  # noqa: F401  they register their queries
 from weir.plans import views as V
 from weir.plans.registry import ORACLE, QUERIES, query
 
@@ -157,7 +157,7 @@ def temporal_seconds(spark, sf_dir):
 
 @query(_temporal_sql((3600, 86400), 86400))
 def temporal_days(spark, sf_dir):
-    rows = temporal.temporal_features(V.log_lines(spark, sf_dir), counts=(3600, 86400), rates=86400, slice_s=7 * 86400)
+    rows = temporal.temporal_features(V.log_lines(spark, sf_dir), counts=(3600, 86400), rates=86400)
     return rows.drop("ts", "client_ip", "path", "status_code")
 
 

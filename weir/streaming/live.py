@@ -1,4 +1,4 @@
-"""The live path as Structured Streaming: scoring, replies that come late or not at all, rates per client."""
+"""The live path as Structured Streaming: scoring, replies that come late, twice or not at all, rates per client."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from weir.functions import features
 from weir.operators import policy, validate
+from weir.streaming.replies import first_replies
 
 #: How long a reply is waited for, and a canary's.
 REPLY_MS, CANARY_S = 50, 60
@@ -24,49 +25,44 @@ def scored(requests: DataFrame, model, keep: tuple[str, ...]) -> DataFrame:
 
 
 def with_replies(requests: DataFrame, replies: DataFrame, *, wait_ms: int = REPLY_MS, lateness: str = "1 second") -> DataFrame:
-    """Each request once, with its reply's probabilities if that came in time, else null: the verdict is then timeout.
+    """Each request once, with the probabilities of its first reply in time, else null: the verdict is then timeout.
 
     `requests` has id and ts, `replies` id, replied_at and probabilities; times
-    are timestamps. Watermarks bound the state on both sides.
+    are timestamps. Further replies, and requests that are read again, change
+    nothing; see `first_replies`.
     """
-    a = requests.withWatermark("ts", lateness)
-    b = replies.withColumnRenamed("id", "_reply_id").withWatermark("replied_at", lateness)
-    in_time = (F.col("id") == F.col("_reply_id")) & (F.col("replied_at") >= F.col("ts")) & (F.col("replied_at") <= F.col("ts") + F.expr(f"interval {wait_ms} milliseconds"))
-    return a.join(b, in_time, "leftOuter").drop("_reply_id", "replied_at")
+    met = first_replies(requests, replies, event_id="id", at="ts", reply_id="id", replied_at="replied_at", after_ms=wait_ms, lateness=lateness)
+    return met.select(*requests.columns, F.col("_reply.probabilities").alias("probabilities"))
 
 
 def with_canary(events: DataFrame, canary: DataFrame, *, wait_s: int = CANARY_S) -> DataFrame:
-    """Comparisons of events with a candidate's replies, whichever comes first, within the time on either side."""
-    a = events.withWatermark("ts", f"{wait_s} seconds")
-    b = canary.withColumnRenamed("event_id", "_canary_id").withWatermark("replied_at", f"{wait_s} seconds")
-    near = (F.col("event_id") == F.col("_canary_id")) & F.col("replied_at").between(F.col("ts") - F.expr(f"interval {wait_s} seconds"), F.col("ts") + F.expr(f"interval {wait_s} seconds"))
-    both = a.join(b, near)
-    c = policy.decide(F.col("probabilities"), F.lit(None).cast("double"))
-    return both.select("event_id", "verdict", c["verdict"].alias("canary_verdict"), ((F.col("verdict") == "block") == (c["verdict"] == "block")).alias("verdict_match"), F.abs(c["confidence"] - F.col("confidence")).alias("confidence_delta"))
+    """One comparison of each event that a candidate answered, with its first reply within the time on either side."""
+    met = first_replies(events, canary, event_id="event_id", at="ts", reply_id="event_id", replied_at="replied_at", after_ms=1000 * wait_s, before_ms=1000 * wait_s, lateness=f"{wait_s} seconds", eager=True)
+    c = policy.decide(F.col("_reply.probabilities"), F.lit(None).cast("double"))
+    return met.where("_reply is not null").select("event_id", "verdict", c["verdict"].alias("canary_verdict"), ((F.col("verdict") == "block") == (c["verdict"] == "block")).alias("verdict_match"), F.abs(c["confidence"] - F.col("confidence")).alias("confidence_delta"))
 
 
 def late_patches(events: DataFrame, replies: DataFrame, *, wait_ms: int = REPLY_MS, lateness: str = "1 second", anomaly_below: float = policy.ANOMALY_BELOW) -> DataFrame:
-    """Events of a stream with anomaly scores that come within the time limit, each event once.
+    """Events with the first anomaly score that comes within the time limit, each event once.
 
     `events` has event_id, ts, verdict, if_score; `replies` event_id,
     replied_at, late. A score turns pass into pass_anomaly and leaves blocked
     events alone; timed-out events and later replies stay as they are.
     """
-    a = events.withWatermark("ts", lateness)
-    b = replies.withColumnRenamed("event_id", "_reply_id").withWatermark("replied_at", lateness)
-    near = (F.col("event_id") == F.col("_reply_id")) & (F.col("replied_at") >= F.col("ts")) & (F.col("replied_at") <= F.col("ts") + F.expr(f"interval {wait_ms} milliseconds"))
-    hit = F.col("late").isNotNull() & (F.col("verdict") != "timeout")
-    anomaly = hit & (F.col("late") < anomaly_below)
-    return a.join(b, near, "leftOuter").select(
+    met = first_replies(events, replies.where("late is not null"), event_id="event_id", at="ts", reply_id="event_id", replied_at="replied_at", after_ms=wait_ms, lateness=lateness)
+    late = F.col("_reply.late")
+    hit = late.isNotNull() & (F.col("verdict") != "timeout")
+    anomaly = hit & (late < anomaly_below)
+    return met.select(
         "event_id", "ts", F.when(anomaly & (F.col("verdict") == "pass"), "pass_anomaly").otherwise(F.col("verdict")).alias("verdict"),
-        F.when(hit, F.col("late")).otherwise(F.col("if_score")).alias("if_score"), F.coalesce(anomaly, F.lit(False)).alias("is_anomaly"), hit.alias("patched"),
+        F.when(hit, late).otherwise(F.col("if_score")).alias("if_score"), F.coalesce(anomaly, F.lit(False)).alias("is_anomaly"), hit.alias("patched"),
     )
 
 
-def ingest(lines: DataFrame, width: int) -> DataFrame:
-    """Telemetry from a stream of JSON texts (`value`): its fields and `error`, null for what is accepted."""
+def ingest(lines: DataFrame, width: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Telemetry from a stream of JSON texts (`value`): its fields, `error` (null for what is accepted) and the columns in `keep`."""
     schema = "vector array<double>, predicted_class string, confidence double, timestamp bigint, source_id string"
-    rows = lines.select(F.from_json("value", schema).alias("r")).select("r.*")
+    rows = lines.select(*keep, F.from_json("value", schema).alias("r")).select(*keep, "r.*")
     return rows.withColumn("error", validate.telemetry_error(width))
 
 
