@@ -156,6 +156,23 @@ def test_density_clusters_equal_plain(spark, dims, balls, side):
         assert dict(got) == plain_dbscan(ids, x, eps, least) | {i: None for i, _ in odd}
 
 
+def test_components_in_one_task_and_in_rounds(spark):
+    rng = random.Random(6)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i + 1000, i + 1001) for i in range(70)] + [(5000, 6000 + i) for i in range(50)] + [(7, 7)]
+    d = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    label = {x: x for e in edges if e[0] != e[1] for x in e}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in edges:
+            if a != b and label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                moved = True
+    for local in (0, 1 << 20):
+        assert {r.id: r.label for r in cluster.connected(d, local).collect()} == label
+    assert cluster.connected(d.limit(0)).count() == 0
+
+
 def test_a_dense_cell_of_100_000_points(spark):
     draw = lambda k: F.array(*[(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1000)) / 1000 - 0.5) * 0.2 + (k if i == 0 else 0) for i in range(16)])
     dense = spark.range(100_000).select("id", draw(0).alias("v"))

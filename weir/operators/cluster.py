@@ -22,11 +22,39 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def connected(edges: DataFrame) -> DataFrame:
+#: Edges that one task joins by itself.
+LOCAL = 1 << 20
+
+
+def _united(batches):
+    """The least id of each component of all edges of a task, by pointers that are followed to their ends."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not held:
+        return
+    ids, at = np.unique(np.concatenate([np.concatenate(x) for x in zip(*held, strict=True)]), return_inverse=True)
+    a, b = np.split(at, 2)
+    root = np.arange(len(ids))
+    while True:
+        x, y = root[a], root[b]
+        open_ = x != y
+        if not open_.any():
+            break
+        # the greater root hangs on the least it meets
+        np.minimum.at(root, np.maximum(x, y)[open_], np.minimum(x, y)[open_])
+        while (root[root] != root).any():
+            root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], names=["id", "label"])
+
+
+def connected(edges: DataFrame, local: int = LOCAL) -> DataFrame:
     """id, label: the least id of each connected component of edges (a, b), by rounds of least neighbours and jumps.
 
-    Labels of hubs and of large components reach their rows by a broadcast of the hot keys.
+    Up to `local` edges are joined by one task. Labels of hubs and of large
+    components reach their rows by a broadcast of the hot keys.
     """
+    edges = materialise(edges.select(F.least("a", "b").cast("bigint").alias("a"), F.greatest("a", "b").cast("bigint").alias("b")).where("a < b").distinct())
+    if edges.count() <= local:
+        return edges.coalesce(1).mapInArrow(_united, "id bigint, label bigint")
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     total = both.count()
     labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("label"), F.count("*").alias("degree")).checkpoint()
@@ -42,8 +70,8 @@ def connected(edges: DataFrame) -> DataFrame:
 
 #: Up to so many dimensions cells are those of a grid; beyond, balls, of so many at most, found by so many far points of each a pass.
 GRID, BALLS, FAR = 3, 4096, 16
-#: Points of one side of a comparison of two cells.
-SIDE = 20_000
+#: Points of one side of a comparison of two cells, and pairs of points up to which cells meet by a join.
+SIDE, FEW = 20_000, 1024
 #: Half the radius, with room for rounding.
 HALF = 0.5 * (1 - 1e-12)
 
@@ -135,11 +163,20 @@ def _met(points: DataFrame, info: DataFrame, pairs: DataFrame, eps: float, side:
 
     A dense cell is one node, its least id, and meets another cell of its kind
     once: the first near pair ends the comparison. Only points within eps of the
-    other cell's ball are compared. Cells of very many points are cut into blocks.
+    other cell's ball are compared. Cells of few points meet by joins; of others
+    each pair is compared in one task, cut into blocks if they have very many.
     """
     about = lambda n: info.select(F.col("cell").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("centre", "radius", "dense", "rep", "members")])
     own = info.where("not dense").select(F.col("cell").alias("a"), F.col("cell").alias("b"))
-    known = materialise(pairs.unionByName(own).join(about("a"), "a").join(about("b"), "b"))
+    every = materialise(pairs.unionByName(own).join(about("a"), "a").join(about("b"), "b"))
+    few = F.col("members_a") * F.col("members_b") <= FEW
+    known = every.where(~few)
+    flat = lambda n: points.select(F.col("cell").alias(n), F.col("id").alias(f"id_{n}"), F.col("v").alias(f"v_{n}"), F.col("n").alias(f"n_{n}"))
+    small = every.where(few).select("a", "b", "dense_a", "dense_b", "rep_a", "rep_b").join(flat("a"), "a").join(flat("b"), "b").where((F.col("a") != F.col("b")) | (F.col("id_a") < F.col("id_b")))
+    node = lambda n: F.when(F.col(f"dense_{n}"), F.col(f"rep_{n}")).otherwise(F.col(f"id_{n}"))
+    weight = lambda n, of: F.sum(F.when(F.col(f"dense_{n}"), 0).otherwise(F.col(f"n_{of}")))
+    hits = small.where(distance(F.col("v_a"), F.col("v_b")) <= eps)
+    by_join = hits.groupBy(node("a").alias("x"), node("b").alias("y")).agg(weight("a", "b").alias("wx"), weight("b", "a").alias("wy"))
 
     def half(me: str, other: str, k: int) -> DataFrame:
         blocks = lambda n: F.ceil(F.col(f"members_{n}") / side).cast("int")
@@ -181,7 +218,7 @@ def _met(points: DataFrame, info: DataFrame, pairs: DataFrame, eps: float, side:
         return pa.Table.from_pylist([dict(zip(("x", "y", "wx", "wy"), r, strict=True)) for r in out], schema=pa.schema([(c, pa.int64()) for c in ("x", "y", "wx", "wy")]))
 
     both = half("a", "b", 0).unionByName(half("b", "a", 1))
-    return both.groupBy("a", "b", "i", "j").applyInArrow(compare, "x bigint, y bigint, wx bigint, wy bigint")
+    return by_join.unionByName(both.groupBy("a", "b", "i", "j").applyInArrow(compare, "x bigint, y bigint, wx bigint, wy bigint"))
 
 
 def dbscan(points: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES, *, grid: int = GRID, balls: int = BALLS, side: int = SIDE) -> DataFrame:

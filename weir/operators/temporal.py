@@ -13,12 +13,10 @@ rows a window holds, and a client with a third of all rows is many ranges.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.operators.places import followed, hot_join, materialise, running
+from weir.operators.places import HOT_ROWS, followed, hot_join, materialise, running
 
 #: The windows of the temporal features, in seconds.
 COUNTS = (1, 5, 60)
@@ -26,25 +24,6 @@ RATES = 60
 SECOND = 1_000_000
 
 
-def events_of(ticks: DataFrame, paths: DataFrame, counts: tuple[int, ...], rates: int) -> DataFrame:
-    """_c, _us, n_W for each W, bad, paths: what is added to each running sum behind a time."""
-    sums = [*[f"n_{w}" for w in counts], f"all_{rates}", "bad", "paths"]
-
-    def event(df, at, values):
-        return df.select("_c", at.alias("_us"), *[values.get(s, F.lit(0)).cast("bigint").alias(s) for s in sums])
-
-    parts = [event(ticks, F.col("_us"), {**{f"n_{w}": F.col("n") for w in counts}, f"all_{rates}": F.col("coded"), "bad": F.col("bad")})]
-    for w in sorted({*counts, rates}):
-        back = {f"n_{w}": -F.col("n")} if w in counts else {}
-        if w == rates:
-            back |= {f"all_{rates}": -F.col("coded"), "bad": -F.col("bad")}
-        parts.append(event(ticks, F.col("_us") + w * SECOND, back))
-    parts.append(event(paths, F.col("_us"), {"paths": F.lit(1)}))
-    parts.append(event(paths, F.least(F.col("_us") + rates * SECOND, F.coalesce("_next", F.col("_us") + rates * SECOND)), {"paths": F.lit(-1)}))
-    every = reduce(DataFrame.unionByName, parts)
-    return every.groupBy("_c", "_us").agg(*[F.sum(s).alias(s) for s in sums])
-
-
 def temporal_features(rows: DataFrame, *, ip: str = "client_ip", ts: str = "ts", path: str = "path", status: str = "status_code", counts=COUNTS, rates: int = RATES) -> DataFrame:
     """The rows with req_count_Ws for each W, error_rate_4xx_Ws and endpoint_diversity_Ws.
 
@@ -52,23 +31,30 @@ def temporal_features(rows: DataFrame, *, ip: str = "client_ip", ts: str = "ts",
     time have null features; a null path is no path, and a row without a status is
     in no rate. Rows of one client and time have the same features.
     """
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    marked = rows.withColumns({"_c": F.col(ip).cast("string"), "_us": us})
+    marked = rows.withColumns({"_c": F.col(ip).cast("string"), "_us": F.unix_micros(F.col(ts).cast("timestamp"))})
     known = marked.where("_us is not null and _c is not null")
     bad = F.coalesce((F.floor(F.col(status) / 100) == 4).cast("int"), F.lit(0))
     ticks = materialise(known.groupBy("_c", "_us").agg(F.count("*").alias("n"), F.sum(bad).alias("bad"), F.count(status).alias("coded")))
     paths = followed(known.where(F.col(path).isNotNull()).select("_c", F.col(path).alias("_p"), "_us").distinct(), ("_c", "_p"), "_us", "_next")
-    sums = [*[f"n_{w}" for w in counts], f"all_{rates}", "bad", "paths"]
-    moves = events_of(ticks, paths, tuple(counts), rates).withColumn("_kind", F.lit(1))
-    asks = ticks.select("_c", "_us", *[F.lit(0).cast("bigint").alias(s) for s in sums], F.lit(0).alias("_kind"))
-    # a tick comes before what happens at its time
-    placed = running(moves.unionByName(asks), "_c", "_us", "_kind", **{f"_{s}": s for s in sums}).where("_kind = 0")
+    sums = [*[f"n_{w}" for w in counts], "all", "bad", "paths"]
+
+    def event(at, values: dict, kind: int = 1):
+        """What is added to the running sums behind a time; a question (kind 0) adds nothing and comes before what happens at its time."""
+        return F.struct(at.alias("_us"), F.lit(kind).alias("_kind"), *[values.get(s, F.lit(0)).cast("bigint").alias(s) for s in sums], (F.col("n") if kind == 0 else F.lit(0)).cast("bigint").alias("n"))
+
+    enters = {f"n_{w}": F.col("n") for w in counts} | {"all": F.col("coded"), "bad": F.col("bad")}
+    leaves = [event(F.col("_us") + w * SECOND, ({f"n_{w}": -F.col("n")} if w in counts else {}) | ({"all": -F.col("coded"), "bad": -F.col("bad")} if w == rates else {})) for w in sorted({*counts, rates})]
+    moves = ticks.select("_c", F.explode(F.array(event(F.col("_us"), {}, 0), event(F.col("_us"), enters), *leaves)).alias("e"))
+    end = F.col("_us") + rates * SECOND
+    shown = paths.select("_c", F.explode(F.array(event(F.col("_us"), {"paths": F.lit(1)}), event(F.least(end, F.coalesce("_next", end)), {"paths": F.lit(-1)}))).alias("e"))
+    placed = running(moves.unionByName(shown).select("_c", "e.*"), "_c", "_us", "_kind", **{f"_{s}": s for s in sums}).where("_kind = 0")
     new = {f"req_count_{w}s": F.col(f"_n_{w}") for w in counts}
-    new[f"error_rate_4xx_{rates}s"] = F.when(F.col(f"_all_{rates}") > 0, F.col("_bad") / F.col(f"_all_{rates}")).otherwise(F.lit(0.0))
+    new[f"error_rate_4xx_{rates}s"] = F.when(F.col("_all") > 0, F.col("_bad") / F.col("_all")).otherwise(F.lit(0.0))
     new[f"endpoint_diversity_{rates}s"] = F.col("_paths")
-    key = F.struct("_c", "_us").alias("_key")
-    found = placed.select(key, *[c.alias(n) for n, c in new.items()]).join(ticks.select(key, "n"), "_key")
-    total = ticks.agg(F.sum("n")).first()[0] or 0
-    out = hot_join(known.withColumn("_key", F.struct("_c", "_us")), found, "_key", "n", total).drop("_key", "_c", "_us")
+    found = placed.select(F.struct("_c", "_us").alias("_key"), "n", *[c.alias(n) for n, c in new.items()])
+    total, most = ticks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    keyed = known.withColumn("_key", F.struct("_c", "_us"))
+    # ticks of very many rows are broadcast, if there are any
+    out = hot_join(keyed, found, "_key", "n", total) if most > HOT_ROWS else keyed.join(found.drop("n"), "_key")
     rest = marked.where("_us is null or _c is null").drop("_c", "_us")
-    return out.unionByName(rest, allowMissingColumns=True)
+    return out.drop("_key", "_c", "_us").unionByName(rest, allowMissingColumns=True)
