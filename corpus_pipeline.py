@@ -14,42 +14,78 @@ from weir.llm import jaccard, mixing, packing, quality, substring
 from weir.llm.common import materialise
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...], list]:
+    """The documents with doc_id, text and source under their names and all columns under numbers; the numbers, and the columns that they bring back.
+
+    An operator's figures so never meet a column of the documents that has their name.
+    """
+    names = tuple(f"column_{i}" for i in range(len(docs.columns)))
+    used = [docs[c] for c in ("doc_id", "text", "source") if c in docs.columns]
+    carried = [docs[f"`{c}`"].alias(n) for c, n in zip(docs.columns, names, strict=True)]
+    return docs.select(*used, *carried), names, [F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)]
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or the likelihood ratio go."""
-    kept = quality.quality(docs, quality.trusted_ids(spark, sf_dir), carry=tuple(c for c in docs.columns if c != "doc_id"))
-    return kept.where("kept").select(docs.columns)
+    """Documents that fail the base rules or the likelihood ratio go; all others keep all their columns.
+
+    Null, empty and short texts fail the base rules. A null id is never trusted.
+    Repeated rows are judged each, and alike; texts of any length are whole.
+    Columns of any name are carried. An empty table gives an empty table.
+    """
+    d, names, back = numbered(docs)
+    return quality.quality(d, quality.trusted_ids(spark, sf_dir), carry=names).where("kept").select(*back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, 0.8) the document of the least id stays.
 
-    Documents without an id stay; equal rows stay once.
+    Documents without an id stay; so do all different texts of that id. Of rows of
+    equal id and text one stays, the least of their other columns as JSON. Null
+    and empty texts are alike to nothing. An empty table gives an empty table.
     """
-    groups = jaccard.jaccard_components(docs)
+    groups = jaccard.jaccard_components(docs.select("doc_id", "text"))
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    d, names, back = numbered(docs)
+    d = d.select("doc_id", "text", F.struct(*names).alias("row"))
+    kept = d.join(first, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return kept.unionByName(d.where("doc_id is null")).select("row.*").select(*back)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words that start in an earlier document go; so do documents of which nothing is left."""
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    out = substring.remove_repeats(docs, carry=others).where("n_removed = 0 or n_removed < n_words")
-    changed = out.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return changed.select(docs.columns)
+    """Passages of 50 words that start in an earlier document go; so do documents of which nothing is left.
+
+    A changed text is its kept words joined by blanks, and n_chars, if there is
+    one, its new length; other rows stay as they are, with null and empty texts
+    and those without an id. Rows that share an id count as one document. An
+    empty table gives an empty table.
+    """
+    d, names, back = numbered(docs)
+    out = substring.remove_repeats(d, carry=names).where("n_removed = 0 or n_removed < n_words")
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("bigint")}
+    changed = [F.when(F.col("n_removed") > 0, new[c]).otherwise(F.col(n)).alias(c) if c in new else b for c, n, b in zip(docs.columns, names, back, strict=True)]
+    return out.select(*changed)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; those that it does not take go."""
-    taken = mixing.mix_documents(docs, carry=tuple(docs.columns)).where("taken > 0")
-    copies = F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))
-    return taken.withColumn("_copy", F.explode(copies)).select(*[F.col(f"carried_{c}").alias(c) for c in docs.columns])
+    """Each document as often as the mix takes it; those that it does not take go.
+
+    Null sources are one source, the last. Documents without words take nothing
+    and go. Rows without an id, of one id, and equal rows are mixed each. An empty
+    table gives an empty table.
+    """
+    d, names, back = numbered(docs)
+    taken = mixing.mix_documents(d, carry=names).where("taken > 0")
+    copies = F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int")))
+    return taken.select(copies, *[F.col(f"carried_{n}").alias(n) for n in names]).select(*back)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences, one row per piece of a document."""
+    """Token sequences, one row per piece of a document.
+
+    A null or empty text is its end token alone. Rows without an id, of one id,
+    and equal rows are packed each. Other columns are left alone; an empty table
+    gives an empty table.
+    """
     return packing.pack_documents(docs)
 
 
