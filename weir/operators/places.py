@@ -74,12 +74,12 @@ def numbered(df: DataFrame, *order, name: str = "request_id", first: int = 1) ->
 HOT_ROWS, HOT_KEYS = 1024, 100_000
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """left join right on `key` (unique in `right`), where `right` has in `n` how many rows of `left` meet each key; `n` is dropped.
+def hot_join(left: DataFrame, right: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
+    """left join right on `key` (null-free and unique in `right`), where `right` has in `n` how many rows of `left` meet each key; `n` is dropped.
 
     Keys of very many rows come from a broadcast table, at most HOT_KEYS of them,
     as their rows add up to `total` at most; all others meet by a shuffle.
     """
     hot = F.col(n) > max(HOT_ROWS, total // HOT_KEYS)
     often, rest = F.broadcast(right.where(hot).drop(n)), right.where(~hot).drop(n)
-    return left.join(often, key).unionByName(left.join(often.select(key), key, "left_anti").join(rest, key))
+    return left.join(often, key).unionByName(left.join(often.select(key), key, "left_anti").join(rest, key, how))
