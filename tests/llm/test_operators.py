@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weir.llm import common, jaccard, licenses, mixing, packing, pages, quality, queries, substring, suffix, topk, toxicity
+from weir.operators import places
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 # a null in every column, empty and blank texts, ties, equal rows, a very long text
@@ -332,7 +333,7 @@ def test_mix_of_very_many_sources_equals_the_flow(spark, monkeypatch):
     key = lambda r: str(tuple(r))
     flow = sorted(mixing.mix_documents(d).collect(), key=key)
     monkeypatch.setattr(mixing, "MAX_PATTERNS", 3)
-    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    monkeypatch.setattr(places, "HOT_ROWS", 50)
     spread = sorted(mixing.mix_documents(d).collect(), key=key)
     assert len(flow) == len(spread)
     for a, b in zip(flow, spread, strict=True):
@@ -348,13 +349,13 @@ def test_mix_edges(spark, edges, none):
 # 6
 
 
-@pytest.mark.parametrize("rings", [(1, 2), (), (1, 8)])
-def test_topk_equals_brute_force(spark, rings):
+@pytest.mark.parametrize("most_chunks", [1 << 14, 3, 1])
+def test_topk_equals_brute_force(spark, most_chunks):
     random.seed(6)
     rows = [(i, [random.choice([-0.5, 0.0, 0.25, 0.3]) for _ in range(4)], "x") for i in range(300)]
     rows += [(1000, None, ""), (1001, [1.0, None, 0.0, 0.0], ""), (1002, [float("nan")] * 4, ""), (1003, [float("inf"), 0.0, 0.0, 0.0], ""), (None, [1.0] * 4, ""), (7, [0.9, 0.9, 0.9, 0.9], "twice")]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
-    got = [tuple(r) for r in topk.top_k(d, d.where("vec_id % 50 = 0"), annulus=16, chunk=32, query_slice=3, rings=rings, pivots=9).orderBy("query_id", "rank").collect()]
+    got = [tuple(r) for r in topk.top_k(d, d.where("vec_id % 50 = 0"), annulus=16, chunk=32, query_slice=3, most_chunks=most_chunks, pivots=9).orderBy("query_id", "rank").collect()]
     v = [(i, np.floor(256 * np.array(x, float))) for i, x, _ in rows if i is not None and x and None not in x and np.isfinite(x).all()]
     expected = []
     for q, x in v:

@@ -108,3 +108,24 @@ def test_mixing_keeps_rows_without_id_and_rows_of_one_id(spark, tmp_path):
     # without carry the same rows take the same
     key = lambda r: str((r.doc_id, r.size, r.taken, r.target))
     assert sorted(map(key, mix)) == sorted(map(key, mixing.mix_documents(docs).collect()))
+
+
+def test_columns_of_any_name_are_carried(spark, sf, tmp_path):
+    text = lambda k, n=70: " ".join(f"w{random.Random(k * 1000 + j).randrange(4000)}" for j in range(n))
+    rows = [(i, text(i % 4 if i < 8 else i), "en", "a" if i % 3 else None, 7) for i in range(20)]
+    names = "kept score n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed n_removed spans kept_text component_id n_shingles size sources source_size target taken length start offset sequence_id doc_tokens ids_crc32 column_0 column_3 row carried_text _copy _f _w _text _k KEPT".split()
+    names = [n for n in names if n != "KEPT"] + ["dotted.name", "Capital"]
+    docs = spark.createDataFrame(rows, t.DOCS).select("*", *[F.concat(F.lit(f"{n}-"), F.col("doc_id").cast("string")).alias(n) for n in names])
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        got = out.collect()
+        assert got and all(r[n] == f"{n}-{r.doc_id}" for r in got for n in names), name
+    assert pipeline.packed(spark, docs, str(tmp_path)).count() >= 20
+
+
+def test_rows_of_equal_id_and_text_leave_the_same_one(spark, tmp_path):
+    rows = [(1, "a b c d e f g", lang, source, n) for lang in ("en", "de", None) for source in ("x", None) for n in (3, 1)] + [(2, "other words of a different text", "en", "x", 1)]
+    got = {tuple(sorted(map(repr, pipeline.near_duplicates(spark, spark.createDataFrame(random.Random(k).sample(rows, len(rows)), t.DOCS).repartition(k + 1), str(tmp_path)).collect()))) for k in range(4)}
+    assert len(got) == 1 and len(next(iter(got))) == 2

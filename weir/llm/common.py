@@ -7,14 +7,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weir.operators.places import hot_join, materialise  # noqa: F401  the operators take them from here
+
 #: A word is a run of anything but ASCII white space. bytes.split() without
 #: arguments splits on exactly these six bytes.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 SPACE_RE = r"[\x20\x09-\x0D]+"
 
-#: Rows from which a key of `hot_join` counts as hot, and how many keys may be.
-HOT_ROWS, HOT_KEYS = 1024, 100_000
-
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SPACES = np.zeros(256, dtype=bool)
@@ -26,21 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in spark.checkpoint.dir.
-
-    The session's setting is read; only where it is unset (tests, a laptop) a
-    folder below the warehouse is set, so that nothing is ever written to a
-    machine-local temporary folder on a cluster.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-        sc.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
-
-
 def powers(base: np.uint64, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept between calls."""
     have = _powers.get(int(base))
@@ -145,17 +129,5 @@ def id_bucket_column(column, buckets: int):
     return F.coalesce(F.pmod(x, F.lit(buckets)), F.lit(0)).cast("int")
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
-    """left join right on `key` (null-free and unique in `right`), where `right` has in `n` how many rows of `left` meet each key.
-
-    Keys of very many rows come from a broadcast table, so that none of them is
-    one task's: there are at most HOT_KEYS of them, because their rows add up to
-    `total` at most. All others are joined by a shuffle. `n` is dropped.
-    """
-    hot = F.col(n) > max(HOT_ROWS, total // HOT_KEYS)
-    often, rest = F.broadcast(right.where(hot).drop(n)), right.where(~hot).drop(n)
-    return left.join(often, key).unionByName(left.join(often.select(key), key, "left_anti").join(rest, key, how))
-
-
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
