@@ -333,3 +333,35 @@ def test_feistel_is_a_permutation(n):
     # each place alone, and different keys differ
     assert all(metrics.feistel(np.array([i]), n, 1)[0] == a[i] for i in range(0, n, 7))
     assert n < 64 or (a != b).mean() > 0.8 and (a != np.arange(n)).mean() > 0.8
+
+
+# Near texts
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("short", [0, 6, 11, 200])
+def test_near_texts_equal_all_pairs(spark, short):
+    from weir.operators import corpus
+
+    rng = random.Random(short)
+    word = lambda n: "".join(rng.choice("abé") for _ in range(n))
+    texts = [("x", "prefix-" + word(rng.randrange(1, 16)) + "-end") for _ in range(120)]
+    # one label of equal beginnings only, one of a single text, one of texts that are each other's beginnings, the null label
+    texts += [("y", "aaaaaaaaaaaaaaaa" + word(rng.randrange(0, 3))) for _ in range(25)] + [("z", "alone"), ("w", "a"), ("w", "ab"), ("w", "abab"), ("w", "ababab"), (None, "n"), ("w", ""), ("w", None), ("w", "q" * 101)]
+    rows = [(i, c, s) for i, (c, s) in enumerate(texts)]
+    d = spark.createDataFrame(rows, "id long, label string, t string").repartition(3)
+    got = [tuple(r) for r in corpus.near_queries(d, id_col="id", label="label", text="t", short=short).collect()]
+    first: dict = {}
+    for i, c, s in rows:
+        if s and len(s) <= 100:
+            first.setdefault((c, s), i)
+    expected = {(c, min(i, j), max(i, j), k) for (c, s), i in first.items() for (e, o), j in first.items() if i < j and c == e for k in [edits(s, o)] if k <= 2}
+    assert len(got) == len(set(got)) and set(got) == expected

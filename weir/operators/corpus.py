@@ -46,38 +46,92 @@ def generic_template(text: Column) -> Column:
     return F.regexp_replace(F.lower(decoded), "[0-9]+", "N")
 
 
-def near_queries(df: DataFrame, *, id_col: str, label: str, text: str, most: int = 2, longest: int = 100, spare: int = 6) -> DataFrame:
+#: Lengths up to which texts, less what all have in common, meet by their deletions: 67 of each text at most, with two edits.
+DELETIONS = 11
+
+
+def common_ends(d: DataFrame, label: str, text: str) -> DataFrame:
+    """label, front, back: how many characters all texts of a label have in common at both ends, together no more than the shortest has.
+
+    What all of them share is what the least and the greatest share.
+    """
+    shared = lambda a, b: F.aggregate(
+        F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1))), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")),
+        lambda s, i: F.when(s["on"] & (F.length(a) >= i) & (F.substr(a, i, F.lit(1)) == F.substr(b, i, F.lit(1))), F.struct((s["n"] + 1).alias("n"), F.lit(True).alias("on"))).otherwise(F.struct(s["n"].alias("n"), F.lit(False).alias("on"))),
+        lambda s: s["n"],
+    )
+    back = F.reverse(text)
+    ends = d.groupBy(label).agg(F.min(text).alias("a"), F.max(text).alias("z"), F.min(back).alias("ra"), F.max(back).alias("rz"), F.min(F.length(text)).alias("least"))
+    front = ends.select(label, F.least(shared(F.col("a"), F.col("z")), "least").alias("front"), "ra", "rz", "least")
+    return front.select(label, "front", F.least(shared(F.col("ra"), F.col("rz")), F.col("least") - F.col("front")).alias("back"))
+
+
+def deletions(text: Column, most: int) -> Column:
+    """All texts that are left when up to `most` characters are taken out."""
+    out = F.array(text)
+    for _ in range(most):
+        shorter = lambda t: F.when(F.length(t) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.concat(F.substr(t, F.lit(1), i - 1), F.substr(t, i + 1, F.length(t))))).otherwise(F.array(t))
+        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, shorter))))
+    return out
+
+
+def near_queries(df: DataFrame, *, id_col: str, label: str, text: str, most: int = 2, longest: int = 100, spare: int = 6, short: int = DELETIONS) -> DataFrame:
     """Pairs (label, a, b, distance) of short texts of one label within `most` edits, between distinct texts; exact.
 
+    What all texts of a label begin and end with is left out, which changes no
+    distance. Of what is left, texts of up to `short` characters meet by their
+    deletions: within `most` edits two texts become the same by taking out up to
+    `most` characters of each, and texts that do are at most twice as far apart,
+    so candidates are not many more than pairs. Longer texts meet by pieces (see
+    `_by_pieces`); those a little shorter take part in both, so no pair is lost.
+    Distances are measured for distinct candidates; equal texts are one row.
+    """
+    d = df.where(F.length(text).between(1, longest)).groupBy(F.col(label).alias("label"), F.col(text).alias("text")).agg(F.min(id_col).alias("id"))
+    d = materialise(d)
+    ends = common_ends(d, "label", "text").withColumnRenamed("label", "_l")
+    rest = F.substr("text", F.col("front") + 1, F.length("text") - F.col("front") - F.col("back"))
+    d = materialise(d.join(ends, F.col("label").eqNullSafe(F.col("_l"))).select("label", "id", rest.alias("text")).withColumn("n", F.length("text")))
+    left = d.where(F.col("n") <= short).select("label", "id", F.explode(F.transform(deletions(F.col("text"), most), lambda t: F.xxhash64("label", t))).alias("h"))
+    met = left.select("label", "h", F.col("id").alias("a")).join(left.select("h", F.col("id").alias("b")), "h").where("a < b").select("label", "a", "b")
+    near = met.unionByName(_by_pieces(d.where(F.col("n") > short - most), most, spare)).distinct()
+    both = near.join(d.select(F.col("id").alias("a"), F.col("label").alias("_la"), F.col("text").alias("x")), "a").join(d.select(F.col("id").alias("b"), F.col("label").alias("_lb"), F.col("text").alias("y")), "b")
+    both = both.where(F.col("_la").eqNullSafe(F.col("label")) & F.col("_lb").eqNullSafe(F.col("label")))
+    return both.withColumn("distance", F.levenshtein("x", "y", most)).where("distance >= 0").select("label", "a", "b", "distance")
+
+
+def _by_pieces(d: DataFrame, most: int, spare: int) -> DataFrame:
+    """label, a, b: candidates among texts (label, id, text, n) by equal pieces.
+
     A text is cut into most + spare pieces. Within `most` edits at least `spare`
     of them lie unchanged in the other text, so of any most + 1 pieces at least
     one does: each text is indexed by its rarest ones, and a piece that
-    thousands share (a common beginning) brings nobody together. Where a piece
-    may lie follows from the lengths: left of it and right of it texts differ by
-    as many characters as edits allow. Distances are checked before pairs are
-    shuffled; equal texts are one row.
+    thousands share brings nobody together. Where a piece may lie follows from
+    the lengths: left of it and right of it texts differ by as many characters as
+    edits allow. Texts stay where they are; pieces meet as hashes.
     """
     parts = most + spare
-    d = df.where(F.length(text).between(1, longest)).groupBy(F.col(label).alias("label"), F.col(text).alias("text")).agg(F.min(id_col).alias("id"))
-    d = materialise(d.withColumn("n", F.length("text")))
     start = lambda i, m: F.floor(i * m / parts).cast("int")
     size = lambda i, m: start(i + 1, m) - start(i, m)
-    i = F.col("part")
-    pieces = d.select("label", "id", "text", "n", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    pieces = pieces.withColumn("piece", F.substring(F.col("text"), start(i, F.col("n")) + 1, size(i, F.col("n"))))
-    often = pieces.groupBy("label", "n", "part", "piece").agg(F.count("*").alias("often"))
-    place = F.row_number().over(W.partitionBy("label", "id").orderBy("often", "part"))
-    index = pieces.join(often, ["label", "n", "part", "piece"]).withColumn("_at", place).where(F.col("_at") <= most + 1).drop("_at", "often")
+    key = lambda n, i, piece: F.xxhash64("label", n, i, piece)
+    n = F.col("n")
+    own = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.struct(key(n, i, F.substr("text", start(i, n) + 1, size(i, n))).alias("h"), i.alias("part")))
+    pieces = d.select("label", "id", "n", F.explode(own).alias("p")).select("label", "id", "n", "p.*")
+    often = pieces.groupBy("h").agg(F.count("*").alias("often"))
+    rarest = F.slice(F.sort_array(F.collect_list(F.struct("often", "part", "h"))), 1, most + 1)
+    index = pieces.join(often, "h").groupBy("label", "id", "n").agg(rarest.alias("r")).select("label", "id", "n", F.explode("r.h").alias("h"))
     # how much shorter the other text is, how far its piece lies from its place, which piece
     ways = [(less, shift, k) for less in range(most + 1) for shift in range(-((most - less) // 2), (most + less) // 2 + 1) for k in range(parts)]
-    way = F.explode(F.array(*[F.struct(F.lit(x).alias("less"), F.lit(y).alias("shift"), F.lit(z).alias("part")) for x, y, z in ways])).alias("w")
-    probe = d.select("label", F.col("id").alias("other"), F.col("text").alias("with"), F.col("n").alias("long"), way).select("label", "other", "with", "long", (F.col("long") - F.col("w.less")).alias("n"), "w.shift", "w.part")
-    begin = start(i, F.col("n")) + F.col("shift")
-    fits = (F.col("n") >= 1) & (begin >= 0) & (begin + size(i, F.col("n")) <= F.col("long"))
-    probe = probe.where(fits).select("label", "other", "with", "long", "n", "part", F.substring(F.col("with"), begin + 1, size(i, F.col("n"))).alias("piece"))
-    met = index.join(probe, ["label", "n", "part", "piece"]).where((F.col("n") < F.col("long")) | (F.col("id") < F.col("other")))
-    near = met.withColumn("distance", F.levenshtein("text", "with", most)).where("distance >= 0")
-    return near.select("label", F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "distance").distinct()
+    way = F.array(*[F.struct(F.lit(x).alias("less"), F.lit(y).alias("shift"), F.lit(z).alias("part")) for x, y, z in ways])
+
+    def probe(w: Column) -> Column:
+        m = n - w["less"]
+        begin = start(w["part"], m) + w["shift"]
+        fits = (m >= 0) & (begin >= 0) & (begin + size(w["part"], m) <= n)
+        return F.when(fits, F.struct(key(m, w["part"], F.substr("text", begin + 1, size(w["part"], m))).alias("h"), m.alias("n")))
+
+    probes = d.select(F.col("id").alias("other"), n.alias("long"), F.explode(F.transform(way, probe)).alias("p")).where("p is not null").select("other", "long", "p.h", F.col("p.n").alias("m"))
+    met = index.join(probes, "h").where("n = m and (n < long or id < other)")
+    return met.select("label", F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
 
 
 def stratified_split(df: DataFrame, *, id_col: str, label: str = "label", source: str = "_source", seed: int = SEED, test: float = TEST, validation: float = VALIDATION) -> DataFrame:
