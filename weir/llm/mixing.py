@@ -52,52 +52,91 @@ def water_fill(sizes: dict, weights: dict, total: float, max_repeats: int = MAX_
     return out
 
 
-def min_cost_flow(capacities: dict[tuple, int], quotas: dict, max_repeats: int = MAX_REPEATS) -> dict[tuple[tuple, object], int]:
-    """Words that each pattern sends to each source: successive shortest paths.
+class Network:
+    """A flow network of whole-numbered capacities; `push` adds as much flow as there is room for."""
 
-    Arcs: start to (pattern, copy k) with the pattern's words at cost k - 1, then
-    to each of its sources, then to the end with the source's quota.
-    """
-    edges: list[list] = []  # to, capacity left, cost; edge ^ 1 is its reverse
-    out: dict = {}
-
-    def arc(a, b, capacity, cost):
-        for x, y, c, w in ((a, b, capacity, cost), (b, a, 0, -cost)):
-            out.setdefault(x, []).append(len(edges))
-            edges.append([y, c, w])
-
-    for p, words in capacities.items():
-        for k in range(max_repeats):
-            arc("start", ("copy", p, k), words, k)
-            arc(("copy", p, k), ("pattern", p), words, 0)
-        for s in p:
-            if s in quotas:
-                arc(("pattern", p), ("source", s), max_repeats * words, 0)
-    for s, quota in quotas.items():
-        arc(("source", s), "end", int(quota), 0)
-    while True:
-        cost, by, queue, queued = {"start": 0}, {}, deque(["start"]), {"start"}
+    def __init__(self, nodes: int):
+        self.arcs: list[list[int]] = [[] for _ in range(nodes)]
+        self.to: list[int] = []
+        self.room: list[int] = []
+
+    def arc(self, a: int, b: int, room: int) -> int:
+        """Adds an arc; its number, that of its reverse is one more."""
+        for x, y, r in ((a, b, room), (b, a, 0)):
+            self.arcs[x].append(len(self.to))
+            self.to.append(y)
+            self.room.append(r)
+        return len(self.to) - 2
+
+    def _levels(self, start: int, end: int) -> list[int] | None:
+        level = [-1] * len(self.arcs)
+        level[start], queue = 0, deque([start])
         while queue:
             a = queue.popleft()
-            queued.discard(a)
-            for e in out.get(a, ()):
-                b, room, w = edges[e]
-                if room > 0 and cost[a] + w < cost.get(b, float("inf")):
-                    cost[b], by[b] = cost[a] + w, e
-                    if b not in queued:
-                        queue.append(b)
-                        queued.add(b)
-        if "end" not in cost:
-            break
-        path, b = [], "end"
-        while b != "start":
-            path.append(by[b])
-            b = edges[by[b] ^ 1][0]
-        room = min(edges[e][1] for e in path)
-        for e in path:
-            edges[e][1] -= room
-            edges[e ^ 1][1] += room
-    return {(p, s): edges[e ^ 1][1] for p in capacities for e in out.get(("pattern", p), ()) for s in p if edges[e][0] == ("source", s) and edges[e ^ 1][1] > 0}
+            for e in self.arcs[a]:
+                if self.room[e] > 0 and level[self.to[e]] < 0:
+                    level[self.to[e]] = level[a] + 1
+                    queue.append(self.to[e])
+        return level if level[end] >= 0 else None
+
+    def push(self, start: int, end: int) -> None:
+        """Blocking flows over the arcs of shortest paths, until no path is left (Dinic)."""
+        while (level := self._levels(start, end)) is not None:
+            following = [0] * len(self.arcs)
+            path, a = [], start
+            while True:
+                if a == end:
+                    room = min(self.room[e] for e in path)
+                    for e in path:
+                        self.room[e] -= room
+                        self.room[e ^ 1] += room
+                    # back to where the path is full
+                    full = next(i for i, e in enumerate(path) if self.room[e] == 0)
+                    a = self.to[path[full] ^ 1]
+                    del path[full:]
+                    continue
+                while following[a] < len(self.arcs[a]):
+                    e = self.arcs[a][following[a]]
+                    if self.room[e] > 0 and level[self.to[e]] == level[a] + 1:
+                        break
+                    following[a] += 1
+                if following[a] < len(self.arcs[a]):
+                    path.append(e)
+                    a = self.to[e]
+                elif path:
+                    # nothing goes on from here
+                    a = self.to[path.pop() ^ 1]
+                    following[a] += 1
+                else:
+                    break
+
+
+def min_cost_flow(capacities: dict[tuple, int], quotas: dict, max_repeats: int = MAX_REPEATS) -> dict[tuple[tuple, object], int]:
+    """Words that each pattern sends to each source, as many as quotas and capacities let, at the least cost.
+
+    Arcs: start to a pattern with its words once for each copy, the k-th at cost
+    k - 1, from it to each of its sources, and on to the end with the source's
+    quota. All other arcs cost nothing, so the flow is solved cost by cost: as
+    much as goes through first copies, then as much more as second copies let
+    through. More flow never takes words back from a pattern, only from the
+    source that they went to, so each step keeps the least cost.
+    """
+    patterns, sources = list(capacities), list(quotas)
+    at = {s: 2 + len(patterns) + j for j, s in enumerate(sources)}
+    net = Network(2 + len(patterns) + len(sources))
+    first = [net.arc(0, 2 + i, 0) for i in range(len(patterns))]
+    sent = {}
+    for i, p in enumerate(patterns):
+        for s in dict.fromkeys(p):
+            if s in at:
+                sent[p, s] = net.arc(2 + i, at[s], max_repeats * capacities[p])
+    for s in sources:
+        net.arc(at[s], 1, int(quotas[s]))
+    for _ in range(max_repeats):
+        for e, p in zip(first, patterns, strict=True):
+            net.room[e] += capacities[p]
+        net.push(0, 1)
+    return {k: net.room[e ^ 1] for k, e in sent.items() if net.room[e ^ 1] > 0}
 
 
 def source_plan(summed: DataFrame, weights, budget: float, max_repeats: int) -> DataFrame:
