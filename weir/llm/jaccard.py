@@ -33,6 +33,8 @@ ever collected as a whole unless it is small.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -118,7 +120,12 @@ def nodes(docs: DataFrame, width: int) -> DataFrame:
 
 
 def rarity(counted: DataFrame) -> np.ndarray:
-    """The summed table of counts, a fixed 4 MB."""
+    """The summed table of counts, a fixed 4 MB.
+
+    Every task has a table of its own, so they are added in two levels: about the
+    square root of their number come to one task of the first, and as many again
+    to one of the second.
+    """
 
     def add(batches):
         total: dict = {}
@@ -128,7 +135,11 @@ def rarity(counted: DataFrame) -> np.ndarray:
                 total[k] = total[k] + x if k in total else x
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(x, 2**31 - 1).astype(np.int32).tobytes() for x in total.values()], pa.binary())], names=["slice", "counts"])
 
-    rows = counted.where("slice is not null").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect()
+    tables = counted.where("slice is not null").select("slice", "counts")
+    fan = math.isqrt(tables.count() // SLICES)
+    if fan > 1:
+        tables = tables.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(fan))).repartition(SLICES * fan, "slice", "part").select("slice", "counts").mapInArrow(add, "slice int, counts binary")
+    rows = tables.repartition(SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect()
     out = np.zeros((SLICES, CELLS // SLICES), np.int32)
     for r in rows:
         out[r["slice"]] = np.frombuffer(r["counts"], np.int32)
