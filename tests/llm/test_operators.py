@@ -1,9 +1,11 @@
 import collections
 import hashlib
 import html
+import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -723,3 +725,64 @@ def test_buckets_agree(spark):
     ids = [0, 1, -5, 2**40 + 3, 2**62, -(2**63)]
     got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "i long").select(common.id_bucket_column(F.col("i"), 17)).collect()]
     assert got == common.id_bucket(np.array(ids, np.int64), 17).tolist()
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<main><h1>Title</h1><p>Lead</p><article><p>Body text</p></article><p>After</p></main>", "Title\nLead\nBody text\nAfter"),
+        ("<p>Site</p><main><p>Lead</p><article><p>One</p></article></main><article><p>Two</p></article>", "One\nTwo"),
+        ('<article><div class="header"><h2>Section</h2></div><p>x</p></article>', "Section\nx"),
+        ('<article><div class="search">Search parties went out</div><p class="notice">He gave notice.</p><p>x</p></article>', "Search parties went out\nHe gave notice.\nx"),
+        *[(f'<article><p>x</p><div class="{c}">bad</div></article>', "x") for c in "ad-slot adsbygoogle commentlist user-comments comment-thread share-tools related-stories relatedStories cookieNotice newsletter-signup".split()],
+        ('<article><p>x</p><p class="advertisement">bad</p><p class="cookie-notice">bad</p><h2 class="advert">Adverts of the past</h2></article>', "x\nAdverts of the past"),
+        ('<div class="header">Site</div><div class="search">Find</div><div class="share-price"><p>Up</p></div>', "Up"),
+    ],
+)
+def test_names_in_and_around_articles(page, text):
+    assert pages.extract(page) == text
+
+
+def test_flow_of_very_many_patterns():
+    rng = random.Random(1)
+    names = [f"s{i}" for i in range(2000)]
+
+    def checked(capacities, quotas, repeats):
+        flow, sent, got = mixing.min_cost_flow(capacities, quotas, repeats), collections.Counter(), collections.Counter()
+        for (p, s), v in flow.items():
+            assert s in p and v > 0
+            sent[p] += v
+            got[s] += v
+        assert all(got[s] <= q for s, q in quotas.items()) and all(sent[p] <= repeats * w for p, w in capacities.items())
+        return sum(sent.values()), sum(sum(max(0, v - k * capacities[p]) for k in range(1, repeats)) for p, v in sent.items())
+
+    def plain(capacities, quotas, repeats):
+        # the most that any choice of first copies, then of later ones, can send: by all cuts
+        def most(k):
+            best = float("inf")
+            for n in range(len(quotas) + 1):
+                for cut in itertools.combinations(quotas, n):
+                    best = min(best, sum(quotas[s] for s in cut) + sum(k * w for p, w in capacities.items() if set(p) - set(cut)))
+            return best
+
+        upto = [most(k) for k in range(repeats + 1)]
+        return upto[-1], sum((k - 1) * (upto[k] - upto[k - 1]) for k in range(2, repeats + 1))
+
+    for _ in range(60):
+        some = names[: rng.randrange(1, 5)]
+        capacities = {tuple(sorted(rng.sample(some, rng.randrange(1, len(some) + 1)))): rng.randrange(20) for _ in range(rng.randrange(1, 7))}
+        quotas, repeats = {s: rng.randrange(30) for s in some}, rng.choice([1, 2, 3])
+        assert checked(capacities, quotas, repeats) == plain(capacities, quotas, repeats)
+    start = time.perf_counter()
+    capacities = {tuple(sorted(rng.sample(names, rng.choice([1, 2, 3])))): rng.randrange(1, 1000) for _ in range(20_000)}
+    total, _ = checked(capacities, {s: rng.randrange(9000) for s in names}, 2)
+    assert total > 0 and time.perf_counter() - start < 60
+
+
+def test_rarity_in_two_levels(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    tables = rng.integers(0, 5, (70, jaccard.SLICES, 4)).astype(np.int32)
+    monkeypatch.setattr(jaccard, "CELLS", 4 * jaccard.SLICES)
+    rows = [(k, t[k].tobytes()) for t in tables for k in range(jaccard.SLICES)] + [(None, None)]
+    d = spark.createDataFrame(rows, "slice int, counts binary").repartition(9)
+    np.testing.assert_array_equal(jaccard.rarity(d), tables.sum(axis=0).ravel())

@@ -54,8 +54,15 @@ DROPPED_NAMES = frozenset(
     "notice notices cookie cookies consent gdpr newsletter subscribe subscription signup share sharing social comment comments respond replies disqus related recommended popup modal overlay toolbar "
     "pagination pager widget contentinfo complementary search alert alertdialog dialog disclaimer header".split()
 )
+#: Of these the words that may also name a part of an article: inside one they decide only together with others, or with the counts.
+WEAK_NAMES = frozenset("header banner search alert alertdialog dialog notice notices disclaimer toolbar overlay modal popup widget complementary contentinfo masthead menu footer social respond replies promotion subscription".split())
 #: Words that may stand beside those in one class name.
-NEUTRAL = frozenset("list lists box container wrapper wrap area block section item items link links button buttons bar inner outer content site page post posts main top bottom left right icon icons form group text title".split())
+NEUTRAL = frozenset(
+    "list lists box container wrapper wrap area block section item items link links button buttons bar inner outer content site page post posts main top bottom left right icon icons form group text title "
+    "slot slots unit units user users thread threads tools story stories article articles news more google".split()
+)
+#: Words that are written as one, and what they are made of.
+COMPOUNDS = {"commentlist": "comment list", "adsbygoogle": "ads google", "adslot": "ad slot", "adbox": "ad box", "adunit": "ad unit", "sharebar": "share bar", "sharebox": "share box", "cookiebar": "cookie bar", "cookiebanner": "cookie banner", "navbar": "nav bar"}
 #: Elements without any text of the page.
 NO_TEXT = frozenset("head script style noscript template iframe object embed svg canvas audio video map title xmp noembed noframes".split())
 #: Elements that the markup itself calls menu, footer and so on.
@@ -65,6 +72,7 @@ LISTED = frozenset("li tr dt dd".split())
 MIN_LINKS = 3
 CONTAINERS = frozenset("div section ul ol dl table nav aside header footer form center fieldset details figure".split())
 CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HOLDERS = frozenset(("html", "body", "article", "main"))
 #: What an opening tag closes, up to what it does not look beyond.
 CLOSES = {
@@ -79,6 +87,7 @@ _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _MAIN = re.compile(r"""(?:^|\s)role\s*=\s*["']?main\b""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _DIGITS = re.compile(r"[0-9]+")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^:/?#]*)")
 
@@ -166,14 +175,17 @@ def read(page: str) -> tuple[list, list[str], list[str]]:
     return events, tags, attributes
 
 
-def named(attributes: str) -> bool:
-    """Whether a class, id or role says that an element is not article text."""
+def named(attributes: str) -> int:
+    """Whether a class, id or role says that an element is not article text: 2, or 1 where it may also name a part of one; else 0."""
+    most = 0
     for names in _NAMES.findall(attributes):
-        for name in names.strip("\"'").lower().split():
+        for name in _HUMP.sub("-", names.strip("\"'")).lower().split():
             words = _WORD.findall(name)
+            if not COMPOUNDS.keys().isdisjoint(words):
+                words = " ".join(COMPOUNDS.get(w, w) for w in words).split()
             if not DROPPED_NAMES.isdisjoint(words) and all(w in DROPPED_NAMES or w in NEUTRAL for w in words):
-                return True
-    return False
+                most = max(most, 1 + any(w in DROPPED_NAMES and w not in WEAK_NAMES for w in words))
+    return most
 
 
 class Page:
@@ -218,9 +230,11 @@ class Page:
             return False
         if _HIDDEN.search(attributes) is not None:
             return not self.holds[i]
-        if tag in CONTENT or self.titled[i] or (tag == "article" and not self.inside[i]):
+        if tag in HEADINGS or self.titled[i] or (tag == "article" and not self.inside[i]):
             return False
-        return named(attributes) and not (self.holds[i] and self.covers(i))
+        # a paragraph, and what lies in an article, goes by a name that says nothing else
+        sure = named(attributes) > (tag in CONTENT or self.inside[i])
+        return sure and not (self.holds[i] and self.covers(i))
 
     def covers(self, i: int) -> bool:
         """Whether element i holds every outer article of the page."""
@@ -301,8 +315,9 @@ def shapes(p: Page) -> list[int]:
 
 
 def articles(p: Page, gone: list[bool]) -> list[int]:
-    """The elements whose text is the page's: all articles, else main, else none (the whole page)."""
-    for found in (lambda i: p.tags[i] == "article", lambda i: p.tags[i] == "main" or _MAIN.search(p.attributes[i]) is not None):
+    """The elements whose text is the page's: all articles, or the main that holds them all; else none (the whole page)."""
+
+    def roots(found) -> list[int]:
         at, upto = [], -1
         for i in range(len(p.tags)):
             if p.first[i] > upto and gone[i]:
@@ -311,11 +326,14 @@ def articles(p: Page, gone: list[bool]) -> list[int]:
                 at.append(i)
                 upto = p.last[i]
         # comments and teasers may be articles too
-        at = [i for i in at if not named(p.attributes[i])] or at
-        at = [i for i in at if any(type(e) is str and not e.isspace() for e in p.events[p.first[i] : p.last[i]])]
-        if at:
-            return at
-    return []
+        at = [i for i in at if named(p.attributes[i]) < 2] or at
+        return [i for i in at if any(type(e) is str and not e.isspace() for e in p.events[p.first[i] : p.last[i]])]
+
+    mains = roots(lambda i: p.tags[i] == "main" or _MAIN.search(p.attributes[i]) is not None)
+    found = roots(lambda i: p.tags[i] == "article")
+    if found and not (len(mains) == 1 and all(p.first[mains[0]] < p.first[i] < p.last[mains[0]] for i in found)):
+        return found
+    return mains or found
 
 
 def signed(parts: list[str]) -> int:
