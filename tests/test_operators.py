@@ -277,3 +277,22 @@ def test_medoids_of_large_clusters_are_exact(spark, dims):
         expected[c] = int(own[np.flatnonzero(total <= total.min() + 1e-6)[0]])
     assert {r.cluster: r.medoid for r in cluster.medoids(d.repartition(3)).collect()} == expected
     assert cluster.medoids(d.limit(0)).count() == 0
+
+
+def test_inspection_of_attack_types(spark):
+    events = spark.createDataFrame([(i, "sqli" if i % 2 else "xss", f"/p{i}", "q") for i in range(8)] + [(9, "benign", "/", "")], "event_id long, predicted_class string, path string, query_string string")
+    classes = spark.createDataFrame([("sqli", 0.5, 0.6, 0.4, 0.9), ("cmdi", 0.1, 0.1, 0.1, 0.5), ("benign", 1.0, 1.0, 1.0, 1.0)], "label string, f1 double, precision double, recall double, auc double")
+    importances = spark.createDataFrame([(f"f{i}", i / 10) for i in range(7)] + [("a", 0.6)], "name string, importance double")
+    got = {r.attack_type: r for r in reports.inspection(events, classes, importances).collect()}
+    assert set(got) == {"sqli", "xss", "cmdi"} and got["xss"].f1 is None and got["cmdi"].payload_examples is None and got["sqli"].recall == 0.4
+    assert [e.event_id for e in got["sqli"].payload_examples] == [7, 5, 3]
+    assert [(f["rank"], f.feature) for f in got["cmdi"].top_features] == [(1, "a"), (2, "f6"), (3, "f5"), (4, "f4"), (5, "f3")]
+
+
+def test_overlap_of_empty_sides(spark):
+    from weir.operators import similarity
+
+    d = spark.createDataFrame([(1, "a long enough text here", "c"), (2, "a long enough text hero", "c"), (3, "short", "c"), (4, None, None)], "id long, t string, label string")
+    some = lambda a, b: [tuple(r) for r in similarity.overlap_with_classes(a, b, id_col="id", text="t", label="label").collect()]
+    assert some(d.where("id <> 2"), d.where("id = 2")) == [("c", 3, 1, 2, 1, 1.0, True, "a long enough text here")]
+    assert some(d.limit(0), d.where("id = 2")) == [("c", 0, 0, 0, 0, 0.0, False, None)] and some(d, d.limit(0)) == []

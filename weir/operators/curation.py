@@ -31,7 +31,7 @@ def curate(assigned: DataFrame, decisions: DataFrame, vectors: DataFrame, names:
     without a vector are left out. A cluster of any size is rows, never one array.
     """
     kept = decisions.where(F.col("label").isin(*CLASSES)).select("cluster", "label")
-    d = assigned.join(F.broadcast(kept), "cluster").join(vectors.select("id", "vector"), "id").where("vector is not null")
+    d = assigned.join(kept, "cluster").join(vectors.select("id", "vector"), "id").where("vector is not null")
     columns = [F.get("vector", F.lit(i)).alias(n) for i, n in enumerate(names)]
     return d.select("id", *columns, "label", F.lit(SOURCE).alias("_source"), vector_hash(F.col("vector"), F.col("label")).alias("_row_hash"))
 

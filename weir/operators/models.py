@@ -134,6 +134,20 @@ class IsolationForest:
         self.offset = float(np.quantile(self.score(x), self.contamination))
         return self
 
+    def save(self, spark, path: str) -> None:
+        """The trees as a table, a row a tree, with what scoring needs beside them."""
+        rows = [(t, *[a.tolist() for a in n], float(self.norm), float(self.offset)) for t, n in enumerate(self.nodes)]
+        spark.createDataFrame(rows, "tree int, feature array<int>, cut array<double>, low array<int>, high array<int>, path array<double>, norm double, offset double").write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark, path: str, names: list[str]) -> IsolationForest:
+        """A saved forest on the features `names`."""
+        rows = spark.read.parquet(path).orderBy("tree").collect()  # as many as trees
+        out = cls(names, trees=len(rows))
+        out.nodes = [tuple(np.array(r[c]) for c in ("feature", "cut", "low", "high", "path")) for r in rows]
+        out.norm, out.offset = rows[0].norm, rows[0].offset
+        return out
+
     def score(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
         for feature, cut, low, high, path in self.nodes:

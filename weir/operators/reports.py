@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weir.functions.text import subnet
 from weir.operators.places import running
 
 INCIDENTS = ("block", "pass_anomaly")
@@ -83,6 +84,23 @@ def attack_examples(events: DataFrame, predicted_class: str, n: int = 3) -> Data
     return events.where(F.col("predicted_class") == predicted_class).orderBy(F.desc("event_id")).limit(n).select("event_id", "path", "query_string")
 
 
+def inspection(events: DataFrame, classes: DataFrame, importances: DataFrame, *, features: int = 5, examples: int = 3) -> DataFrame:
+    """attack_type, f1, precision, recall, auc, top_features, payload_examples: a row for each attack type that was evaluated or detected.
+
+    `classes` has label, f1, precision, recall and auc of the evaluated model,
+    `importances` name and importance of its features; examples are the latest
+    events of a type, a bounded few of each.
+    """
+    best = importances.orderBy(F.desc("importance"), "name").limit(features)
+    top = best.agg(F.sort_array(F.collect_list(F.struct(-F.col("importance"), "name", "importance"))).alias("f")).select(F.transform("f", lambda x, i: F.struct((i + 1).alias("rank"), x["name"].alias("feature"), x["importance"].alias("importance"))).alias("top_features"))
+    place = F.row_number().over(W.partitionBy("predicted_class").orderBy(F.desc("event_id")))
+    latest = events.where("predicted_class <> 'benign'").withColumn("_n", place).where(F.col("_n") <= examples)
+    shown = latest.groupBy(F.col("predicted_class").alias("attack_type")).agg(F.sort_array(F.collect_list(F.struct((-F.col("event_id")).alias("o"), "event_id", "path", "query_string"))).alias("e"))
+    shown = shown.select("attack_type", F.transform("e", lambda x: F.struct(x["event_id"].alias("event_id"), x["path"].alias("path"), x["query_string"].alias("query_string"))).alias("payload_examples"))
+    evaluated = classes.where("label <> 'benign'").select(F.col("label").alias("attack_type"), "f1", "precision", "recall", "auc")
+    return evaluated.join(shown, "attack_type", "full").join(F.broadcast(top), F.lit(True)).select("attack_type", "f1", "precision", "recall", "auc", "top_features", "payload_examples")
+
+
 def endpoints_top(events: DataFrame, limit=DEFAULT_LIMIT) -> DataFrame:
     rows = incidents(events).groupBy("path", "method").agg(F.count("*").alias("incident_count"), F.avg("confidence").alias("mean"))
     risk = round_half_up(F.col("incident_count") * F.col("mean")).alias("risk_score")
@@ -130,11 +148,6 @@ def top_sources(rows: DataFrame, n: int = 10) -> DataFrame:
     return counts_by(rows.where("client_ip <> ''"), "client_ip").limit(n)
 
 
-def subnet(ip: Column) -> Column:
-    """The /24 network of an IPv4 address; anything else unchanged."""
-    return F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), F.concat(F.substring_index(ip, ".", 3), F.lit(".0/24"))).otherwise(ip)
-
-
 def source_ranges(rows: DataFrame, n: int = 10) -> DataFrame:
     """Networks of the n commonest sources only."""
     return top_sources(rows, n).groupBy(subnet(F.col("client_ip")).alias("client_ip")).agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "client_ip")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml.classification import RandomForestClassificationModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from weir.functions import features
-from weir.operators import autoencoder, cluster, corpus, explain, metrics, models, places, quantiles
+from weir.operators import autoencoder, cluster, corpus, explain, metrics, models, places, quantiles, reports
 from weir.plans import views as V
 from weir.plans.registry import query
 
@@ -80,6 +84,54 @@ def permuted_features(spark, sf_dir):
     return found.select("name", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
 
 
+@query()
+def attacks_inspection(spark, sf_dir):
+    """Of each attack type the published forest's figures on the test part, its five strongest features, and the latest events."""
+    names = features.CLASSIFIER_NAMES
+    rows = places.materialise(corpus.stratified_split(_features(spark, sf_dir, names), id_col="doc_id"))
+    model, forest = _forest(rows.where("split = 'train'"), names)
+    known = list(model.stages[0].labelsArray[0])
+    said = forest.transform(model.stages[1].transform(rows.where("split = 'test'")))
+    said = said.select(F.col("label").alias("y"), F.get(F.array(*[F.lit(k) for k in known]), F.col("prediction").cast("int")).alias("p"), vector_to_array("probability").alias("scores"))
+    said = places.materialise(said)
+    classes = metrics.class_report(said).join(metrics.auc_by_class(said, tuple(known)).select("label", "auc"), "label", "left")
+    out = reports.inspection(V.detections(spark, sf_dir), classes, models.importances(model, names, spark))
+    return out.withColumns({c: F.round(c, 9) for c in ("f1", "precision", "recall", "auc")}).withColumn("top_features", F.transform("top_features", lambda x: F.struct(x["rank"].alias("rank"), x["feature"].alias("feature"), F.round(x["importance"], 9).alias("importance"))))
+
+
+_AGREE = "SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(*) AS BIGINT) AS compared, 0.0::DOUBLE AS largest, true AS passed FROM"
+
+
+def _saved(spark) -> str:
+    places.checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/model-{uuid.uuid4().hex}"
+
+
+@query(f"{_AGREE} documents")
+def saved_forest_parity(spark, sf_dir):
+    """The published forest, saved and loaded again, on all requests: the largest difference of a probability."""
+    names = features.CLASSIFIER_NAMES
+    rows = places.materialise(_features(spark, sf_dir, names))
+    model, forest = _forest(rows, names)
+    path = _saved(spark)
+    forest.write().save(path)
+    ready = model.stages[1].transform(rows)
+    score = lambda m: m.transform(ready).select("doc_id", F.array_max(vector_to_array("probability")).alias("score"))
+    return metrics.parity(score(forest), score(RandomForestClassificationModel.load(path)), "doc_id", "score")
+
+
+@query(f"{_AGREE} embeddings")
+def saved_isolation_parity(spark, sf_dir):
+    """The published isolation forest, saved and loaded again, on all vectors: the largest difference of a score."""
+    names = [f"f{i}" for i in range(64)]
+    d = V.load(spark, sf_dir, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
+    forest = models.IsolationForest(names).fit(d, "vec_id")
+    path = _saved(spark)
+    forest.save(spark, path)
+    again = models.IsolationForest.load(spark, path, names)
+    return metrics.parity(forest.transform(d, ("vec_id",)), again.transform(d, ("vec_id",)), "vec_id", "if_score")
+
+
 _NEAR = """p AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 n AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id <> b.id AND list_distance(a.v, b.v) <= 2.5)"""
 

@@ -94,6 +94,19 @@ def overlap_saturation(spark, sf_dir):
     return similarity.saturation(_names(spark, sf_dir)).withColumn("mean_neighbours", F.round("mean_neighbours", 8))
 
 
+@query("""WITH t AS (SELECT p_partkey AS id, p_name || ' ' || p_type AS t, p_partkey % 5 = 0 AS file, 'c' || (p_size % 3) AS label FROM part),
+s AS (SELECT *, list_distinct(list_transform(range(1, greatest(length(t) - 1, 2)), lambda i: substr(t, i, 3))) AS s FROM t WHERE length(t) >= 15),
+m AS (SELECT DISTINCT a.id, a.t, b.label FROM s a JOIN s b ON a.file AND NOT b.file AND least(len(a.s), len(b.s)) >= 0.70 * greatest(len(a.s), len(b.s)) WHERE len(list_intersect(a.s, b.s)) >= 0.70 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))),
+h AS (SELECT label, count(*) AS matched, first(t ORDER BY id) AS example FROM m GROUP BY 1), n AS (SELECT count(*) AS total, count(*) FILTER (length(t) >= 15) AS evaluated FROM t WHERE file)
+SELECT c.label, CAST(total AS BIGINT) AS total, CAST(evaluated AS BIGINT) AS evaluated, CAST(total - evaluated AS BIGINT) AS excluded, CAST(coalesce(matched, 0) AS BIGINT) AS matched, round(coalesce(matched, 0) / evaluated, 8) AS share,
+coalesce(matched, 0) / evaluated > 0.01 AS flagged, substr(example, 1, 120) AS example FROM (SELECT DISTINCT label FROM t WHERE NOT file) c LEFT JOIN h USING (label), n""")
+def overlap_by_class(spark, sf_dir):
+    """Every fifth part as a file, the others as three classes."""
+    p = V.load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("t"), F.concat(F.lit("c"), (F.col("p_size") % 3).cast("string")).alias("label"))
+    file, others = p.where("id % 5 = 0").drop("label"), p.where("id % 5 <> 0")
+    return similarity.overlap_with_classes(file, others, id_col="id", text="t", label="label").withColumn("share", F.round("share", 8))
+
+
 @query(f"{L}, k AS (SELECT event_id FROM log_lines WHERE status_code = 404) SELECT event_id, client_ip, path FROM log_lines WHERE event_id NOT IN (SELECT event_id FROM k)")
 def unlabelled_lines(spark, sf_dir):
     lines = V.log_lines(spark, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+import time
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -48,9 +50,10 @@ def notify(rows: DataFrame, registry: DataFrame, send: Callable[[str, str], None
     """Sends each incident as JSON to every active address; a failed sending is not fatal to the batch.
 
     The registry is read anew for each batch, page by page, however many
-    addresses it has; sending happens in the tasks.
+    addresses it has; sending happens in the tasks. The incidents are computed
+    once and kept until all pages are sent.
     """
-    incidents = rows.where(F.col("verdict").isin("block", "pass_anomaly")).select(F.to_json(F.struct("*")).alias("value"))
+    incidents = rows.where(F.col("verdict").isin("block", "pass_anomaly")).select(F.to_json(F.struct("*")).alias("value")).persist()
     active = registry.where("status = 'active'").select("url").distinct()
     pages = max(1, -(-active.count() // page))
 
@@ -67,6 +70,7 @@ def notify(rows: DataFrame, registry: DataFrame, send: Callable[[str, str], None
 
         if urls:
             incidents.foreachPartition(post)
+    incidents.unpersist()
 
 
 def send_telemetry(rows: DataFrame, url: str, send: Callable[[str, str], None], names: list[str] = ANOMALY_NAMES) -> None:
@@ -107,7 +111,8 @@ class Registry:
             return self.spark.createDataFrame([], self.SCHEMA)
 
     def _append(self, id_: str, url: str | None, status: str) -> None:
-        version = (self._log().agg(F.max("version")).first()[0] or 0) + 1
+        # no two writers read and then write the same number: it is the time, and by chance apart within one microsecond
+        version = time.time_ns() // 1000 * 1000 + secrets.randbelow(1000)
         row = self.spark.createDataFrame([(id_, url, status, version)], "id string, url string, status string, version bigint")
         row.select("id", "url", F.current_timestamp().alias("created_at"), "status", "version").write.mode("append").parquet(self.path)
 
