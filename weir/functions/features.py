@@ -1,18 +1,23 @@
-"""The 76 request features, in their order, as column expressions.
+"""The 76 request features, in their order.
 
-The payload is chosen first and materialised as a column: the best scored form
-field of the body, the query or the path. Features then are counts and tests of
-patterns on it, grouped as the survey groups them. Only the byte entropies of
-long texts leave the JVM (Arrow batches).
+The texts that may be the payload (the body's form values, body, query and path) and
+their decoded forms are column expressions. One UDF over Arrow batches (`scan`) scores
+them, chooses the payload and searches it; lengths, methods and headers are column
+expressions again.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from weir.functions import patterns as P
-from weir.functions.text import count, decode_component, entropy, form_values, let, normalise, test, tokens
+from weir.functions import scan
+from weir.functions.text import count, decode_component, form_values, let, normalise
 
 #: Names of the features, group by group, in the order of the vector.
 GROUPS = {
@@ -39,72 +44,70 @@ def canonical(df: DataFrame) -> DataFrame:
     return df.withColumns(new)
 
 
-def attack_signal(text: Column) -> Column:
-    """The weighted sum of attack markers by which payloads are compared; 0 below two characters."""
+#: Features that need a search of texts; the others come from lengths, counts of one character and the request's columns.
+SEARCHED = [n for g in ("lengths", "composition", "encoding", "sqli", "xss", "traversal", "command", "http") for n in GROUPS[g] if n not in (*GROUPS["lengths"][2:6], *GROUPS["lengths"][7:], "method_is_get", "method_is_post", "ua_present", "ua_length", "authorization_length", "unusual_headers_count", "status_code")]
 
-    def score(s: Column) -> Column:
-        markers = let(normalise(s), lambda d: count(d, P.XSS_MARKER) + 2 * test(d, P.SCRIPT_TAG) + count(d, P.JS_EVENT_HANDLER) + test(d, P.ALERT_FUNCTION))
-        plain = [count(s, p) for p in (P.SQL_KEYWORDS, P.SQLI_OPERATOR, P.SHELL_COMMAND, P.COMMAND_SEPARATOR, P.SUBSHELL, P.DOTDOT_ENCODED)]
-        double = [test(s, P.UNION), count(s, P.TRAVERSAL_SEQUENCE), test(s, P.SENSITIVE_FILE)]
-        for x in (*plain, *(2 * y for y in double)):
-            markers = markers + x
-        return markers
 
-    return F.when(F.length(text) < 2, 0).otherwise(let(text, score))
+def with_offer(df: DataFrame) -> DataFrame:
+    """Canonical requests with `_offer`: the body, the query, the path and the body's form values, each decoded once, fully, and both; null where that changes nothing."""
 
+    def forms(t: Column) -> Column:
+        once = F.nullif(decode_component(t), t)
+        return let(once, lambda o: F.struct(t.alias("text"), o.alias("once"), F.nullif(normalise(t), t).alias("full"), F.when(o.isNotNull(), normalise(o)).alias("once_full")))
 
-def decoded_signal(text: Column) -> Column:
-    """The larger of the scores of the text and of its percent-decoded form; one expression for both."""
-    return F.array_max(F.transform(F.array_distinct(F.array(text, decode_component(text))), attack_signal))
+    texts = F.concat(F.array("body", "query", "path"), F.coalesce(form_values(F.col("body")), F.array().cast("array<string>")))
+    return canonical(df).withColumn("_offer", F.transform(texts, forms))
 
 
-def best_field(body: Column) -> Column:
-    """The form value of the highest positive score, the first of equals; else the whole body."""
+def chosen(offer: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each request's texts begin, in all end to end, and where its payload is."""
+    sizes = scan.numbers(pc.list_value_length(offer))
+    text, once, full, once_full = offer.flatten().flatten()
+    return np.cumsum(sizes) - sizes, scan.choose(sizes, text, once, full, once_full)
 
-    def choose(values: Column) -> Column:
-        scored = F.transform(F.filter(values, lambda v: F.length(v) >= 2), lambda v: F.struct(attack_signal(v).alias("s"), v.alias("v")))
-        first = lambda x: F.array_position(F.transform(x, lambda y: y["s"]), F.array_max(F.transform(x, lambda y: y["s"])))
-        return let(scored, lambda x: F.when(F.array_max(F.transform(x, lambda y: y["s"])) > 0, F.get(x, first(x).cast("int") - 1)["v"]).otherwise(body))
 
-    return F.coalesce(let(form_values(body), lambda v: F.when(v.isNotNull(), choose(v))), body)
+@F.arrow_udf(IntegerType())
+def place_of_payload(offer: pa.Array) -> pa.Array:
+    starts, place = chosen(offer)
+    return pa.array(place - starts, pa.int32())
+
+
+@F.arrow_udf(StructType([StructField(n, DoubleType()) for n in SEARCHED]))
+def searched(offer: pa.Array, agent: pa.Array, kind: pa.Array) -> pa.Array:
+    """The features of the payload that is chosen from each offer."""
+    starts, place = chosen(offer)
+    text, _, full, _ = offer.flatten().flatten()
+    payload, decoded = text.take(pa.array(place)), pc.coalesce(full, text).take(pa.array(place))
+    body, query, path = (text.take(pa.array(starts + i)) for i in range(3))
+    # a path that stands for want of another is not absolute by its first slash
+    only = pc.and_(pc.equal(payload, path), pc.and_(pc.equal(body, ""), pc.equal(query, "")))
+    traversal = pc.if_else(only, pc.replace_substring_regex(payload, "^/", ""), payload)
+    found = scan.marks(payload, decoded, traversal, body, agent, kind)
+    return pa.StructArray.from_arrays([pa.array(found[n].astype(np.float64)) for n in SEARCHED], SEARCHED)
 
 
 def with_payload(df: DataFrame) -> DataFrame:
-    """Canonical requests with `payload`: of body, query and path the one that scores highest, in this order on ties."""
-    df = canonical(df).withColumn("_body", best_field(F.col("body")))
-    offered = [(F.length("_body") > 0, F.col("_body")), (F.length("query") > 0, F.col("query")), (F.length("path") > 1, F.col("path"))]
-    n = sum((c.cast("int") for c, _ in offered), F.lit(0))
-    # scores matter only between candidates
-    several = F.array(*[F.when(c, x) for c, x in offered])
-    scores = F.transform(several, lambda x: F.when(x.isNull(), -1).when(n > 1, decoded_signal(x)).otherwise(0))
-    at = let(scores, lambda s: F.array_position(s, F.array_max(s)).cast("int"))
-    df = df.withColumn("_at", at)
-    chosen = F.when(n == 0, F.col("path")).otherwise(F.element_at(F.array(*[x for _, x in offered]), F.col("_at")))
-    return df.withColumn("payload", chosen).drop("_body", "_at")
-
-
-def feature_columns() -> dict[str, Column]:
-    """Features of rows that have `payload`, `_decoded` and `_traversal` beside the request columns."""
-    pay, dec, tra, query, path = (F.col(c) for c in ("payload", "_decoded", "_traversal", "query", "path"))
-    long = F.greatest(F.length(pay), F.lit(1))
-    share = lambda p: count(pay, p) / long
+    """Canonical requests with `payload`: of body, query and path the one that scores highest, in this order on ties.
+
+    The form value of the highest positive score stands for the body, the first of equals.
+    """
+    return with_offer(df).withColumn("_at", place_of_payload("_offer")).withColumn("payload", F.get("_offer", F.col("_at"))["text"]).drop("_at", "_offer")
+
+
+def feature_columns(marks: Column) -> dict[str, Column]:
+    """Features of canonical requests with their offer; `marks` is the struct of those that need a search."""
+    # from the offer, so that it has two readers and is never computed inside the UDF's arguments
+    body, query, path = (F.col("_offer")[i]["text"] for i in range(3))
     uri = F.when(F.length(query) > 0, F.concat(path, F.lit("?"), query)).otherwise(path)
     before = F.regexp_replace(uri, r"\?[^\n\r\x{2028}\x{2029}]*\z", "")
-    words = F.greatest(tokens(pay), F.lit(1))
-    shell = let(F.regexp_extract_all(pay, F.lit(P.for_java(P.SHELL_COMMAND)), F.lit(0)), lambda x: F.size(F.array_distinct(F.transform(x, F.lower))))
-    headers = F.map_keys("extra_headers")
-    values = [
-        F.length(pay), entropy(pay), F.length(uri), F.length(before), F.length(query), F.length("body"), entropy(F.col("body")), count(before, "/"), count(query, "&") + (F.length(query) > 0).cast("int"), (F.instr(uri, "#") > 0).cast("int"),
-        share(P.SPECIAL_CHAR), share(P.NUMERIC_CHAR), share(P.UPPERCASE_CHAR), count(pay, P.WHITESPACE), count(pay, P.NEWLINE) + count(pay, P.NEWLINE_ENCODED), count(pay, P.NULL_BYTE) + count(pay, P.NULL_BYTE_ENCODED), F.length(F.regexp_replace(pay, r"[\x00-\x7F]+", "")) / long, tokens(pay),
-        share(P.URL_ENCODED), count(pay, P.URL_ENCODED), count(pay, P.DOUBLE_ENCODED), count(pay, P.HEX_ESCAPE), count(pay, P.UNICODE_ESCAPE), count(pay, P.HTML_ENTITY), count(pay, P.BASE64_LIKE),
-        count(pay, P.SQL_KEYWORDS), count(pay, P.SQL_KEYWORDS) / words, count(pay, P.SQLI_COMMENT), count(pay, P.SQLI_OPERATOR), F.greatest(F.lit(0), count(pay, P.SQLI_OPERATOR) - count(pay, P.FORM_FIELD)), count(pay, "['\"]"), F.greatest(F.lit(0), count(pay, "['\"]") - sum(count(pay, p) for p in P.JSON_QUOTES)), count(pay, ";"), count(pay, "[()]"), test(pay, P.UNION), test(pay, P.SELECT),
-        count(dec, P.XSS_MARKER), count(dec, P.XSS_MARKER) / F.greatest(F.length(dec), F.lit(1)) * 100, count(dec, P.HTML_TAG), test(dec, P.SCRIPT_TAG), count(dec, P.JS_EVENT_HANDLER), count(dec, P.JAVASCRIPT_URL), count(pay, P.HTML_ENTITY) / long * 100, test(dec, P.ALERT_FUNCTION), test(dec, P.INLINE_STYLE),
-        count(tra, P.TRAVERSAL_SEQUENCE), count(tra, P.PATH_SEPARATOR), test(tra, P.ABSOLUTE_PATH), test(tra, P.SENSITIVE_FILE), count(tra, P.SENSITIVE_EXTENSION), count(tra, P.SUSPICIOUS_EXTENSION), count(tra, P.DOTDOT_ENCODED),
-        count(pay, r"\|"), count(pay, "`"), count(pay, P.SHELL_COMMAND), count(pay, P.COMMAND_SEPARATOR), count(pay, P.REDIRECT_OPERATOR), count(pay, r"\$"), count(pay, P.SUBSHELL), test(pay, P.OS_PATH), shell, shell / (count(pay, P.TRAVERSAL_SEQUENCE) + count(pay, P.PATH_SEPARATOR) + 1),
-        (F.upper("method") == "GET").cast("int"), (F.upper("method") == "POST").cast("int"), (F.length("user_agent") > 0).cast("int"), F.length("user_agent"), test(F.col("user_agent"), P.SCANNER_AGENT), test(F.col("content_type"), P.FORM_TYPE), F.length(F.coalesce(F.try_element_at("extra_headers", F.lit("authorization")), F.lit(""))), F.size(F.filter(headers, lambda k: ~F.lower(k).isin(*P.STANDARD_HEADERS))), F.col("status_code"),
-        *[F.lit(0)] * 5,
-    ]
-    return {name: v.cast("double") for name, v in zip(NAMES, values, strict=True)}
+    own = {
+        "uri_length": F.length(uri), "path_length": F.length(before), "query_string_length": F.length(query), "body_length": F.length(body), "path_depth": count(before, "/"),
+        "query_param_count": count(query, "&") + (F.length(query) > 0).cast("int"), "fragment_present": (F.instr(uri, "#") > 0).cast("int"),
+        "method_is_get": (F.upper("method") == "GET").cast("int"), "method_is_post": (F.upper("method") == "POST").cast("int"), "ua_present": (F.length("user_agent") > 0).cast("int"), "ua_length": F.length("user_agent"),
+        "authorization_length": F.length(F.coalesce(F.try_element_at("extra_headers", F.lit("authorization")), F.lit(""))),
+        "unusual_headers_count": F.size(F.filter(F.map_keys("extra_headers"), lambda k: ~F.lower(k).isin(*P.STANDARD_HEADERS))), "status_code": F.col("status_code"),
+    } | {n: F.lit(0) for n in GROUPS["temporal"]}
+    return {n: own[n].cast("double") if n in own else marks[n] for n in NAMES}
 
 
 def extract(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -113,10 +116,9 @@ def extract(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     Temporal features are 0 here; `temporal_features` has them for logs. Lengths
     count code points. Null fields have their defaults, so that no feature is null.
     """
-    d = with_payload(df.withColumns({f"_keep_{c}": F.col(c) for c in keep}))
-    fallback = (F.col("payload") == F.col("path")) & (F.length("body") == 0) & (F.length("query") == 0)
-    d = d.withColumns({"_decoded": normalise(F.col("payload")), "_traversal": F.when(fallback, F.regexp_replace("payload", "^/", "")).otherwise(F.col("payload"))})
-    return d.select(*[F.col(f"_keep_{c}").alias(c) for c in keep], *[v.alias(n) for n, v in feature_columns().items()])
+    d = with_offer(df.withColumns({f"_keep_{c}": F.col(c) for c in keep}))
+    d = d.withColumn("_marks", searched("_offer", "user_agent", "content_type"))
+    return d.select(*[F.col(f"_keep_{c}").alias(c) for c in keep], *[v.alias(n) for n, v in feature_columns(F.col("_marks")).items()])
 
 
 # Names that both models leave out, and those that only the anomaly model does.
