@@ -120,3 +120,16 @@ def test_all_features_equal_plain_python(spark):
         expected = plain_features.features(**rows[got["i"]])
         wrong = {n: (got[n], expected[n]) for n in features.NAMES if got[n] != pytest.approx(expected[n], abs=1e-9)}
         assert not wrong, (rows[got["i"]], wrong)
+
+
+def test_marks_letters_and_overlaps_in_batches():
+    from weir.functions import scan
+
+    texts = ["selectunion select", "\x01 `a\x01b` \x01;", "ſelect Knull", '{"a":"b", "":""}', ',",",', "<>==!===a=b", "/*/ --# #1 ##", "", "cat CAT ls; /bin/ cat", "a b\xa0 c", "a=1&b=2&&c_=", "é😀\x00"]
+    got = scan.marks(*[scan.pa.array(texts)] * 3, *[scan.pa.array([""] * len(texts))] * 3)
+    for i, t in enumerate(texts):
+        want = plain_features.features(query=t) if len(t) else plain_features.features(path="")
+        for name in features.SEARCHED:
+            if name not in ("body_entropy", "ua_suspicious", "content_type_encoded"):
+                assert got[name][i] == pytest.approx(want[name], abs=1e-9), (t, name)
+

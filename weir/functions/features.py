@@ -17,7 +17,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from weir.functions import patterns as P
 from weir.functions import scan
-from weir.functions.text import count, decode_component, form_values, let, normalise
+from weir.functions.text import count, decode_component, form_values, let, may_decode, normalise
 
 #: Names of the features, group by group, in the order of the vector.
 GROUPS = {
@@ -49,34 +49,43 @@ SEARCHED = [n for g in ("lengths", "composition", "encoding", "sqli", "xss", "tr
 
 
 def with_offer(df: DataFrame) -> DataFrame:
-    """Canonical requests with `_offer`: the body, the query, the path and the body's form values, each decoded once, fully, and both; null where that changes nothing."""
+    """Canonical requests with `_offer`, four lists of one length.
 
-    def forms(t: Column) -> Column:
-        once = F.nullif(decode_component(t), t)
-        return let(once, lambda o: F.struct(t.alias("text"), o.alias("once"), F.nullif(normalise(t), t).alias("full"), F.when(o.isNotNull(), normalise(o)).alias("once_full")))
-
-    texts = F.concat(F.array("body", "query", "path"), F.coalesce(form_values(F.col("body")), F.array().cast("array<string>")))
-    return canonical(df).withColumn("_offer", F.transform(texts, forms))
-
-
-def chosen(offer: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each request's texts begin, in all end to end, and where its payload is."""
-    sizes = scan.numbers(pc.list_value_length(offer))
-    text, once, full, once_full = offer.flatten().flatten()
-    return np.cumsum(sizes) - sizes, scan.choose(sizes, text, once, full, once_full)
+    The first has the body, the query, the path and the body's form values; the others have
+    these decoded once, fully, and both, null where that changes nothing.
+    """
+    fields = [F.col(c) for c in ("body", "query", "path")]
+    df = canonical(df).withColumn("_texts", F.concat(F.array(*fields), F.coalesce(form_values(F.col("body")), F.array().cast("array<string>"))))
+    some = lambda f: f(fields[0]) | f(fields[1]) | f(fields[2])
+    same = F.array_repeat(F.lit(None).cast("string"), F.size("_texts"))
+    # most requests have nothing to decode, and are told by a look outside the lists
+    each = lambda found, f: F.when(found, F.transform("_texts", f)).otherwise(same)
+    percent = some(lambda c: F.contains(c, F.lit("%")))
+    both = lambda t: let(F.nullif(decode_component(t), t), lambda o: F.when(o.isNotNull(), normalise(o)))
+    once, full = each(percent, lambda t: F.nullif(decode_component(t), t)), each(some(may_decode), lambda t: F.nullif(normalise(t), t))
+    # a bare array would be taken apart by its readers, a concatenation is computed as one
+    offer = F.concat(F.array("_texts", once), F.array(full, each(percent, both)))
+    return df.withColumn("_offer", offer).drop("_texts")
+
+
+def chosen(offer: pa.ListArray) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
+    """Where each request's texts begin, in all end to end, where its payload is, and the texts with their decoded forms."""
+    lists = offer.flatten()
+    lists = [lists.take(pa.array(np.arange(i, len(lists), 4))) for i in range(4)]
+    sizes, forms = scan.numbers(pc.list_value_length(lists[0])), [x.flatten() for x in lists]
+    return np.cumsum(sizes) - sizes, scan.choose(sizes, *forms), forms
 
 
 @F.arrow_udf(IntegerType())
 def place_of_payload(offer: pa.Array) -> pa.Array:
-    starts, place = chosen(offer)
+    starts, place, _ = chosen(offer)
     return pa.array(place - starts, pa.int32())
 
 
 @F.arrow_udf(StructType([StructField(n, DoubleType()) for n in SEARCHED]))
 def searched(offer: pa.Array, agent: pa.Array, kind: pa.Array) -> pa.Array:
     """The features of the payload that is chosen from each offer."""
-    starts, place = chosen(offer)
-    text, _, full, _ = offer.flatten().flatten()
+    starts, place, (text, _, full, _) = chosen(offer)
     payload, decoded = text.take(pa.array(place)), pc.coalesce(full, text).take(pa.array(place))
     body, query, path = (text.take(pa.array(starts + i)) for i in range(3))
     # a path that stands for want of another is not absolute by its first slash
@@ -91,21 +100,22 @@ def with_payload(df: DataFrame) -> DataFrame:
 
     The form value of the highest positive score stands for the body, the first of equals.
     """
-    return with_offer(df).withColumn("_at", place_of_payload("_offer")).withColumn("payload", F.get("_offer", F.col("_at"))["text"]).drop("_at", "_offer")
+    return with_offer(df).withColumn("_at", place_of_payload("_offer")).withColumn("payload", F.get(F.col("_offer")[0], F.col("_at"))).drop("_at", "_offer")
 
 
 def feature_columns(marks: Column) -> dict[str, Column]:
     """Features of canonical requests with their offer; `marks` is the struct of those that need a search."""
-    # from the offer, so that it has two readers and is never computed inside the UDF's arguments
-    body, query, path = (F.col("_offer")[i]["text"] for i in range(3))
+    # read from the offer: with a second reader it stays a column and is not moved into the UDF's arguments
+    body, query, path = (F.col("_offer")[0][i] for i in range(3))
     uri = F.when(F.length(query) > 0, F.concat(path, F.lit("?"), query)).otherwise(path)
-    before = F.regexp_replace(uri, r"\?[^\n\r\x{2028}\x{2029}]*\z", "")
+    breaks = r"\n\r\x{2028}\x{2029}"
+    before = F.when(uri.rlike(f"[{breaks}]"), F.regexp_replace(uri, rf"\?[^{breaks}]*\z", "")).otherwise(F.substring_index(uri, "?", 1))
     own = {
         "uri_length": F.length(uri), "path_length": F.length(before), "query_string_length": F.length(query), "body_length": F.length(body), "path_depth": count(before, "/"),
         "query_param_count": count(query, "&") + (F.length(query) > 0).cast("int"), "fragment_present": (F.instr(uri, "#") > 0).cast("int"),
         "method_is_get": (F.upper("method") == "GET").cast("int"), "method_is_post": (F.upper("method") == "POST").cast("int"), "ua_present": (F.length("user_agent") > 0).cast("int"), "ua_length": F.length("user_agent"),
         "authorization_length": F.length(F.coalesce(F.try_element_at("extra_headers", F.lit("authorization")), F.lit(""))),
-        "unusual_headers_count": F.size(F.filter(F.map_keys("extra_headers"), lambda k: ~F.lower(k).isin(*P.STANDARD_HEADERS))), "status_code": F.col("status_code"),
+        "unusual_headers_count": F.when(F.size("extra_headers") > 0, F.size(F.filter(F.map_keys("extra_headers"), lambda k: ~F.lower(k).isin(*P.STANDARD_HEADERS)))).otherwise(0), "status_code": F.col("status_code"),
     } | {n: F.lit(0) for n in GROUPS["temporal"]}
     return {n: own[n].cast("double") if n in own else marks[n] for n in NAMES}
 

@@ -81,8 +81,8 @@ def byte_counts(texts: pa.Array) -> np.ndarray:
 
 def entropy(counts: np.ndarray) -> np.ndarray:
     """Shannon entropy of the bytes, -sum p log2(p + 1e-12); 0 for empty text."""
-    row, byte = np.nonzero(counts)
-    n = counts[row, byte]
+    at = np.flatnonzero(counts)
+    row, n = at // 256, counts.ravel()[at]
     p = n / np.maximum(counts.sum(1), 1)[row]
     return np.bincount(row, -(p * np.log2(p + 1e-12)), len(counts))
 

@@ -89,6 +89,11 @@ def decode_escapes(text: Column) -> Column:
     return _replace_codes(text, r"\\u([0-9a-fA-F]{4})", lambda c: F.conv(c, 16, 10).cast("bigint"))
 
 
+def may_decode(text: Column) -> Column:
+    """Whether the text has anything that `normalise` may change."""
+    return text.rlike(r"%|\\u|&(?:#|(?i:lt|gt|amp|quot);)")
+
+
 def normalise(text: Column, rounds: int = 5) -> Column:
     """Percent, entity and escape decoding repeated until nothing changes, `rounds` times at most."""
     entities = lambda s: F.when(F.contains(s, F.lit("&")), decode_entities(s)).otherwise(s)
@@ -96,7 +101,7 @@ def normalise(text: Column, rounds: int = 5) -> Column:
     step = lambda s: let(let(decode_component(s), entities), escapes)
     again = lambda a: F.when(a["same"], a).otherwise(let(step(a["s"]), lambda n: F.struct(n.alias("s"), (n == a["s"]).alias("same"))))
     loop = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(text.alias("s"), F.lit(False).alias("same")), lambda a, _: again(a), lambda a: a["s"])
-    return F.when(text.rlike(r"[%&]|\\u"), loop).otherwise(text)
+    return F.when(may_decode(text), loop).otherwise(text)
 
 
 def tokens(text: Column) -> Column:
