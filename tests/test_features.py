@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tests import plain_features
 from weir.functions import features, text
 from weir.functions import patterns as P
+from weir.plans import views
 
 ONE = "method string, path string, query string, body string, user_agent string"
 
@@ -133,3 +134,13 @@ def test_marks_letters_and_overlaps_in_batches():
             if name not in ("body_entropy", "ua_suspicious", "content_type_encoded"):
                 assert got[name][i] == pytest.approx(want[name], abs=1e-9), (t, name)
 
+
+
+def test_each_feature_alone_equals_all(spark, sf):
+    """Whatever columns a reader leaves out, the others stay."""
+    d = features.extract(views.requests(spark, sf), ("doc_id",))
+    whole = {r["doc_id"]: r for r in d.collect()}
+    for names in (["special_char_ratio"], ["method_is_get"], ["body_length", "sqli_keyword_count"], ["payload_entropy", "req_count_1s"]):
+        assert all(r[n] == whole[r["doc_id"]][n] for r in d.select("doc_id", *names).collect() for n in names)
+    assert d.where("xss_marker_count > 0").count() == sum(r["xss_marker_count"] > 0 for r in whole.values())
+    assert d.groupBy("union_present").count().count() == len({r["union_present"] for r in whole.values()})

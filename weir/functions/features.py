@@ -68,6 +68,12 @@ def with_offer(df: DataFrame) -> DataFrame:
     return df.withColumn("_offer", offer).drop("_texts")
 
 
+#: The offer has to be computed below the UDFs: nested functions of lists are not evaluated among their arguments.
+#: So they name it twice (it is sent once), which keeps a projection from moving there, and are marked as not
+#: deterministic, which keeps conditions on their results above them.
+OFFER = ("_offer", "_offer")
+
+
 def chosen(offer: pa.ListArray) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
     """Where each request's texts begin, in all end to end, where its payload is, and the texts with their decoded forms."""
     lists = offer.flatten()
@@ -77,13 +83,13 @@ def chosen(offer: pa.ListArray) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]
 
 
 @F.arrow_udf(IntegerType())
-def place_of_payload(offer: pa.Array) -> pa.Array:
+def place_of_payload(offer: pa.Array, _: pa.Array) -> pa.Array:
     starts, place, _ = chosen(offer)
     return pa.array(place - starts, pa.int32())
 
 
 @F.arrow_udf(StructType([StructField(n, DoubleType()) for n in SEARCHED]))
-def searched(offer: pa.Array, agent: pa.Array, kind: pa.Array) -> pa.Array:
+def searched(offer: pa.Array, _: pa.Array, agent: pa.Array, kind: pa.Array) -> pa.Array:
     """The features of the payload that is chosen from each offer."""
     starts, place, (text, _, full, _) = chosen(offer)
     payload, decoded = text.take(pa.array(place)), pc.coalesce(full, text).take(pa.array(place))
@@ -100,13 +106,12 @@ def with_payload(df: DataFrame) -> DataFrame:
 
     The form value of the highest positive score stands for the body, the first of equals.
     """
-    return with_offer(df).withColumn("_at", place_of_payload("_offer")).withColumn("payload", F.get(F.col("_offer")[0], F.col("_at"))).drop("_at", "_offer")
+    return with_offer(df).withColumn("_at", place_of_payload.asNondeterministic()(*OFFER)).withColumn("payload", F.get(F.col("_offer")[0], F.col("_at"))).drop("_at", "_offer")
 
 
 def feature_columns(marks: Column) -> dict[str, Column]:
     """Features of canonical requests with their offer; `marks` is the struct of those that need a search."""
-    # read from the offer: with a second reader it stays a column and is not moved into the UDF's arguments
-    body, query, path = (F.col("_offer")[0][i] for i in range(3))
+    body, query, path = F.col("body"), F.col("query"), F.col("path")
     uri = F.when(F.length(query) > 0, F.concat(path, F.lit("?"), query)).otherwise(path)
     breaks = r"\n\r\x{2028}\x{2029}"
     before = F.when(uri.rlike(f"[{breaks}]"), F.regexp_replace(uri, rf"\?[^{breaks}]*\z", "")).otherwise(F.substring_index(uri, "?", 1))
@@ -125,9 +130,10 @@ def extract(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
     Temporal features are 0 here; `temporal_features` has them for logs. Lengths
     count code points. Null fields have their defaults, so that no feature is null.
+    Conditions on columns in `keep` are best put on `df`: they are not pushed through.
     """
     d = with_offer(df.withColumns({f"_keep_{c}": F.col(c) for c in keep}))
-    d = d.withColumn("_marks", searched("_offer", "user_agent", "content_type"))
+    d = d.withColumn("_marks", searched.asNondeterministic()(*OFFER, "user_agent", "content_type"))
     return d.select(*[F.col(f"_keep_{c}").alias(c) for c in keep], *[v.alias(n) for n, v in feature_columns(F.col("_marks")).items()])
 
 

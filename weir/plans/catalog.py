@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weir.functions import features, text
 from weir.functions import patterns as P
 from weir.operators import cluster, corpus, leakage as leaks, metrics, models, policy, reports, temporal, validate
-from weir.plans import corpora, learning, lifecycle, parsing  # noqa: F401  they register their queries
+from weir.plans import corpora, feature_sql, learning, lifecycle, parsing  # noqa: F401  they register their queries
 from weir.plans import views as V
 from weir.plans.registry import ORACLE, QUERIES, query
 
@@ -214,13 +214,47 @@ def request_lengths(spark, sf_dir):
     return features.extract(V.requests(spark, sf_dir), ("doc_id",)).select("doc_id", *names)
 
 
-@query()
+@query(feature_sql.request_features_sql())
 def request_features(spark, sf_dir):
-    """All 76 features of every request."""
-    return features.extract(V.requests(spark, sf_dir), ("doc_id", "label"))
+    """All 76 features of every request, entropies to eight digits."""
+    f = features.extract(V.requests(spark, sf_dir), ("doc_id", "label"))
+    return f.withColumns({c: F.round(c, 8) for c in ("payload_entropy", "body_entropy")})
+
+
+@query(f"{feature_sql.payload_ctes()} SELECT doc_id, t AS payload FROM chosen")
+def request_payloads(spark, sf_dir):
+    """The payload of every request: body, query or path."""
+    return features.with_payload(V.requests(spark, sf_dir)).select("doc_id", "payload")
+
+
+@query(f"{feature_sql.payload_ctes(V.FORMS)} SELECT doc_id, t AS payload FROM chosen")
+def form_payloads(spark, sf_dir):
+    """The payload of every request whose body is a form with a name, a note that may be an attack, and a text."""
+    return features.with_payload(V.forms(spark, sf_dir)).select("doc_id", "payload")
+
 
+@query(f"{R} SELECT doc_id, doc_id % 4 AS layers, length(t) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, coalesce(body, '') || query AS t FROM requests)")
+def decoded_texts(spark, sf_dir):
+    """Texts in up to three layers of entities, escapes and percent escapes, decoded: they come back as they were."""
+    r = V.requests(spark, sf_dir).select("doc_id", F.concat(F.coalesce("body", F.lit("")), "query").alias("t"))
+    named = F.col("t")
+    for character, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"), ("a", "&#97;"), ("o", "&#X6F;"), ("e", "\\u0065")):
+        named = F.replace(named, F.lit(character), F.lit(name))
+    # a blank is written as an escape, since + stands for itself
+    percent = lambda c: F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+    layers = F.col("doc_id") % 4
+    hidden = F.when(layers == 0, F.col("t")).when(layers == 1, named).when(layers == 2, percent(named)).otherwise(percent(percent(named)))
+    return r.select("doc_id", layers.alias("layers"), text.normalise(hidden).alias("d")).select("doc_id", "layers", F.length("d").cast("long").alias("n_chars"), F.md5("d").alias("digest"))
 
-@query()
+
+_DECIDED = f"""WITH f AS ({feature_sql.request_features_sql()}),
+m AS (SELECT doc_id, label, [1.0, shell_command_count + command_separator_count, 2 * traversal_sequence_count + 3 * sensitive_file_target, sqli_keyword_count + 3 * union_present, 3 * xss_marker_count]::DOUBLE[] AS m,
+CASE WHEN special_char_ratio > 0.3 THEN 0.001 ELSE 0.1 END::DOUBLE AS if_score FROM f),
+p AS (SELECT *, (['benign','cmdi','path_traversal','sqli','xss'])[list_position(m, list_max(m))] AS predicted_class, list_max(m) / (m[1] + m[2] + m[3] + m[4] + m[5]) AS confidence FROM m)
+SELECT doc_id, label, CASE WHEN predicted_class <> 'benign' AND confidence >= 0.35 THEN 'block' WHEN if_score < 0.004206 THEN 'pass_anomaly' ELSE 'pass' END AS verdict, predicted_class, confidence, if_score, if_score < 0.004206 AS is_anomaly FROM p"""
+
+
+@query(_DECIDED)
 def request_decisions(spark, sf_dir):
     """Features turned into pseudo-probabilities by their marker counts (no model is trained here), then the policy."""
     f = features.extract(V.requests(spark, sf_dir), ("doc_id", "label"))
@@ -423,7 +457,14 @@ def telemetry_reasons(spark, sf_dir):
     return validate.reason_counts(_telemetry(spark, sf_dir), validate.telemetry_error(64))
 
 
-@query()
+_DECIDED = f"""WITH f AS ({feature_sql.request_features_sql()}),
+m AS (SELECT doc_id, label, [1.0, shell_command_count + command_separator_count, 2 * traversal_sequence_count + 3 * sensitive_file_target, sqli_keyword_count + 3 * union_present, 3 * xss_marker_count]::DOUBLE[] AS m,
+CASE WHEN special_char_ratio > 0.3 THEN 0.001 ELSE 0.1 END::DOUBLE AS if_score FROM f),
+p AS (SELECT *, (['benign','cmdi','path_traversal','sqli','xss'])[list_position(m, list_max(m))] AS predicted_class, list_max(m) / (m[1] + m[2] + m[3] + m[4] + m[5]) AS confidence FROM m)
+SELECT doc_id, label, CASE WHEN predicted_class <> 'benign' AND confidence >= 0.35 THEN 'block' WHEN if_score < 0.004206 THEN 'pass_anomaly' ELSE 'pass' END AS verdict, predicted_class, confidence, if_score, if_score < 0.004206 AS is_anomaly FROM p"""
+
+
+@query(_DECIDED)
 def isolation_scores(spark, sf_dir):
     """Anomaly scores of the vectors by all components, by a forest of the published size trained on them."""
     e = V.load(spark, sf_dir, "embeddings")

@@ -94,3 +94,12 @@ REQUESTS = f"""requests AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'POST'
   CASE WHEN doc_id % 5 = 0 THEN 'sqlmap/1.7' WHEN doc_id % 5 <> 1 THEN 'Mozilla/5.0' END AS user_agent,
   CASE WHEN doc_id % 3 = 0 THEN 'application/x-www-form-urlencoded' ELSE 'text/html' END AS content_type,
   200 AS status_code, ([{", ".join(_literal(c) for c, _ in PALETTE)}])[doc_id % {len(PALETTE)} + 1] AS label, source AS _source, lang FROM documents)"""
+
+
+def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`requests` without a query, and with a form of three fields as body."""
+    body = F.concat(F.lit("name=u"), F.col("doc_id").cast("string"), F.lit("&note="), F.col("query"), F.lit("&text="), F.coalesce("body", F.lit("")))
+    return requests(spark, sf_dir).withColumn("body", body).withColumn("query", F.lit(""))
+
+
+FORMS = REQUESTS.replace("requests AS", "plain_requests AS", 1) + """, requests AS (SELECT * REPLACE ('' AS query, 'name=u' || doc_id || '&note=' || query || '&text=' || coalesce(body, '') AS body) FROM plain_requests)"""
