@@ -457,14 +457,7 @@ def telemetry_reasons(spark, sf_dir):
     return validate.reason_counts(_telemetry(spark, sf_dir), validate.telemetry_error(64))
 
 
-_DECIDED = f"""WITH f AS ({feature_sql.request_features_sql()}),
-m AS (SELECT doc_id, label, [1.0, shell_command_count + command_separator_count, 2 * traversal_sequence_count + 3 * sensitive_file_target, sqli_keyword_count + 3 * union_present, 3 * xss_marker_count]::DOUBLE[] AS m,
-CASE WHEN special_char_ratio > 0.3 THEN 0.001 ELSE 0.1 END::DOUBLE AS if_score FROM f),
-p AS (SELECT *, (['benign','cmdi','path_traversal','sqli','xss'])[list_position(m, list_max(m))] AS predicted_class, list_max(m) / (m[1] + m[2] + m[3] + m[4] + m[5]) AS confidence FROM m)
-SELECT doc_id, label, CASE WHEN predicted_class <> 'benign' AND confidence >= 0.35 THEN 'block' WHEN if_score < 0.004206 THEN 'pass_anomaly' ELSE 'pass' END AS verdict, predicted_class, confidence, if_score, if_score < 0.004206 AS is_anomaly FROM p"""
-
-
-@query(_DECIDED)
+@query()
 def isolation_scores(spark, sf_dir):
     """Anomaly scores of the vectors by all components, by a forest of the published size trained on them."""
     e = V.load(spark, sf_dir, "embeddings")
