@@ -250,6 +250,25 @@ def test_shapley_values_of_one_tree_and_of_a_stump(spark, forest):
         assert (np.count_nonzero(r.shap) > 0) == (depth == 1)
 
 
+def test_shapley_values_are_found_once_for_equal_places(spark, forest):
+    d, names, model = forest
+    labels = list(model.stages[0].labelsArray[0])
+    # between two cuts, and beyond the last, values make no difference
+    moved = d.select("id", *[(F.col(n) + (F.col("id") % 4) / 100).alias(n) for n in names])
+    many = d.select("id", *names).unionByName(moved.withColumn("id", F.col("id") + 400)).unionByName(spark.createDataFrame([(1000, *[float("inf")] * 5), (1001, *[9.0] * 5), (1002, *[float("-inf")] * 5), (1003, *[-1.0] * 5)], ["id", *names]))
+    rows, cells = explain.shap_cells(many, model.stages[-1], names, ("id",))
+    assert cells.count() <= 402 and cells.agg(F.sum("n")).first()[0] == rows.count() == 804
+    got = {r.id: np.array(r.shap) for r in explain.to_rows(rows, cells).collect()}
+    assert len(got) == 804 and np.array_equal(got[1000], got[1001]) and np.array_equal(got[1002], got[1003])
+    said = {r.id: r.probability.toArray() for r in model.stages[-1].transform(model.stages[1].setHandleInvalid("keep").transform(many)).select("id", "probability").collect()}
+    base = np.array(cells.first().base)
+    for i, v in got.items():
+        np.testing.assert_allclose(base + v.sum(axis=1), said[i], atol=1e-9)
+    a = explain.global_report(cells, names, labels, n="n").collect()
+    b = explain.global_report(explain.to_rows(rows, cells), names, labels).collect()
+    assert [(r["class"], r["rank"], r["name"], round(r.mean_abs, 9)) for r in a] == [(r["class"], r["rank"], r["name"], round(r.mean_abs, 9)) for r in b]
+
+
 # Autoencoder
 
 

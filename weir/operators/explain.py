@@ -10,8 +10,12 @@ over [0, 1], so feature i's part in a leaf of value v is
     v (o_i - z_i) * integral of the product over j <> i of (t o_j + (1 - t) z_j) dt,
 
 a polynomial of degree D - 1, which Gauss-Legendre quadrature with D / 2 points
-gives exactly. All factors are positive, so the product is divided by one factor
-for each feature: D times the points for a leaf and a row, nothing is enumerated.
+gives exactly. All factors are positive: the product is a sum of logarithms, linear
+in o, and is divided by one factor for each feature, of which o leaves two values.
+So both steps are products of small matrices, nothing is enumerated.
+
+A row's o depends only on the places of its values among the forest's thresholds.
+Rows of equal places are one cell and have equal parts, which are found once a cell.
 """
 
 from __future__ import annotations
@@ -23,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.operators.places import checkpoints
+from weir.operators.places import checkpoints, hot_join, materialise
 
-#: Entries of one block of rows x leaves x features.
-ENTRIES = 1 << 21
+#: Entries of one block of cells x leaves x features, and cells of one block and about one task.
+ENTRIES, BLOCK, TASK = 1 << 19, 256, 512
 #: Fixed value: features of a class in the report.
 TOP = 10
 
@@ -76,75 +80,107 @@ class Paths:
                     stack.append((child, known | {feature: (low, high, share * nodes[child][4].sum() / stats.sum())}))
         found.sort(key=lambda f: len(f[0]))
         self.features, self.classes = features, len(found[0][1])
+        self.cuts = [np.unique([x for k, _ in found if c in k for x in k[c][:2] if np.isfinite(x)]) for c in range(features)]
         self.groups = []
         sizes = np.array([len(k) for k, _ in found])
         for d in np.unique(sizes):
             some = [f for f, s in zip(found, sizes, strict=True) if s == d]
             values = np.array([v for _, v in some])
-            table = np.array([[(c, *k[c]) for c in sorted(k)] for k, _ in some], np.float64).reshape(len(some), d, 4)
-            self.groups.append((table[:, :, 0].astype(np.int64), table[:, :, 1], table[:, :, 2], table[:, :, 3], values))
+            # low < x <= high, as places among the cuts: -1 and their number stand for no bound
+            table = [[(c, -1 if np.isinf(k[c][0]) else np.searchsorted(self.cuts[c], k[c][0]), np.searchsorted(self.cuts[c], k[c][1]), k[c][2]) for c in sorted(k)] for k, _ in some]
+            table = np.array(table, np.float64).reshape(len(some), d, 4)
+            self.groups.append((*[table[:, :, i].astype(np.int32) for i in range(3)], table[:, :, 3], values))
         self.base = sum((np.prod(g[3], axis=1)[:, None] * g[4]).sum(axis=0) for g in self.groups)
 
-    def values(self, x: np.ndarray) -> np.ndarray:
-        """Rows x features x classes."""
-        out = np.zeros((len(x), self.features, self.classes))
+    def places(self, x: np.ndarray) -> np.ndarray:
+        """Rows x features: how many cuts of the feature are less than the value; of NaN all, as it goes right."""
+        return np.column_stack([np.searchsorted(c, x[:, i]) for i, c in enumerate(self.cuts)]).astype("<i4")
+
+    def values(self, places: np.ndarray) -> np.ndarray:
+        """Cells x classes x features."""
+        rows = len(places)
+        at = np.ascontiguousarray(places.T)
+        out = np.zeros((self.features, self.classes, rows))
         for feature, low, high, share, value in self.groups:
             leaves, d = feature.shape
             if not d:
                 continue
             t, w = np.polynomial.legendre.leggauss((d + 1) // 2)
             t, w = (t + 1) / 2, w / 2
-            step = max(1, ENTRIES // (max(len(x), 1) * d))
+            step = max(1, ENTRIES // (max(rows, 1) * d))
             for a in range(0, leaves, step):
-                f, v = feature[a : a + step], value[a : a + step]
-                at = x[:, f]
-                o = ((at > low[None, a : a + step]) & (at <= high[None, a : a + step])).astype(np.float64)
-                z = np.broadcast_to(share[None, a : a + step], o.shape)
-                total = np.zeros_like(o)
-                for tq, wq in zip(t, w, strict=True):
-                    factor = tq * o + (1 - tq) * z
-                    total += wq * np.prod(factor, axis=2)[:, :, None] / factor
-                part = ((o - z) * total).reshape(len(x), -1)
+                f, z, v = feature[a : a + step], share[a : a + step], value[a : a + step]
+                x = at[f]
+                o = (x > low[a : a + step, :, None]) & (x <= high[a : a + step, :, None])
+                passed, failed = t + (1 - t) * z[:, :, None], (1 - t) * z[:, :, None]
+                # leaves x points x cells: the product over all features
+                product = np.log(passed / failed).transpose(0, 2, 1) @ o.astype(np.float64)
+                product += np.log(failed).sum(axis=1)[:, :, None]
+                np.exp(product, out=product)
+                # (o - z) / factor is (1 - z) / passed, or -1 / (1 - t)
+                part = np.where(o, (w * (1 - z[:, :, None]) / passed) @ product, ((-w / (1 - t)) @ product)[:, None])
                 flat = f.ravel()
                 order = np.argsort(flat, kind="stable")
                 cut = np.flatnonzero(np.diff(flat[order], prepend=-1))
+                part = part.reshape(-1, rows)
                 for p, q in zip(cut, np.append(cut[1:], len(order)), strict=True):
                     columns = order[p:q]
-                    out[:, flat[columns[0]], :] += part[:, columns] @ v[columns // d]
-        return out
-
+                    out[flat[columns[0]]] += v[columns // d].T @ part[columns]
+        return out.transpose(2, 1, 0)
 
-def shap_values(df: DataFrame, model, names: list[str], keep: tuple[str, ...]) -> DataFrame:
-    """`keep`, `base` and `shap` of each row: the forest's mean answer by class, and for each class the features' parts.
 
-    `model` is a trained MLlib forest or tree on the features `names`, in that
-    order; base and parts add up to the probabilities it gives. Null features
-    count as 0. The forest is broadcast: its size is set by trees and depth.
-    """
+def shap_cells(df: DataFrame, model, names: list[str], keep: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Rows (`keep`, cell) and cells (cell, n, base, shap): what `shap_values` says, once for all n rows of a cell."""
     paths = Paths(nodes_of(model), len(names))
     shared = df.sparkSession.sparkContext.broadcast(paths)
     fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
 
-    def run(batches):
+    def place(batches):
+        p = shared.value
+        for b in batches:
+            x = np.column_stack([b.column(f"_{i}").to_numpy(zero_copy_only=False) for i in range(len(names))])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array([r.tobytes() for r in p.places(x)], pa.binary())], names=[*keep, "cell"])
+
+    def explain(batches):
         p = shared.value
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                x = np.column_stack([part.column(f"_{i}").to_numpy(zero_copy_only=False) for i in range(len(names))])
-                got = p.values(x).transpose(0, 2, 1)
+            for at in range(0, b.num_rows, BLOCK):
+                part = b.slice(at, BLOCK)
+                got = p.values(np.frombuffer(b"".join(part.column("cell").to_pylist()), "<i4").reshape(part.num_rows, -1))
                 flat = pa.array(got.ravel())
                 inner = pa.ListArray.from_arrays(pa.array(np.arange(0, got.size + 1, len(names), dtype=np.int32)), flat)
-                outer = pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) * p.classes + 1, p.classes, dtype=np.int32)), inner)
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array([p.base.tolist()] * len(x), pa.list_(pa.float64())), outer], names=[*keep, "base", "shap"])
+                outer = pa.ListArray.from_arrays(pa.array(np.arange(0, len(got) * p.classes + 1, p.classes, dtype=np.int32)), inner)
+                yield pa.RecordBatch.from_arrays([part.column("cell"), part.column("n"), pa.array([p.base.tolist()] * len(got), pa.list_(pa.float64())), outer], names=["cell", "n", "base", "shap"])
 
     d = df.select(*keep, *[F.coalesce(F.col(c), F.lit(0)).cast("double").alias(f"_{i}") for i, c in enumerate(names)])
-    return d.mapInArrow(run, ", ".join([*fields, "base array<double>", "shap array<array<double>>"]))
+    rows = materialise(d.mapInArrow(place, ", ".join([*fields, "cell binary"])))
+    cells = materialise(rows.groupBy("cell").agg(F.count("*").alias("n")))
+    # little data and much work: tasks by the number of cells
+    dealt = cells.repartition(cells.count() // TASK + 1, "cell")
+    return rows, dealt.mapInArrow(explain, "cell binary, n bigint, base array<double>, shap array<array<double>>")
+
+
+def to_rows(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """What was found for cells (cell, n, ...), for each of their rows."""
+    found = materialise(cells)
+    total = found.agg(F.sum("n")).first()[0] or 0
+    return hot_join(rows, found, "cell", "n", total).drop("cell")
+
+
+def shap_values(df: DataFrame, model, names: list[str], keep: tuple[str, ...]) -> DataFrame:
+    """`keep`, `base` and `shap` of each row: the forest's mean answer by class, and for each class the features' parts.
+
+    `model` is a trained MLlib forest or tree on the features `names`, in that
+    order; base and parts add up to the probabilities it gives. Null features
+    count as 0. The forest is broadcast: its size is set by trees and depth.
+    """
+    return to_rows(*shap_cells(df, model, names, keep))
 
 
-def global_report(values: DataFrame, names: list[str], classes: list[str], top: int = TOP) -> DataFrame:
-    """class, rank, name, mean_abs: the features of greatest mean absolute part for each class."""
-    one = values.select(F.posexplode("shap").alias("c", "parts")).select("c", F.posexplode("parts").alias("f", "v"))
-    mean = one.groupBy("c", "f").agg(F.avg(F.abs("v")).alias("mean_abs"))  # a row for each class and feature
+def global_report(values: DataFrame, names: list[str], classes: list[str], top: int = TOP, n: str | None = None) -> DataFrame:
+    """class, rank, name, mean_abs: the features of greatest mean absolute part for each class; each row counts `n` times."""
+    one = values.select((F.col(n) if n else F.lit(1)).alias("n"), F.posexplode("shap").alias("c", "parts")).select("n", "c", F.posexplode("parts").alias("f", "v"))
+    mean = one.groupBy("c", "f").agg((F.sum(F.abs("v") * F.col("n")) / F.sum("n")).alias("mean_abs"))  # a row for each class and feature
     label = lambda some, i: F.get(F.array(*[F.lit(s) for s in some]), i)
     named = mean.select(label(classes, F.col("c")).alias("class"), label(names, F.col("f")).alias("name"), "mean_abs")
     from pyspark.sql import Window as W

@@ -32,8 +32,8 @@ def shap_report(spark, sf_dir):
     names = features.CLASSIFIER_NAMES
     rows = places.materialise(_features(spark, sf_dir, names))
     model, forest = _forest(rows, names)
-    values = explain.shap_values(rows, forest, names, ("doc_id",))
-    report = explain.global_report(values, names, list(model.stages[0].labelsArray[0]))
+    _, cells = explain.shap_cells(rows, forest, names, ("doc_id",))
+    report = explain.global_report(cells, names, list(model.stages[0].labelsArray[0]), n="n")
     return report.withColumn("mean_abs", F.round("mean_abs", 5))
 
 
