@@ -267,6 +267,9 @@ def test_shapley_values_are_found_once_for_equal_places(spark, forest):
     a = explain.global_report(cells, names, labels, n="n").collect()
     b = explain.global_report(explain.to_rows(rows, cells), names, labels).collect()
     assert [(r["class"], r["rank"], r["name"], round(r.mean_abs, 9)) for r in a] == [(r["class"], r["rank"], r["name"], round(r.mean_abs, 9)) for r in b]
+    one = explain.to_rows(rows, explain.strongest(cells, names, labels, ("cell", "n"))).collect()
+    two = {r.id: r for r in explain.strongest(explain.to_rows(rows, cells), names, labels, ("id",)).collect()}
+    assert len(one) == 804 and all(r.predicted_class == two[r.id].predicted_class and r.features == two[r.id].features for r in one)
 
 
 # Autoencoder

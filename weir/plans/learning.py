@@ -43,8 +43,8 @@ def shap_requests(spark, sf_dir):
     names = features.CLASSIFIER_NAMES
     rows = places.materialise(_features(spark, sf_dir, names))
     model, forest = _forest(rows, names)
-    values = explain.shap_values(rows, forest, names, ("doc_id",))
-    best = explain.strongest(values, names, list(model.stages[0].labelsArray[0]), ("doc_id",), top=8)
+    placed, cells = explain.shap_cells(rows, forest, names, ("doc_id",))
+    best = explain.to_rows(placed, explain.strongest(cells, names, list(model.stages[0].labelsArray[0]), ("cell", "n"), top=8))
     parts = F.transform("features", lambda f: F.struct(f["name"].alias("name"), F.round(f["part"], 5).alias("part")))
     return best.select("doc_id", "predicted_class", F.round("confidence", 6).alias("confidence"), parts.alias("features"))
 
