@@ -156,6 +156,20 @@ def test_permutation_importance_and_sweep(spark):
     assert {(r.variant, r.n) for r in metrics.override_sweep(d, variants, predict, names=["a"]).groupBy("variant").agg(F.sum("p").alias("n")).collect()} == {("as it is", 300), ("no a", 0)}
 
 
+def test_permuted_rows_are_predicted_only_where_a_value_changes(spark):
+    d = spark.range(60).select("id", (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 2).cast("double").alias("a"), F.lit(4.0).alias("b"), F.when(F.col("id") == 7, 1.0).alias("c"))
+    seen = []
+
+    def predict(rows):
+        seen.append(rows.count())
+        return rows.withColumn("p", (F.col("a") > 0.5).cast("int")).drop("_x")
+
+    got = {r.name: (r.mean, r.std) for r in metrics.permutation_importance(d, ["a", "b", "c"], predict, repeats=5).collect()}
+    # every row once; then none for b, two a repeat at most for c, and for a no more than 60 a repeat
+    assert seen[0] == 60 and sum(seen) <= 60 + 5 * (60 + 2)
+    assert got["a"][0] > 0.2 and got["b"] == got["c"] == (0.0, 0.0)
+
+
 def test_curation_merges_once(spark):
     vectors = spark.createDataFrame([(1, [1.0, 2.5]), (2, [1.0, 2.5]), (3, None), (4, [0.0, 1.0])], "id long, vector array<double>")
     assigned = spark.createDataFrame([(7, 1), (7, 2), (7, 3), (8, 4), (None, 5)], "cluster long, id long")
