@@ -387,3 +387,14 @@ def test_near_texts_equal_all_pairs(spark, short):
             first.setdefault((c, s), i)
     expected = {(c, min(i, j), max(i, j), k) for (c, s), i in first.items() for (e, o), j in first.items() if i < j and c == e for k in [edits(s, o)] if k <= 2}
     assert len(got) == len(set(got)) and set(got) == expected
+
+
+def test_pieces_leave_pairs_of_short_texts_to_deletions(spark):
+    # ten characters each in eight pieces: any two would share some
+    rows = [("l", i, f"{i * 7919 % 10**7:07d} {i % 25:02d}") for i in range(300)]
+    d = spark.createDataFrame([*rows, ("l", 1000, rows[5][2] + "xy")], "label string, id long, text string")
+    pieces = corpus._by_pieces(d.withColumn("n", F.length("text")), 2, 6, corpus.DELETIONS)
+    got = {(r.a, r.b) for r in pieces.collect()}
+    assert (5, 1000) in got and all(b == 1000 for _, b in got)
+    near = {(r.a, r.b, r.distance) for r in corpus.near_queries(d.withColumnRenamed("text", "t"), id_col="id", label="label", text="t").collect()}
+    assert (5, 1000, 2) in near

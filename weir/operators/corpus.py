@@ -83,24 +83,31 @@ def near_queries(df: DataFrame, *, id_col: str, label: str, text: str, most: int
     deletions: within `most` edits two texts become the same by taking out up to
     `most` characters of each, and texts that do are at most twice as far apart,
     so candidates are not many more than pairs. Longer texts meet by pieces (see
-    `_by_pieces`); those a little shorter take part in both, so no pair is lost.
-    Distances are measured for distinct candidates; equal texts are one row.
+    `_by_pieces`); those a little shorter take part in both, so no pair is lost, but
+    the pieces of two short texts, of a character or two each, bring nobody together.
+    Distances of short texts are measured where they meet, others for distinct
+    candidates; equal texts are one row.
     """
     d = df.where(F.length(text).between(1, longest)).groupBy(F.col(label).alias("label"), F.col(text).alias("text")).agg(F.min(id_col).alias("id"))
     d = materialise(d)
     ends = common_ends(d, "label", "text").withColumnRenamed("label", "_l")
     rest = F.substr("text", F.col("front") + 1, F.length("text") - F.col("front") - F.col("back"))
     d = materialise(d.join(ends, F.col("label").eqNullSafe(F.col("_l"))).select("label", "id", rest.alias("text")).withColumn("n", F.length("text")))
-    left = d.where(F.col("n") <= short).select("label", "id", F.explode(F.transform(deletions(F.col("text"), most), lambda t: F.xxhash64("label", t))).alias("h"))
-    met = left.select("label", "h", F.col("id").alias("a")).join(left.select("h", F.col("id").alias("b")), "h").where("a < b").select("label", "a", "b")
-    near = met.unionByName(_by_pieces(d.where(F.col("n") > short - most), most, spare)).distinct()
+    left = d.where(F.col("n") <= short).select("label", "id", "text", F.explode(F.transform(deletions(F.col("text"), most), lambda t: F.xxhash64("label", t))).alias("h"))
+    # both sides have the same columns, so that what is dealt out by hash is written once
+    side = lambda i, t: left.select(F.col("h").alias(f"_h{i}"), F.col("label").alias(f"_l{i}"), F.col("id").alias(i), F.col("text").alias(t))
+    met = side("a", "x").join(side("b", "y"), (F.col("_ha") == F.col("_hb")) & F.col("_la").eqNullSafe(F.col("_lb")) & (F.col("a") < F.col("b")))
+    # texts come along: what is measured on the spot need not be fetched, and only pairs are made distinct
+    measured = lambda pairs: pairs.withColumn("distance", F.levenshtein("x", "y", most)).where("distance >= 0")
+    close = measured(met.select(F.col("_la").alias("label"), "a", "b", "x", "y")).select("label", "a", "b", "distance").distinct()
+    near = _by_pieces(d.where(F.col("n") > short - most), most, spare, short).distinct()
     both = near.join(d.select(F.col("id").alias("a"), F.col("label").alias("_la"), F.col("text").alias("x")), "a").join(d.select(F.col("id").alias("b"), F.col("label").alias("_lb"), F.col("text").alias("y")), "b")
     both = both.where(F.col("_la").eqNullSafe(F.col("label")) & F.col("_lb").eqNullSafe(F.col("label")))
-    return both.withColumn("distance", F.levenshtein("x", "y", most)).where("distance >= 0").select("label", "a", "b", "distance")
+    return close.unionByName(measured(both).select("label", "a", "b", "distance"))
 
 
-def _by_pieces(d: DataFrame, most: int, spare: int) -> DataFrame:
-    """label, a, b: candidates among texts (label, id, text, n) by equal pieces.
+def _by_pieces(d: DataFrame, most: int, spare: int, short: int) -> DataFrame:
+    """label, a, b: candidates among texts (label, id, text, n) by equal pieces, the longer one of more than `short` characters.
 
     A text is cut into most + spare pieces. Within `most` edits at least `spare`
     of them lie unchanged in the other text, so of any most + 1 pieces at least
@@ -114,6 +121,10 @@ def _by_pieces(d: DataFrame, most: int, spare: int) -> DataFrame:
     size = lambda i, m: start(i + 1, m) - start(i, m)
     key = lambda n, i, piece: F.xxhash64("label", n, i, piece)
     n = F.col("n")
+    longer = d.where(n > short)
+    # only lengths that a longer text may meet are indexed
+    lengths = longer.select("n").distinct().select(F.explode(F.sequence(n - most, n)).alias("n")).distinct()
+    d = d.join(F.broadcast(lengths), "n", "left_semi")
     own = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.struct(key(n, i, F.substr("text", start(i, n) + 1, size(i, n))).alias("h"), i.alias("part")))
     pieces = d.select("label", "id", "n", F.explode(own).alias("p")).select("label", "id", "n", "p.*")
     often = pieces.groupBy("h").agg(F.count("*").alias("often"))
@@ -129,7 +140,7 @@ def _by_pieces(d: DataFrame, most: int, spare: int) -> DataFrame:
         fits = (m >= 0) & (begin >= 0) & (begin + size(w["part"], m) <= n)
         return F.when(fits, F.struct(key(m, w["part"], F.substr("text", begin + 1, size(w["part"], m))).alias("h"), m.alias("n")))
 
-    probes = d.select(F.col("id").alias("other"), n.alias("long"), F.explode(F.transform(way, probe)).alias("p")).where("p is not null").select("other", "long", "p.h", F.col("p.n").alias("m"))
+    probes = longer.select(F.col("id").alias("other"), n.alias("long"), F.explode(F.transform(way, probe)).alias("p")).where("p is not null").select("other", "long", "p.h", F.col("p.n").alias("m"))
     met = index.join(probes, "h").where("n = m and (n < long or id < other)")
     return met.select("label", F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
 
