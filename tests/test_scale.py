@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weir.operators import autoencoder, cluster, containment, explain, metrics, models, places, quantiles, temporal
+from weir.operators import autoencoder, cluster, containment, corpus, explain, metrics, models, places, quantiles, temporal
 
 
 def timed(f):
