@@ -398,3 +398,22 @@ def test_pieces_leave_pairs_of_short_texts_to_deletions(spark):
     assert (5, 1000) in got and all(b == 1000 for _, b in got)
     near = {(r.a, r.b, r.distance) for r in corpus.near_queries(d.withColumnRenamed("text", "t"), id_col="id", label="label", text="t").collect()}
     assert (5, 1000, 2) in near
+
+
+def test_surroundings_go_on_in_bounded_batches(monkeypatch):
+    import types
+
+    import pyarrow as pa
+
+    # every place passes, with 512 bytes before it
+    table = types.SimpleNamespace(value=np.full(1 << 16, 1 + containment.reach(np.array([512]))[0], np.uint8))
+    texts = ["".join(f"{i:x}," for i in range(8000)), "short", "", "0123456789", "é" * 700]
+    monkeypatch.setattr(containment, "READ", 1000)
+    search = containment.surroundings(types.SimpleNamespace(mapInArrow=lambda run, _: run), (), table, [3, 8])
+    out = list(search(iter([pa.record_batch({"label": ["l"] * len(texts), "text": texts})])))
+    expected = set()
+    for t in (x.encode() for x in texts):
+        expected |= {("l", s, int.from_bytes(t[i : i + s], "little", signed=s == 8), t[max(0, i - 512) : i], t[i : i + s]) for s in (3, 8) for i in range(len(t) - s + 1)}
+    assert {tuple(r.values()) for b in out for r in b.to_pylist()} == expected
+    # a long text of many places is no batch of its own
+    assert sum(b.nbytes for b in out) > 4 * containment.HELD and max(b.nbytes for b in out) < 1.5 * containment.HELD

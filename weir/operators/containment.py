@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +32,8 @@ GRAM, SPARSE, LEAST, MOST = 8, 128, 1 << 16, 1 << 26
 COUNTED = 1 << 22
 #: Buckets of one block of a table.
 BLOCK = 1 << 16
-#: Bytes of texts that are searched at once.
-READ = 1 << 20
+#: Bytes of texts that are searched at once, and of surroundings that are held before they go on.
+READ, HELD = 1 << 20, 1 << 22
 _MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
 
 
@@ -162,42 +163,54 @@ def surroundings(texts: DataFrame, keys: tuple[str, ...], table, sizes: list[int
         codes, of = table.value, len(table.value)
         bytes_ = np.frombuffer(data, np.uint8)
         ends = np.append(starts[1:], len(data))
-        for s in sizes:
-            values = grams(bytes_, s)
+        # a long text is searched a part at a time
+        for s, part in ((s, p) for s in sizes for p in range(0, len(data), READ)):
+            values = grams(bytes_[part : part + READ + s - 1], s)
             a, b = buckets(values, s, of)
             first, second = codes[a], codes[b]
-            at = np.flatnonzero((first > 0) & (second > 0))
-            if not len(at):
+            place = np.flatnonzero((first > 0) & (second > 0))
+            if not len(place):
                 continue
+            at = place + part
             text = np.searchsorted(starts, at, side="right") - 1
             # not across the end of a text
             inside = at + s <= ends[text]
-            at, text = at[inside], text[inside]
-            x, y = first[at].astype(np.int64) - 1, second[at].astype(np.int64) - 1
+            place, at, text = place[inside], at[inside], text[inside]
+            x, y = first[place].astype(np.int64) - 1, second[place].astype(np.int64) - 1
             low = np.maximum(starts[text], at - np.minimum(reach_of[x % 15], reach_of[y % 15]))
             high = np.minimum(ends[text], at + s + np.minimum(reach_of[x // 15], reach_of[y // 15]))
-            for t, v, i, p, q in zip(text.tolist(), values[at].view(np.int64).tolist(), at.tolist(), low.tolist(), high.tolist(), strict=True):
+            for t, v, i, p, q in zip(text.tolist(), values[place].view(np.int64).tolist(), at.tolist(), low.tolist(), high.tolist(), strict=True):
                 yield t, s, v, data[p:i], data[i:q]
 
+    def sent(seen, types) -> pa.RecordBatch:
+        kinds = [*types, pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(zip(*seen, strict=True), kinds, strict=True)], names=[*keys, "label", "size", "gram", "before", "behind"])
+
     def run(batches):
         for b in batches:
-            columns = [c.to_pylist() for c in b.columns[:-1]]
-            texts_ = b.column(b.num_columns - 1).cast(pa.large_binary()).to_pylist()
-            first, seen = 0, set()
-            while first < len(texts_):
-                last, size = first, 0
-                while last < len(texts_) and (size < READ or last == first):
-                    size += len(texts_[last])
-                    last += 1
-                starts = np.append(0, np.cumsum([len(t) for t in texts_[first : last - 1]])).astype(np.int64)
-                # equal surroundings of equal keys once
-                seen.update((*(c[first + t] for c in columns), s, v, x, y) for t, s, v, x, y in found(b"".join(texts_[first:last]), starts))
+            types, seen, held = b.schema.types[:-1], set(), 0
+            sizes_ = pc.fill_null(pc.binary_length(b.column(b.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            upto = np.cumsum(sizes_)
+            first = 0
+            while first < b.num_rows:
+                # only the texts that are searched at once are taken out of the batch
+                last = max(first + 1, int(np.searchsorted(upto, upto[first] - sizes_[first] + READ)) + 1)
+                part = b.slice(first, last - first)
+                columns = [c.to_pylist() for c in part.columns[:-1]]
+                texts_ = part.column(b.num_columns - 1).cast(pa.large_binary()).to_pylist()
+                starts = np.append(0, np.cumsum([len(t) for t in texts_[:-1]])).astype(np.int64)
+                for t, s, v, x, y in found(b"".join(texts_), starts):
+                    # equal surroundings of equal keys once
+                    row = (*(c[t] for c in columns), s, v, x, y)
+                    if row not in seen:
+                        seen.add(row)
+                        held += len(x) + len(y) + 256
+                    if held > HELD:
+                        yield sent(seen, types)
+                        seen, held = set(), 0
                 first = last
-                if seen and (len(seen) > 10_000 or first == len(texts_)):
-                    rows = list(zip(*seen, strict=True))
-                    kinds = [*b.schema.types[:-1], pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds, strict=True)], names=[*keys, "label", "size", "gram", "before", "behind"])
-                    seen = set()
+            if seen:
+                yield sent(seen, types)
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], "label string, size int, gram bigint, before binary, behind binary"])
     return texts.mapInArrow(run, schema)
